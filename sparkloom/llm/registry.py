@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing, url_filter
+from sparkloom.llm import bpe, language_id, mixing, secret_scan, url_filter
 from sparkloom.llm.common import table
 
 #: (verdict, host, path) of the url filter's production entries.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    heads = language_id.train(docs.filter(~F.col("held_out")).select("doc_id", "lang", "text"))
+    found = language_id.predict(docs.select("doc_id", "held_out", "text"), heads)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -35,7 +46,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_url_filter, op8_source_mix, op9_bpe)}
+    return {f.__name__: f for f in (op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe)}
 
 
 OP6_SQL = r"""

@@ -1,2 +1,45 @@
-"""The pipeline's stages."""
-language_id = jaccard_join = secret_scans = mixing = bpe = None
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame. All but the last keep the columns of docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bpe as bpe_op
+from sparkloom.llm import language_id as language_op
+from sparkloom.llm import mixing as mixing_op
+from sparkloom.llm import secret_scan
+
+#: A document whose predicted language is less certain than this is rejected, as is one without a letter.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language that is certain enough."""
+    heads = language_op.train(docs.filter(~language_op.held_out()).select("doc_id", "lang", "text"))
+    if not heads.languages:  # nothing to learn from: only texts without a letter can be rejected
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    row = docs.select("text", F.struct("*").alias("_row"))
+    found = language_op.predict(row, heads)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("_row.*")
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return docs
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with its secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing_op.mix(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, a row for each copy."""
+    from sparkloom.llm.registry import tokenizer_path
+
+    return bpe_op.digests(docs, tokenizer_path())
