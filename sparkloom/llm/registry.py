@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, language_id, mixing, secret_scan, url_filter
-from sparkloom.llm.common import table
+from sparkloom.llm import arc, bpe, html_text, language_id, mixing, secret_scan, url_filter
+from sparkloom.llm.common import new_path, table
 
 #: (verdict, host, path) of the url filter's production entries.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    back = arc.archive_pages(pages.select(F.col("page_id").alias("id"), "url", payload.alias("payload")), new_path(spark, "warc"))
+    page_id = F.when(F.col("key") != "-", F.col("key").cast("long"))
+    return back.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
@@ -46,7 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
 
 
 OP6_SQL = r"""
