@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import arc, bpe, html_text, language_id, mixing, secret_scan, url_filter
+from sparkloom.llm import arc, bpe, html_text, language_id, mixing, quality_rules, secret_scan, url_filter
 from sparkloom.llm.common import new_path, table
 
 #: (verdict, host, path) of the url filter's production entries.
@@ -22,6 +22,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality_rules.log_ratios(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, ratios)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -58,7 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
 
 
 OP6_SQL = r"""
