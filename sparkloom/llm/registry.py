@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import arc, bpe, html_text, language_id, mixing, quality_rules, secret_scan, url_filter
+from sparkloom.llm import arc, bpe, hamming_topk, html_text, language_id, mixing, quality_rules, secret_scan, url_filter
 from sparkloom.llm.common import new_path, table
 
 #: (verdict, host, path) of the url filter's production entries.
@@ -28,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, ratios)
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_topk.sign_code(F.col("embedding")).alias("code"))
+    return hamming_topk.search(rows, rows.filter(F.col("id") % 50 == 0), k=10, segments=4)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -64,7 +69,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
 
 
 OP6_SQL = r"""
@@ -115,5 +120,16 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
 
+OP3_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
+         list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: ((q.embedding[i] > 0) <> (v.embedding[i] > 0))::INTEGER))::INTEGER AS distance
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, neighbour_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM p) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op3_hamming_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
