@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import arc, bpe, hamming_topk, html_text, language_id, mixing, quality_rules, secret_scan, url_filter
+from sparkloom.llm import arc, bpe, hamming_topk, html_text, jaccard_join, language_id, mixing, quality_rules, secret_scan, url_filter
 from sparkloom.llm.common import new_path, table
 
 #: (verdict, host, path) of the url filter's production entries.
@@ -33,6 +33,10 @@ def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk.search(rows, rows.filter(F.col("id") % 50 == 0), k=10, segments=4)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -69,7 +73,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op4_jaccard_join, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
 
 
 OP6_SQL = r"""

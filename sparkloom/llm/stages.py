@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe as bpe_op
+from sparkloom.llm import jaccard_join as jaccard_op
 from sparkloom.llm import language_id as language_op
 from sparkloom.llm import mixing as mixing_op
 from sparkloom.llm import secret_scan
@@ -25,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Keeps the document with the smallest id of each group of near copies."""
+    return jaccard_op.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
