@@ -96,7 +96,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
             probes = own if probes is None else probes.unionAll(own)
         if probes is not None:
             distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-            near = probes.join(index, ["segment", "value"]).filter(distance <= F.col("most"))
+            # never broadcast: the planner takes exploded probes for as small as the queries they come from
+            near = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= F.col("most"))
             near = near.select("query", distance.alias("distance"), F.explode("ids").alias("id"))
             if best is not None:
                 near = near.unionAll(best)
