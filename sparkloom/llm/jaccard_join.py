@@ -44,6 +44,8 @@ WIDTH = 128
 SMALL, DEPTH = 256, 8
 TARGET_RECALL = 0.995
 SLACK = 0.16
+#: Bits of the bitmap that marks documents whose sets are needed again (8 MB).
+MARK_BITS = 1 << 26
 #: Sets and hashes of a block of the exact check.
 BLOCK_SETS, BLOCK_HASHES = 256, 2_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -281,21 +283,37 @@ def true_links(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, links long, texts long, root binary")
 
 
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``MARK_BITS`` with a bit for the hash of each id: of bounded size, whatever the number of ids."""
+    h = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS))
+    rows = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b"))
+    words = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(MARK_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (rep, node, ...) with the hashes of its class' set, from the text of document rep."""
-    joined = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    rest = [f for f in wanted.schema.fields if f.name != "rep"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", hashes binary"
+    """``wanted`` (rep, node, ...) with the hashes of its class' set, from the text of document rep.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
-            # another row may have the same id and another text
-            own = pa.array([node_of(s) == k for s, k in zip(sets, b.column("node").to_pylist(), strict=True)], pa.bool_())
-            columns = [*[b.column(f.name) for f in rest], pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in rest], "hashes"]).filter(own)
+    Texts are not shuffled: the scan makes the sets of documents that a bitmap of the wanted ids marks (a
+    few others at most, as long as the ids are fewer than its bits), and only those sets meet ``wanted``."""
+    bits = docs.sparkSession.sparkContext.broadcast(marks(wanted.select(F.col("rep").alias("id"))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
 
-    return joined.mapInArrow(run, schema).dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            at = b.column("_at").to_numpy()
+            b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices([b]):
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                nodes = pa.array([node_of(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "hashes"])
+
+    marked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("_at"))
+    sets = marked.mapInArrow(run, "rep long, node binary, hashes binary")
+    # another row may have the same id and another text, or be a copy
+    return wanted.join(sets, ["rep", "node"]).drop("rep").dropDuplicates(["node"])
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
