@@ -41,7 +41,7 @@ from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 WIDTH = 128
-SMALL, DEPTH = 256, 8
+SMALL, DEPTH = 512, 5
 TARGET_RECALL = 0.995
 SLACK = 0.16
 #: Bits of the bitmap that marks documents whose sets are needed again (8 MB).
