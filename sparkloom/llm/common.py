@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a longest run of characters that are neither space nor U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +54,30 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bits of a bitmap of ids (8 MB).
+MARK_BITS = 1 << 26
+
+
+def among(column: Column, ids: DataFrame) -> Column:
+    """Whether a value may be among ids (id): false for nearly all others, and never for one that is.
+
+    A bitmap with a bit for each id's hash, of bounded size whatever the number of ids (if there are more than bits,
+    all rows pass); a join decides about the rows that pass. So large rows are shuffled only where it matters."""
+    h = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS))
+    rows = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b"))
+    words = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(MARK_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    @F.pandas_udf(T.BooleanType())
+    def look(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return look(F.pmod(F.xxhash64(column), F.lit(MARK_BITS)))
+
+
 def slices(batches: Iterable, rows: int = 256) -> Iterator:
     """Arrow batches in pieces of so many rows, so that few texts are Python objects at once."""
     for batch in batches:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, slices
+from sparkloom.llm.common import among, cut, slices
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -44,8 +44,6 @@ WIDTH = 128
 SMALL, DEPTH = 512, 5
 TARGET_RECALL = 0.995
 SLACK = 0.16
-#: Bits of the bitmap that marks documents whose sets are needed again (8 MB).
-MARK_BITS = 1 << 26
 #: Sets and hashes of a block of the exact check.
 BLOCK_SETS, BLOCK_HASHES = 256, 2_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -283,35 +281,19 @@ def true_links(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, links long, texts long, root binary")
 
 
-def marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of ``MARK_BITS`` with a bit for the hash of each id: of bounded size, whatever the number of ids."""
-    h = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS))
-    rows = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b"))
-    words = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(MARK_BITS // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out.view(np.uint8)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (rep, node, ...) with the hashes of its class' set, from the text of document rep.
 
-    Texts are not shuffled: the scan makes the sets of documents that a bitmap of the wanted ids marks (a
-    few others at most, as long as the ids are fewer than its bits), and only those sets meet ``wanted``."""
-    bits = docs.sparkSession.sparkContext.broadcast(marks(wanted.select(F.col("rep").alias("id"))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    Texts are not shuffled: the scan makes the sets of marked documents, and only those sets meet ``wanted``."""
+    marked = docs.filter(among(F.col("doc_id"), wanted.select(F.col("rep").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
-            at = b.column("_at").to_numpy()
-            b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for part in slices([b]):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
-                nodes = pa.array([node_of(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "hashes"])
-
-    marked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("_at"))
-    sets = marked.mapInArrow(run, "rep long, node binary, hashes binary")
+        for b in slices(batches):
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            nodes = pa.array([node_of(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "hashes"])
+
+    sets = marked.select("doc_id", "text").mapInArrow(run, "rep long, node binary, hashes binary")
     # another row may have the same id and another text, or be a copy
     return wanted.join(sets, ["rep", "node"]).drop("rep").dropDuplicates(["node"])
 
@@ -362,11 +344,18 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id. Rows without an id all stay."""
     joined = cut(join(docs, similarity), "joined")
-    out = docs.join(joined.filter("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(joined.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    out = without(docs, gone)
     repeated = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     repeated = cut(repeated, "repeated")
     if repeated.isEmpty():
         return out
     # an id that stands in several rows: one row of each
-    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(again)
+    again = out.filter(among(F.col("doc_id"), repeated.select(F.col("doc_id").alias("id")))).join(repeated, "doc_id", "left_semi")
+    return without(out, repeated).unionAll(again.dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone`` (doc_id); only rows that a bitmap marks take part in the join's shuffle."""
+    maybe = among(F.col("doc_id"), gone.select(F.col("doc_id").alias("id")))
+    return docs.filter(~maybe).unionAll(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
