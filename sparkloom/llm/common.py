@@ -46,7 +46,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     this lineage, and lost executors cost nothing that was finished."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def barrier(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows; the optimizer does not merge what computes ``columns`` into later expressions, where lambda
+    functions would compute it again for each element."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
 
 
 def n_words(text) -> F.Column:
@@ -58,24 +75,37 @@ def n_words(text) -> F.Column:
 MARK_BITS = 1 << 26
 
 
-def among(column: Column, ids: DataFrame) -> Column:
-    """Whether a value may be among ids (id): false for nearly all others, and never for one that is.
+def place(column: Column) -> Column:
+    """A value's bit in a bitmap of ids."""
+    return F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
+
 
-    A bitmap with a bit for each id's hash, of bounded size whatever the number of ids (if there are more than bits,
-    all rows pass); a join decides about the rows that pass. So large rows are shuffled only where it matters."""
-    h = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS))
-    rows = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b"))
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Bytes with a bit for each id's (id) place: of bounded size, whatever the number of ids."""
+    h = ids.select(place(F.col("id")).alias("h"))
+    rows = h.select(F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, cast(h % 64 AS INT))").alias("b"))
     words = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(MARK_BITS // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+    return bits.view(np.uint8)
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def among(column: Column, ids: DataFrame) -> Column:
+    """Whether a value may be among ids (id): false for nearly all others, and never for one that is.
+
+    If there are more ids than bits, all rows pass; a join decides about the rows that pass. So large rows are shuffled only where
+    it matters."""
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     @F.pandas_udf(T.BooleanType())
     def look(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(marked(shared.value, at.to_numpy()))
 
-    return look(F.pmod(F.xxhash64(column), F.lit(MARK_BITS)))
+    return look(place(column))
 
 
 def slices(batches: Iterable, rows: int = 256) -> Iterator:
