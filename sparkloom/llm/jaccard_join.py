@@ -2,7 +2,7 @@
 
 A text's set is its windows of ``WORDS`` words, hashed with 64 bits (a text with fewer words has one window of all its words).
 Equal sets form a text class that is joined once, whatever its number of copies. Every
-class is embedded as ``WIDTH`` minimum hashes, so that all have equally many tokens and two agree in
+class is embedded as ``WIDTH`` minimum hashes (its tokens are the first ``TOKENS``), so that all have equally many tokens and two agree in
 a token with the probability of their similarity.
 
 A run starts from the root; each node of its tree samples one or two tokens (1 / similarity on average, by a hash of the node's
@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import among, cut, slices
+from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, slices
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 WIDTH = 128
+#: Of those, the tokens that runs sample.
+TOKENS = 64
 SMALL, DEPTH = 512, 5
 TARGET_RECALL = 0.995
 SLACK = 0.16
@@ -103,7 +105,7 @@ def embed(docs: DataFrame) -> DataFrame:
                 b.column("doc_id"),
                 pa.array([node_of(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([None if m is None else m.astype(">u4").tobytes() for m in mins], pa.binary()),
+                pa.array([None if m is None else m[:TOKENS].astype(">u4").tobytes() for m in mins], pa.binary()),
                 pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in mins], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "signature", "sketch"])
@@ -178,7 +180,7 @@ def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> DataFr
     """Forest edges over the candidate pairs of classes (node, n, signature, sketch)."""
     two = 1 / similarity - 1
     rng = np.random.default_rng(7)
-    starts = [(run, int(i)) for run in range(runs_for(recall, similarity)) for i in rng.choice(WIDTH, 1 + (rng.random() < two), replace=False)]
+    starts = [(run, int(i)) for run in range(runs_for(recall, similarity)) for i in rng.choice(TOKENS, 1 + (rng.random() < two), replace=False)]
 
     def token(i: int):
         """The token at a place of the signature."""
@@ -190,19 +192,20 @@ def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> DataFr
     signatures = classes.select("node", "signature")
     edges: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
-        level = cut(level, "level")
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        level = cut(level.join(sizes, "bucket"), "level")
+        every = cut(level, "every")
+        sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        level = cut(every.join(sizes.hint("merge"), "bucket"), "level")
+        discard(every)
         small = level.filter(F.col("size") <= SMALL)
-        found = cut(near_forests(small.join(sketches, "node"), similarity), "forest")
+        found = cut(near_forests(small.hint("merge").join(sketches, "node"), similarity), "forest")
         edges = found if edges is None else edges.unionAll(found)
         large = level.filter(F.col("size") > SMALL)
         if large.isEmpty():
             return edges
         if depth < DEPTH:
             # the node's own samples: one token always, a second with probability 1 / similarity - 1
-            first = F.pmod(F.xxhash64("bucket", F.lit("first")), F.lit(WIDTH)).cast("int")
-            second = F.pmod(first + 1 + F.pmod(F.xxhash64("bucket", F.lit("second")), F.lit(WIDTH - 1)).cast("int"), F.lit(WIDTH))
+            first = F.pmod(F.xxhash64("bucket", F.lit("first")), F.lit(TOKENS)).cast("int")
+            second = F.pmod(first + 1 + F.pmod(F.xxhash64("bucket", F.lit("second")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
             more = F.pmod(F.xxhash64("bucket", F.lit("two")), F.lit(1 << 20)) < int(two * (1 << 20))
             key = lambda i: F.xxhash64("bucket", i, F.substring(F.col("signature"), i * 4 + 1, F.lit(4)))
             next_keys = F.when(more, F.array(key(first), key(second))).otherwise(F.array(key(first)))
@@ -245,6 +248,9 @@ def true_links(members: DataFrame, similarity: float) -> DataFrame:
         out: list[tuple[bytes, int, int, bytes]] = []
         for t in groups(batches, "pair"):
             t = t.sort_by([("node", "ascending")])
+            names = t.column("node").to_pylist()
+            if len(set(names)) < len(names):  # a set that was made of several equal rows
+                t = t.take([k for k in range(len(names)) if not k or names[k] != names[k - 1]])
             nodes, copies = t.column("node").to_pylist(), t.column("copies").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
             sizes = np.array([len(s) for s in sets])
@@ -284,18 +290,21 @@ def true_links(members: DataFrame, similarity: float) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (rep, node, ...) with the hashes of its class' set, from the text of document rep.
 
-    Texts are not shuffled: the scan makes the sets of marked documents, and only those sets meet ``wanted``."""
-    marked = docs.filter(among(F.col("doc_id"), wanted.select(F.col("rep").alias("id"))))
+    Texts are not shuffled: the scan makes the sets of documents that a bitmap of the wanted ids marks, and only those sets meet
+    ``wanted``. A document that stands in several rows gives its set several times."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("rep").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
-            nodes = pa.array([node_of(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "hashes"])
+        for b in slices(batches, 2048):
+            for part in slices([b.filter(pa.array(marked(bits.value, b.column("_at").to_numpy())))]):
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                nodes = pa.array([node_of(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "hashes"])
 
-    sets = marked.select("doc_id", "text").mapInArrow(run, "rep long, node binary, hashes binary")
-    # another row may have the same id and another text, or be a copy
-    return wanted.join(sets, ["rep", "node"]).drop("rep").dropDuplicates(["node"])
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place(F.col("doc_id")).alias("_at"))
+    sets = rows.mapInArrow(run, "rep long, node binary, hashes binary")
+    # another row may have the same id and another text, so both are compared
+    return wanted.hint("merge").join(sets, ["rep", "node"]).drop("rep")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
@@ -310,9 +319,12 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     classes = cut(classes, "classes")
-    small = classes.select("node", "rep", "copies", "n")
+    nodes = cut(embedded.select("doc_id", "node"), "nodes")
+    discard(embedded)
+    small = cut(classes.select("node", "rep", "copies", "n"), "small")
     candidates = components(chosen_paths(classes.select("node", "n", "signature", "sketch"), similarity, recall))
 
+    discard(classes)
     # blocks of each candidate component, bounded in sets and in hashes
     wanted = cut(candidates.withColumnRenamed("root", "_of").join(small, "node"), "wanted")
     sums = wanted.groupBy("_of").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("_blocks"))
@@ -329,7 +341,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
     ids = ids.join(tops_id, "root").select("node", "class_id", "links", "texts")
     per_class = small.join(ids, "node", "left").select("node", F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     own = F.col("doc_id").isNotNull()
-    out = embedded.select("doc_id", F.when(own, F.col("node")).alias("node")).join(per_class, "node", "left")
+    out = nodes.select("doc_id", F.when(own, F.col("node")).alias("node")).join(per_class, "node", "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id",
