@@ -36,7 +36,7 @@ from sparkloom.llm.common import slices
 #: Longest word that is scanned; longer ones use the heap.
 SCAN_CHARS = 96
 #: Words whose tokens a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: White space as the tokenizer's regular expressions have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 60

@@ -44,7 +44,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # longest runs: the same as all runs without the short ones
 OUT, BEGIN, INSIDE = 0, 1, 2
 DIM = 1 << 12
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words before a secret, and beginnings of issued keys.
 KEYWORDS = "password passwd pwd passphrase secret token api_key apikey key auth authorization bearer credential credentials private".split()
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- xoxb- xoxp- sk- pk- sk_live_ sk_test_ eyJ AIza SG. ya29. npm_ hf_".split()
