@@ -35,8 +35,8 @@ from sparkloom.llm.common import slices
 
 #: Longest word that is scanned; longer ones use the heap.
 SCAN_CHARS = 96
-#: Words whose tokens a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Words whose tokens a worker remembers (twice as many at most), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 125_000, 64
 #: White space as the tokenizer's regular expressions have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 60
@@ -88,7 +88,9 @@ class WordBpe:
         self.space = re.compile(f"[{SPACE}]+")
         letter, number = char_class("L"), char_class("N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
+        # of runs without white space: the latest ones, and those before them
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def normalize(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
@@ -153,14 +155,18 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Of a run without white space: token count, ids and tokens, each joined by a space."""
-        ids = [i for w in self.split(chunk) for i in self.word(w)]
-        out = (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
+        out = self.older.get(chunk) or self._chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
+                self.older = dict(self.cache)
+                self.cache.clear()  # the same object: callers hold its get
             self.cache[chunk] = out
         return out
 
+    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+        ids = [i for w in self.split(chunk) for i in self.word(w)]
+        return (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
+
     def encode_joined(self, text: str | None) -> tuple[int, str, str]:
         """Token count, ids joined by a space, and the decoded text."""
         parts = self.split_special.split(text or "") if self.split_special else [text or ""]
