@@ -226,8 +226,9 @@ def content(found: list[Block]) -> list[Block]:
     value: dict[tuple[str, ...], float] = {}
     for b, t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
         value[b.path] = max(value.get(b.path, 0.0), math.log1p(t) * (1 + math.log1p(p)))
-    # the path with most text on high ratios leads
-    best = max(value, key=lambda path: (value[path] * math.sqrt(max(1, sums[path][0])), path))
+    # the path with most text on high ratios leads; of those in an article or main element, if there are any
+    in_main = lambda path: any(label.split(".")[0] in ("article", "main") for label in path)
+    best = max(filter(in_main, value) if any(map(in_main, value)) else value, key=lambda path: (value[path] * math.sqrt(max(1, sums[path][0])), path))
     spread = pstdev(value.values()) if len(value) > 1 else 0.0
     least = max(LEAST * value[best], min(spread, 0.5 * value[best]))
     holder = best[:-1]
@@ -236,7 +237,7 @@ def content(found: list[Block]) -> list[Block]:
             holder = best[: k + 1]
             break
     inside = lambda path: path[: len(holder)] == holder and (len(holder) > 2 or len(path) <= len(holder) + 2)
-    one = any(label.split(".")[0] in ("article", "main") for label in holder)
+    one = in_main(holder)
     return [b for b in found if inside(b.path) or (not one and value[b.path] >= least and 2 * b.links < len(b.text) + 1)]
 
 
