@@ -506,6 +506,61 @@ w(repo, start) AS (SELECT repo, min(moment) FROM ev GROUP BY repo
 SELECT w.repo, w.start, (SELECT count(*) FROM ev WHERE ev.repo = w.repo AND ev.moment >= w.start AND ev.moment < w.start + 3600000000) AS events FROM w""",
 )(_windows)
 
+
+def _hours(f: Facts) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "rescan").when(F.col("event_type") == "signup", "file_deleted").otherwise("file_touched")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return f.events.select(F.col("user_id").cast("string").alias("repo"), F.floor(at / 86_400_000_000).alias("w"), F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("path"), kind.alias("kind"), at.alias("at"), F.col("event_id").alias("seq"))
+
+
+def _collapsed(f: Facts) -> DataFrame:
+    from sparkloom.streaming.coalesce import collapse
+
+    return collapse(_hours(f), ["repo", "w"])
+
+
+query(
+    "t3_collapsed",
+    """WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS repo, epoch_us(ts) // 86400000000 AS w, 'f' || CAST(event_id % 5 AS VARCHAR) AS path, CASE event_type WHEN 'error' THEN 'rescan' WHEN 'signup' THEN 'file_deleted' ELSE 'file_touched' END AS kind, epoch_us(ts) AS moment, event_id AS seq FROM events),
+m AS (SELECT *, bool_or(kind = 'rescan') OVER (PARTITION BY repo, w) AS scan, row_number() OVER (PARTITION BY repo, w, path ORDER BY moment DESC, seq DESC) AS k FROM ev)
+SELECT DISTINCT repo, w, 'rescan' AS kind, CAST(NULL AS VARCHAR) AS path FROM m WHERE scan UNION ALL SELECT repo, w, kind, path FROM m WHERE NOT scan AND k = 1""",
+)(_collapsed)
+
+
+def _debounced(f: Facts) -> DataFrame:
+    from sparkloom.streaming.coalesce import debounced
+
+    rows = f.events.select(F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return debounced(rows, "6 hours").select("repo", "path", F.unix_micros("start").alias("start"), "events")
+
+
+query(
+    "t4_debounced",
+    """WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS repo, event_type AS path, epoch_us(ts) AS moment FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY repo, path ORDER BY moment ROWS UNBOUNDED PRECEDING) AS n FROM (
+  SELECT *, CASE WHEN moment - lag(moment) OVER (PARTITION BY repo, path ORDER BY moment) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM ev))
+SELECT repo, path, min(moment) AS start, count(*) AS events FROM g GROUP BY repo, path, n""",
+)(_debounced)
+
+
+def _chains(f: Facts) -> DataFrame:
+    from sparkloom.plans.linearize import linearized
+
+    edges = f.customer.filter("c_custkey > 0").select(
+        F.col("c_nationkey").cast("string").alias("workspace"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("class"),
+        F.concat(F.lit("C"), F.floor(F.col("c_custkey") / 3).cast("string")).alias("base"), F.lit("inherit").alias("kind"), F.lit(0).alias("ordinal"),
+    )
+    return linearized(edges, "kotlin")
+
+
+query(
+    "r7_ancestors",
+    """WITH RECURSIVE e AS (SELECT CAST(c_nationkey AS VARCHAR) AS workspace, 'C' || CAST(c_custkey AS VARCHAR) AS class, 'C' || CAST(c_custkey // 3 AS VARCHAR) AS base FROM customer WHERE c_custkey > 0),
+w(workspace, class, position, ancestor) AS (SELECT workspace, class, 0, class FROM (SELECT workspace, class FROM e UNION SELECT workspace, base FROM e)
+  UNION ALL SELECT w.workspace, w.class, w.position + 1, e.base FROM w JOIN e ON e.workspace = w.workspace AND e.class = w.ancestor)
+SELECT workspace, class, position, ancestor FROM w""",
+)(_chains)
+
 # ---- scoring
 
 CASES = """x AS (SELECT 'case' || CAST(doc_id % 20 AS VARCHAR) AS "case", 'f' || CAST(doc_id % 7 AS VARCHAR) AS path, doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'A::b' WHEN 1 THEN 'A.b' ELSE '::A' || chr(92) || 'b' END AS target_qualified, quality, toxic FROM labels)"""
