@@ -147,7 +147,7 @@ class Heads:
         return lang, sure * float(1 / (1 + np.exp(-np.clip(2 * worst, -50, 50))))
 
 
-def machine(x: np.ndarray, y: np.ndarray, steps: int = 200, c: float = 50.0) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, steps: int = 120, c: float = 50.0) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss; y is 1 or -1, classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c
     xb = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
@@ -179,7 +179,10 @@ def fit(x: np.ndarray, langs: list[str]) -> Heads:
     scale = (scale / np.sqrt(((x * scale) ** 2).sum(axis=1).mean())).astype(np.float32)
     x = x * scale
     made = []
-    if len(heads.families) > 1:
+    if len(heads.families) == 2:  # one machine tells two families apart
+        w, b = machine(x, np.where(of == heads.families[0], 1, -1).astype(np.float32))
+        made += [(w, b), (-w, -b)]
+    elif len(heads.families) > 2:
         made += [machine(x, np.where(of == f, 1, -1).astype(np.float32)) for f in heads.families]
     else:
         made.append((np.zeros(x.shape[1], np.float32), 0.0))
