@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, slices
+from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, slices, small_batches
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -109,6 +109,7 @@ def embed(docs: DataFrame) -> DataFrame:
                 pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in mins], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "signature", "sketch"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n long, signature binary, sketch binary")
 
@@ -313,6 +314,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
     class_id: the smallest id that chains of links lead to; text_class: the smallest id with an equal
     set; n_copies: documents with an equal set, itself included; n_links: other documents
     of at least this similarity, copies included; n_text_links: other text classes among them."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, similarity, recall)
+
+
+def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     embedded = cut(embed(docs), "embedded")
     taking = embedded.filter("doc_id IS NOT NULL AND node IS NOT NULL")
     classes = taking.groupBy("node").agg(
