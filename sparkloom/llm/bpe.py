@@ -169,7 +169,9 @@ class WordBpe:
 
     def encode_joined(self, text: str | None) -> tuple[int, str, str]:
         """Token count, ids joined by a space, and the decoded text."""
-        parts = self.split_special.split(text or "") if self.split_special else [text or ""]
+        if not text:
+            return 0, "", ""
+        parts = self.split_special.split(text) if self.split_special else [text]
         out: list[tuple[int, str, str]] = []
         get, chunk = self.cache.get, self.chunk
         for k, part in enumerate(parts):
@@ -177,8 +179,12 @@ class WordBpe:
                 out.append((1, str(self.special[part]), part))
             elif part:
                 out += [get(w) or chunk(w) for w in self.normalize(part).split(" ") if w]
-        out = [x for x in out if x[0]]
-        return sum(x[0] for x in out), " ".join([x[1] for x in out]), " ".join([x[2] for x in out])
+        if not out:
+            return 0, "", ""
+        n, ids, tokens = zip(*out)
+        if 0 in n:  # words of which the vocabulary has no part
+            ids, tokens = filter(None, ids), filter(None, tokens)
+        return sum(n), " ".join(ids), " ".join(tokens)
 
     def encode(self, text: str | None) -> list[int]:
         return list(map(int, self.encode_joined(text)[1].split()))
