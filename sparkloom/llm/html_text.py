@@ -5,8 +5,8 @@ first class). Parts that are never main text (navigation, headers, footers, side
 adverts, forms, scripts, styles, reader comments, hidden parts) are left out by tag, role, class or id.
 Over the other blocks, text length without link text and punctuation are summed per path
 and divided by the path's blocks; both ratios are smoothed along the page, fused into one value per
-path, and paths whose value reaches the threshold are content, as is what stands beside the best
-path in the same container (headings, lists, tables, short paragraphs).
+path (with a bonus in an article or main element), and paths whose value reaches the threshold are content wherever they lie, as is what stands
+beside the best path in the same container (headings, lists, tables, short paragraphs) or in an article or main element that holds content.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one space; nothing else is dropped or cut.
@@ -55,8 +55,8 @@ RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|$)", re.I | re.A) for tag in RAW}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 MARK = re.compile(r"[.,;:!?¡¿…。，、；：！？]")
-#: Share of the best path's value that a path needs at least, and how many neighbours smooth a block.
-LEAST, RADIUS = 0.2, 2
+#: Share of the best path's value that a path needs at least, how many neighbours smooth a block, and the bonus of a path in an article or main element.
+LEAST, RADIUS, MAIN = 0.2, 2, 1.5
 
 
 class Block:
@@ -226,19 +226,18 @@ def content(found: list[Block]) -> list[Block]:
     value: dict[tuple[str, ...], float] = {}
     for b, t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
         value[b.path] = max(value.get(b.path, 0.0), math.log1p(t) * (1 + math.log1p(p)))
-    # the path with most text on high ratios leads; of those in an article or main element, if there are any
-    in_main = lambda path: any(label.split(".")[0] in ("article", "main") for label in path)
-    best = max(filter(in_main, value) if any(map(in_main, value)) else value, key=lambda path: (value[path] * math.sqrt(max(1, sums[path][0])), path))
+    main_of = {path: next((path[: k + 1] for k, label in enumerate(path) if label.split(".")[0] in ("article", "main")), None) for path in value}
+    value = {path: v * (MAIN if main_of[path] else 1) for path, v in value.items()}
+    # the path with most text on high ratios leads
+    best = max(value, key=lambda path: (value[path] * math.sqrt(max(1, sums[path][0])), path))
     spread = pstdev(value.values()) if len(value) > 1 else 0.0
     least = max(LEAST * value[best], min(spread, 0.5 * value[best]))
+    passes = lambda b: value[b.path] >= least and 2 * b.links < len(b.text) + 1
+    # whole article or main elements with a path that passes, and what stands beside the best path
+    mains = {main_of[b.path] for b in found if passes(b)} | {main_of[best]}
     holder = best[:-1]
-    for k, label in enumerate(best):
-        if label.split(".")[0] in ("article", "main"):
-            holder = best[: k + 1]
-            break
-    inside = lambda path: path[: len(holder)] == holder and (len(holder) > 2 or len(path) <= len(holder) + 2)
-    one = in_main(holder)
-    return [b for b in found if inside(b.path) or (not one and value[b.path] >= least and 2 * b.links < len(b.text) + 1)]
+    beside = lambda path: path[: len(holder)] == holder and (len(holder) > 2 or len(path) <= len(holder) + 2)
+    return [b for b in found if passes(b) or (main_of[b.path] in mains if main_of[b.path] else beside(b.path))]
 
 
 def main_text(page: str | None) -> str:

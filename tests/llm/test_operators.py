@@ -400,3 +400,16 @@ def test_parts_that_are_no_main_text():
     assert html_text.main_text("<p>cut off, but read <a hre") == "cut off, but read"
     assert html_text.main_text("plain text, 1 < 2, no tags") == "plain text, 1 < 2, no tags"
     assert html_text.main_text("<div>" * 3000 + "deep text, here." + "</p>" * 10) == "deep text, here."
+
+
+def test_path_values_decide_inside_and_outside_of_articles():
+    one, two = "A first text, with words, and more of them, to the end.", "A second text, as long as the first, and with as many marks, too."
+    for first, last, other, end in (
+        ('<article class="lead">', "</article>", '<article class="story">', "</article>"),
+        ('<div class="a"><article>', "</article></div>", '<div class="b"><article>', "</article></div>"),
+        ("<article>", "</article>", '<div class="story">', "</div>"),
+    ):
+        page = f"<html><body>{first}<h2>One</h2><p>{one}</p>{last}{other}<p>{two}</p>{end}</body></html>"
+        assert html_text.main_text(page) == f"One {one} {two}"
+    short = f'<html><body><article><h2>One</h2><p>{one * 4}</p></article><div class="x"><p>ok</p></div></body></html>'
+    assert html_text.main_text(short) == f"One {one * 4}"
