@@ -24,8 +24,9 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = quality_rules.log_ratios(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, ratios)
+    labels = table(spark, sf_dir, "labels")
+    ratios = quality_rules.log_ratios(docs, labels.filter(~quality_rules.held_out()))
+    return quality_rules.judge(docs, ratios, quality_rules.fitted_threshold(docs, labels, ratios))
 
 
 def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,20 @@ def test_good_documents_are_kept_and_junk_is_not(spark):
     assert kept[1] > 0.99 and kept[0] < 0.8
 
 
+def test_threshold_lets_little_junk_pass(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    got = registry.op2_quality_rules(spark, sf).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] > 0.99 and kept[0] < 0.05
+
+
+def test_cut_between_good_and_bad_scores():
+    assert quality_rules.cut([0.1, 0.2, 0.3], [-0.1, -0.3]) == pytest.approx(0.0)
+    assert quality_rules.cut([0.1, 0.2, 0.3, -0.2], [-0.1, -0.15, -0.3]) == pytest.approx(0.0)
+    assert quality_rules.cut([], [0.1]) == quality_rules.cut([0.1], []) == quality_rules.THRESHOLD
+
+
 def test_quality_plan_is_native(spark):
     plan = registry.op2_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
