@@ -13,7 +13,7 @@ seed (planted secrets and look-alikes among made-up words); it reads no corpus.
 Spans are (kind, start, end) in code points, end exclusive. Base kinds, leftmost and
 non-overlapping within a kind: assign (keyword, separator, value of 6 or more characters), access
 (AKIA and capitals or digits, 20 or more in all), hex (24 or more of 0-9a-f). Kind crf holds
-the field's runs without surrounding punctuation, where they overlap no base span.
+the field's runs without surrounding punctuation; of a run that base spans overlap, the pieces outside of them.
 
 Cases: a null or empty text has no spans. Ties in decoding prefer outside, then begin. Copies get
 equal spans; an empty table gives an empty result; columns that clash with ``spans`` are replaced. Memory is bounded by
@@ -394,12 +394,27 @@ def field() -> Field:
     return _FIELD[0]
 
 
+def uncovered(text: str, span: Span, base: list[Span]) -> list[Span]:
+    """The pieces of a span that no base span covers, without white space around them."""
+    kind, at, end = span
+    pieces = []
+    for a, b in sorted((a, b) for _, a, b in base if a < end and at < b):
+        pieces.append((at, a))
+        at = max(at, b)
+    out = []
+    for a, b in [*pieces, (at, end)]:
+        if a < b and (inner := text[a:b].strip()):
+            a = text.index(inner, a)
+            out.append((kind, a, a + len(inner)))
+    return out
+
+
 def all_spans(text: str | None, crf: Field) -> list[Span]:
-    """Base spans, and the field's where they overlap none, by start, then kind as listed."""
+    """Base spans, and what the field's spans hold besides, by start, then kind as listed."""
     if not text:
         return []
     base = base_spans(text)
-    more = [s for s in crf.spans(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    more = [piece for s in crf.spans(text) for piece in uncovered(text, s, base)]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -447,15 +462,15 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every secret in its texts replaced by a mark; n_chars, where it is a column, follows."""
+    """``df`` with every secret (a run of spans that overlap or touch) in its texts replaced by a mark; n_chars, where it is a column, follows."""
 
     def clean(text: str | None, spans: list[Span]) -> str | None:
         if not spans:
             return text
-        out, at = [], 0
+        out, at = [], -1
         for _, a, b in spans:
-            if a >= at:
-                out += [text[at:a], mark]
+            if a > at:
+                out += [text[max(at, 0) : a], mark]
             at = max(at, b)
         return "".join(out) + text[at:]
 

@@ -427,3 +427,15 @@ def test_path_values_decide_inside_and_outside_of_articles():
         assert html_text.main_text(page) == f"One {one} {two}"
     short = f'<html><body><article><h2>One</h2><p>{one * 4}</p></article><div class="x"><p>ok</p></div></body></html>'
     assert html_text.main_text(short) == f"One {one * 4}"
+
+
+def test_learned_spans_keep_what_base_spans_leave(spark):
+    crf = secret_scan.field()
+    for text, rest in (("password=abcdef!ghi123", "!ghi123"), ("my token: Abc123$ecretTail9 is set", "$ecretTail9")):
+        spans = secret_scan.all_spans(text, crf)
+        assert [text[a:b] for k, a, b in spans if k == "crf"] == [rest], spans
+        got = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+        assert rest not in got and got.count("[SECRET]") == 1
+    text = "aa bb1 cc"
+    assert secret_scan.uncovered(text, ("crf", 0, 9), [("hex", 3, 5), ("assign", 4, 6)]) == [("crf", 0, 2), ("crf", 7, 9)]
+    assert secret_scan.uncovered(text, ("crf", 3, 6), [("hex", 0, 9)]) == []
