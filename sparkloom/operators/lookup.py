@@ -269,7 +269,7 @@ def get_symbol_source(facts, contents: DataFrame, manifest_id: int, qualified: s
 
 def body_of(content: Column, start: Column, end: Column) -> Column:
     """Bytes start to end of a blob as text; what is no UTF-8 becomes replacement characters."""
-    return F.decode(F.substring(content, (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
+    return F.make_valid_utf8(F.substring(content, (start + 1).cast("int"), (end - start).cast("int")).cast("string"))
 
 
 def dedup_sources(rows: DataFrame) -> DataFrame:

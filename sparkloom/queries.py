@@ -190,6 +190,10 @@ query(
     .filter(F.octet_length("content") == F.length("content"))
     .select("id", "qualified", lookup.body_of(F.encode("content", "UTF-8"), F.col("byte_start"), F.col("byte_end")).alias("body"))
 )
+# the same of every blob, ASCII or not; without a twin, whose decode() fails at cut characters
+query("q17_symbol_bodies_every", None)(
+    lambda f: f.symbols.join(contents(f), "blob_sha").select("id", "qualified", lookup.body_of(F.encode("content", "UTF-8"), F.col("byte_start"), F.col("byte_end")).alias("body"))
+)
 query(
     "q18_dedup_sources",
     f"""WITH {FILES} SELECT alias, symbol_id, path FROM (

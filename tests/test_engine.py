@@ -172,3 +172,12 @@ def test_streams(spark, tmp_path):
         assert (row.desired, row.applied, row.forced, row.attempt) == (2, 2, 2, None)
     finally:
         q.stop()
+
+
+def test_bodies_of_every_blob(spark):
+    f = Facts(spark, SF)
+    content = {r.blob_sha: r.content.encode() for r in queries.contents(f).collect()}
+    want = {(s.id, s.qualified, content[s.blob_sha][s.byte_start : s.byte_end].decode("utf-8", "replace")) for s in f.symbols.collect() if s.blob_sha in content}
+    got = [tuple(r) for r in queries.queries()["q17_symbol_bodies_every"](spark, SF).select("id", "qualified", "body").collect()]
+    assert set(got) == want and len(got) > queries.queries()["q17_symbol_bodies"](spark, SF).count()
+    assert any(not body.isascii() for _, _, body in want)
