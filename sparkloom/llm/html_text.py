@@ -1,12 +1,15 @@
 """HTML extraction by tag-path ratios.
 
 A page's text falls into blocks; each block has a root-to-leaf tag path (block tags with their
-first class). Parts that are never main text (navigation, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments, hidden parts) are left out by tag, role, class or id.
-Over the other blocks, text length without link text and punctuation are summed per path
-and divided by the path's blocks; both ratios are smoothed along the page, fused into one value per
-path (with a bonus in an article or main element), and paths whose value reaches the threshold are content wherever they lie, as is what stands
-beside the best path in the same container (headings, lists, tables, short paragraphs) or in an article or main element that holds content.
+first class), a node of the page's tree of paths. Scripts, styles and other markup are no blocks; all other text takes part.
+
+Per path, text length without link text and punctuation are summed and divided by the path's blocks. Both ratios are smoothed
+over the neighbours in page order that stand in the same container, and fused into one value per path together with the path's share of the text.
+The same sums over the tree give each container's value; a container of high ratios lifts the paths right below it (headings, list items, table cells),
+a mere wrapper of another container does not, nor does the body. Paths whose value reaches a share of the best path's value are content, wherever they lie.
+
+Lists of tags, roles, class and id words only lower a path's weight: navigation, headers, footers, sidebars, notices, adverts, forms, reader
+comments and hidden parts by much, link text and, on a page with an article or main element, what lies outside of it by less.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one space; nothing else is dropped or cut.
@@ -14,7 +17,7 @@ one space; nothing else is dropped or cut.
 Cases: a null or empty page, or one without content, has an empty text. Truncated pages are read to
 their end; a tag that the end cuts off is no text. Unclosed and stray tags follow the usual implied ends. Repeated
 pages give equal texts; an empty table gives an empty result; columns that clash with text and n_chars are
-replaced. Memory is bounded by the largest page.
+replaced. Time and memory grow in proportion to the page, however deep its elements are nested; memory is bounded by the largest page.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
-from statistics import pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +45,11 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body html head td th tr tbody thead tfoot caption option button".split())
 #: What an opening tag ends, up to a boundary.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",), "body": ("head",)}
-SCOPE = frozenset("ul ol dl table body html article section main".split())
-#: Tags, roles and class or id words of parts that are not main text.
-NOT_TEXT = frozenset("head nav header footer aside form script style noscript button select option menu dialog template textarea iframe object svg canvas audio video map search input title datalist".split())
+LIST_SCOPE = frozenset("ul ol dl table select".split())
+P_SCOPE = frozenset("ul ol dl table body html article section main td th button".split())
+#: Tags whose content is no text of the page; tags, roles and class or id words of parts that are seldom main text.
+NOT_TEXT = frozenset("head script style noscript select option template textarea iframe object svg canvas audio video map title datalist".split())
+ASIDE = frozenset("nav header footer aside form button menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr "
@@ -55,20 +61,46 @@ RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|$)", re.I | re.A) for tag in RAW}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 MARK = re.compile(r"[.,;:!?¡¿…。，、；：！？]")
-#: Share of the best path's value that a path needs at least, how many neighbours smooth a block, and the bonus of a path in an article or main element.
-LEAST, RADIUS, MAIN = 0.2, 2, 1.5
+#: Share of the best path's value that a path needs at least, and how many neighbours smooth a block.
+LEAST, RADIUS = 0.3, 2
+#: Weights: of a part that the lists name; of a path outside of the article or main elements of a page that has some; of a path of nothing but link text inside and outside of these elements.
+NAMED, OUTSIDE = 0.001, 0.7
+LINKS_INSIDE, LINKS = 0.6, 0.3
+#: How much a container lifts the paths right below it, and each level further down; the share of its text from which one inner container makes it a wrapper.
+LIFT, DEEPER, WRAPS = 0.7, 0.8, 0.8
+KERNEL = [math.exp(-(k**2) / 2) for k in range(RADIUS + 1)]
+
+
+class Paths:
+    """The tree of a page's tag paths: node 0 is the root; a node knows its parent, label and weight."""
+
+    def __init__(self) -> None:
+        self.up, self.tag, self.named, self.main = [-1], [""], [False], [False]
+        self.known: dict[tuple[int, str, bool], int] = {}
+
+    def below(self, up: int, label: str, tag: str, named: bool) -> int:
+        """The node of an element with this label below a node."""
+        key = (up, label, named)
+        node = self.known.get(key)
+        if node is None:
+            node = self.known[key] = len(self.up)
+            self.up.append(up)
+            self.tag.append(tag)
+            self.named.append(named or self.named[up])
+            self.main.append(tag in ("article", "main") or self.main[up])
+        return node
 
 
 class Block:
     __slots__ = ("links", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
+    def __init__(self, path: int, text: str, links: int):
         self.path, self.text, self.links = path, text, links
 
 
 def look(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's label in tag paths, and whether it is a part that is not main text."""
-    bad, label = tag in NOT_TEXT, tag
+    """An element's label in tag paths, and whether the lists name it."""
+    named, label = tag in ASIDE, tag
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
@@ -76,24 +108,25 @@ def look(tag: str, attributes: str) -> tuple[str, bool]:
                 if name == "class" and value:
                     label = f"{tag}.{value.split()[0]}"
                 # the whole page's element may say what its parts are
-                bad |= tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                named |= tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
             elif name == "role":
-                bad |= value in ROLES
+                named |= value in ROLES
             elif name == "hidden":
-                bad |= True
+                named |= True
             elif name == "aria-hidden":
-                bad |= value == "true"
+                named |= value == "true"
             else:
-                bad |= "display:none" in value.replace(" ", "")
-    return label, bad
+                named |= "display:none" in value.replace(" ", "")
+    return label, named
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text outside of parts that are not main text, in page order."""
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """The page's blocks of text outside of scripts, styles and markup, in page order, and the tree of their paths."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, bad, block
-    standing: dict[str, int] = {}  # open elements by tag
-    bad = links = 0
+    paths = Paths()
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, no text, block, path
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    skip = links = here = 0
     parts: list[str] = []
     link_chars = 0
 
@@ -102,31 +135,29 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(label for _, label, _, is_block in stack if is_block), text, min(link_chars, len(text))))
+                out.append(Block(here, text, min(link_chars, len(text))))
             parts.clear()
             link_chars = 0
 
     def pop() -> None:
-        nonlocal bad, links
-        tag, _, was_bad, is_block = stack[-1]
+        nonlocal skip, links, here
+        tag, was_skipped, is_block, _ = stack[-1]
         if is_block:
             flush()
         stack.pop()
-        standing[tag] -= 1
-        bad -= was_bad
+        open_at[tag].pop()
+        skip -= was_skipped
         links -= tag == "a"
+        here = stack[-1][3] if stack else 0
 
     def close(tags: tuple[str, ...], scope: frozenset[str]) -> None:
         """Pop up to and with the outermost of these tags within the scope."""
-        at = None
-        if not any(map(standing.get, tags)):
+        if not any(open_at[t] for t in tags if t in open_at):
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                at = k
-            elif stack[k][0] in scope:
-                break
-        if at is not None:
+        last = max((open_at[t][-1] for t in scope if open_at.get(t)), default=-1)
+        inside = [places[k] for t in tags if (places := open_at.get(t)) and (k := bisect_right(places, last)) < len(places)]
+        if inside:
+            at = min(inside)
             while len(stack) > at:
                 pop()
 
@@ -135,7 +166,7 @@ def blocks(page: str) -> list[Block]:
         sign = page.find("<", at)
         if sign < 0:
             sign = end
-        if sign > at and not bad:
+        if sign > at and not skip:
             parts.append(page[at:sign])
             if links:
                 link_chars += sign - at
@@ -151,7 +182,7 @@ def blocks(page: str) -> list[Block]:
                 stop = page.find(">", sign)  # a declaration, or a tag with an odd quote
                 at = end if stop < 0 else stop + 1
             else:
-                if not bad:
+                if not skip:
                     parts.append("<")
                 at = sign + 1
             continue
@@ -160,7 +191,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "br":
                 parts.append(" ")
-            elif standing.get(tag):
+            elif open_at.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -168,9 +199,9 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in CLOSES_P:
-            close(("p",), SCOPE | {"td", "th", "button"})
+            close(("p",), P_SCOPE)
         if tag in ENDS:
-            close(ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
+            close(ENDS[tag], LIST_SCOPE)
         is_block = tag in BLOCK
         if is_block:
             flush()
@@ -178,7 +209,6 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
             continue
-        label, is_bad = look(tag, m[3])
         if tag in RAW:
             last = RAW_END[tag].search(page, at)
             if last is None:
@@ -186,62 +216,91 @@ def blocks(page: str) -> list[Block]:
             stop = page.find(">", last.end())
             at = end if stop < 0 else stop + 1
             continue
-        stack.append((tag, label, is_bad, is_block))
-        standing[tag] = standing.get(tag, 0) + 1
-        bad += is_bad
+        label, named = look(tag, m[3])
+        if is_block or named:  # a named inline element has a path of its own
+            flush()
+            is_block = True
+            here = paths.below(here, label, tag, named)
+        skipped = tag in NOT_TEXT
+        open_at[tag].append(len(stack))
+        stack.append((tag, skipped, is_block, here))
+        skip += skipped
         links += tag == "a"
     while stack:
         pop()
     flush()
-    return out
+    return out, paths
+
 
+def fused(text: float, marks: float) -> float:
+    """One value of a text and a punctuation ratio."""
+    return math.sqrt(text * (1 + marks))
 
-def content(found: list[Block]) -> list[Block]:
+
+def content(found: list[Block], paths: Paths) -> list[Block]:
     """The blocks on content paths."""
     if not found:
         return []
-    # sums per path
-    sums: dict[tuple[str, ...], list[float]] = {}
+    n, up = len(paths.up), paths.up
+    # sums per path: text, marks, blocks, characters of links; and their weights
+    own = [[0.0, 0.0, 0.0, 0.0] for _ in range(n)]
     for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0])
+        s = own[b.path]
         s[0] += len(b.text) - b.links
         s[1] += len(MARK.findall(b.text))
         s[2] += 1
-    text_ratio = [sums[b.path][0] / sums[b.path][2] for b in found]
-    mark_ratio = [sums[b.path][1] / sums[b.path][2] for b in found]
-    # smoothed along the page, without what lies beyond another container
-    kernel = [math.exp(-(k**2) / 2) for k in range(RADIUS + 1)]
-
-    def smooth(x: list[float]) -> list[float]:
-        out = []
-        for i, b in enumerate(found):
-            total = weight = 0.0
-            for j in range(max(0, i - RADIUS), min(len(x), i + RADIUS + 1)):
-                if found[j].path[:-1] == b.path[:-1]:
-                    total += kernel[abs(i - j)] * x[j]
-                    weight += kernel[abs(i - j)]
-            out.append(total / weight)
-        return out
-
-    value: dict[tuple[str, ...], float] = {}
-    for b, t, p in zip(found, smooth(text_ratio), smooth(mark_ratio), strict=True):
-        value[b.path] = max(value.get(b.path, 0.0), math.log1p(t) * (1 + math.log1p(p)))
-    main_of = {path: next((path[: k + 1] for k, label in enumerate(path) if label.split(".")[0] in ("article", "main")), None) for path in value}
-    value = {path: v * (MAIN if main_of[path] else 1) for path, v in value.items()}
-    # the path with most text on high ratios leads
-    best = max(value, key=lambda path: (value[path] * math.sqrt(max(1, sums[path][0])), path))
-    spread = pstdev(value.values()) if len(value) > 1 else 0.0
-    least = max(LEAST * value[best], min(spread, 0.5 * value[best]))
-    passes = lambda b: value[b.path] >= least and 2 * b.links < len(b.text) + 1
-    # whole article or main elements with a path that passes, and what stands beside the best path
-    mains = {main_of[b.path] for b in found if passes(b)} | {main_of[best]}
-    holder = best[:-1]
-    beside = lambda path: path[: len(holder)] == holder and (len(holder) > 2 or len(path) <= len(holder) + 2)
-    return [b for b in found if passes(b) or (main_of[b.path] in mains if main_of[b.path] else beside(b.path))]
+        s[3] += b.links
+    some_main = any(paths.main[b.path] and not paths.named[b.path] for b in found)
+    weight = []
+    for k, s in enumerate(own):
+        w = (NAMED if paths.named[k] else 1.0) * (OUTSIDE if some_main and not paths.main[k] else 1.0)
+        least = LINKS_INSIDE if paths.main[k] else LINKS
+        weight.append(w * (1 - (1 - least) * s[3] / (s[0] + s[3])) if s[3] else w)
+    # smoothed along the page among blocks of one container
+    ratio = [(own[b.path][0] / own[b.path][2], own[b.path][1] / own[b.path][2]) for b in found]
+    value = [0.0] * n
+    for i, b in enumerate(found):
+        text = marks = total = 0.0
+        for j in range(max(0, i - RADIUS), min(len(found), i + RADIUS + 1)):
+            if beside(b.path, found[j].path, paths):
+                k = KERNEL[abs(i - j)]
+                text, marks, total = text + k * ratio[j][0], marks + k * ratio[j][1], total + k
+        value[b.path] = max(value[b.path], fused(text / total, marks / total))
+    most = max(max(s[0] for s in own), 1.0)
+    value = [v * (max(s[0], 1.0) / most) ** 0.25 for v, s in zip(value, own, strict=True)]
+    # the same sums of each container; a node's number is larger than its parent's
+    inner = [[w * x for x in s] for w, s in zip(weight, own, strict=True)]
+    largest = [0.0] * n  # text of the largest container right below
+    holds = [False] * n
+    for k in range(n - 1, 0, -1):
+        for x in range(3):
+            inner[up[k]][x] += inner[k][x]
+        if holds[k]:
+            largest[up[k]] = max(largest[up[k]], inner[k][0])
+        holds[up[k]] |= inner[k][2] > 0
+    # a container is worth its own ratios, or those of a path right below that makes up so much of its text
+    leads = [0.0] * n
+    for k in range(1, n):
+        leads[up[k]] = max(leads[up[k]], weight[k] * value[k] * own[k][0] / max(inner[up[k]][0], 1.0))
+    lift = [0.0] * n
+    for k in range(1, n):
+        p = up[k]
+        text, marks, blocks_in, _ = inner[p]
+        if p and paths.tag[p] not in ("html", "body") and blocks_in and largest[p] < WRAPS * text:
+            lift[k] = LIFT * max(leads[p], fused(text / blocks_in, marks / blocks_in) * min(1.0, text / most) ** 0.25)
+        lift[k] = max(lift[k], DEEPER * lift[p])
+    value = [w * max(v, x) if s[2] else 0.0 for w, v, x, s in zip(weight, value, lift, own, strict=True)]
+    best = max((v for k, v in enumerate(value) if not paths.named[k]), default=0.0)
+    return [b for b in found if value[b.path] >= LEAST * best and best]
+
+
+def beside(a: int, b: int, paths: Paths) -> bool:
+    """Whether two paths are of one container and weigh alike."""
+    return a == b or (paths.up[a] == paths.up[b] and paths.named[a] == paths.named[b])
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(b.text for b in content(blocks(page))) if page else ""
+    return " ".join(b.text for b in content(*blocks(page))) if page else ""
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

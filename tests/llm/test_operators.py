@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -429,6 +430,41 @@ def test_path_values_decide_inside_and_outside_of_articles():
     assert html_text.main_text(short) == f"One {one * 4}"
 
 
+def articles(rows):
+    """(html, text of the article) of pages."""
+    for r in rows:
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        yield r.html, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"<[^>]*$", "", inner))).split())
+
+
+def unnamed(page: str) -> str:
+    """A page without class, id and role, and with div for article."""
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", page).replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_ratios_find_articles_without_names(spark, monkeypatch):
+    pages = list(articles(spark.read.parquet(f"{SF}/pages.parquet").collect()))
+    share = lambda: sum(html_text.main_text(unnamed(page)) == text for page, text in pages) / len(pages)
+    assert share() >= 0.85
+    monkeypatch.setattr(html_text, "fused", lambda text, marks: 1.0)
+    assert share() < 0.5
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.monotonic()
+    for page in ("<div>x" * 50_000, "<p><button>" + "<div>x" * 50_000, "<ul>" + "<li>x" * 50_000):
+        assert html_text.main_text(page).count("x") == 50_000
+    assert time.monotonic() - began < 30
+
+
+def test_texts_and_lengths_of_the_query(spark):
+    got = {r.page_id: r for r in registry.op10_html_text(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r, (_, text) in zip(rows, articles(rows), strict=True):
+        assert got[r.page_id].asDict() == {"page_id": r.page_id, "url": r.url, "text": text, "n_chars": len(text)}
+
+
 def test_learned_spans_keep_what_base_spans_leave(spark):
     crf = secret_scan.field()
     for text, rest in (("password=abcdef!ghi123", "!ghi123"), ("my token: Abc123$ecretTail9 is set", "$ecretTail9")):
