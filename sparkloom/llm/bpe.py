@@ -40,6 +40,12 @@ CACHE_WORDS, CACHE_CHARS = 125_000, 64
 #: White space as the tokenizer's regular expressions have it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 60
+# Letters, numbers and lower cases that the library knows and Unicode 15.1 does not, as first and last code points.
+NEWER_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7
+113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"""
+NEWER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: First and last code point, and the lower case of the first.
+NEWER_CASES = "1C89-1C89-1C8A A7CB-A7CB-264 A7CC-A7CC-A7CD A7CE-A7CE-A7CF A7D2-A7D2-A7D3 A7D4-A7D4-A7D5 A7DA-A7DA-A7DB A7DC-A7DC-19B 10D50-10D65-10D70 16EA0-16EB8-16EBB"
 #: Stands for a byte that the vocabulary lacks; it merges with nothing and is left out, as in the library.
 UNKNOWN = (1 << 20) - 1
 
@@ -63,6 +69,18 @@ def char_class(category: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
 
 
+def hexes(values: str) -> list[list[int]]:
+    return [[int(x, 16) for x in v.split("-")] for v in values.split()]
+
+
+def ranges(values: str) -> str:
+    """Ranges of code points as part of a character class."""
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in hexes(values))
+
+
+LOWER = {c: to + c - a for a, b, to in hexes(NEWER_CASES) for c in range(a, b + 1)}
+
+
 class WordBpe:
     """An encoder and decoder for one vocabulary file."""
 
@@ -86,7 +104,7 @@ class WordBpe:
         self.complete = UNKNOWN not in self.inner and UNKNOWN not in self.final
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = re.compile(f"[{SPACE}]+")
-        letter, number = char_class("L"), char_class("N")
+        letter, number = char_class("L") + ranges(NEWER_LETTERS), char_class("N") + ranges(NEWER_NUMBERS)
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
         # of runs without white space: the latest ones, and those before them
         self.cache: dict[str, tuple[int, str, str]] = {}
@@ -164,7 +182,7 @@ class WordBpe:
         return out
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        ids = [i for w in self.split(chunk) for i in self.word(w)]
+        ids = [i for w in self.split(chunk if chunk.isascii() else chunk.translate(LOWER)) for i in self.word(w)]
         return (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
 
     def encode_joined(self, text: str | None) -> tuple[int, str, str]:

@@ -378,6 +378,26 @@ def test_encoding_equals_the_library(spark, both):
         assert back == own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_in_the_library(both):
+    coder, library = both
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c}{c}1 e{c}B" for c in points[at : at + 50]) for at in range(0, len(points), 50)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert coder.encode(text) == found.ids
+
+
+def test_digests_of_the_query(spark, both):
+    library = both[1]
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = registry.op9_bpe(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
 def test_scan_and_heap_agree(both):
     own, _ = both
     rnd = random.Random(9)
