@@ -4,9 +4,11 @@ import base64
 import gzip
 import hashlib
 import html
+import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -311,11 +313,77 @@ def test_held_out_accuracy(spark):
 
 
 def test_languages_outside_families_and_single_ones():
-    heads = language_id.fit(np.stack([language_id.shares(t) for t in ("der die das und", "the and of to", "uno dos tres", "zzz qqq xxx")]), ["de", "en", "es", "klingon"])
+    heads = language_id.fit(with_ones("der die das und", "the and of to", "uno dos tres", "zzz qqq xxx"), ["de", "en", "es", "klingon"])
     assert heads.families == sorted({"germanic", "romance", "own:klingon"}) and heads.pairs == [("de", "en")]
     assert heads.predict("the and the of")[0] == "en" and heads.predict("zzz xxx")[0] == "klingon"
     assert heads.predict("123 !!") == ("und", 0.0) and heads.predict(None) == ("und", 0.0)
-    assert language_id.fit(np.stack([language_id.shares("abc")]), ["en"]).predict("abc") == ("en", 1.0)
+    assert language_id.fit(with_ones("abc"), ["en"]).predict("abc") == ("en", 1.0)
+
+
+def with_ones(*texts):
+    return np.stack([np.append(language_id.shares(t), np.float32(1)) for t in texts])
+
+
+def plain_language(heads, text):
+    """Language and score from counts of n-grams by dictionary, one character at a time."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not low.strip():
+        return "und", 0.0
+    mix = lambda x: (x * 2654435761 % 2**32) >> (32 - language_id.BITS)
+    found = Counter()
+    for i, c in enumerate(low):
+        if c != " ":
+            found[mix((ord(c) * 31 + 1) % 2**32)] += 1
+        if i + 1 < len(low) and (c != " " or low[i + 1] != " "):
+            found[mix((ord(c) * 0x9E3B + ord(low[i + 1])) * 3 + 2)] += 1
+        if i + 2 < len(low) and low[i + 1] != " ":
+            found[mix((((ord(c) * 0x9E3B + ord(low[i + 1])) * 0x85EB + ord(low[i + 2])) * 5 + 3) % 2**32)] += 1
+    n = sum(found.values())
+    margin = [sum(k * float(heads.weights[g, j]) for g, k in found.items()) / n + float(heads.bias[j]) for j in range(len(heads.bias))]
+    f = max(range(len(heads.families)), key=lambda j: margin[j])
+    score = 1 / sum(math.exp(2 * (m - margin[f])) for m in margin[: len(heads.families)])
+    own = heads.members[heads.families[f]][0]
+    pairs = {p: m for p, m in zip(heads.pairs, margin[len(heads.families) :], strict=True) if set(p) <= set(own)}
+    lang = max(own, key=lambda x: (sum((m >= 0) == (x == p[0]) for p, m in pairs.items() if x in p), sum(m if x == p[0] else -m for p, m in pairs.items() if x in p), x))
+    least = min((m if lang == p[0] else -m for p, m in pairs.items() if lang in p), default=math.inf)
+    return lang, score / (1 + math.exp(-2 * least))
+
+
+def test_languages_and_scores_of_the_query_against_plain_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    heads = language_id.train(docs.filter(~language_id.held_out()).select("doc_id", "lang", "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = registry.op7_language_id(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        lang, score = plain_language(heads, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_pieces_do_not_change_what_is_counted(monkeypatch):
+    text = "Ein Satz, mit Umlauten: Straße; 12 Äpfel. " * 9
+    whole = language_id.shares(text)
+    for size in (1, 2, 7, 50):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        assert np.allclose(language_id.shares(text), whole)
+
+
+def test_sample_is_bounded_and_takes_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 5)
+    rows = [(7, "en", "one and the same text")] * 3000 + [(7, "en", f"text number {i} of this id") for i in range(200)] + [(i, f"x{i}", f"word{i}") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, "en", None), (1, None, "text")], "doc_id long, lang string, text string")
+    found = Counter(r.lang for r in language_id.sample_of(docs).collect())
+    assert found == Counter({"en": 5} | {f"x{i}": 1 for i in range(300)})
+    monkeypatch.setattr(language_id, "TOTAL", 100)
+    assert language_id.sample_of(docs).count() == 100
+    assert language_id.train(docs.limit(0)).languages == []
+
+
+def test_large_families_are_split():
+    names = [f"en-{i:03}" for i in range(60)]
+    family = language_id.families_of([*names, "fr"])
+    assert max(Counter(family.values()).values()) <= language_id.FAMILY_SIZE and family["fr"] == "romance" and len(set(family.values())) == 4
 
 
 # ---- mixing
