@@ -22,12 +22,15 @@ def is_workspace_tier(source: Column) -> Column:
     return source.startswith("tier3-") | source.startswith("tier25-")
 
 
-def best_resolution(resolutions: DataFrame, manifest_id: int, kinds: tuple[str, ...] = RESOLVED_KINDS, by_kind: bool = True) -> DataFrame:
+def best_resolution(resolutions: DataFrame, manifest_id: int, kinds: tuple[str, ...] = RESOLVED_KINDS, by_kind: bool = True, sites: DataFrame | None = None) -> DataFrame:
     """One resolution per site (and kind): the manifest's own before manifest-free ones, then by source rank, then id.
 
-    The manifest and kind filters are pushed to the scan; the rank-1 filter becomes a group limit below the shuffle."""
+    The manifest and kind filters are pushed to the scan; the rank-1 filter becomes a group limit below the shuffle. Where only some
+    sites (their columns, and kind) are asked for, the others go before anything is ranked: few of them are broadcast, many meet on the keys that ranking needs anyway."""
     seen = resolutions.filter(F.col("kind").isin(*kinds) & ((F.col("manifest_id") == manifest_id) | F.col("manifest_id").isNull()))
     keys = [*SITE, "kind"] if by_kind else SITE
+    if sites is not None:
+        seen = seen.join(sites.select(*keys), keys, "left_semi")
     order = [F.when(F.col("manifest_id") == manifest_id, 0).otherwise(1), source_rank(F.col("source")), "id"]
     ranked = seen.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter("_rank = 1").drop("_rank")

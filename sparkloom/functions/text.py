@@ -35,12 +35,17 @@ def config_hash(files: dict[str, bytes]) -> str:
 
 
 def language_of(parser_id: Column) -> Column:
-    """A parser id without its prefix and what follows an at sign."""
-    return F.regexp_replace(F.regexp_replace(parser_id, "^tree-sitter-", ""), "@.*$", "")
+    """A ``tree-sitter-`` parser's id without that prefix and what follows an at sign; any other id as it is."""
+    return F.when(parser_id.startswith("tree-sitter-"), F.split(F.substring(parser_id, 13, 1 << 30), "@")[0]).otherwise(parser_id)
+
+
+#: A run of Unicode white space.
+SPACES = r"\p{IsWhite_Space}+"
 
 
 def collapse_space(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space as one space, none at the ends."""
+    return F.btrim(F.regexp_replace(text, SPACES, " "))
 
 
 def truncate_bytes(text: str, most: int) -> str:
@@ -55,8 +60,8 @@ def truncate_text(text: pd.Series, most: pd.Series) -> pd.Series:
 
 
 def normalize_qualified(name: Column) -> Column:
-    """One separator for comparisons: dots and backslashes as ``::``, without a leading one."""
-    return F.regexp_replace(F.regexp_replace(name, r"\.|\\", "::"), "^(::)+", "")
+    """For comparisons: white space collapsed, without leading ``::``. Separators stay as they are."""
+    return F.regexp_replace(collapse_space(name), "^(::)+", "")
 
 
 def is_qualified(symbol: str) -> bool:
@@ -87,9 +92,9 @@ def like_prefix(column: Column, prefix: str) -> Column:
 
 
 def module_of(path: Column) -> Column:
-    """The Python module of a file: packages by directory, ``__init__`` stands for its directory."""
-    bare = F.regexp_replace(path, r"\.pyi?$", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "(^|/)__init__$", ""), "^(\\./)+", ""), "/", ".")
+    """The Python module of a ``.py`` file: packages by directory, ``__init__`` stands for its directory. Null of other files and of a root ``__init__.py``."""
+    bare = F.regexp_replace(path, r"(/__init__)?\.py$", "")
+    return F.when(path.endswith(".py") & (path != "__init__.py"), F.translate(bare, "/", "."))
 
 
 def matches_pattern(path: str, patterns: list[str]) -> bool:

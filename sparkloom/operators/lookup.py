@@ -21,6 +21,7 @@ SOURCE_CANDIDATES = 20
 
 def find_symbols(facts, manifest_id: int, query: str | None = None, fuzzy: bool = False, kind: str | None = None, container: str | None = None, path: str | None = None, limit: int | None = None) -> DataFrame:
     """Top-level symbols by name or qualified name (or full-text), kind, container and path prefix."""
+    query, kind, container, path = (x or None for x in (query, kind, container, path))  # an empty one filters nothing
     if query is None and kind is None and container is None and path is None:
         raise ValueError("one of query, kind, container and path is needed")
     s = facts.symbols.filter("scope = 'top_level'")
@@ -41,10 +42,17 @@ def find_symbols(facts, manifest_id: int, query: str | None = None, fuzzy: bool
     return found.orderBy(*order).limit(max(1, limit if limit is not None else 50))
 
 
+def _sites(facts: DataFrame, start: str, end: str, *more: str) -> DataFrame:
+    """The sites of facts, with the names that resolutions give them."""
+    columns = ("blob_sha", "parser_id", start, end)
+    return facts.filter(F.col(start).isNotNull()).select(*[F.col(c).alias(s) for c, s in zip(columns, SITE, strict=True)], *more)
+
+
 def _implementations(facts, manifest_id: int, column: str, value: str, limit: int) -> DataFrame:
-    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False)
+    wanted = facts.implementations.filter(F.col(column) == value)
+    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False, sites=_sites(wanted, "interface_byte_start", "interface_byte_end"))
     best = best.select(*SITE, "semantic_kind", F.col("source").alias("_source"), "target_path")
-    i = facts.implementations.filter(F.col(column) == value).join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
+    i = wanted.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
     site &= (i["interface_byte_start"] == best["site_byte_start"]) & (i["interface_byte_end"] == best["site_byte_end"])
     found = i.join(best, site, "left").select(
@@ -73,12 +81,12 @@ def find_supertypes(facts, manifest_id: int, name: str, limit: int = 100) -> Dat
 
 
 def find_imports(facts, manifest_id: int, file: str | None = None, limit: int | None = None) -> DataFrame:
-    best = best_resolution(facts.resolutions, manifest_id, ("import",), by_kind=False)
-    best = best.select(*SITE, F.col("source").alias("_source"), "target_path")
     entries = entries_of(facts.manifest_entries, manifest_id)
     if file is not None:
         entries = entries.filter(F.col("path") == file)
     i = facts.imports.join(entries, "blob_sha")
+    best = best_resolution(facts.resolutions, manifest_id, ("import",), by_kind=False, sites=_sites(i, "byte_start", "byte_end"))
+    best = best.select(*SITE, F.col("source").alias("_source"), "target_path")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
     site &= (i["byte_start"] == best["site_byte_start"]) & (i["byte_end"] == best["site_byte_end"])
     found = i.join(best, site, "left").select(
@@ -97,7 +105,8 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     """The join chain that all reference queries share; ``refs`` are already filtered where the filter needs no join.
 
     keys: extra columns (of batched lookups) within which duplicates are looked for."""
-    best = best_resolution(facts.resolutions, manifest_id).select(*SITE, F.col("kind").alias("_rkind"), F.col("source").alias("_rsource"), "target_path", "target_symbol_id")
+    best = best_resolution(facts.resolutions, manifest_id, sites=_sites(refs, "byte_start", "byte_end", "kind"))
+    best = best.select(*SITE, F.col("kind").alias("_rkind"), F.col("source").alias("_rsource"), "target_path", "target_symbol_id")
     targets = facts.symbols.select(F.col("id").alias("target_symbol_id"), F.col("qualified").alias("_resolved"))
     enclosing = facts.symbols.select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing"))
     r = refs.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
@@ -154,8 +163,11 @@ def references_by_name(facts, manifest_id: int, name: str, kind: str | None = No
 def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
     """References whose resolved (else syntactic) target is ``symbol``: two disjoint branches, each filtered at its scan."""
     by_text = facts.refs.filter(F.col("target_qualified") == symbol)
-    best = best_resolution(facts.resolutions, manifest_id).select(*SITE, F.col("kind").alias("_k"), "target_symbol_id")
-    aimed = best.join(facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("target_symbol_id")), "target_symbol_id")
+    own = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("target_symbol_id"))
+    # only sites that some resolution aims at the symbol are ranked
+    sites = facts.resolutions.join(own, "target_symbol_id", "left_semi").select(*SITE, "kind")
+    best = best_resolution(facts.resolutions, manifest_id, sites=sites).select(*SITE, F.col("kind").alias("_k"), "target_symbol_id")
+    aimed = best.join(own, "target_symbol_id")
     others = facts.refs.filter(F.col("target_qualified").isNull() | (F.col("target_qualified") != symbol))
     site = (others["blob_sha"] == aimed["site_blob_sha"]) & (others["parser_id"] == aimed["site_parser_id"])
     site &= (others["byte_start"] == aimed["site_byte_start"]) & (others["byte_end"] == aimed["site_byte_end"]) & (others["kind"] == aimed["_k"])
@@ -267,9 +279,14 @@ def get_symbol_source(facts, contents: DataFrame, manifest_id: int, qualified: s
     return rows.join(contents, "blob_sha", "left").withColumn("source_text", body_of(F.col("content"), F.col("byte_start"), F.col("byte_end"))).drop("content")
 
 
+def bytes_of(content: Column, start: Column, end: Column) -> Column:
+    """Bytes start to end of a blob."""
+    return F.substring(content, (start + 1).cast("int"), (end - start).cast("int"))
+
+
 def body_of(content: Column, start: Column, end: Column) -> Column:
     """Bytes start to end of a blob as text; what is no UTF-8 becomes replacement characters."""
-    return F.make_valid_utf8(F.substring(content, (start + 1).cast("int"), (end - start).cast("int")).cast("string"))
+    return F.make_valid_utf8(bytes_of(content, start, end).cast("string"))
 
 
 def dedup_sources(rows: DataFrame) -> DataFrame:

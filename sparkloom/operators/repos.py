@@ -55,11 +55,15 @@ def parsers_of(entries: DataFrame, blobs: DataFrame) -> DataFrame:
     return entries.join(blobs, "blob_sha").select("manifest_id", "parser_id").distinct()
 
 
-def enrichment(entries: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Per manifest and language: semantic if any blob has an analyzer, and whether one of its parsers has."""
-    rows = entries.join(blobs, "blob_sha").withColumn("language", text.language_of(F.col("parser_id")))
-    has = F.max(F.col("analyzer_id").isNotNull())
-    return rows.groupBy("manifest_id", "language").agg(F.when(has, "semantic").otherwise("syntactic").alias("tier"), has.alias("has_analyzer"))
+def enrichment(entries: DataFrame, blobs: DataFrame, analyzers: DataFrame) -> DataFrame:
+    """Per manifest and language: whether an analyzer exists for one of its parsers, and semantic if that of a parser did run on one of its blobs.
+
+    analyzers (parser_id, analyzer_id): those that exist; one that works on whole snapshots has no analyzer_id, as it leaves none in blobs."""
+    per_parser = analyzers.groupBy("parser_id").agg(F.max("analyzer_id").alias("_own"), F.lit(True).alias("_has"))
+    rows = entries.join(blobs, "blob_sha").groupBy("manifest_id", "parser_id", "analyzer_id").agg(F.lit(1).alias("_n")).join(per_parser, "parser_id", "left")
+    ran = F.max(F.coalesce(F.col("analyzer_id") == F.col("_own"), F.lit(False)))
+    by = rows.groupBy("manifest_id", text.language_of(F.col("parser_id")).alias("language"))
+    return by.agg(F.when(ran, "semantic").otherwise("syntactic").alias("tier"), F.max(F.coalesce("_has", F.lit(False))).alias("has_analyzer"))
 
 
 def snapshots(anchors: DataFrame) -> DataFrame:
@@ -95,9 +99,10 @@ def list_repos(aliases: DataFrame, repositories: DataFrame, facts, query: str |
     repos = aliases.join(repositories.drop("registered_at_ns"), "repo_hash")
     if query is not None:
         repos = repos.filter(F.col("alias").contains(query) | F.col("root_path").contains(query))
-    languages = enrichment(facts.manifest_entries, facts.blobs).groupBy("manifest_id").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+    enriched = enrichment(facts.manifest_entries, facts.blobs, facts.analyzers)
+    languages = enriched.groupBy("manifest_id").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
     n_snapshots = facts.anchors.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("anchors"))
-    has_none = enrichment(facts.manifest_entries, facts.blobs).groupBy("manifest_id").agg(F.bool_and("has_analyzer").alias("_all"))
+    has_none = enriched.groupBy("manifest_id").agg(F.bool_and("has_analyzer").alias("_all"))
     states = active_jobs(facts.runs, facts.anchors).join(has_none, "manifest_id", "left")
     states = states.withColumn("status", F.when(F.col("_all"), "current").otherwise("no_analyzer"))
     status = aggregate_status(states, "manifest_id", F.col("active"))

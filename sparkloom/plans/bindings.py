@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.sources.shared import new_path
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
 
 #: Fact tables in order of dependency; {name} stands for a table.
@@ -60,7 +62,7 @@ SELECT CAST(p.p_partkey AS BIGINT) AS id, b.blob_sha, b.parser_id,
 FROM {part} p CROSS JOIN (SELECT count(*) AS n FROM {supplier}) k
 JOIN {blobs} b ON b.blob_sha = 'b' || CAST(p.p_partkey % k.n AS STRING) AND b.parser_id <> 'tree-sitter-typescript'""",
     "refs": """
-SELECT CAST(row_number() OVER (ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate) AS BIGINT) AS id,
+SELECT CAST(l.l_orderkey AS BIGINT) * 1024 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate) AS id,
        'b' || CAST(l.l_suppkey AS STRING) AS blob_sha,
        CASE l.l_suppkey % 4 WHEN 0 THEN 'tree-sitter-python' WHEN 1 THEN 'tree-sitter-rust@2' WHEN 2 THEN 'tree-sitter-java' ELSE 'markdown' END AS parser_id,
        CASE WHEN l.l_linenumber % 4 <> 0 THEN CAST(l.l_partkey - l.l_partkey % k.n + l.l_suppkey AS BIGINT) END AS enclosing_id,
@@ -120,6 +122,11 @@ SELECT CAST(o_custkey % 7 AS BIGINT) AS manifest_id,
        CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey AS BIGINT) END AS job_id,
        o_orderkey % 7 = 5 AS cancel_requested
 FROM {orders}""",
+    "analyzers": """
+SELECT 'tree-sitter-python' AS parser_id, 'analyzer-0' AS analyzer_id
+UNION ALL SELECT 'tree-sitter-rust@2', 'analyzer-9'
+UNION ALL SELECT 'tree-sitter-java', CAST(NULL AS STRING)
+UNION ALL SELECT 'tree-sitter-typescript', 'analyzer-ts'""",
     "aliases": """
 SELECT 'repo-' || CAST(n_nationkey AS STRING) AS alias, 'h' || CAST(n_nationkey % 20 AS STRING) AS repo_hash, CAST(n_nationkey AS BIGINT) AS registered_at_ns FROM {nation}""",
     "repositories": """
@@ -158,6 +165,19 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', BINDINGS[n])})" for n in BINDINGS if n in wanted)
 
 
+#: Large fact tables are written once in a session, in the order in which they are looked up: row groups and files outside of a name are skipped.
+LAYOUT = {
+    "symbols": ("qualified", "id"),
+    "refs": ("target_name", "id"),
+    "implementations": ("interface_qualified", "id"),
+    "imports": ("blob_sha", "id"),
+    "resolutions": ("site_blob_sha", "site_byte_start", "id"),
+    "manifest_entries": ("manifest_id", "path"),
+    "runs": ("manifest_id", "job_id"),
+}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Facts:
     """Fact tables of a data folder, each made when it is first asked for."""
 
@@ -171,7 +191,18 @@ class Facts:
         if name not in self.made:
             if name in BINDINGS:
                 used = dict.fromkeys(re.findall(r"\{(\w+)\}", BINDINGS[name]))
-                self.made[name] = self.spark.sql(BINDINGS[name], **{x: getattr(self, x) for x in used})
+                self.made[name] = self.stored(name, lambda: self.spark.sql(BINDINGS[name], **{x: getattr(self, x) for x in used}))
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
+
+    def stored(self, name: str, make) -> DataFrame:
+        """A fact table, read from where this session wrote it."""
+        if name not in LAYOUT:
+            return make()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = new_path(self.spark, f"facts-{name}")
+            make().repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name]).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])

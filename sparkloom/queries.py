@@ -34,6 +34,9 @@ def query(name: str, sql: str | None, *tables: str) -> Callable:
     return keep
 
 
+LANGUAGE = "CASE WHEN starts_with({0}, 'tree-sitter-') THEN split_part(substr({0}, 13), '@', 1) ELSE {0} END"
+#: Unicode white space.
+SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 RANK = """CASE WHEN starts_with({0}, 'tier3-') THEN 0 WHEN starts_with({0}, 'tier25-') THEN 1 WHEN starts_with({0}, 'tier2-direct-') THEN 2 WHEN {0} = 'rust-syn' THEN 3 ELSE 4 END"""
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BY_KIND = f"""best AS (
@@ -62,7 +65,7 @@ query(
 # ---- symbols
 
 SYMBOLS_SELECT = f"""SELECT name, qualified, s.kind, signature, visibility, doc, path, line_start, line_end, s.blob_sha, s.parser_id,
-  CASE WHEN b.analyzer_id IS NOT NULL THEN regexp_replace(regexp_replace(b.parser_id, '^tree-sitter-', ''), '@.*$', '') END AS language
+  CASE WHEN b.analyzer_id IS NOT NULL THEN {LANGUAGE.format("b.parser_id")} END AS language
 FROM symbols s JOIN e ON e.blob_sha = s.blob_sha JOIN blobs b ON b.blob_sha = s.blob_sha WHERE s.scope = 'top_level' AND {{where}}
 ORDER BY language NULLS LAST, path, line_start, qualified, s.parser_id LIMIT {{limit}}"""
 
@@ -146,14 +149,15 @@ query("q7_references_fallback", HEADER + references_sql("refs", "r.target_name =
 query("q8_references_outgoing", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}'", outgoing=True, limit=1000), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, limit=1000))
 query("q8_references_outgoing_noise", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}'", outgoing=True, noise=True, limit=1000), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, include_noise=True, limit=1000))
 query("q8_references_outgoing_type", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}' AND r.kind = 'type'", outgoing=True), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, kind="type"))
+query("q8_references_outgoing_type_noise", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}' AND r.kind = 'type'", outgoing=True, noise=True), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, kind="type", include_noise=True))
 query("q12_find_callers", HEADER + references_sql("refs", "r.target_name = 'small_ring' AND r.kind = 'call'"), *R)(lambda f: lookup.find_callers(f, HEAD, "small_ring"))
 query("q13_find_callees", HEADER + references_sql("refs", "enc.qualified = 'Brand25::cold_bolt' AND r.kind = 'call'", outgoing=True), *R)(lambda f: lookup.find_callees(f, HEAD, "Brand25::cold_bolt"))
 
 MANY = HEADER + references_sql("refs", "true", limit=1).replace("r.target_name, coalesce", "r.target_name AS wanted, r.target_name, coalesce", 1).replace("PARTITION BY r.blob_sha", "PARTITION BY r.target_name, r.blob_sha")
 MANY = MANY.replace("SELECT target_name, target_qualified", "SELECT wanted, target_name, target_qualified", 1).replace(
-    "\nORDER BY path, line, byte_start, source_rank, id LIMIT 1", " QUALIFY rank <= 5"
+    "\nORDER BY path, line, byte_start, source_rank, id LIMIT 1", " QUALIFY rank <= 100"
 ).replace("target_path FROM (", "target_path, row_number() OVER (PARTITION BY wanted ORDER BY path, line, byte_start, source_rank, id)::INTEGER AS rank FROM (", 1)
-query("q6_references_many", MANY, *R)(lambda f: lookup.find_references_many(f, HEAD, f.symbols.select("name"), limit=5))
+query("q6_references_many", MANY, *R)(lambda f: lookup.find_references_many(f, HEAD, f.symbols.select("name")))
 
 # ---- outlines and sources
 
@@ -172,37 +176,34 @@ SOURCES = """SELECT id AS symbol_id, qualified, kind, signature, path, blob_sha,
   SELECT s.*, path, row_number() OVER (PARTITION BY path, s.blob_sha, byte_start, byte_end ORDER BY parser_id, id) AS k FROM symbols s JOIN e ON e.blob_sha = s.blob_sha WHERE {where}) WHERE k = 1
 ORDER BY path, line_start, byte_start, byte_end, blob_sha LIMIT 21"""
 query("q16_symbol_source_rows", f"WITH {FILES} {SOURCES.format(where=f"qualified = '{STRICT}'")}", *S)(lambda f: lookup.symbol_source_rows(f, HEAD, STRICT))
-CONTENTS = """contents AS (SELECT 'b' || CAST(doc_id % (SELECT count(*) FROM supplier) AS VARCHAR) AS blob_sha, min(text) AS content FROM documents GROUP BY 1)"""
+CONTENTS = """contents AS (SELECT 'b' || CAST(doc_id % (SELECT count(*) FROM supplier) AS VARCHAR) AS blob_sha, string_agg(text, chr(10) ORDER BY doc_id, text) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1)"""
 
 
 def contents(f: Facts) -> DataFrame:
-    """A text per blob, from documents: the smallest of those whose id falls to it."""
+    """A content per blob: the texts of all documents whose id falls to it, one after the other."""
     n = f.supplier.count()
-    return f.documents.groupBy(F.concat(F.lit("b"), (F.col("doc_id") % n).cast("string")).alias("blob_sha")).agg(F.min("text").alias("content"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    return f.documents.filter("text IS NOT NULL").groupBy(F.concat(F.lit("b"), (F.col("doc_id") % n).cast("string")).alias("blob_sha")).agg(F.array_join(texts, "\n").alias("content"))
 
 
 query(
     "q17_symbol_bodies",
-    f"WITH {CONTENTS} SELECT s.id, s.qualified, decode(array_slice(encode(content), byte_start + 1, byte_end)) AS body FROM symbols s JOIN contents c ON c.blob_sha = s.blob_sha WHERE strlen(content) = length(content)",
+    f"WITH {CONTENTS} SELECT s.id, s.qualified, hex(array_slice(encode(content), byte_start + 1, byte_end)) AS body FROM symbols s JOIN contents c ON c.blob_sha = s.blob_sha",
     "symbols",
-)(
-    lambda f: f.symbols.join(contents(f), "blob_sha")
-    .filter(F.octet_length("content") == F.length("content"))
-    .select("id", "qualified", lookup.body_of(F.encode("content", "UTF-8"), F.col("byte_start"), F.col("byte_end")).alias("body"))
-)
-# the same of every blob, ASCII or not; without a twin, whose decode() fails at cut characters
-query("q17_symbol_bodies_every", None)(
+)(lambda f: f.symbols.join(contents(f), "blob_sha").select("id", "qualified", F.hex(lookup.bytes_of(F.encode("content", "UTF-8"), F.col("byte_start"), F.col("byte_end"))).alias("body")))
+# the same as text; without a twin, whose decode() fails at cut characters
+query("q17_symbol_texts", None)(
     lambda f: f.symbols.join(contents(f), "blob_sha").select("id", "qualified", lookup.body_of(F.encode("content", "UTF-8"), F.col("byte_start"), F.col("byte_end")).alias("body"))
 )
 query(
     "q18_dedup_sources",
-    f"""WITH {FILES} SELECT alias, symbol_id, path FROM (
+    """SELECT alias, symbol_id, path FROM (
   SELECT alias, s.id AS symbol_id, e.path, row_number() OVER (PARTITION BY repo_hash, e.path, s.blob_sha, byte_start, byte_end ORDER BY alias, s.parser_id, s.id) AS k
-  FROM symbols s JOIN e ON e.blob_sha = s.blob_sha CROSS JOIN aliases WHERE s.kind = 'test') WHERE k = 1""",
-    "symbols", "manifest_entries", "aliases",
+  FROM aliases JOIN repositories USING (repo_hash) JOIN manifest_entries e USING (manifest_id) JOIN symbols s ON s.blob_sha = e.blob_sha WHERE s.kind = 'test') WHERE k = 1""",
+    "symbols", "manifest_entries", "aliases", "repositories",
 )(
     lambda f: lookup.dedup_sources(
-        f.symbols.filter("kind = 'test'").join(snapshots.entries_of(f.manifest_entries, HEAD), "blob_sha").withColumnRenamed("id", "symbol_id").withColumn("manifest_id", F.lit(HEAD)).crossJoin(F.broadcast(f.aliases.select("alias", "repo_hash")))
+        f.aliases.select("alias", "repo_hash").join(f.repositories.select("repo_hash", "manifest_id"), "repo_hash").join(f.manifest_entries, "manifest_id").join(f.symbols.filter("kind = 'test'").withColumnRenamed("id", "symbol_id"), "blob_sha")
     ).select("alias", "symbol_id", "path")
 )
 query(
@@ -219,32 +220,42 @@ query(
 
 def _multi(f: Facts) -> DataFrame:
     """The same lookup in three snapshots taken for repositories, cut per repository and again in all."""
-    parts = [(f"repo-{m}", lookup.find_symbols(f, m, kind="class", limit=40)) for m in (0, 1, 2)]
-    return lookup.over_repos(parts, 40, ["path", "line_start", "qualified"]).select("alias", "path", "line_start", "qualified", "parser_id", "language")
+    parts = [(f"repo-{m}", lookup.find_symbols(f, m, kind="class")) for m in range(5)]
+    return lookup.over_repos(parts, 50, ["path", "line_start", "qualified"]).select("alias", "path", "line_start", "qualified", "parser_id", "language")
 
 
 query(
     "q25_over_repos",
-    "WITH every AS (" + " UNION ALL ".join(f"SELECT 'repo-{m}' AS alias, * FROM ({SYMBOLS_SELECT.format(where="s.kind = 'class'", limit=40).replace('JOIN e ', f'JOIN (SELECT path, blob_sha FROM manifest_entries WHERE manifest_id = {m}) e ')})" for m in (0, 1, 2))
-    + ") SELECT alias, path, line_start, qualified, parser_id, language FROM every ORDER BY path, line_start, qualified, alias, name, kind, signature NULLS FIRST, visibility NULLS FIRST, doc NULLS FIRST, line_end, blob_sha, parser_id, language NULLS FIRST LIMIT 40",
+    "WITH every AS (" + " UNION ALL ".join(f"SELECT 'repo-{m}' AS alias, * FROM ({SYMBOLS_SELECT.format(where="s.kind = 'class'", limit=50).replace('JOIN e ', f'JOIN (SELECT path, blob_sha FROM manifest_entries WHERE manifest_id = {m}) e ')})" for m in range(5))
+    + ") SELECT alias, path, line_start, qualified, parser_id, language FROM every ORDER BY path, line_start, qualified, alias, name, kind, signature NULLS FIRST, visibility NULLS FIRST, doc NULLS FIRST, line_end, blob_sha, parser_id, language NULLS FIRST LIMIT 50",
     *S,
 )(_multi)
 
 # ---- names
 
-NORMAL = "regexp_replace(regexp_replace({0}, '[.]|\\\\', '::', 'g'), '^(::)+', '')"
+NORMAL = f"regexp_replace(trim(regexp_replace({{0}}, '{SPACE.replace('{', '{{').replace('}', '}}')}', ' ', 'g')), '^(::)+', '')"
+#: Names with odd white space and leading separators.
+ODD_NAME = "CASE id % 4 WHEN 0 THEN '::' || qualified WHEN 1 THEN '  ::::' || replace(qualified, '_', '\u3000\t') WHEN 2 THEN qualified || '\u00a0' ELSE qualified END"
 query(
     "f8_normalized_names",
-    f"SELECT id, qualified, {NORMAL.format('qualified')} AS normal, (contains(qualified, '::') OR contains(qualified, '.') OR contains(qualified, chr(92))) AS is_qualified, regexp_extract(qualified, '([^.:\\\\]*)$', 1) AS bare FROM symbols",
+    f"SELECT id, qualified, {NORMAL.format(ODD_NAME)} AS normal, (contains(qualified, '::') OR contains(qualified, '.') OR contains(qualified, chr(92))) AS is_qualified, regexp_extract(qualified, '([^.:\\\\]*)$', 1) AS bare FROM symbols",
     "symbols",
-)(lambda f: f.symbols.select("id", "qualified", text.normalize_qualified(F.col("qualified")).alias("normal"), text.is_qualified_column(F.col("qualified")).alias("is_qualified"), text.bare_name_column(F.col("qualified")).alias("bare")))
+)(lambda f: f.symbols.select("id", "qualified", text.normalize_qualified(F.expr(ODD_NAME)).alias("normal"), text.is_qualified_column(F.col("qualified")).alias("is_qualified"), text.bare_name_column(F.col("qualified")).alias("bare")))
 query(
     "f1_git_sha",
     "SELECT doc_id, sha1(encode('blob ' || CAST(strlen(text) AS VARCHAR)) || '\\x00'::BLOB || encode(text)) AS sha FROM documents",
 )(lambda f: f.documents.select("doc_id", text.git_sha(F.encode("text", "UTF-8")).alias("sha")))
-query("f3_languages", "SELECT blob_sha, parser_id, regexp_replace(regexp_replace(parser_id, '^tree-sitter-', ''), '@.*$', '') AS language FROM blobs", "blobs")(lambda f: f.blobs.select("blob_sha", "parser_id", text.language_of(F.col("parser_id")).alias("language")))
-query("f5_collapsed_space", "SELECT doc_id, trim(regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g')) AS text FROM documents")(lambda f: f.documents.select("doc_id", text.collapse_space(F.col("text")).alias("text")))
-query("f10_modules", "SELECT path, replace(regexp_replace(regexp_replace(path, '[.]pyi?$', ''), '(^|/)__init__$', ''), '/', '.') AS module FROM manifest_entries", "manifest_entries")(lambda f: f.manifest_entries.select("path", text.module_of(F.col("path")).alias("module")))
+query("f3_languages", f"SELECT blob_sha, parser_id, {LANGUAGE.format('parser_id')} AS language FROM blobs", "blobs")(lambda f: f.blobs.select("blob_sha", "parser_id", text.language_of(F.col("parser_id")).alias("language")))
+#: Texts with white space of all kinds.
+ODD_TEXT = "'\u2003' || replace(replace(text, ' the ', '\u00a0 the\u2028'), '.', '.\u3000\u0085')"
+query("f5_collapsed_space", f"SELECT doc_id, trim(regexp_replace({ODD_TEXT}, '{SPACE}', ' ', 'g')) AS text FROM documents")(lambda f: f.documents.select("doc_id", text.collapse_space(F.expr(ODD_TEXT)).alias("text")))
+#: Paths of packages, stubs and other files.
+ODD_PATH = "CASE length(path) % 4 WHEN 0 THEN replace(path, '.py', '/__init__.py') WHEN 1 THEN path || 'i' WHEN 2 THEN CASE WHEN starts_with(path, 'Shared/') THEN '__init__.py' ELSE 'README.md' END ELSE path END"
+query(
+    "f10_modules",
+    f"SELECT path, file, CASE WHEN NOT suffix(file, '.py') OR file = '__init__.py' THEN NULL WHEN suffix(file, '/__init__.py') THEN replace(left(file, length(file) - 12), '/', '.') ELSE replace(left(file, length(file) - 3), '/', '.') END AS module FROM (SELECT path, {ODD_PATH} AS file FROM manifest_entries)",
+    "manifest_entries",
+)(lambda f: f.manifest_entries.select("path", F.expr(ODD_PATH.replace("starts_with", "startswith")).alias("file")).withColumn("module", text.module_of(F.col("file"))))
 query(
     "f13_timestamps",
     "SELECT job_id, strftime(make_timestamp(started_at_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') AS started FROM runs WHERE job_id IS NOT NULL",
@@ -282,8 +293,11 @@ query("a2_jobs_by_status", "SELECT status, count(*) AS jobs FROM runs WHERE job_
 ACTIVE = "SELECT a.manifest_id, count(r.job_id) AS active FROM (SELECT DISTINCT manifest_id FROM anchors) a LEFT JOIN (SELECT * FROM runs WHERE job_id IS NOT NULL AND status IN ('queued', 'running')) r ON r.manifest_id = a.manifest_id GROUP BY 1"
 query("a3_active_jobs", ACTIVE, "runs", "anchors")(lambda f: repos.active_jobs(f.runs, f.anchors))
 query("a4_parsers", "SELECT DISTINCT manifest_id, parser_id FROM manifest_entries JOIN blobs USING (blob_sha)", "manifest_entries", "blobs")(lambda f: repos.parsers_of(f.manifest_entries, f.blobs))
-ENRICH = "SELECT manifest_id, regexp_replace(regexp_replace(parser_id, '^tree-sitter-', ''), '@.*$', '') AS language, CASE WHEN bool_or(analyzer_id IS NOT NULL) THEN 'semantic' ELSE 'syntactic' END AS tier, bool_or(analyzer_id IS NOT NULL) AS has_analyzer FROM manifest_entries JOIN blobs USING (blob_sha) GROUP BY 1, 2"
-query("a5_enrichment", ENRICH, "manifest_entries", "blobs")(lambda f: repos.enrichment(f.manifest_entries, f.blobs))
+ENRICH = f"""SELECT manifest_id, {LANGUAGE.format("parser_id")} AS language,
+  CASE WHEN bool_or(analyzer_id IS NOT NULL AND EXISTS (SELECT 1 FROM analyzers a WHERE a.parser_id = x.parser_id AND a.analyzer_id = x.analyzer_id)) THEN 'semantic' ELSE 'syntactic' END AS tier,
+  bool_or(parser_id IN (SELECT parser_id FROM analyzers)) AS has_analyzer
+FROM (SELECT manifest_id, parser_id, analyzer_id FROM manifest_entries JOIN blobs USING (blob_sha)) x GROUP BY 1, 2"""
+query("a5_enrichment", ENRICH, "manifest_entries", "blobs", "analyzers")(lambda f: repos.enrichment(f.manifest_entries, f.blobs, f.analyzers))
 query(
     "a6_snapshots",
     f"SELECT manifest_id, string_agg(anchor_name, ',' ORDER BY {ANCHOR_RANK}, CASE WHEN anchor_name = 'HEAD' THEN '' WHEN starts_with(anchor_name, 'branch/') THEN substr(anchor_name, 8) ELSE anchor_name END) AS labels, max(last_updated_ns) AS last_updated_ns FROM anchors GROUP BY 1",
@@ -296,7 +310,7 @@ n AS (SELECT manifest_id, count(*) AS anchors FROM anchors GROUP BY 1), fi AS (S
 sy AS (SELECT manifest_id, count(*) AS symbols FROM manifest_entries JOIN symbols USING (blob_sha) GROUP BY 1)
 SELECT a.alias, r.root_path, coalesce(languages, '') AS languages, coalesce(n.anchors, 0) AS snapshot_count, coalesce(files, 0) AS current_file_count, coalesce(symbols, 0) AS current_symbol_count, coalesce(st.status, 'error') AS status
 FROM aliases a JOIN repositories r USING (repo_hash) LEFT JOIN lang USING (manifest_id) LEFT JOIN n USING (manifest_id) LEFT JOIN fi USING (manifest_id) LEFT JOIN sy USING (manifest_id) LEFT JOIN st USING (manifest_id)"""
-L = ("manifest_entries", "blobs", "symbols", "runs", "anchors", "aliases", "repositories")
+L = ("manifest_entries", "blobs", "analyzers", "symbols", "runs", "anchors", "aliases", "repositories")
 query("q19_list_repos", LIST, *L)(lambda f: repos.list_repos(f.aliases, f.repositories, f))
 query("q19_list_repos_search", f"{LIST} WHERE contains(a.alias, '1') OR contains(r.root_path, '1') ORDER BY alias LIMIT 8", *L)(lambda f: repos.list_repos(f.aliases, f.repositories, f, "1", 8))
 query("q20_repo_status", f"{LIST} WHERE r.repo_hash = 'h7'", *L)(lambda f: repos.repo_status(f.aliases, f.repositories, f, path="/work/r2/nested/nation_7/src/x.py"))
@@ -383,7 +397,7 @@ DIRECT = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in resolution.DIRECT)
 query(
     "i9_direct_resolutions",
     f"""SELECT id, blob_sha AS site_blob_sha, semantic_kind, 'tier2-direct-' || lang AS source FROM implementations
-JOIN (VALUES {DIRECT}) d(lang, shape, semantic_kind) ON lang = regexp_replace(regexp_replace(parser_id, '^tree-sitter-', ''), '@.*$', '') AND shape = syntactic_kind
+JOIN (VALUES {DIRECT}) d(lang, shape, semantic_kind) ON lang = {LANGUAGE.format("parser_id")} AND shape = syntactic_kind
 WHERE interface_byte_start IS NOT NULL AND interface_byte_end IS NOT NULL""",
     "implementations",
 )(lambda f: resolution.direct_resolutions(f.implementations, text.language_of(F.col("parser_id"))).select("id", "site_blob_sha", "semantic_kind", "source"))

@@ -37,8 +37,10 @@ def test_scope_and_outline(spark):
     f = store(spark, symbols=[symbol(1, "outer"), symbol(2, "helper", "nested", 20, 60, 2, qualified="outer.helper")], blobs=[("b", "tree-sitter-javascript", 1, 0, None, None)], manifest_entries=[(1, "src/app.js", "b")])
     assert lookup.find_symbols(f, 1, "helper").count() == 0 and lookup.find_symbols(f, 1, "outer").count() == 1
     assert [r.name for r in lookup.get_outline(f, 1, "src/app.js").collect()] == ["outer", "helper"]
-    with pytest.raises(ValueError):
-        lookup.find_symbols(f, 1)
+    assert lookup.find_symbols(f, 1, "outer", kind="", container="", path="").count() == 1  # empty filters filter nothing
+    for empty in ({}, {"query": "", "kind": ""}):
+        with pytest.raises(ValueError):
+            lookup.find_symbols(f, 1, **empty)
 
 
 def test_physical_declarations(spark):
@@ -108,6 +110,12 @@ def test_limits_and_completeness(spark):
     assert lookup.completeness(True, True, False) == ("partial", "stale") and lookup.completeness(False, False, False) == ("complete", None)
 
 
+@pytest.mark.parametrize("name", ["q6_references_bare", "q7_references_strict", "q8_references_outgoing", "w1_best_resolution", "j7_enclosing_by_bytes"])
+def test_no_growing_table_meets_in_one_task(spark, name):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_filters_reach_the_scan(spark):
     import re
 
@@ -178,6 +186,6 @@ def test_bodies_of_every_blob(spark):
     f = Facts(spark, SF)
     content = {r.blob_sha: r.content.encode() for r in queries.contents(f).collect()}
     want = {(s.id, s.qualified, content[s.blob_sha][s.byte_start : s.byte_end].decode("utf-8", "replace")) for s in f.symbols.collect() if s.blob_sha in content}
-    got = [tuple(r) for r in queries.queries()["q17_symbol_bodies_every"](spark, SF).select("id", "qualified", "body").collect()]
-    assert set(got) == want and len(got) > queries.queries()["q17_symbol_bodies"](spark, SF).count()
+    got = [tuple(r) for r in queries.queries()["q17_symbol_texts"](spark, SF).select("id", "qualified", "body").collect()]
+    assert set(got) == want and len(got) == queries.queries()["q17_symbol_bodies"](spark, SF).count()
     assert any(not body.isascii() for _, _, body in want)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fts, text
-from sparkloom.operators import extract, resolution
+from sparkloom.operators import extract, repos, resolution
 from sparkloom.plans import linearize as lin
 from sparkloom.sources import worktree
 from sparkloom.sources.ignore import IgnoreRules
@@ -181,3 +181,21 @@ def test_server_references(spark):
     found = spark.createDataFrame([(1, "b2", "p", 5, 8, "call", "a.py", 3), (2, "b2", "p", 5, 8, "call", "out.py", 3), (3, "b2", "p", 40, 44, "import", "a.py", 99), (4, "b2", "p", 40, 44, "call", "a.py", 99)], "id long, blob_sha string, parser_id string, byte_start long, byte_end long, kind string, target_path string, target_line long")
     got = {r.id: (r.target_symbol_id, r.enclosing) for r in resolution.server_references(found, symbols, entries, 1).collect()}
     assert got == {1: (2, 3), 3: (None, None)}
+
+
+def test_names_and_modules_of_columns(spark):
+    names = spark.createDataFrame([("  ::a::b \t c ",), ("A.b",), ("::A\\b",), ("a　 b",), (None,)], "n string").select(text.normalize_qualified(F.col("n")).alias("n"))
+    assert [r.n for r in names.collect()] == ["a::b c", "A.b", "A\\b", "a b", None]
+    paths = ["src/flask/app.py", "flask/__init__.py", "top.py", "__init__.py", "a/b.pyi", "README.md", "a__init__.py"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(text.module_of(F.col("p")).alias("m"))
+    assert [r.m for r in got.collect()] == ["src.flask.app", "flask", "top", None, None, None, "a__init__"]
+    ids = spark.createDataFrame([("tree-sitter-rust@1.2.3",), ("custom-parser",), ("x@1",)], "p string").select(text.language_of(F.col("p")).alias("l"))
+    assert [r.l for r in ids.collect()] == ["rust", "custom-parser", "x@1"]
+
+
+def test_enrichment_tells_existing_analyzers_from_those_that_ran(spark):
+    entries = spark.createDataFrame([(1, "a", "s1"), (1, "b", "s2"), (1, "c", "s3"), (1, "d", "s4")], "manifest_id long, path string, blob_sha string")
+    blobs = spark.createDataFrame([("s1", "tree-sitter-a@1", "own"), ("s2", "tree-sitter-b", None), ("s3", "c", "other"), ("s4", "d", "x")], "blob_sha string, parser_id string, analyzer_id string")
+    analyzers = spark.createDataFrame([("tree-sitter-a@1", "own"), ("tree-sitter-b", None), ("c", "own")], "parser_id string, analyzer_id string")
+    got = {r.language: (r.tier, r.has_analyzer) for r in repos.enrichment(entries, blobs, analyzers).collect()}
+    assert got == {"a": ("semantic", True), "b": ("syntactic", True), "c": ("syntactic", True), "d": ("syntactic", False)}
