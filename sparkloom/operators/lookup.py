@@ -6,6 +6,8 @@ tie-break, so results do not depend on partitioning. Sort and limit become one t
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,10 +51,11 @@ def _sites(facts: DataFrame, start: str, end: str, *more: str) -> DataFrame:
 
 
 def _implementations(facts, manifest_id: int, column: str, value: str, limit: int) -> DataFrame:
-    wanted = facts.implementations.filter(F.col(column) == value)
-    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False, sites=_sites(wanted, "interface_byte_start", "interface_byte_end"))
+    i = facts.implementations.filter(F.col(column) == value).join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
+    # resolutions neither add nor drop rows: only what is within the limit is resolved
+    i = i.orderBy("path", "line", "id").limit(max(1, limit))
+    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False, sites=_sites(i, "interface_byte_start", "interface_byte_end"))
     best = best.select(*SITE, "semantic_kind", F.col("source").alias("_source"), "target_path")
-    i = wanted.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
     site &= (i["interface_byte_start"] == best["site_byte_start"]) & (i["interface_byte_end"] == best["site_byte_end"])
     found = i.join(best, site, "left").select(
@@ -67,7 +70,7 @@ def _implementations(facts, manifest_id: int, column: str, value: str, limit: in
         "target_path",
         F.col("id").alias("_id"),
     )
-    return found.orderBy("path", "line", "_id").limit(max(1, limit)).drop("_id")
+    return found.orderBy("path", "line", "_id").drop("_id")
 
 
 def find_subtypes(facts, manifest_id: int, name: str, limit: int = 100) -> DataFrame:
@@ -84,7 +87,7 @@ def find_imports(facts, manifest_id: int, file: str | None = None, limit: int |
     entries = entries_of(facts.manifest_entries, manifest_id)
     if file is not None:
         entries = entries.filter(F.col("path") == file)
-    i = facts.imports.join(entries, "blob_sha")
+    i = facts.imports.join(entries, "blob_sha").orderBy("path", "line", "id").limit(max(1, limit if limit is not None else 200))
     best = best_resolution(facts.resolutions, manifest_id, ("import",), by_kind=False, sites=_sites(i, "byte_start", "byte_end"))
     best = best.select(*SITE, F.col("source").alias("_source"), "target_path")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
@@ -92,45 +95,86 @@ def find_imports(facts, manifest_id: int, file: str | None = None, limit: int |
     found = i.join(best, site, "left").select(
         "path", "to_module", "imported", "alias", "is_reexport", "line", "target_path", F.coalesce("_source", F.lit(FACT)).alias("kind_source"), "blob_sha", "parser_id", F.col("id").alias("_id")
     )
-    return found.orderBy("path", "line", "_id").limit(max(1, limit if limit is not None else 200)).drop("_id")
+    return found.orderBy("path", "line", "_id").drop("_id")
 
 
 def _workspace_lines(refs: DataFrame) -> DataFrame:
     """Lines, kinds and targets that a workspace tier has a reference for."""
     keys = ["blob_sha", "line", "kind", "target_name", "enclosing_id"]
-    return refs.filter(is_workspace_tier(F.col("source"))).select(*[F.col(c).alias(f"_w_{c}") for c in keys], F.lit(True).alias("_shadowed")).distinct()
+    return refs.filter(is_workspace_tier(F.col("source"))).select(*[F.col(c).alias(f"_w_{c}") for c in keys], F.lit(True).alias("_shadowed"))
 
 
-def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, include_noise: bool, keys: list[str]) -> DataFrame:
-    """The join chain that all reference queries share; ``refs`` are already filtered where the filter needs no join.
+#: Rows of a lookup that are kept at hand and broadcast at most, and how many lookups' rows are kept.
+FEW_ROWS, LOOKUPS = 50_000, 16
+_HELD: deque[DataFrame] = deque()
+
+
+def _few(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows, and whether they are few. Few rows are kept in the executors, so that the joins that follow know their size and
+    do not look them up again; those of older lookups are let go."""
+    few = df.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return (_held(df), True) if few else (df, False)
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Few rows, kept in the executors."""
+    df = df.persist()
+    df.count()
+    _HELD.append(df)
+    while len(_HELD) > 3 * LOOKUPS:
+        _HELD.popleft().unpersist()
+    return df
+
+
+def _without_noise(facts, r: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """One reference per range and kind, and none without a range that a workspace tier's reference on its line stands for."""
+    empty = F.when(F.col("target_qualified").isNotNull() & (F.col("target_qualified") != ""), 0).otherwise(1)
+    w = W.partitionBy(*keys, "blob_sha", "byte_start", "byte_end", "kind").orderBy("source_rank", empty, "source", "path", "id")
+    lines = _workspace_lines(facts.refs.join(F.broadcast(r.select("blob_sha").distinct()), "blob_sha", "left_semi") if few else facts.refs)
+    r = r.withColumn("_dup", F.row_number().over(w)).filter("_dup = 1").drop("_dup")
+    same = (r["blob_sha"] == lines["_w_blob_sha"]) & (r["line"] == lines["_w_line"]) & (r["kind"] == lines["_w_kind"])
+    same &= (r["target_name"] == lines["_w_target_name"]) & r["enclosing_id"].eqNullSafe(lines["_w_enclosing_id"])
+    # only rows without a range can be shadowed; the others do not take part in the join's match
+    same &= (r["byte_start"] == 0) & (r["byte_end"] == 0) & (r["source_rank"] > 0)
+    return r.join(lines, same, "left_anti")
+
 
-    keys: extra columns (of batched lookups) within which duplicates are looked for."""
-    best = best_resolution(facts.resolutions, manifest_id, sites=_sites(refs, "byte_start", "byte_end", "kind"))
+def _resolved(facts, manifest_id: int, r: DataFrame, few: bool) -> DataFrame:
+    """References with their best resolution and its symbol's name, and the name of the symbol around them.
+
+    few: there are few of them (their number is known), so that larger tables are filtered before anything is shuffled."""
+    sites = _sites(r, "byte_start", "byte_end", "kind")
+    best = best_resolution(facts.resolutions, manifest_id, sites=F.broadcast(sites) if few else sites)
     best = best.select(*SITE, F.col("kind").alias("_rkind"), F.col("source").alias("_rsource"), "target_path", "target_symbol_id")
-    targets = facts.symbols.select(F.col("id").alias("target_symbol_id"), F.col("qualified").alias("_resolved"))
-    enclosing = facts.symbols.select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing"))
-    r = refs.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
-    if outgoing:
-        r = r.join(enclosing, "enclosing_id") if "enclosing" not in r.columns else r
+    names = facts.symbols.select("id", "qualified")
+    if few:
+        best = _held(best)
+        ids = best.select(F.col("target_symbol_id").alias("id")).unionByName(r.select(F.col("enclosing_id").alias("id")))
+        names = names.join(F.broadcast(ids.filter("id IS NOT NULL").distinct()), "id", "left_semi")
     site = (r["blob_sha"] == best["site_blob_sha"]) & (r["parser_id"] == best["site_parser_id"])
     site &= (r["byte_start"] == best["site_byte_start"]) & (r["byte_end"] == best["site_byte_end"]) & (r["kind"] == best["_rkind"])
-    r = r.join(best, site, "left").join(targets, "target_symbol_id", "left")
-    if not outgoing:
-        r = r.join(enclosing, "enclosing_id", "left")
+    r = r.join(best, site, "left").join(names.select(F.col("id").alias("target_symbol_id"), F.col("qualified").alias("_resolved")), "target_symbol_id", "left")
+    if "enclosing" in r.columns:
+        return r
+    return r.join(names.select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing")), "enclosing_id", "left")
+
+
+def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, include_noise: bool, keys: list[str], within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The join chain that all reference queries share; ``refs`` are already filtered where the filter needs no join.
+
+    keys: extra columns (of batched lookups) within which duplicates are looked for; within: the limit, if it does not depend on what
+    references resolve to, so that only rows within it are resolved."""
+    r = refs.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha").withColumn("source_rank", source_rank(F.col("source")))
     if outgoing and not include_noise:
+        r, few = _few(r.filter(F.col("kind") == "call"))
+        r = _resolved(facts, manifest_id, r, few)
         own = F.col("target_qualified").isNotNull() & (F.col("target_qualified") != "")
-        r = r.filter((F.col("kind") == "call") & (own | F.col("_resolved").isNotNull()))
-    r = r.withColumn("source_rank", source_rank(F.col("source")))
-    if not include_noise:
-        empty = F.when(F.col("target_qualified").isNotNull() & (F.col("target_qualified") != ""), 0).otherwise(1)
-        w = W.partitionBy(*keys, "blob_sha", "byte_start", "byte_end", "kind").orderBy("source_rank", empty, "source", "path", "id")
-        r = r.withColumn("_dup", F.row_number().over(w)).filter("_dup = 1").drop("_dup")
-        lines = _workspace_lines(facts.refs)
-        same = (r["blob_sha"] == lines["_w_blob_sha"]) & (r["line"] == lines["_w_line"]) & (r["kind"] == lines["_w_kind"])
-        same &= (r["target_name"] == lines["_w_target_name"]) & r["enclosing_id"].eqNullSafe(lines["_w_enclosing_id"])
-        # only rows without a range can be shadowed; the others do not take part in the join's match
-        same &= (r["byte_start"] == 0) & (r["byte_end"] == 0) & (r["source_rank"] > 0)
-        r = r.join(lines, same, "left").filter(F.col("_shadowed").isNull())
+        r = _without_noise(facts, r.filter(own | F.col("_resolved").isNotNull()), keys, few)
+    else:
+        r, few = (r, False) if keys else _few(r)
+        r = r if include_noise else _without_noise(facts, r, keys, few)
+        r = r if within is None else within(r)
+        r = _resolved(facts, manifest_id, _held(r) if few else r, few)
     return r.select(
         *keys,
         "target_name",
@@ -149,6 +193,9 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     )
 
 
+ORDER = ["path", "line", "byte_start", "source_rank", "id"]
+
+
 def _ordered(r: DataFrame, limit: int) -> DataFrame:
     return r.orderBy("path", "line", "_start", "_rank", "_id").limit(max(1, limit)).drop("_start", "_rank", "_id")
 
@@ -157,7 +204,8 @@ def references_by_name(facts, manifest_id: int, name: str, kind: str | None = No
     """References whose bare target name is ``name``."""
     refs = facts.refs.filter(F.col("target_name") == name)
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
-    return _ordered(_references(facts, manifest_id, refs, False, include_noise, []), limit)
+    within = (lambda r: r.orderBy(*ORDER).limit(max(1, limit))) if limit <= FEW_ROWS else None
+    return _ordered(_references(facts, manifest_id, refs, False, include_noise, [], within), limit)
 
 
 def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
@@ -165,7 +213,8 @@ def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = N
     by_text = facts.refs.filter(F.col("target_qualified") == symbol)
     own = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("target_symbol_id"))
     # only sites that some resolution aims at the symbol are ranked
-    sites = facts.resolutions.join(own, "target_symbol_id", "left_semi").select(*SITE, "kind")
+    own, few = _few(own)
+    sites = facts.resolutions.join(F.broadcast(own) if few else own, "target_symbol_id", "left_semi").select(*SITE, "kind")
     best = best_resolution(facts.resolutions, manifest_id, sites=sites).select(*SITE, F.col("kind").alias("_k"), "target_symbol_id")
     aimed = best.join(own, "target_symbol_id")
     others = facts.refs.filter(F.col("target_qualified").isNull() | (F.col("target_qualified") != symbol))
@@ -220,9 +269,9 @@ def find_references_many(facts, manifest_id: int, names: DataFrame, kind: str |
     wanted = names.select(F.col("name").alias("wanted")).distinct()
     refs = facts.refs.join(wanted, F.col("target_name") == F.col("wanted"))
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
-    found = _references(facts, manifest_id, refs, False, include_noise, ["wanted"])
-    w = W.partitionBy("wanted").orderBy("path", "line", "_start", "_rank", "_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_start", "_rank", "_id")
+    ranked = lambda r, order: r.withColumn("rank", F.row_number().over(W.partitionBy("wanted").orderBy(*order))).filter(F.col("rank") <= limit)
+    found = _references(facts, manifest_id, refs, False, include_noise, ["wanted"], lambda r: ranked(r, ORDER).drop("rank"))
+    return ranked(found, ["path", "line", "_start", "_rank", "_id"]).drop("_start", "_rank", "_id")
 
 
 def get_outline(facts, manifest_id: int, file: str, parser_id: str | None = None, kind: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sparkloom.sources.shared import new_path
 
@@ -175,7 +176,9 @@ LAYOUT = {
     "manifest_entries": ("manifest_id", "path"),
     "runs": ("manifest_id", "job_id"),
 }
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Bytes of a row group: a lookup reads few of them, a scan deals them to many tasks.
+ROW_GROUP = 4 << 20
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Facts:
@@ -203,6 +206,9 @@ class Facts:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
             path = new_path(self.spark, f"facts-{name}")
-            make().repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name]).write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.parquet(_WRITTEN[key])
+            df = make()
+            # a name that many rows share is split over several files
+            df.hint("rebalance", LAYOUT[name][0]).sortWithinPartitions(*LAYOUT[name]).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+            _WRITTEN[key] = (path, df.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
