@@ -14,8 +14,11 @@ a length that is no number raises ValueError; a body that the end of a file cuts
 far as it goes, with WARC-Truncated: disconnect. Equal records get
 equal identifiers. An empty table gives an empty archive and an empty result.
 
-Archives are written by Spark's own writer to any file system it knows, as gzip files of at
-most ``RECORDS_PER_FILE`` records, and read back with their declared lengths.
+Page ids may repeat with other payloads; rows with a null id never are what others refer to. Other columns of the pages are left out, whatever their names.
+
+Archives are written by Spark's own writer to any file system it knows: a gzip member a record, in packs of ``PACK_BYTES`` or one larger record, at most
+``PACKS_PER_FILE`` to a file. (An empty gzip member follows each pack: the writer needs something between its rows.) They are read back member by member, so that a
+file's inflated records never stand in memory together.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -32,16 +36,17 @@ from datetime import datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import among, cut, discard, slices
 
 # Fixed values of the format: header fields of both versions, in order.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length".split(),
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length".split(),
 }
-RECORDS_PER_FILE = 2000
+PACK_BYTES, PACKS_PER_FILE = 4 << 20, 16
+#: Fixed value: a gzip member of no bytes.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -166,9 +171,16 @@ def to_warc(arc: ArcRecord, key: str, refers_to: tuple[str, str, str] | None = N
 
 
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """Records of a WARC file's bytes, by their declared lengths; gzip is undone."""
+    """Records of a WARC file's bytes, by their declared lengths; gzip is undone, member by member."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        while data:
+            member = zlib.decompressobj(31)
+            plain = member.decompress(data)
+            if not member.eof:
+                raise ValueError("a gzip member is cut off")
+            data = member.unused_data
+            yield from read_warc(plain)
+        return
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
@@ -223,10 +235,40 @@ def convert(arcs: DataFrame) -> DataFrame:
     return arcs.select(*columns).mapInArrow(run, "key string, warc binary")
 
 
+def convert_files(files: DataFrame) -> DataFrame:
+    """(key, warc) of the records in the bytes of ARC files (key, arc), without their version blocks; refers_key, refers_url and refers_date of a file hold for its record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            keys, made = [], []
+            for r in b.to_pylist():
+                to = (r["refers_key"], r["refers_url"] or "", r["refers_date"] or "") if r["refers_key"] is not None else None
+                for k, (_, arc) in enumerate(read_arc(r["arc"])):
+                    if k:
+                        keys.append(r["key"])
+                        made.append(to_warc(arc, r["key"], to).to_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(made, pa.binary())], names=["key", "warc"])
+
+    return files.select("key", "arc", "refers_key", "refers_url", "refers_date").mapInArrow(run, "key string, warc binary")
+
+
 def write_warc(warcs: DataFrame, path: str) -> None:
-    """Write records (warc) as gzip WARC files: raw bytes, each record followed by two line ends."""
-    rows = warcs.select(F.col("warc").cast("string").alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Write records (warc) as WARC files of gzip members, each record followed by two line ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, size = [], 0
+        for b in slices(batches, 16):
+            for record in b.column("warc").to_pylist():
+                pack.append(gzip.compress(record + END.encode(), 6, mtime=0))
+                size += len(pack[-1])
+                if size >= PACK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack)], pa.binary())], names=["value"])
+                    pack, size = [], 0
+        if pack:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack)], pa.binary())], names=["value"])
+
+    rows = warcs.select("warc").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", PACKS_PER_FILE).text(path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -251,10 +293,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "key string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to string, record_id string"
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    except AnalysisException:  # an empty table may leave no file
-        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, schema)
 
 
@@ -269,8 +308,14 @@ def revisits(keyed: DataFrame) -> DataFrame:
     return again.filter(~F.col("id").eqNullSafe(F.col("refers_id")) & F.col("refers_id").isNotNull())
 
 
+def version_block(version: int) -> bytes:
+    """An ARC file's first record."""
+    body = f"{version} 0 pages\n{' '.join(FIELDS[version])}\n"
+    return f"filedesc://pages.arc 0.0.0.0 20200101000000 text/plain {len(body)}\n{body}\n".encode()
+
+
 def pages_to_arc(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
-    """ARC records (key, version, header, body) of pages (id, url, payload): version 1 and 2 by turns of the id."""
+    """ARC records (key, version, header, body) of pages (id, url, payload): version 1 and 2 by turns of the id; arc holds each as the bytes of an ARC file."""
     payload = F.coalesce(F.col("payload"), F.lit(b""))
     head = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END)), "UTF-8")
     body = F.concat(head, payload)
@@ -279,14 +324,21 @@ def pages_to_arc(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
     two = F.coalesce(F.pmod(F.col("id"), F.lit(2)) == 1, F.lit(False))
     common = F.concat(url, F.lit(f" 0.0.0.0 {date} text/html "))
     header = F.when(two, F.concat(common, F.lit("200 - - 0 pages.arc "), length)).otherwise(F.concat(common, length))
-    return pages.withColumns({"key": F.coalesce(F.col("id").cast("string"), F.lit("-")), "version": F.when(two, 2).otherwise(1).cast("int"), "header": header, "body": body})
+    return pages.withColumns({"key": F.coalesce(F.col("id").cast("string"), F.lit("-")), "version": F.when(two, 2).otherwise(1).cast("int"), "header": header, "body": body}).withColumn(
+        "arc", F.concat(F.when(two, F.lit(version_block(2))).otherwise(F.lit(version_block(1))), F.encode("header", "UTF-8"), F.lit(b"\n"), F.col("body"), F.lit(b"\n"))
+    )
 
 
 def archive_pages(pages: DataFrame, path: str) -> DataFrame:
     """Write pages (id, url, payload binary) as WARC archives through ARC records, and read them back."""
-    again = revisits(pages).withColumnRenamed("id", "_id").withColumnRenamed("sha1", "_sha1")
-    # the side with payloads is dealt by id, which is even; it is not sorted
-    joined = pages.join(again.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.sha1("payload") == F.col("_sha1")), "left")
-    arcs = pages_to_arc(joined).withColumns({"refers_key": F.col("refers_id").cast("string"), "refers_date": F.lit("20200101000000")})
-    write_warc(convert(arcs), path)
+    pages = pages.select("id", "url", "payload")
+    again = cut(revisits(pages).withColumnRenamed("id", "_id").withColumnRenamed("sha1", "_sha1"), "revisits")
+    # payloads that occur once are not shuffled; the others are dealt by id and digest
+    maybe = among(F.col("id"), again.select(F.col("_id").alias("id")))
+    none = [F.lit(None).cast(again.schema[c].dataType).alias(c) for c in ("refers_id", "refers_url")]
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.sha1("payload") == F.col("_sha1"))
+    rest = pages.filter(maybe).join(again.hint("shuffle_hash"), match, "left").select("id", "url", "payload", "refers_id", "refers_url")
+    arcs = pages_to_arc(pages.filter(~maybe).select("id", "url", "payload", *none).unionByName(rest))
+    write_warc(convert_files(arcs.withColumns({"refers_key": F.col("refers_id").cast("string"), "refers_date": F.lit("20200101000000")})), path)
+    discard(again)
     return read_back(pages.sparkSession, path)

@@ -77,6 +77,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op4_jaccard_join, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(p.h, 1 + 5 * (k // 4)::INTEGER, 5))::BIGINT) >> (15 - 5 * (k % 4))::INTEGER) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id,
@@ -137,4 +148,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neig
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_arc_to_warc": OP1_SQL, "op3_hamming_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
