@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.shared import new_path
+
 #: A word: a longest run of characters that are neither space nor U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,24 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: the session's
-    ``spark.checkpoint.dir``. A temporary one is set only where none is (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        kept = sc._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        found = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        sc.setCheckpointDir(found)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Tables that were cut within each open call of ``settled``.
+_OPEN: list[list[DataFrame]] = []
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +33,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -60,6 +46,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, cut; every table that was cut on the way is deleted, also if it fails."""
+    _OPEN.append([])
+    try:
+        df = make()
+        path = new_path(df.sparkSession, name)
+        df.write.parquet(path)
+    finally:
+        discard(*_OPEN.pop())
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
 def barrier(df: DataFrame, *columns: str) -> DataFrame:
     """The same rows; the optimizer does not merge what computes ``columns`` into later expressions, where lambda
     functions would compute it again for each element."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, settled
 
 BITS = 64
 #: From this radius on, segments are searched one after the other, to stop as early as possible.
@@ -73,6 +73,10 @@ def smallest(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
     """(query_id, rank, neighbour_id, distance) of each query (id, code) among all rows (id, code)."""
+    return settled(lambda: _search(rows, queries, k, segments), "neighbours")
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int) -> DataFrame:
     one = lambda df: df.filter("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("code"))
     wanted = cut(one(queries), "queries")
     # a query needs k neighbours besides itself

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, slices, small_batches
+from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, settled, slices, small_batches
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -194,9 +194,10 @@ def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> DataFr
     edges: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
         every = cut(level, "every")
-        sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # sizes are a table of their own, so that the join below can split a bucket that holds many of the rows
+        sizes = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         level = cut(every.join(sizes.hint("merge"), "bucket"), "level")
-        discard(every)
+        discard(every, sizes)
         small = level.filter(F.col("size") <= SMALL)
         found = cut(near_forests(small.hint("merge").join(sketches, "node"), similarity), "forest")
         edges = found if edges is None else edges.unionAll(found)
@@ -315,7 +316,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
     set; n_copies: documents with an equal set, itself included; n_links: other documents
     of at least this similarity, copies included; n_text_links: other text classes among them."""
     with small_batches(docs.sparkSession):
-        return _join(docs, similarity, recall)
+        return settled(lambda: _join(docs, similarity, recall), "joined")
 
 
 def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -361,7 +362,7 @@ def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id. Rows without an id all stay."""
-    joined = cut(join(docs, similarity), "joined")
+    joined = join(docs, similarity)
     gone = cut(joined.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
     out = without(docs, gone)
     repeated = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
