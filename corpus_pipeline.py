@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each a function (spark, docs, sf_dir) -> DataFrame.
 
 ``run`` writes every stage's result as Parquet in the session's shared folder and reads it again
-as the next stage's documents.
+as the next stage's documents. What a stage wrote besides, and its own input, is deleted when it is done.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import stages
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import discard, settled, table
 
 STAGES = [
     ("language ID", stages.language_id),
@@ -26,5 +26,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir), f"stage{k}")
+        if k:
+            discard(before)
     return docs
