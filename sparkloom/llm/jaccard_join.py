@@ -347,6 +347,8 @@ def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     tops_id = ids.groupBy("root").agg(F.min("rep").alias("class_id"))
     ids = ids.join(tops_id, "root").select("node", "class_id", "links", "texts")
     per_class = small.join(ids, "node", "left").select("node", F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    # a table of its own, so that the join below can split a class of many copies
+    per_class = cut(per_class, "per_class")
     own = F.col("doc_id").isNotNull()
     out = nodes.select("doc_id", F.when(own, F.col("node")).alias("node")).join(per_class, "node", "left")
     zero = F.lit(0).cast("long")
