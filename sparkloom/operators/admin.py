@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# States of runs that are over.
 TERMINAL = ("succeeded", "failed", "skipped", "cancelled", "timed_out")
 
 
@@ -99,8 +100,3 @@ def doctor(facts, wanted: DataFrame) -> DataFrame:
         row("repeated failures", "warn", facts.reconcile_state.filter("consecutive_failures >= 3")),
     ]
     return reduce(lambda a, b: a.unionByName(b), checks)
-
-
-def register(facts, captured: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Units of captured files (path, blob_sha, parser_id, ...) that registration has to parse."""
-    return to_parse(captured, blobs)

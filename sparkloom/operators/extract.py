@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FACTS = (
     "blob_sha string, parser_id string, fact string, name string, qualified string, kind string, signature string, visibility string, doc string, scope string, "
@@ -176,9 +177,9 @@ def markdown_facts(data: bytes) -> list[dict]:
 ID = r"(?P<n>[A-Za-z_$][\w$]*)"
 TYPE = r"(?:public|private|protected|internal|abstract|final|sealed|static|open|partial|data|export|default|readonly|pub(?:\([^)]*\))?|unsafe|inner|enum(?= class))\s+"
 BRACES: dict[str, tuple[str, list[tuple[str, str]], str]] = {
-    "rust": ("::", [("function", rf"(?:{TYPE}|async\s+|const\s+|extern\s+\"[^\"]*\"\s+)*fn\s+{ID}"), ("struct", rf"(?:{TYPE})*struct\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("trait", rf"(?:{TYPE})*trait\s+{ID}"), ("module", rf"(?:{TYPE})*mod\s+{ID}"), ("impl", rf"(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>', ]+\s+for\s+)?{ID}"), ("macro", rf"macro_rules!\s*{ID}")], r"use\s+(?P<n>[\w:]+)"),
-    "go": (".", [("method", rf"func\s+\([^)]*?\*?(?P<r>\w+)\)\s*{ID}"), ("function", rf"func\s+{ID}"), ("struct", rf"type\s+{ID}\s+struct"), ("interface", rf"type\s+{ID}\s+interface")], r'(?:import\s+)?(?:\w+\s+)?"(?P<n>[\w./-]+)"\s*$'),
-    "java": (".", [("class", rf"(?:{TYPE})*class\s+{ID}"), ("interface", rf"(?:{TYPE})*@?interface\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("struct", rf"(?:{TYPE})*record\s+{ID}"), ("method", rf"(?:{TYPE}|synchronized\s+|native\s+|<[^>]*>\s*)*[\w<>\[\],.?]+\s+{ID}\s*\([^;{{]*\)\s*(?:throws [\w, .]+)?(?=[{{;])")], r"import\s+(?:static\s+)?(?P<n>[\w.*]+)"),
+    "rust": ("::", [("function", rf"(?:{TYPE}|async\s+|const\s+|extern\s+\"[^\"]*\"\s+)*fn\s+{ID}"), ("struct", rf"(?:{TYPE})*struct\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("trait", rf"(?:{TYPE})*trait\s+{ID}"), ("module", rf"(?:{TYPE})*mod\s+{ID}"), ("impl", rf"(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>', ]+\s+for\s+)?{ID}"), ("macro", rf"macro_rules!\s*{ID}"), ("type_alias", rf"(?:{TYPE})*type\s+{ID}"), ("constant", rf"(?:{TYPE})*const\s+{ID}\s*:"), ("variable", rf"(?:{TYPE})*static\s+(?:mut\s+)?{ID}\s*:")], r"use\s+(?P<n>[\w:]+)"),
+    "go": (".", [("method", rf"func\s+\([^)]*?\*?(?P<r>\w+)\)\s*{ID}"), ("function", rf"func\s+{ID}"), ("struct", rf"type\s+{ID}\s+struct"), ("interface", rf"type\s+{ID}\s+interface"), ("type_alias", rf"type\s+{ID}\s+=?\s*(?!struct\b|interface\b)[\w\[*]"), ("constant", rf"const\s+{ID}\b"), ("variable", rf"var\s+{ID}\b")], r'(?:import\s+)?(?:\w+\s+)?"(?P<n>[\w./-]+)"\s*$'),
+    "java": (".", [("class", rf"(?:{TYPE})*class\s+{ID}"), ("interface", rf"(?:{TYPE})*@?interface\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("struct", rf"(?:{TYPE})*record\s+{ID}"), ("method", rf"(?:{TYPE}|synchronized\s+|native\s+|<[^>]*>\s*)*[\w<>\[\],.?]+\s+{ID}\s*\([^;{{]*\)\s*(?:throws [\w, .]+)?(?=[{{;])"), ("field", rf"(?:{TYPE}|volatile\s+|transient\s+)*(?!(?:return|throw|new|package|import|else|case|goto|assert)\b)[A-Za-z_][\w<>\[\],.?]*\s+{ID}\s*(?==|;)")], r"import\s+(?:static\s+)?(?P<n>[\w.*]+)"),
     "csharp": (".", [("module", rf"namespace\s+(?P<n>[\w.]+)"), ("class", rf"(?:{TYPE})*class\s+{ID}"), ("interface", rf"(?:{TYPE})*interface\s+{ID}"), ("struct", rf"(?:{TYPE})*(?:struct|record)\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("method", rf"(?:{TYPE}|async\s+|override\s+|virtual\s+)*(?!(?:return|new|throw|await|else)\b)[\w<>\[\],.?]+\s+{ID}\s*\([^;{{]*\)\s*(?=[{{;=]|$)")], r"using\s+(?:static\s+)?(?P<n>[\w.]+)\s*;"),
     "kotlin": (".", [("class", rf"(?:{TYPE})*(?:class|object)\s+{ID}"), ("interface", rf"(?:{TYPE})*interface\s+{ID}"), ("function", rf"(?:{TYPE}|override\s+|suspend\s+|inline\s+|operator\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?{ID}"), ("type_alias", rf"typealias\s+{ID}")], r"import\s+(?P<n>[\w.*]+)"),
     "swift": (".", [("class", rf"(?:{TYPE})*class\s+{ID}"), ("struct", rf"(?:{TYPE})*struct\s+{ID}"), ("enum", rf"(?:{TYPE})*enum\s+{ID}"), ("interface", rf"(?:{TYPE})*protocol\s+{ID}"), ("impl", rf"(?:{TYPE})*extension\s+{ID}"), ("function", rf"(?:{TYPE}|override\s+|mutating\s+|@\w+\s+)*func\s+{ID}")], r"import\s+(?P<n>\w+)"),
@@ -190,6 +191,19 @@ BRACES["tsx"] = BRACES["javascript"] = BRACES["typescript"]
 BRACES["cpp"] = ("::", [("module", rf"(?:inline\s+)?namespace\s+{ID}"), ("class", rf"(?:template\s*<[^>]*>\s*)?class\s+(?:final\s+)?{ID}(?=[^;]*$)"), *BRACES["c"][1]], BRACES["c"][2])
 BRACES["objc"] = ("::", [("class", rf"@(?:interface|implementation)\s+{ID}"), ("interface", rf"@protocol\s+{ID}"), ("method", rf"[-+]\s*\([^)]*\)\s*{ID}"), *BRACES["c"][1]], r"#\s*(?:import|include)\s*[<\"](?P<n>[^>\"]+)[>\"]")
 BASES = re.compile(r"\bextends\s+(?P<extends>[\w.\\<>, ]+?)(?=\s+implements\b|\s*\{|$)|\bimplements\s+(?P<implements>[\w.\\<>, ]+?)(?=\s*\{|$)|(?<!:):(?!:)\s*(?P<colon>(?:(?:public|private|protected)\s+)?[A-Za-z_][\w.:<>(), ]*?)(?=\s*(?:\{|where\b|$))")
+ACCESS = re.compile(r"^(?:virtual\s+)?(public|private|protected)\s+")
+
+
+def role_of(language: str, shape: str, kind: str, base: str) -> str:
+    """The grammar's shape of a base: C++ names its access (a class' default is private, a struct's public)."""
+    if shape == "colon" and language == "cpp":
+        access = ACCESS.match(base)
+        return f"{access[1] if access else 'public' if kind == 'struct' else 'private'}_base"
+    if shape == "colon" and language == "objc":
+        return "interface_colon"
+    return "extension" if language == "swift" and kind == "impl" else shape
+
+
 FOR = re.compile(r"impl(?:<[^>]*>)?\s+(?P<t>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<n>\w+)")
 CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*(?:\.|::|->|\\))*)([A-Za-z_$][\w$]*)\s*\(")
 NO_CALL = frozenset("if for while switch catch return function fn func fun sizeof match new super this throw typeof await yield elif and or not in is def class struct".split())
@@ -210,7 +224,16 @@ def brace_facts(data: bytes, language: str) -> list[dict]:
         raw = text[at : at + len(line)]
         span = {"byte_start": at + len(line) - len(line.lstrip()), "byte_end": at + len(line.rstrip()), "line_start": number, "line_end": number}
         in_function = any(k not in HOLDERS for _, k, _, _ in stack)
-        if (m := importing.match(raw)) and not in_function and (name := next((g for g in m.groups() if g), None)):
+        inside = stack[-1][1] if stack else None
+        if language == "php" and inside in ("class", "trait", "enum") and (m := re.match(r"\s*use\s+([\w\\, ]+)[;{]", line)):
+            for used in re.split(r",\s*", m[1].strip()):
+                out.add("implementation", qualified=stack[-1][2], target=used.rpartition("\\")[2], target_qualified=used, kind="mixin", role="trait_use", **span)
+        elif language in ("java", "csharp") and inside in ("class", "enum", "struct") and (m := re.match(rf"\s*(?:{TYPE})*{re.escape(stack[-1][2].rpartition('.')[2])}\s*\([^;{{]*\)[^;{{]*(?={{)", line)):
+            name = stack[-1][2].rpartition(".")[2]
+            seen = re.match(r"\s*(public|private|protected)\b", line)
+            out.add("symbol", name=name, qualified=f"{stack[-1][2]}.{name}", kind="constructor", parent=stack[-1][2], scope="top_level", visibility={"public": "public", "private": "private"}.get(seen[1] if seen else "", "crate"), signature=re.sub(r"\s+", " ", raw.split("{")[0]).strip(), **span)
+            last = ("constructor", f"{stack[-1][2]}.{name}", out.rows[-1])
+        elif (m := importing.match(raw)) and not in_function and (name := next((g for g in m.groups() if g), None)):
             out.add("import", target=name, **span)
         else:
             for kind, e in wanted:
@@ -231,9 +254,10 @@ def brace_facts(data: bytes, language: str) -> list[dict]:
                         for b in BASES.finditer(line, m.end("n")):
                             shape = b.lastgroup
                             for base in re.split(r",\s*(?![^<(]*[>)])", b[shape]):
+                                role = role_of(language, shape, kind, base.strip())
                                 base = re.sub(r"<.*|\(.*|^(?:public|private|protected)\s+", "", base.strip()).strip()
                                 if base:
-                                    out.add("implementation", qualified=qualified, target=re.split(r"[.:\\]", base)[-1], target_qualified=base, kind="implement" if shape == "implements" else "inherit", role=shape, **span)
+                                    out.add("implementation", qualified=qualified, target=re.split(r"[.:\\]", base)[-1], target_qualified=base, kind="implement" if shape == "implements" else "inherit", role=role, **span)
                     break
             holder = stack[-1][2] if stack else None
             start = m.end() if m else 0
@@ -301,25 +325,42 @@ def facts_of(language: str, data: bytes) -> list[dict]:
         return [{"fact": "error", "name": type(error).__name__, "doc": str(error)[:MAX_DOC]}]
 
 
+@F.pandas_udf(T.StringType())
+def dispatched(paths: pd.Series, heads: pd.Series) -> pd.Series:
+    """The language of each file, by its path and first 64 KiB."""
+    return pd.Series([dispatch(p, bytes(h)) for p, h in zip(paths, heads, strict=True)], dtype=object)
+
+
+def parser_id(language: Column) -> Column:
+    return F.when(language == "markdown", language).otherwise(F.concat(F.lit("tree-sitter-"), language))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Facts of files (path, blob_sha, content): each distinct unit of content and parser is parsed once."""
+    units = files.withColumn("language", dispatched("path", F.substring("content", 1, 64 * 1024))).filter("language IS NOT NULL")
+    return extract_units(units.select("blob_sha", parser_id(F.col("language")).alias("parser_id"), "content").dropDuplicates(["blob_sha", "parser_id"]))
 
-    @F.pandas_udf("string")
-    def parser(paths: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([dispatch(p, bytes(h)) for p, h in zip(paths, heads, strict=True)], dtype=object)
 
-    units = files.withColumn("language", parser("path", F.substring("content", 1, 64 * 1024))).filter("language IS NOT NULL")
-    units = units.select("blob_sha", "language", "content").dropDuplicates(["blob_sha", "language"])
+def extract_units(units: DataFrame) -> DataFrame:
+    """Facts of units (blob_sha, parser_id, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for sha, language, content in zip(b["blob_sha"], b["language"], b["content"], strict=True):
-                rows = [{"blob_sha": sha, "parser_id": f"tree-{language}", **r} for r in facts_of(language, bytes(content))]
-                if rows:
-                    out = pd.DataFrame(rows).reindex(columns=COLUMNS)
-                    yield out.astype({c: "Int64" for c in COLUMNS[-4:]}).astype({c: object for c in COLUMNS[:-4]}).where(out.notna(), None)
+            rows = []
+            for sha, parser, content in zip(b["blob_sha"], b["parser_id"], b["content"], strict=True):
+                rows += [{"blob_sha": sha, "parser_id": parser, **r} for r in facts_of(parser.removeprefix("tree-sitter-"), bytes(content))]
+                if len(rows) >= 5000:
+                    yield framed(rows)
+                    rows = []
+            if rows:
+                yield framed(rows)
+
+    return units.select("blob_sha", "parser_id", "content").mapInPandas(run, FACTS)
+
 
-    return units.mapInPandas(run, FACTS)
+def framed(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows).reindex(columns=COLUMNS)
+    return out.astype({c: "Int64" for c in COLUMNS[-4:]}).astype({c: object for c in COLUMNS[:-4]}).where(out.notna(), None)
 
 
 def with_enclosing_ids(refs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a manifest's file list that are broadcast at most.
-BROADCAST_ENTRIES = 200_000
-
-
 class AnchorNotFound(LookupError):
     pass
 

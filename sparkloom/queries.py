@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from sparkloom.functions import fts, text
 from sparkloom.functions.provenance import best_resolution, is_workspace_tier, source_rank
 from sparkloom.operators import admin, enclosing, evaluate, lookup, repos, resolution
-from sparkloom.plans import snapshots
+from sparkloom.plans import register, snapshots
 from sparkloom.plans.bindings import Facts, with_clause
+from sparkloom.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[Facts], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -464,6 +465,59 @@ query("s6_visible_symbols", "SELECT s.id, m.manifest_id FROM symbols s JOIN mani
 )
 query("m5_doctor", None)(lambda f: admin.doctor(f, _wanted(f)))
 
+# ---- registration
+
+MADE = """made AS (SELECT 'docs/d' || CAST(doc_id AS VARCHAR) || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.py' ELSE '.md' END AS path, CAST(doc_id AS BIGINT) AS doc_id,
+  CASE doc_id % 5 WHEN 1 THEN 'def f' || CAST(doc_id AS VARCHAR) || '(): pass' || chr(10) ELSE '# Doc' || chr(10) || coalesce(text, '') END AS content FROM documents WHERE doc_id IS NOT NULL)"""
+UNITS = """unit AS (SELECT path, doc_id, sha1(encode('blob ' || CAST(strlen(content) AS VARCHAR)) || '\\x00'::BLOB || encode(content)) AS blob_sha,
+  CASE doc_id % 5 WHEN 1 THEN 'tree-sitter-python' ELSE 'markdown' END AS parser_id FROM made WHERE doc_id % 5 <> 0)"""
+
+
+def _files(f: Facts) -> DataFrame:
+    """Files made from documents: some that no parser takes, Python functions and Markdown."""
+    n = F.col("doc_id") % 5
+    path = F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.when(n == 0, ".txt").when(n == 1, ".py").otherwise(".md"))
+    content = F.when(n == 1, F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("(): pass\n"))).otherwise(F.concat(F.lit("# Doc\n"), F.coalesce("text", F.lit(""))))
+    data = F.encode(content, "UTF-8")
+    return f.documents.filter("doc_id IS NOT NULL").select(path.alias("path"), text.git_sha(data).alias("blob_sha"), data.alias("content"))
+
+
+def _registered(f: Facts) -> register.Store:
+    store = register.Store(f.spark, new_path(f.spark, "store"))
+    register.register_files(store, _files(f), "tentative/1", 1)
+    return store
+
+
+def _first(f: Facts) -> DataFrame:
+    store = _registered(f)
+    entries = snapshots.entries_of(store.manifest_entries, snapshots.resolve(store.anchors, "tentative/1"))
+    return entries.join(store.blobs, "blob_sha").select("path", "blob_sha", "parser_id", "generation")
+
+
+def _second(f: Facts) -> DataFrame:
+    """Registered again with changed Markdown files: their units alone are parsed."""
+    store = _registered(f)
+    changed = F.col("path").rlike("[37][.]md$")
+    data = F.when(changed, F.concat("content", F.lit(b"\nmore"))).otherwise(F.col("content"))
+    register.register_files(store, _files(f).withColumn("content", data).withColumn("blob_sha", text.git_sha(F.col("content"))), "tentative/1", 2)
+    entries = snapshots.entries_of(store.manifest_entries, snapshots.resolve(store.anchors, "tentative/1"))
+    return entries.join(store.blobs, "blob_sha").select("path", "blob_sha", "parser_id", "generation")
+
+
+query("m1_register", f"WITH {MADE}, {UNITS} SELECT path, u.blob_sha, p.parser_id, 1 AS generation FROM unit u JOIN (SELECT DISTINCT blob_sha, parser_id FROM unit) p USING (blob_sha)")(_first)
+query(
+    "m1_reuse",
+    f"""WITH {MADE}, old AS (SELECT DISTINCT blob_sha, parser_id FROM ({UNITS.replace('unit AS (', '', 1)}),
+changed AS (SELECT path, doc_id, CASE WHEN regexp_matches(path, '[37][.]md$') THEN content || chr(10) || 'more' ELSE content END AS content FROM made),
+{UNITS.replace('FROM made', 'FROM changed')}
+SELECT path, u.blob_sha, p.parser_id, CASE WHEN old.blob_sha IS NULL THEN 2 ELSE 1 END AS generation
+FROM unit u JOIN (SELECT DISTINCT blob_sha, parser_id FROM unit) p USING (blob_sha) LEFT JOIN old ON old.blob_sha = p.blob_sha AND old.parser_id = p.parser_id""",
+)(_second)
+query(
+    "m1_registered_symbols",
+    f"WITH {MADE} SELECT path, 'f' || CAST(doc_id AS VARCHAR) AS qualified, 'function' AS kind, 'def f' || CAST(doc_id AS VARCHAR) || '()' AS signature FROM made WHERE doc_id % 5 = 1 ORDER BY path LIMIT 100000",
+)(lambda f: lookup.find_symbols(store := _registered(f), snapshots.resolve(store.anchors, "tentative/1"), kind="function", limit=100000).select("path", "qualified", "kind", "signature"))
+
 # ---- freshness
 
 STALE = """CASE WHEN NOT regexp_matches(anchor_name, '^tentative/[0-9]+$') THEN 'missing_tentative_snapshot' WHEN attempt IS NOT NULL THEN 'reconcile_in_progress' WHEN desired <> applied THEN 'reconcile_generation_gap'

@@ -13,6 +13,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sparkloom.functions.text import git_sha
 from sparkloom.sources.ignore import PRUNED, IgnoreRules
@@ -92,6 +93,22 @@ def read_blobs(root: str, shas: list[str]) -> Iterator[tuple[str, bytes | None]]
         yield sha, done.stdout if not done.returncode else None
 
 
+def read_batch(root: str, shas: list[str]) -> Iterator[bytes]:
+    """Contents of blobs by id, in order, from one git process. A blob that is not there rejects the scan."""
+    if any(len(sha) != 40 or set(sha) - set("0123456789abcdef") for sha in shas):
+        raise ValueError("not a blob id")
+    done = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{sha}\n" for sha in shas).encode(), capture_output=True, check=False)
+    out, at = done.stdout, 0
+    for sha in shas:
+        stop = out.find(b"\n", at)
+        head = out[at:stop].split()
+        if len(head) != 3 or head[1] != b"blob":
+            raise ScanRejected(f"{sha}: {out[at:stop].decode(errors='replace')}")
+        at = stop + 1 + int(head[2])
+        yield out[stop + 1 : at]
+        at += 1
+
+
 def verified(contents: DataFrame) -> DataFrame:
     """Contents (blob_sha, content) whose bytes hash to their id."""
     return contents.filter(F.col("blob_sha") == git_sha(F.col("content")))
@@ -109,6 +126,8 @@ def published(spark: SparkSession, root: str, snapshot: str) -> dict[str, DataFr
     """The tables of a published snapshot; LookupError for one that is not (wholly) there."""
     try:
         names = spark.read.json(f"{root}/published/{snapshot}").first()["tables"]
-    except Exception as error:
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
         raise LookupError(snapshot) from error
     return {n: spark.read.parquet(f"{root}/facts/{snapshot}/{n}") for n in names}

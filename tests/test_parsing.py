@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fts, text
-from sparkloom.operators import extract, repos, resolution
+from sparkloom.operators import extract, lookup, repos, resolution
 from sparkloom.plans import linearize as lin
+from sparkloom.plans import register, snapshots
 from sparkloom.sources import worktree
 from sparkloom.sources.ignore import IgnoreRules
 
@@ -120,6 +121,54 @@ def test_worktree_git_and_reuse(spark, tmp_path):
         list(worktree.read_blobs(str(root), ["HEAD"]))
 
 
+def test_a_worktree_is_registered_and_asked(spark, tmp_path):
+    root, store = tmp_path / "repo", register.Store(spark, f"file://{tmp_path}/store")
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "dog.py").write_bytes(PYTHON)
+    (root / "zoo.php").write_bytes(b"<?php\nclass Zoo extends Place {\n  use Loud;\n}\n")
+    (root / "bad.py").write_bytes(b"def (")
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@example.com", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    (root / "src" / "cat.rs").write_bytes(b"pub const N: u8 = 1;\nstatic S: u8 = 2;\ntype T = u8;\npub struct Cat;\nimpl Loud for Cat {\n}\n")
+    first = register.register_repo(store, str(root), 10)
+    assert (first.committed_manifest, first.tentative_manifest, first.blobs_parsed, first.reused) == (1, 2, 4, False)
+    at = lambda name: snapshots.resolve(store.anchors, name)
+    assert (at("HEAD"), at("branch/main"), at("tentative/1")) == (1, 1, 2)
+    assert [(r.path, r.kind, r.doc) for r in lookup.find_symbols(store, 2, "Dog").collect()] == [("src/dog.py", "class", "A dog.")]
+    assert {r.qualified for r in lookup.get_outline(store, 2, "src/cat.rs").collect()} == {"N", "S", "T", "Cat"}
+    assert lookup.get_outline(store, 1, "src/cat.rs").count() == 0  # the commit does not have it
+    bases = {(r.type_qualified, r.interface_qualified, r.kind, r.kind_source) for name in ("Zoo", "Cat") for r in lookup.find_supertypes(store, 2, name).collect()}
+    assert bases == {("Zoo", "Place", "inherit", "tier2-direct-php"), ("Zoo", "Loud", "mixin", "tier2-direct-php"), ("Cat", "Loud", "implement", "tier2-direct-rust")}
+    callers = lookup.find_callers(store, 2, "bark").collect()
+    assert [(r.enclosing, r.path) for r in callers] == [("Dog.speak", "src/dog.py")]
+    assert [r.to_module for r in lookup.find_imports(store, 2, "src/dog.py").collect()] == ["animal", "util", "os.path"]
+    assert store.errors.count() == 1
+    again = register.register_repo(store, str(root), 20, generation=7)
+    assert (again.tentative_manifest, again.blobs_parsed, again.reused) == (2, 0, True)
+    assert store.anchors.filter("anchor_name = 'tentative/1'").first().reconcile_generation == 7
+    (root / "src" / "dog.py").write_bytes(PYTHON + b"\ndef more(): pass\n")
+    third = register.register_repo(register.Store(spark, f"file://{tmp_path}/store"), str(root), 30)
+    assert (third.committed_manifest, third.tentative_manifest, third.blobs_parsed) == (1, 3, 1)
+    store = register.Store(spark, f"file://{tmp_path}/store")
+    assert lookup.find_symbols(store, 3, "more").count() == 1 and lookup.find_symbols(store, 1, "more").count() == 0
+    assert register.register_repo(store, str(root), 40, force=True).tentative_manifest == 4
+    register.remove_anchors(store, ["tentative/1"])
+    assert {r.anchor_name for r in store.anchors.collect()} == {"HEAD", "branch/main"} and store.symbols.filter("name = 'more'").count() == 0
+
+
+def test_bases_constructors_and_fields():
+    facts = lambda language, source: extract.facts_of(language, source)
+    cpp = facts("cpp", b"class A : public B, private C {\n};\nstruct D : E {\n};\n")
+    assert [(r["target"], r["role"]) for r in by(cpp, "implementation")] == [("B", "public_base"), ("C", "private_base"), ("E", "public_base")]
+    java = facts("java", b"class A {\n  private int n = 1;\n  A(int n) {\n    run(n);\n  }\n}\n")
+    assert [(r["qualified"], r["kind"]) for r in by(java, "symbol")] == [("A", "class"), ("A.n", "field"), ("A.A", "constructor")]
+    assert [(r["target"], r["enclosing"]) for r in by(java, "ref")] == [("run", "A.A")]
+    go = facts("go", b"const Most = 3\nvar seen int\ntype ID = string\n")
+    assert [(r["qualified"], r["kind"]) for r in by(go, "symbol")] == [("Most", "constant"), ("seen", "variable"), ("ID", "type_alias")]
+
+
 def test_linear_orders():
     diamond = {"D": ["B", "C"], "B": ["A"], "C": ["A"], "A": []}
     assert lin.c3("D", diamond) == ["D", "B", "C", "A"] and lin.breadth_first("D", diamond) == ["D", "B", "C", "A"]
