@@ -258,6 +258,26 @@ def test_field_on_held_out_lines():
     assert hit / (hit + extra) > 0.97 and hit / (hit + missed) > 0.9
 
 
+def test_digests_of_secrets_against_plain_patterns(spark):
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    sf = "/root/testdata/sf0.01"  # the smallest tables hold no secret
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = registry.op5_secret_scan(spark, sf).collect()
+    assert len(got) == len(texts) and any(r.n_assign + r.n_access + r.n_hex for r in got)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        own = [
+            [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[1]) >= 6],
+            [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20],
+            [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24],
+        ]
+        base = sorted((span for kind in own for span in kind), key=lambda x: x[1])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_assign, r.n_access, r.n_hex] == [len(x) for x in own]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("crf:")] == line.split(",") * bool(line)
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
