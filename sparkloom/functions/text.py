@@ -124,6 +124,7 @@ def backoff_ns(failures: Column, base_ns: int = 5_000_000_000, most_ns: int = 60
 def reason_code(status: Column, error: Column) -> Column:
     """Why an analyzer's run that did not succeed did not: from its status, and of skipped ones from the error text."""
     e = F.translate(error, UPPER, LOWER)
+    # fixed values: words of error texts and the reasons they stand for
     skipped = (
         F.when(error.isNull(), "unknown")
         .when(e.contains("binary") & (e.contains("missing") | e.contains("not available")), "binary_not_found")

@@ -38,6 +38,7 @@ def query(name: str, sql: str | None, *tables: str) -> Callable:
 LANGUAGE = "CASE WHEN starts_with({0}, 'tree-sitter-') THEN split_part(substr({0}, 13), '@', 1) ELSE {0} END"
 #: Unicode white space.
 SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+# Prefixes of sources, by rank.
 RANK = """CASE WHEN starts_with({0}, 'tier3-') THEN 0 WHEN starts_with({0}, 'tier25-') THEN 1 WHEN starts_with({0}, 'tier2-direct-') THEN 2 WHEN {0} = 'rust-syn' THEN 3 ELSE 4 END"""
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BY_KIND = f"""best AS (
