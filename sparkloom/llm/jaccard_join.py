@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, settled, slices, small_batches
 from sparkloom.llm.components import components
@@ -316,10 +317,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET
     set; n_copies: documents with an equal set, itself included; n_links: other documents
     of at least this similarity, copies included; n_text_links: other text classes among them."""
     with small_batches(docs.sparkSession):
-        return settled(lambda: _join(docs, similarity, recall), "joined")
+        return settled(lambda: _join(docs, similarity, recall).drop("_node", "_root"), "joined")
 
 
 def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """The columns of ``join``, each row's text class (_node) and the one that its class is named after (_root); both null where the set is empty."""
     embedded = cut(embed(docs), "embedded")
     taking = embedded.filter("doc_id IS NOT NULL AND node IS NOT NULL")
     classes = taking.groupBy("node").agg(
@@ -345,8 +347,8 @@ def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     totals = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     ids = small.join(tops, "node").join(totals, "node", "left")
     tops_id = ids.groupBy("root").agg(F.min("rep").alias("class_id"))
-    ids = ids.join(tops_id, "root").select("node", "class_id", "links", "texts")
-    per_class = small.join(ids, "node", "left").select("node", F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    ids = ids.join(tops_id, "root").select("node", "root", "class_id", "links", "texts")
+    per_class = small.join(ids, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     # a table of its own, so that the join below can split a class of many copies
     per_class = cut(per_class, "per_class")
     own = F.col("doc_id").isNotNull()
@@ -359,21 +361,43 @@ def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce(F.col("copies") - 1 + F.col("links"), zero).alias("n_links"),
         F.coalesce("texts", zero).alias("n_text_links"),
+        F.col("node").alias("_node"),
+        F.col("root").alias("_root"),
     )
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. Rows without an id all stay."""
-    joined = join(docs, similarity)
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest id. Rows without an id all stay.
+
+    Of an id that stands in several rows, each row is judged by its own text: of those in one class one stays, those in other
+    classes stay or go by themselves."""
+    with small_batches(docs.sparkSession):
+        joined = settled(lambda: _join(docs, similarity, recall), "joined")
     gone = cut(joined.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    out = without(docs, gone)
     repeated = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     repeated = cut(repeated, "repeated")
+    out = without(docs, gone)
     if repeated.isEmpty():
         return out
-    # an id that stands in several rows: one row of each
-    again = out.filter(among(F.col("doc_id"), repeated.select(F.col("doc_id").alias("id")))).join(repeated, "doc_id", "left_semi")
-    return without(out, repeated).unionAll(again.dropDuplicates(["doc_id"]).select(*docs.columns))
+    # of each class that such an id names, one text class (empty sets are one)
+    node, root = (F.coalesce(c, F.lit(b"")).alias(c) for c in ("_node", "_root"))
+    named = joined.filter("doc_id = class_id").join(repeated, "doc_id", "left_semi").select("doc_id", node, root)
+    named = named.groupBy("doc_id", "_root").agg(F.min("_node").alias("_node")).drop("_root")
+    rows = docs.filter(among(F.col("doc_id"), repeated.select(F.col("doc_id").alias("id")))).select("doc_id", "text", F.struct("*").alias("_row"))
+    rows = with_node(rows.join(repeated, "doc_id", "left_semi"))
+    again = rows.join(named, ["doc_id", "_node"]).dropDuplicates(["doc_id", "_node"])
+    return without(out, repeated).unionAll(again.select("_row.*"))
+
+
+def with_node(rows: DataFrame) -> DataFrame:
+    """``rows`` and the text class of each (_node; empty for an empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            nodes = pa.array([node_of(shingles(t)) or b"" for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, nodes], names=[*b.schema.names, "_node"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_node", T.BinaryType())]))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

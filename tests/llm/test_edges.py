@@ -85,6 +85,22 @@ def test_stages_take_empty_and_odd_documents(spark, docs, none):
     assert sorted(left, key=str) == sorted([0, 1, 2, 3, 4, 6, 7, 8, None, None], key=str)
 
 
+def test_ids_with_several_texts_lose_only_near_copies(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [
+        (1, a), (2, a + " z"),  # 2 is near 1
+        (2, b),  # 2's other text is like no other
+        (3, c), (3, c), (3, c + " z"),  # one class under one id
+        (4, b + " z"), (4, None), (4, ""),  # near (2, b); two empty sets
+        (None, a),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _node string").repartition(3)
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, (r.text or "")[:1]) for r in got.collect()), key=str)
+    assert left == sorted([(1, "a"), (2, "b"), (3, "c"), (4, ""), (None, "a")], key=str)
+
+
 def test_pages_without_url_or_html(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, None), (2, "http://a.net/x", b""), (3, "http://a.net/x y", b"p" * 100_000), (4, None, b"p" * 100_000), (None, "u", b"q")], "id long, url string, payload binary")
     got = {r.key: r for r in arc.archive_pages(pages.withColumn("payload", F.coalesce("payload", F.lit(b""))), str(tmp_path / "a")).collect()}
