@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import arc, bpe, hamming_topk, html_text, jaccard_join, language_id, mixing, quality_rules, secret_scan, url_filter
+from sparkloom.llm import arc, bpe, hamming_topk, html_text, jaccard_join, language_id, mixing, periodic_runs, quality_rules, secret_scan, source_divergence, token_counts, url_filter
 from sparkloom.llm.common import new_path, table
 
 #: (verdict, host, path) of the url filter's production entries.
@@ -63,18 +63,34 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.detect(periodic_runs.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op4_jaccard_join, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe, op10_html_text)}
+    own = (
+        op1_arc_to_warc, op2_quality_rules, op3_hamming_topk, op4_jaccard_join, op5_secret_scan, op6_url_filter, op7_language_id, op8_source_mix, op9_bpe,
+        op10_html_text, op11_periodic_runs, op12_source_divergence, op13_token_counts,
+    )
+    return {f.__name__: f for f in own}
 
 
 OP1_SQL = """
@@ -147,5 +163,36 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neig
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (
+  SELECT lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM t GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS n_lang
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT lang, source, term, cells.n,
+         1 + 1000000000 * (cells.n + 2) // (sum(cells.n) OVER (PARTITION BY lang, source) + 2 * v.v)::HUGEINT AS p,
+         1 + 1000000000 * (n_lang + 2) // (v.n + 2 * v.v) AS q
+  FROM cells JOIN v USING (lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_arc_to_warc": OP1_SQL, "op3_hamming_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_arc_to_warc": OP1_SQL, "op3_hamming_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL, "op12_source_divergence": OP12_SQL}

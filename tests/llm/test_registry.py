@@ -2,7 +2,7 @@
 
 import __spark_entry__
 
-NUMBERS = range(1, 11)
+NUMBERS = range(1, 14)
 
 
 def test_all_are_registered():
@@ -14,4 +14,4 @@ def test_all_are_registered():
 
 def test_sql_twins_stand_for_registered_queries():
     twins = {name for name in __spark_entry__.oracle_sql() if name.startswith("op")}
-    assert {name.split("_")[0] for name in twins} == {"op1", "op3", "op6", "op8"}
+    assert {name.split("_")[0] for name in twins} == {"op1", "op3", "op6", "op8", "op12"}
