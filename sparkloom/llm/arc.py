@@ -10,7 +10,7 @@ digests in base32.
 Cases: a null body is an empty one; payloads may be empty, hold any bytes and be of any length that
 fits a row. A short timestamp is filled up (month and day 01, rest 0); one that is no date
 becomes 1970-01-01T00:00:00Z. A header line with the wrong number of fields or
-a length that is no number raises ValueError; a body that the end of a file cuts off is kept as
+a length that is no number raises ValueError, but files give an error row for it and go on at the next line that can be a header; a body that the end of a file cuts off is kept as
 far as it goes, with WARC-Truncated: disconnect. Equal records get
 equal identifiers. An empty table gives an empty archive and an empty result.
 
@@ -45,6 +45,8 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length".split(),
 }
 PACK_BYTES, PACKS_PER_FILE = 4 << 20, 16
+#: Bytes that are inflated at a time.
+CHUNK = 1 << 14
 #: Fixed value: a gzip member of no bytes.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -59,6 +61,8 @@ class ArcRecord:
     fields: dict[str, str]
     body: bytes
     cut: bool = False
+    first: bool = False  # the version block of its file
+    error: str | None = None  # why a line between records is no header
 
 
 @dataclass
@@ -81,8 +85,14 @@ def parse_header(line: str, version: int) -> dict[str, str]:
     return dict(zip(names, values, strict=True))
 
 
-def read_arc(data: bytes) -> Iterator[tuple[int, ArcRecord]]:
-    """(offset, record) of an ARC file's bytes, the version block first; gzip is undone."""
+#: A line that begins a record: a url, an address, a date and a length.
+BEGINS = re.compile(rb"^[a-zA-Z][a-zA-Z0-9+.-]*:[^\n]* [^ \n]+ \d{4,14} [^\n]* \d+\r?$", re.M)
+
+
+def read_arc(data: bytes, strict: bool = True) -> Iterator[tuple[int, ArcRecord]]:
+    """(offset, record) of an ARC file's bytes, the version block first; gzip is undone.
+
+    A line that is no header raises; unless strict, it gives a record with an error whose body is all up to the next line that can be one."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at, version = 0, 0
@@ -93,18 +103,26 @@ def read_arc(data: bytes) -> Iterator[tuple[int, ArcRecord]]:
         stop = data.find(b"\n", at)
         stop = len(data) if stop < 0 else stop
         line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
-        if not version:
+        first = not version
+        try:
             # the version block's own line has five fields in both versions
-            fields = parse_header(line, 1)
+            fields = parse_header(line, version or 1)
             body = data[stop + 1 : stop + 1 + int(fields["Archive-length"])]
-            number = body.split(None, 1)[:1]
-            version = int(number[0]) if number and number[0].isdigit() else 1
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version}")
-        else:
-            fields = parse_header(line, version)
-            body = data[stop + 1 : stop + 1 + int(fields["Archive-length"])]
-        yield at, ArcRecord(version, fields, body, len(body) < int(fields["Archive-length"]))
+            if first:
+                number = body.split(None, 1)[:1]
+                version = int(number[0]) if number and number[0].isdigit() else 1
+                if version not in FIELDS:
+                    raise ValueError(f"ARC version {version}")
+        except ValueError as e:
+            if strict:
+                raise
+            version = version if version in FIELDS else 1
+            after = BEGINS.search(data, stop + 1)
+            stop = after.start() if after else len(data)
+            yield at, ArcRecord(version, {}, data[at:stop], error=str(e))
+            at = stop
+            continue
+        yield at, ArcRecord(version, fields, body, len(body) < int(fields["Archive-length"]), first)
         at = stop + 1 + len(body)
 
 
@@ -139,8 +157,7 @@ def to_warc(arc: ArcRecord, key: str, refers_to: tuple[str, str, str] | None = N
     equal payload."""
     head, payload = http_payload(arc.body)
     payload_digest, date = digest(payload), iso_date(arc.fields["Archive-date"])
-    first = arc.fields["URL"].startswith("filedesc:")
-    http = bool(head)
+    first, http = arc.first, bool(head)
     headers = {
         "WARC-Type": "warcinfo" if first else "revisit" if refers_to and http else "response" if http else "resource",
         "WARC-Record-ID": record_id(key, payload_digest),
@@ -170,15 +187,25 @@ def to_warc(arc: ArcRecord, key: str, refers_to: tuple[str, str, str] | None = N
     return WarcRecord(headers, block)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The inflated gzip members of a file, in time proportional to its size."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            part = view[at : at + CHUNK]
+            parts.append(member.decompress(part))
+            at += len(part)
+        at -= len(member.unused_data)  # a part of the last chunk at most
+        yield b"".join(parts)
+
+
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
     """Records of a WARC file's bytes, by their declared lengths; gzip is undone, member by member."""
     if data[:2] == b"\x1f\x8b":
-        while data:
-            member = zlib.decompressobj(31)
-            plain = member.decompress(data)
-            if not member.eof:
-                raise ValueError("a gzip member is cut off")
-            data = member.unused_data
+        for plain in members(data):
             yield from read_warc(plain)
         return
     at = 0
@@ -196,26 +223,26 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
 
 
 def arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(key, version, header, body) of every record of the ARC files at a path; header is the
-    record's line. Keys are path#offset."""
+    """(key, version, header, body, first, error) of every record of the ARC files at a path; header is the
+    record's line, first marks version blocks. Keys are path#offset. A line that is no header gives a row with an error and the bytes up to the next record, and no header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             name = b.column("path")[0].as_py()
-            for offset, r in read_arc(b.column("content")[0].as_py()):
-                first = r.fields["URL"].startswith("filedesc:")
-                line = " ".join(r.fields.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{name}#{offset}"]), pa.array([1 if first else r.version], pa.int32()), pa.array([line]), pa.array([r.body], pa.binary())],
-                    names=["key", "version", "header", "body"],
-                )
+            for offset, r in read_arc(b.column("content")[0].as_py(), strict=False):
+                row = [f"{name}#{offset}", 1 if r.first else r.version, " ".join(r.fields.values()) if r.fields else None, r.body, r.first, r.error]
+                types = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["key", "version", "header", "body", "first", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "key string, version int, header string, body binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "key string, version int, header string, body binary, first boolean, error string")
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """(key, warc) of ARC records (key, version, header, body), and optionally refers_key, refers_url and
-    refers_date of the record that keeps an equal payload. warc is the record's bytes."""
+    """(key, warc) of ARC records (key, version, header, body), and optionally first, for version blocks, and refers_key, refers_url and
+    refers_date of the record that keeps an equal payload. warc is the record's bytes. Rows without a header (errors) have none."""
+    if "first" not in arcs.columns:
+        arcs = arcs.withColumn("first", F.lit(False))
     for c in ("refers_key", "refers_url", "refers_date"):
         if c not in arcs.columns:
             arcs = arcs.withColumn(c, F.lit(None).cast("string"))
@@ -226,13 +253,13 @@ def convert(arcs: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 fields = parse_header(r["header"], r["version"])
                 body = (r["body"] or b"")[: int(fields["Archive-length"])]
-                arc = ArcRecord(r["version"], fields, body, len(body) < int(fields["Archive-length"]))
+                arc = ArcRecord(r["version"], fields, body, len(body) < int(fields["Archive-length"]), bool(r["first"]))
                 to = (r["refers_key"], r["refers_url"] or "", r["refers_date"] or "") if r["refers_key"] is not None else None
                 made.append(to_warc(arc, r["key"], to).to_bytes())
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(made, pa.binary())], names=["key", "warc"])
 
-    columns = ["key", "version", "header", "body", "refers_key", "refers_url", "refers_date"]
-    return arcs.select(*columns).mapInArrow(run, "key string, warc binary")
+    columns = ["key", "version", "header", "body", "first", "refers_key", "refers_url", "refers_date"]
+    return arcs.filter("header IS NOT NULL").select(*columns).mapInArrow(run, "key string, warc binary")
 
 
 def convert_files(files: DataFrame) -> DataFrame:

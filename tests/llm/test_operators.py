@@ -69,6 +69,40 @@ def test_arc_headers_that_are_wrong():
         arc.parse_header("short 5", 2)
 
 
+def test_bad_lines_give_error_rows_and_cost_no_other_record(spark, tmp_path):
+    data = arc_file(1)
+    at = data.index(b"dns:a.net")
+    bad = data[:at] + b"not a header\nmore of it\n" + data[at:]
+    (tmp_path / "x.arc").write_bytes(bad)
+    rows = arc.arc_files(spark, str(tmp_path)).collect()
+    assert [r.header is None for r in rows] == [False, False, True, False, False]
+    assert rows[2].error and bytes(rows[2].body) == b"not a header\nmore of it\n" and rows[0].first
+    assert len(arc.convert(arc.arc_files(spark, str(tmp_path))).collect()) == 4
+    (tmp_path / "x.arc").write_bytes(b"nothing here")
+    assert [(r.header, bytes(r.body)) for r in arc.arc_files(spark, str(tmp_path)).collect()] == [(None, b"nothing here")]
+
+
+def test_a_url_does_not_make_a_version_block(spark, tmp_path):
+    schema = "id long, url string, payload binary, key string, header string, first string, record_type string"
+    pages = spark.createDataFrame([(k, u, b"same", "k", "h", "f", "t") for k, u in enumerate(["filedesc://x", "http://a.net/", "filedesc:"])], schema)
+    got = {r.key: r for r in arc.archive_pages(pages, str(tmp_path / "a")).collect()}
+    assert [got[k].record_type for k in "012"] == ["response", "revisit", "revisit"] and got["0"].url == "filedesc://x" and got["2"].refers_to == "0"
+
+
+def test_archives_are_read_in_time_in_proportion_to_their_size():
+    record = arc.to_warc(list(arc.read_arc(arc_file(1)))[1][1], "k")
+    one = gzip.compress(record.to_bytes() + b"x" * 0 + arc.END.encode(), 1) + arc.EMPTY_MEMBER
+
+    def took(n):
+        began = time.process_time()
+        assert sum(1 for _ in arc.read_warc(one * n)) == n
+        return time.process_time() - began
+
+    assert took(40_000) < 12 * max(took(5_000), 0.05)
+    with pytest.raises(ValueError):
+        list(arc.read_warc(one[: len(one) // 2]))
+
+
 def test_pages_query_against_digests(spark):
     got = {r.page_id: r for r in registry.op1_arc_to_warc(spark, SF).collect()}
     first: dict = {}
