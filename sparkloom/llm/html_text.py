@@ -8,8 +8,10 @@ over the neighbours in page order that stand in the same container, and fused in
 The same sums over the tree give each container's value; a container of high ratios lifts the paths right below it (headings, list items, table cells),
 a mere wrapper of another container does not, nor does the body. Paths whose value reaches a share of the best path's value are content, wherever they lie.
 
-Lists of tags, roles, class and id words only lower a path's weight: navigation, headers, footers, sidebars, notices, adverts, forms, reader
-comments and hidden parts by much, link text and, on a page with an article or main element, what lies outside of it by less.
+Lists of tags, roles, class and id words only lower a path's weight against its rivals: navigation, headers, footers, sidebars, notices, adverts, forms, reader
+comments and hidden parts by much, link text and, on a page with an article or main element, what lies outside of it by less. A part that such a word names loses its
+name where no rival outside of all named parts has a value near the best one inside of it (a wrapper of the page may be called "has-sidebar"); the parts inside of it are then
+judged by their own names. Elements for navigation and the like (``HARD``) and hidden parts keep theirs, comments unless there is no other text at all.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one space; nothing else is dropped or cut.
@@ -22,6 +24,7 @@ replaced. Time and memory grow in proportion to the page, however deep its eleme
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -57,6 +60,9 @@ NAMES = frozenset(
     "topbar footer copyright comment comments commentlist disqus respond reply replies social share sharing related recommended recommendations subscribe "
     "newsletter signup login searchbox widget widgets toolbar pagination pager skip disclaimer".split()
 )
+#: Of those: elements that never hold a page's main text, and words of parts that rarely do.
+HARD = frozenset("nav footer menu dialog search button".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|$)", re.I | re.A) for tag in RAW}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
@@ -71,22 +77,26 @@ LIFT, DEEPER, WRAPS = 0.7, 0.8, 0.8
 KERNEL = [math.exp(-(k**2) / 2) for k in range(RADIUS + 1)]
 
 
+#: How strongly the lists name a part: not at all, by a word, as comments, by what it is.
+NOT_NAMED, BY_WORD, AS_COMMENTS, AS_OTHER = range(4)
+
+
 class Paths:
     """The tree of a page's tag paths: node 0 is the root; a node knows its parent, label and weight."""
 
     def __init__(self) -> None:
-        self.up, self.tag, self.named, self.main = [-1], [""], [False], [False]
-        self.known: dict[tuple[int, str, bool], int] = {}
+        self.up, self.tag, self.named, self.main = [-1], [""], [NOT_NAMED], [False]
+        self.known: dict[tuple[int, str, int], int] = {}
 
-    def below(self, up: int, label: str, tag: str, named: bool) -> int:
-        """The node of an element with this label below a node."""
+    def below(self, up: int, label: str, tag: str, named: int) -> int:
+        """The node of an element with this label below a node; ``named`` is how strongly the lists name the element itself."""
         key = (up, label, named)
         node = self.known.get(key)
         if node is None:
             node = self.known[key] = len(self.up)
             self.up.append(up)
             self.tag.append(tag)
-            self.named.append(named or self.named[up])
+            self.named.append(named)
             self.main.append(tag in ("article", "main") or self.main[up])
         return node
 
@@ -98,9 +108,9 @@ class Block:
         self.path, self.text, self.links = path, text, links
 
 
-def look(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's label in tag paths, and whether the lists name it."""
-    named, label = tag in ASIDE, tag
+def look(tag: str, attributes: str) -> tuple[str, int]:
+    """An element's label in tag paths, and how strongly the lists name it."""
+    named, label = AS_OTHER if tag in HARD else BY_WORD if tag in ASIDE else NOT_NAMED, tag
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
@@ -108,15 +118,12 @@ def look(tag: str, attributes: str) -> tuple[str, bool]:
                 if name == "class" and value:
                     label = f"{tag}.{value.split()[0]}"
                 # the whole page's element may say what its parts are
-                named |= tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                words = NAMES.intersection(re.split(r"[^a-z0-9]+", value)) if tag not in ("html", "body", "article", "main") else ()
+                named = max(named, (AS_COMMENTS if words & COMMENTS else BY_WORD) if words else NOT_NAMED)
             elif name == "role":
-                named |= value in ROLES
-            elif name == "hidden":
-                named |= True
-            elif name == "aria-hidden":
-                named |= value == "true"
-            else:
-                named |= "display:none" in value.replace(" ", "")
+                named = max(named, BY_WORD if value in ROLES else NOT_NAMED)
+            elif name == "hidden" or (value == "true" if name == "aria-hidden" else "display:none" in value.replace(" ", "")):
+                named = AS_OTHER
     return label, named
 
 
@@ -217,7 +224,7 @@ def blocks(page: str) -> tuple[list[Block], Paths]:
             at = end if stop < 0 else stop + 1
             continue
         label, named = look(tag, m[3])
-        if is_block or named:  # a named inline element has a path of its own
+        if is_block or named != NOT_NAMED:  # a named inline element has a path of its own
             flush()
             is_block = True
             here = paths.below(here, label, tag, named)
@@ -250,12 +257,6 @@ def content(found: list[Block], paths: Paths) -> list[Block]:
         s[1] += len(MARK.findall(b.text))
         s[2] += 1
         s[3] += b.links
-    some_main = any(paths.main[b.path] and not paths.named[b.path] for b in found)
-    weight = []
-    for k, s in enumerate(own):
-        w = (NAMED if paths.named[k] else 1.0) * (OUTSIDE if some_main and not paths.main[k] else 1.0)
-        least = LINKS_INSIDE if paths.main[k] else LINKS
-        weight.append(w * (1 - (1 - least) * s[3] / (s[0] + s[3])) if s[3] else w)
     # smoothed along the page among blocks of one container
     ratio = [(own[b.path][0] / own[b.path][2], own[b.path][1] / own[b.path][2]) for b in found]
     value = [0.0] * n
@@ -268,6 +269,10 @@ def content(found: list[Block], paths: Paths) -> list[Block]:
         value[b.path] = max(value[b.path], fused(text / total, marks / total))
     most = max(max(s[0] for s in own), 1.0)
     value = [v * (max(s[0], 1.0) / most) ** 0.25 for v, s in zip(value, own, strict=True)]
+    apart = [1 - (1 - (LINKS_INSIDE if main else LINKS)) * s[3] / (s[0] + s[3]) if s[3] else 1.0 for s, main in zip(own, paths.main, strict=True)]
+    named = names(paths, [a * v for a, v in zip(apart, value, strict=True)])
+    some_main = any(paths.main[b.path] and not named[b.path] for b in found)
+    weight = [a * (NAMED if x else 1.0) * (OUTSIDE if some_main and not main else 1.0) for a, x, main in zip(apart, named, paths.main, strict=True)]
     # the same sums of each container; a node's number is larger than its parent's
     inner = [[w * x for x in s] for w, s in zip(weight, own, strict=True)]
     largest = [0.0] * n  # text of the largest container right below
@@ -290,10 +295,41 @@ def content(found: list[Block], paths: Paths) -> list[Block]:
             lift[k] = LIFT * max(leads[p], fused(text / blocks_in, marks / blocks_in) * min(1.0, text / most) ** 0.25)
         lift[k] = max(lift[k], DEEPER * lift[p])
     value = [w * max(v, x) if s[2] else 0.0 for w, v, x, s in zip(weight, value, lift, own, strict=True)]
-    best = max((v for k, v in enumerate(value) if not paths.named[k]), default=0.0)
+    best = max((v for k, v in enumerate(value) if not named[k]), default=0.0)
     return [b for b in found if value[b.path] >= LEAST * best and best]
 
 
+def names(paths: Paths, value: list[float]) -> list[bool]:
+    """Whether each path stays named by itself or a part around it, given the values of all paths."""
+    n, up = len(paths.up), paths.up
+    inside = value[:]
+    for k in range(n - 1, 0, -1):
+        inside[up[k]] = max(inside[up[k]], inside[k])
+    below: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        below[up[k]].append(k)
+    named = [True] * n
+    best, some_main = 0.0, False  # of the paths outside of all named parts
+    rivals: list[tuple[float, int]] = []
+    todo = [0]
+    while True:
+        while todo:
+            k = todo.pop()
+            named[k] = False
+            best, some_main = max(best, value[k]), some_main or (paths.main[k] and value[k] > 0)
+            for c in below[k]:
+                if paths.named[c]:
+                    heapq.heappush(rivals, (-inside[c], c))
+                else:
+                    todo.append(c)
+        while rivals and not todo and not some_main and best < LEAST * -rivals[0][0]:
+            _, c = heapq.heappop(rivals)
+            if paths.named[c] == BY_WORD or (paths.named[c] == AS_COMMENTS and best == 0):
+                todo.append(c)
+        if not todo:
+            return named
+
+
 def beside(a: int, b: int, paths: Paths) -> bool:
     """Whether two paths are of one container and weigh alike."""
     return a == b or (paths.up[a] == paths.up[b] and paths.named[a] == paths.named[b])

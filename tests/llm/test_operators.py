@@ -592,6 +592,59 @@ def test_ratios_find_articles_without_names(spark, monkeypatch):
     assert share() < 0.5
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="page header-fixed"', 'div id="content-widget"', 'div class="comments"', "form", "header", 'div role="dialog"'])
+def test_a_listed_word_around_everything_changes_nothing(spark, wrapper):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html]
+    texts = list(map(html_text.main_text, pages))
+    assert sum(map(bool, texts)) > 10
+    assert [html_text.main_text(re.sub("(?i)(<body[^>]*>)", rf"\1<{wrapper}>", p, count=1)) for p in pages] == texts
+
+
+def test_names_count_against_rivals_only():
+    story = "".join(f"<p>Sentence {k} of the story, with some words; it goes on, and ends here.</p>" for k in range(8))
+    reply = "".join(f"<p>Reply {k}: I do not agree, at all; this is wrong, I think.</p>" for k in range(8))
+    body = f'<nav><a href="x">Home</a></nav>{{}}<div class="comments">{reply}</div><footer><p>All rights, and so on.</p></footer>'
+    for part in ("<div>{}</div>", '<div class="content-widget">{}</div>', '<div class="widget"><div class="sidebar-left">{}</div></div>'):
+        got = html_text.main_text(body.format(part.format(story)))
+        assert got.startswith("Sentence 0") and got.endswith("ends here.") and "Reply" not in got and "rights" not in got
+    # with a rival outside, the named part stays out; elements for navigation never are content
+    assert "Sentence 3" in html_text.main_text(f"<div>{story}</div><div class='sidebar'>{reply}</div>")
+    assert "Reply" not in html_text.main_text(f"<div>{story}</div><div class='sidebar'>{reply}</div>")
+    assert html_text.main_text(f"<nav>{story}</nav><footer>{reply}</footer><div hidden>{reply}</div>") == ""
+
+
+def plain_values(found, paths):
+    """Each path's value by the rules, from its own blocks alone: ratios, smoothed, fused, by the share of the text."""
+    by = defaultdict(list)
+    for b in found:
+        by[b.path].append(b)
+    text = {k: sum(len(b.text) - b.links for b in bs) for k, bs in by.items()}
+    ratio = {k: (text[k] / len(bs), sum(len(html_text.MARK.findall(b.text)) for b in bs) / len(bs)) for k, bs in by.items()}
+    out: dict = defaultdict(float)
+    for i, b in enumerate(found):
+        near = [j for j in range(len(found)) if abs(i - j) <= html_text.RADIUS and (found[j].path == b.path or (paths.up[found[j].path] == paths.up[b.path] and paths.named[found[j].path] == paths.named[b.path]))]
+        w = [math.exp(-((i - j) ** 2) / 2) for j in near]
+        smooth = [sum(x * ratio[found[j].path][d] for x, j in zip(w, near, strict=True)) / sum(w) for d in (0, 1)]
+        out[b.path] = max(out[b.path], math.sqrt(smooth[0] * (1 + smooth[1])))
+    most = max(1.0, *text.values())
+    return {k: v * (max(text[k], 1.0) / most) ** 0.25 for k, v in out.items()}
+
+
+def test_path_values_against_plain_arithmetic(spark, monkeypatch):
+    """Without lifts, names and weights of links the content is what plain values of paths say."""
+    for name, x in (("LIFT", 0.0), ("DEEPER", 0.0), ("LINKS", 1.0), ("LINKS_INSIDE", 1.0), ("OUTSIDE", 1.0), ("NAMED", 1.0)):
+        monkeypatch.setattr(html_text, name, x)
+    monkeypatch.setattr(html_text, "names", lambda paths, value: [False] * len(paths.up))
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        found, paths = html_text.blocks(r.html or "")
+        if found:
+            value = plain_values(found, paths)
+            best = max(value.values())
+            clear = {k for k, v in value.items() if abs(v / best - html_text.LEAST) > 1e-9}
+            kept = {id(b) for b in html_text.content(found, paths)}
+            assert all((id(b) in kept) == (value[b.path] >= html_text.LEAST * best) for b in found if b.path in clear)
+
+
 def test_deep_pages_take_time_in_proportion():
     began = time.monotonic()
     for page in ("<div>x" * 50_000, "<p><td>" + "<div>x" * 50_000, "<ul>" + "<li>x" * 50_000):
