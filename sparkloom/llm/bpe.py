@@ -46,6 +46,11 @@ NEWER_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-1
 NEWER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 #: First and last code point, and the lower case of the first.
 NEWER_CASES = "1C89-1C89-1C8A A7CB-A7CB-264 A7CC-A7CC-A7CD A7CE-A7CE-A7CF A7D2-A7D2-A7D3 A7D4-A7D4-A7D5 A7DA-A7DA-A7DB A7DC-A7DC-19B 10D50-10D65-10D70 16EA0-16EB8-16EBB"
+# Combining marks that the library's normal forms do not know (they stay where they are), and the signs of a composition that it does not know, as first and last code points.
+NOT_MARKS = """7FD-7FD 898-89F 8CA-8D3 9FE-9FE C3C-C3C D3B-D3C EBA-EBA 1715-1715 1ABF-1ACE 1DF6-1DFA A82C-A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85
+11070-11070 1133B-1133B 1145E-1145E 11839-1183A 1193D-1193E 11943-11943 119E0-119E0 11A34-11A34 11A47-11A47 11A99-11A99 11D42-11D42 11D44-11D45 11D97-11D97 11F41-11F42
+16FF0-16FF1 1E08F-1E08F 1E130-1E136 1E2AE-1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+NOT_COMPOSED = "11930-11930 11935-11935 11938-11938"
 #: Stands for a byte that the vocabulary lacks; it merges with nothing and is left out, as in the library.
 UNKNOWN = (1 << 20) - 1
 
@@ -81,6 +86,9 @@ def ranges(values: str) -> str:
 LOWER = {c: to + c - a for a, b, to in hexes(NEWER_CASES) for c in range(a, b + 1)}
 
 
+APART = re.compile(f"([{ranges(NOT_MARKS)}{ranges(NOT_COMPOSED)}])")
+
+
 class WordBpe:
     """An encoder and decoder for one vocabulary file."""
 
@@ -112,7 +120,8 @@ class WordBpe:
 
     def normalize(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            # what the library takes for a letter is passed by no mark and composed with none
+            text = "".join(unicodedata.normalize("NFC", part) for part in APART.split(text))
         # each character is lowered by itself: a final sigma is like any other
         return self.space.sub(" ", text).replace("Σ", "σ").lower()
 

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -508,6 +509,18 @@ def test_every_code_point_is_encoded_as_in_the_library(both):
         assert coder.encode(text) == found.ids
 
 
+def test_sequences_of_marks_are_encoded_as_in_the_library(both):
+    own, library = both
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+    bases = [*"aeo qéǖ각ᄀ", "\U00011935", "\U00011938", "\u0915", "\u1100", "\u1161"]
+    after = ["\u0301", "\u0316", "\u0334", "\u0327", "\u3099", "\U00011930", "\u11a8", "\u1161", "\u093c"]
+    rnd = random.Random(2)
+    texts = [f"{b}{m}{o} {b}{o}{m}" for m in marks for b in ("a", "é") for o in after[:4]]
+    texts += ["".join(rnd.choices(bases, k=1) + rnd.choices(marks + after * 40, k=rnd.randint(1, 6)) + rnd.choices(bases, k=1)) for _ in range(20_000)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [own.encode(t) for t in texts] == [e.ids for e in want]
+
+
 def test_digests_of_the_query(spark, both):
     library = both[1]
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
