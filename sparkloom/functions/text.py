@@ -137,14 +137,20 @@ def reason_code(status: Column, error: Column) -> Column:
     return done.when(status == "timed_out", "timed_out").when(status == "failed", "analyzer_failed").otherwise("unknown")
 
 
-def compatible(own: str, other: str) -> str:
-    """How two protocol versions go together: exact, compatible, newer_minor, older_minor or incompatible."""
-    a, b = (tuple(int(x) for x in re.match(r"(\d+)\.(\d+)\.(\d+)", v).groups()) for v in (own, other))
-    if a == b:
-        return "exact"
-    if a[0] != b[0] or (a[0] == 0 and a[1] != b[1]):
-        return "incompatible"
-    return "compatible" if a[1] == b[1] else "newer_minor" if b[1] > a[1] else "older_minor"
+def version_parts(version: Column) -> Column:
+    """major, minor and patch of a version without its pre-release and build parts; null if they are not three numbers of 64 bits."""
+    core = F.split(F.split(version, r"\+")[0], "-")[0]
+    parts = F.transform(F.split(core, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.regexp_replace(x, "^0+(?=.)", "")))
+    fits = F.forall(parts, lambda x: x.isNotNull() & (F.length(x) <= 20) & ((F.length(x) < 20) | (x <= "18446744073709551615")))
+    return F.when((F.size(parts) == 3) & fits, parts)
+
+
+def version_class(own: Column, other: Column) -> Column:
+    """How two versions go together."""
+    a, b = version_parts(own), version_parts(other)
+    # fixed values: the classes
+    first = F.when(a.isNull() | b.isNull(), "unparseable").when(a[0] != b[0], "major_mismatch")
+    return first.when(a[1] != b[1], "minor_mismatch").when(a[2] != b[2], "patch_mismatch").otherwise("same_patch")
 
 
 def anchor_kind(name: Column) -> Column:

@@ -44,14 +44,23 @@ def dispatch(path: str, head: bytes) -> str | None:
     return None
 
 
+# What tells headers apart.
+OBJC_WORDS = b"interface implementation protocol class end".split()
+CPP_WORDS = b"namespace template typename concept requires constexpr nullptr noexcept operator".split()
+CPP_HEADERS = b"iostream string vector memory optional variant span unordered_map unordered_set map set array tuple type_traits utility".split()
+OBJC = re.compile(rb"^[ \t\r\f\v]*@(" + b"|".join(OBJC_WORDS) + rb")(?!\w)", re.M)
+OBJC_IMPORT = re.compile(rb"^[ \t\r\f\v]*#[ \t\r\f\v]*import[ \t\r\f\v]*[\"<]", re.M)
+CPP = re.compile(rb"::|(?<!\w)(?:(?:" + b"|".join(CPP_WORDS) + rb")(?!\w)|(?<!@)class(?!\w)|(?:public|private|protected)\s*:)")
+CPP_INCLUDE = re.compile(rb"^[ \t\r\f\v]*#[ \t\r\f\v]*include[ \t\r\f\v]*<(?:" + b"|".join(CPP_HEADERS) + rb")>", re.M)
+
+
 def header_language(head: bytes) -> str:
-    """C, C++ or Objective-C of a header, from its first 64 KiB without comments and strings."""
-    text = re.sub(rb'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"', b" ", head[: 64 * 1024], flags=re.S)
-    if re.search(rb"^\s*(@interface|@protocol|@import|#\s*import)\b", text, re.M):
+    """C, C++ or Objective-C of a header, from its first 64 KiB without comments and literals."""
+    raw = head[: 64 * 1024]
+    code = re.sub(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", b" ", raw, flags=re.S)
+    if OBJC.search(code) or OBJC_IMPORT.search(re.sub(rb"//[^\n]*", b"", raw)):
         return "objc"
-    if re.search(rb"\b(class|namespace|template|typename|constexpr|public:|private:|virtual)\b|::", text):
-        return "cpp"
-    return "c"
+    return "cpp" if CPP.search(code) or CPP_INCLUDE.search(code) else "c"
 
 
 @dataclass

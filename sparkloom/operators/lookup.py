@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +25,16 @@ def find_symbols(facts, manifest_id: int, query: str | None = None, fuzzy: bool
     query, kind, container, path = (x or None for x in (query, kind, container, path))  # an empty one filters nothing
     if query is None and kind is None and container is None and path is None:
         raise ValueError("one of query, kind, container and path is needed")
+    found = _symbols(facts, entries_of(facts.manifest_entries, manifest_id), query, fuzzy, kind, container, path)
+    return found.orderBy(*_symbol_order()).limit(max(1, limit if limit is not None else 50))
+
+
+def _symbol_order(*after_line: str) -> list:
+    return [F.col("language").asc_nulls_last(), "path", "line_start", *after_line, "qualified", "parser_id"]
+
+
+def _symbols(facts, entries: DataFrame, query: str | None, fuzzy: bool, kind: str | None, container: str | None, path: str | None, *more: str) -> DataFrame:
+    """Top-level symbols in the files ``entries``, with further columns of these."""
     s = facts.symbols.filter("scope = 'top_level'")
     if query is not None:
         s = s.filter(fts.matches(query, [F.col("name"), F.col("qualified"), F.col("doc")]) if fuzzy else (F.col("name") == query) | (F.col("qualified") == query))
@@ -33,15 +42,26 @@ def find_symbols(facts, manifest_id: int, query: str | None = None, fuzzy: bool
         s = s.filter(F.col("kind") == kind)
     if container is not None:
         s = s.filter(text.like_prefix(F.col("qualified"), f"{container}::") | text.like_prefix(F.col("qualified"), f"{container}."))
-    entries = entries_of(facts.manifest_entries, manifest_id)
     if path is not None:
         entries = entries.filter(text.like_prefix(F.col("path"), path))
     # blobs are joined by content alone: content that two parsers read gives a row for each
     blobs = facts.blobs.select("blob_sha", F.when(F.col("analyzer_id").isNotNull(), text.language_of(F.col("parser_id"))).alias("language"))
     found = s.join(entries, "blob_sha").join(blobs, "blob_sha")
-    found = found.select("name", "qualified", "kind", "signature", "visibility", "doc", "path", "line_start", "line_end", "blob_sha", "parser_id", "language")
-    order = [F.col("language").asc_nulls_last(), "path", "line_start", "qualified", "parser_id"]
-    return found.orderBy(*order).limit(max(1, limit if limit is not None else 50))
+    return found.select(*more, "name", "qualified", "kind", "signature", "visibility", "doc", "path", "line_start", "line_end", "blob_sha", "parser_id", "language")
+
+
+def find_symbols_over(facts, targets: DataFrame, query: str | None = None, fuzzy: bool = False, kind: str | None = None, container: str | None = None, path: str | None = None, limit: int = 50) -> DataFrame:
+    """``find_symbols`` in many repositories, given as rows (alias, manifest_id): each gives its first rows, of which the first in all are kept.
+
+    One plan, whatever the number of repositories: symbols are filtered and joined once for all manifests."""
+    query, kind, container, path = (x or None for x in (query, kind, container, path))
+    if query is None and kind is None and container is None and path is None:
+        raise ValueError("one of query, kind, container and path is needed")
+    entries = facts.manifest_entries.join(targets.select("alias", "manifest_id"), "manifest_id").select("alias", "path", "blob_sha")
+    found = _symbols(facts, entries, query, fuzzy, kind, container, path, "alias")
+    first = F.row_number().over(W.partitionBy("alias").orderBy(*_symbol_order()))
+    limit = max(1, limit)
+    return found.withColumn("_k", first).filter(F.col("_k") <= limit).drop("_k").orderBy(*_symbol_order("alias"), "name", "blob_sha").limit(limit)
 
 
 def _sites(facts: DataFrame, start: str, end: str, *more: str) -> DataFrame:
@@ -351,13 +371,6 @@ def with_snippets(hits: DataFrame, contents: DataFrame) -> DataFrame:
     return hits.join(contents.dropDuplicates(["blob_sha"]), "blob_sha", "left").withColumn("snippet", text.line_of(F.col("content"), F.col("line"))).drop("content")
 
 
-def over_repos(parts: list[tuple[str, DataFrame]], limit: int, order: list[str] | None = None) -> DataFrame:
-    """Results of several repositories: cut per repository, put together in order of aliases, cut again."""
-    cut = [df.limit(limit).withColumn("alias", F.lit(alias)) for alias, df in parts]
-    every = reduce(lambda a, b: a.unionByName(b), cut)
-    return every.orderBy(*(order or []), "alias", *[c for c in every.columns if c != "alias" and c not in (order or [])]).limit(limit)
-
-
 def probe(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """(rows up to the limit, whether there are more), from one row more than the limit."""
     more = df.limit(limit + 1).count() > limit

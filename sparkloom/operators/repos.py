@@ -94,26 +94,48 @@ def resolve_repo_by_path(paths: DataFrame, repositories: DataFrame) -> DataFrame
     return paths.join(best, "path", "left").select("path", "_b.repo_hash", "_b.root_path")
 
 
+def snapshot_states(facts) -> DataFrame:
+    """Each snapshot (manifest) that an anchor of a repository names (facts.repo_anchors: repo_hash, anchor_name, manifest_id): its languages, counts and status.
+
+    empty without a file, ready with symbols, else stale if an analyzer exists for one of its languages, else no_analyzer."""
+    shots = facts.repo_anchors.select("repo_hash", "manifest_id").distinct()
+    here = facts.manifest_entries.join(shots.select("manifest_id").distinct(), "manifest_id", "left_semi")
+    enriched = enrichment(here, facts.blobs, facts.analyzers).groupBy("manifest_id").agg(F.array_sort(F.collect_set("language")).alias("languages"), F.bool_or("has_analyzer").alias("_has"))
+    zero = F.lit(0).cast("long")
+    rows = shots.join(count_files(here), "manifest_id", "left").join(count_symbols(here, facts.symbols), "manifest_id", "left").join(enriched, "manifest_id", "left")
+    rows = rows.withColumns({"files": F.coalesce("files", zero), "symbols": F.coalesce("symbols", zero), "languages": F.coalesce("languages", F.array().cast("array<string>"))})
+    # fixed values: states of snapshots
+    status = F.when(F.col("files") == 0, "empty").when(F.col("symbols") > 0, "ready").when(F.coalesce("_has", F.lit(False)), "stale").otherwise("no_analyzer")
+    return rows.select("repo_hash", "manifest_id", "languages", "files", "symbols", status.alias("status"))
+
+
+def repo_snapshots(facts) -> DataFrame:
+    """The snapshots of each repository in display order (position from 1), with their labels."""
+    name = F.col("anchor_name")
+    label = F.struct(text.anchor_rank(name).alias("r"), text.anchor_key(name).alias("k"), F.regexp_replace(name, "^branch/", "").alias("name"))
+    labels = facts.repo_anchors.groupBy("repo_hash", "manifest_id").agg(F.sort_array(F.collect_list(label)).alias("_l"))
+    rows = snapshot_states(facts).join(labels, ["repo_hash", "manifest_id"])
+    first = F.col("_l")[0]
+    place = F.row_number().over(W.partitionBy("repo_hash").orderBy(first["r"], first["k"], "manifest_id"))
+    return rows.select("repo_hash", place.alias("position"), "manifest_id", F.transform("_l", lambda x: x["name"]).alias("labels"), "status", "files", "symbols", "languages")
+
+
 def list_repos(aliases: DataFrame, repositories: DataFrame, facts, query: str | None = None, limit: int | None = None) -> DataFrame:
-    """Aliases with their repository's languages, snapshot, file and symbol counts and status."""
+    """Aliases with their repository's languages and number of snapshots over all of its anchors, counts of its current snapshot, and status."""
     repos = aliases.join(repositories.drop("registered_at_ns"), "repo_hash")
     if query is not None:
         repos = repos.filter(F.col("alias").contains(query) | F.col("root_path").contains(query))
-    enriched = enrichment(facts.manifest_entries, facts.blobs, facts.analyzers)
-    languages = enriched.groupBy("manifest_id").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
-    n_snapshots = facts.anchors.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("anchors"))
-    has_none = enriched.groupBy("manifest_id").agg(F.bool_and("has_analyzer").alias("_all"))
-    states = active_jobs(facts.runs, facts.anchors).join(has_none, "manifest_id", "left")
-    states = states.withColumn("status", F.when(F.col("_all"), "current").otherwise("no_analyzer"))
-    status = aggregate_status(states, "manifest_id", F.col("active"))
-    out = repos.join(languages, "manifest_id", "left").join(n_snapshots, "manifest_id", "left").join(count_files(facts.manifest_entries), "manifest_id", "left")
-    out = out.join(count_symbols(facts.manifest_entries, facts.symbols), "manifest_id", "left").join(status, "manifest_id", "left")
+    states = snapshot_states(facts)
+    shots = states.groupBy("repo_hash").agg(F.count(F.lit(1)).alias("snapshots"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("languages")))), ",").alias("languages"))
+    active = active_jobs(facts.runs, facts.repo_anchors)
+    status = aggregate_status(states.join(active, "manifest_id", "left"), "repo_hash", F.col("active"))
+    out = repos.join(states.select("repo_hash", "manifest_id", "files", "symbols"), ["repo_hash", "manifest_id"], "left").join(shots, "repo_hash", "left").join(status, "repo_hash", "left")
     zero = F.lit(0).cast("long")
     out = out.select(
         "alias",
         "root_path",
         F.coalesce("languages", F.lit("")).alias("languages"),
-        F.coalesce("anchors", zero).alias("snapshot_count"),
+        F.coalesce("snapshots", zero).alias("snapshot_count"),
         F.coalesce("files", zero).alias("current_file_count"),
         F.coalesce("symbols", zero).alias("current_symbol_count"),
         F.coalesce("aggregate_status", F.lit("error")).alias("status"),

@@ -135,6 +135,14 @@ SELECT 'h' || CAST(n_nationkey AS STRING) AS repo_hash,
        '/work/r' || CAST(n_regionkey AS STRING) || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '/nested' END || '/' || lower(n_name) AS root_path,
        CAST(n_nationkey AS BIGINT) * 10 AS registered_at_ns, CAST(n_regionkey AS BIGINT) AS manifest_id
 FROM {nation}""",
+    "repo_anchors": """
+SELECT 'h' || CAST(n_nationkey AS STRING) AS repo_hash, 'HEAD' AS anchor_name, CAST(n_regionkey AS BIGINT) AS manifest_id FROM {nation} WHERE n_nationkey <> 13
+UNION ALL SELECT 'h' || CAST(n_nationkey AS STRING), 'branch/main', CAST(n_regionkey AS BIGINT) FROM {nation} WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'h' || CAST(n_nationkey AS STRING), 'branch/dev', CAST((n_regionkey + 1) % 5 AS BIGINT) FROM {nation} WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'h' || CAST(n_nationkey AS STRING), 'tag/v1', CAST((n_regionkey + 2) % 7 AS BIGINT) FROM {nation} WHERE n_nationkey % 4 = 3""",
+    "watched": """
+SELECT 'c' || CAST(c_custkey AS STRING) AS repo_hash, CASE WHEN c_custkey % 19 = 3 THEN CAST(c_custkey AS BIGINT) * 5 END AS removal_requested_at_ns
+FROM {customer} WHERE c_custkey % 23 <> 4""",
     "reconcile_state": """
 SELECT 'c' || CAST(c_custkey AS STRING) AS repo_hash,
        CAST(c_custkey % 9 + 1 AS BIGINT) AS desired,

@@ -220,18 +220,21 @@ query(
 )(lambda f: f.symbols.join(snapshots.entries_of(f.manifest_entries, HEAD), "blob_sha").select("id", text.location(F.lit("demo"), F.lit("HEAD"), F.col("path"), F.col("line_start")).alias("location")))
 
 
-def _multi(f: Facts) -> DataFrame:
-    """The same lookup in three snapshots taken for repositories, cut per repository and again in all."""
-    parts = [(f"repo-{m}", lookup.find_symbols(f, m, kind="class")) for m in range(5)]
-    return lookup.over_repos(parts, 50, ["path", "line_start", "qualified"]).select("alias", "path", "line_start", "qualified", "parser_id", "language")
+EVERY = f"""WITH own AS (SELECT alias, manifest_id FROM aliases JOIN repositories USING (repo_hash)), e AS (SELECT alias, path, blob_sha FROM manifest_entries JOIN own USING (manifest_id)),
+f AS (SELECT alias, name, qualified, s.kind, path, line_start, s.blob_sha, s.parser_id, CASE WHEN b.analyzer_id IS NOT NULL THEN {LANGUAGE.format("b.parser_id")} END AS language
+  FROM symbols s JOIN e ON e.blob_sha = s.blob_sha JOIN blobs b ON b.blob_sha = s.blob_sha WHERE s.scope = 'top_level' AND {{where}}),
+k AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY language NULLS LAST, path, line_start, qualified, parser_id) AS k FROM f)
+SELECT alias, path, line_start, qualified, parser_id, language FROM k WHERE k <= {{limit}} ORDER BY language NULLS LAST, path, line_start, alias, qualified, parser_id, name, blob_sha LIMIT {{limit}}"""
 
 
-query(
-    "q25_over_repos",
-    "WITH every AS (" + " UNION ALL ".join(f"SELECT 'repo-{m}' AS alias, * FROM ({SYMBOLS_SELECT.format(where="s.kind = 'class'", limit=50).replace('JOIN e ', f'JOIN (SELECT path, blob_sha FROM manifest_entries WHERE manifest_id = {m}) e ')})" for m in range(5))
-    + ") SELECT alias, path, line_start, qualified, parser_id, language FROM every ORDER BY path, line_start, qualified, alias, name, kind, signature NULLS FIRST, visibility NULLS FIRST, doc NULLS FIRST, line_end, blob_sha, parser_id, language NULLS FIRST LIMIT 50",
-    *S,
-)(_multi)
+def _over(f: Facts, **filters) -> DataFrame:
+    """A lookup in the current snapshot of every repository."""
+    targets = f.aliases.select("alias", "repo_hash").join(f.repositories.select("repo_hash", "manifest_id"), "repo_hash")
+    return lookup.find_symbols_over(f, targets, **filters).select("alias", "path", "line_start", "qualified", "parser_id", "language")
+
+
+query("q25_over_repos", EVERY.format(where="s.kind = 'class'", limit=50), *S, "aliases", "repositories")(lambda f: _over(f, kind="class"))
+query("q25_over_repos_name", EVERY.format(where="(name = 'red_widget' OR qualified = 'red_widget')", limit=300), *S, "aliases", "repositories")(lambda f: _over(f, query="red_widget", limit=300))
 
 # ---- names
 
@@ -305,17 +308,35 @@ query(
     f"SELECT manifest_id, string_agg(anchor_name, ',' ORDER BY {ANCHOR_RANK}, CASE WHEN anchor_name = 'HEAD' THEN '' WHEN starts_with(anchor_name, 'branch/') THEN substr(anchor_name, 8) ELSE anchor_name END) AS labels, max(last_updated_ns) AS last_updated_ns FROM anchors GROUP BY 1",
     "anchors",
 )(lambda f: repos.snapshots(f.anchors).withColumn("labels", F.array_join("labels", ",")))
-LIST = f"""WITH enr AS ({ENRICH}), act AS ({ACTIVE}),
-lang AS (SELECT manifest_id, string_agg(language, ',' ORDER BY language) AS languages, bool_and(has_analyzer) AS every FROM enr GROUP BY 1),
-st AS (SELECT act.manifest_id, CASE WHEN active > 0 THEN 'indexing' WHEN coalesce(every, false) THEN 'ready' ELSE 'partial' END AS status FROM act LEFT JOIN lang USING (manifest_id)),
-n AS (SELECT manifest_id, count(*) AS anchors FROM anchors GROUP BY 1), fi AS (SELECT manifest_id, count(*) AS files FROM manifest_entries GROUP BY 1),
-sy AS (SELECT manifest_id, count(*) AS symbols FROM manifest_entries JOIN symbols USING (blob_sha) GROUP BY 1)
-SELECT a.alias, r.root_path, coalesce(languages, '') AS languages, coalesce(n.anchors, 0) AS snapshot_count, coalesce(files, 0) AS current_file_count, coalesce(symbols, 0) AS current_symbol_count, coalesce(st.status, 'error') AS status
-FROM aliases a JOIN repositories r USING (repo_hash) LEFT JOIN lang USING (manifest_id) LEFT JOIN n USING (manifest_id) LEFT JOIN fi USING (manifest_id) LEFT JOIN sy USING (manifest_id) LEFT JOIN st USING (manifest_id)"""
-L = ("manifest_entries", "blobs", "analyzers", "symbols", "runs", "anchors", "aliases", "repositories")
+SHOTS = f"""shots AS (SELECT DISTINCT repo_hash, manifest_id FROM repo_anchors),
+enr AS ({ENRICH}),
+st AS (SELECT s.repo_hash, s.manifest_id, coalesce(files, 0) AS files, coalesce(symbols, 0) AS symbols,
+         CASE WHEN files IS NULL THEN 'empty' WHEN symbols > 0 THEN 'ready' WHEN coalesce(has, false) THEN 'stale' ELSE 'no_analyzer' END AS status
+  FROM shots s LEFT JOIN (SELECT manifest_id, count(*) AS files FROM manifest_entries GROUP BY 1) fi USING (manifest_id)
+  LEFT JOIN (SELECT manifest_id, count(*) AS symbols FROM manifest_entries JOIN symbols USING (blob_sha) GROUP BY 1) sy USING (manifest_id)
+  LEFT JOIN (SELECT manifest_id, bool_or(has_analyzer) AS has FROM enr GROUP BY 1) en USING (manifest_id))"""
+LIST = f"""WITH {SHOTS},
+jobs AS (SELECT repo_hash, count(*) AS active FROM shots JOIN runs USING (manifest_id) WHERE job_id IS NOT NULL AND runs.status IN ('queued', 'running') GROUP BY 1),
+lang AS (SELECT repo_hash, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM shots JOIN enr USING (manifest_id) GROUP BY 1),
+agg AS (SELECT repo_hash, count(*) AS n, bool_or(status = 'missing') AS bad, bool_or(status = 'reconciling') AS moving, bool_or(status IN ('stale', 'no_analyzer')) AS part FROM st GROUP BY 1)
+SELECT a.alias, r.root_path, coalesce(languages, '') AS languages, coalesce(agg.n, 0) AS snapshot_count, coalesce(cur.files, 0) AS current_file_count, coalesce(cur.symbols, 0) AS current_symbol_count,
+  CASE WHEN agg.n IS NULL OR bad THEN 'error' WHEN active > 0 OR moving THEN 'indexing' WHEN part THEN 'partial' ELSE 'ready' END AS status
+FROM aliases a JOIN repositories r USING (repo_hash) LEFT JOIN agg USING (repo_hash) LEFT JOIN lang USING (repo_hash) LEFT JOIN jobs USING (repo_hash)
+LEFT JOIN st cur ON cur.repo_hash = r.repo_hash AND cur.manifest_id = r.manifest_id"""
+L = ("manifest_entries", "blobs", "analyzers", "symbols", "runs", "aliases", "repositories", "repo_anchors")
 query("q19_list_repos", LIST, *L)(lambda f: repos.list_repos(f.aliases, f.repositories, f))
 query("q19_list_repos_search", f"{LIST} WHERE contains(a.alias, '1') OR contains(r.root_path, '1') ORDER BY alias LIMIT 8", *L)(lambda f: repos.list_repos(f.aliases, f.repositories, f, "1", 8))
 query("q20_repo_status", f"{LIST} WHERE r.repo_hash = 'h7'", *L)(lambda f: repos.repo_status(f.aliases, f.repositories, f, path="/work/r2/nested/nation_7/src/x.py"))
+query(
+    "q20_repo_snapshots",
+    f"""WITH {SHOTS}, l AS (SELECT repo_hash, manifest_id, {ANCHOR_RANK} AS r, CASE WHEN anchor_name = 'HEAD' THEN '' WHEN starts_with(anchor_name, 'branch/') THEN substr(anchor_name, 8) ELSE anchor_name END AS k,
+  CASE WHEN starts_with(anchor_name, 'branch/') THEN substr(anchor_name, 8) ELSE anchor_name END AS name FROM repo_anchors),
+g AS (SELECT repo_hash, manifest_id, string_agg(name, ',' ORDER BY r, k, name) AS labels, min(struct_pack(r := r, k := k)) AS first FROM l GROUP BY 1, 2),
+n AS (SELECT manifest_id, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM enr GROUP BY 1)
+SELECT st.repo_hash, row_number() OVER (PARTITION BY st.repo_hash ORDER BY first.r, first.k, st.manifest_id)::INTEGER AS position, st.manifest_id, labels, status, files, symbols, coalesce(languages, '') AS languages
+FROM st JOIN g ON g.repo_hash = st.repo_hash AND g.manifest_id = st.manifest_id LEFT JOIN n ON n.manifest_id = st.manifest_id""",
+    *L,
+)(lambda f: repos.repo_snapshots(f).withColumns({c: F.array_join(c, ",") for c in ("labels", "languages")}))
 PATHS = "p AS (SELECT DISTINCT '/work/r' || CAST(n_regionkey AS VARCHAR) || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '/nested' END || '/' || lower(n_name) || CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE '' END || '/s' || CAST(s_suppkey AS VARCHAR) AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 
@@ -543,10 +564,51 @@ query(
 def _due(f: Facts) -> DataFrame:
     from sparkloom.streaming.freshness import periodic_due
 
-    return periodic_due(f.reconcile_state, 1_000_000_000_000, 300_000_000_000).select("repo_hash", "last_success_ns")
+    return periodic_due(f.watched, f.reconcile_state, 1_000_000_000_000, 300_000_000_000).select("repo_hash", "last_success_ns")
+
+
+query(
+    "t11_periodic_due",
+    "SELECT s.repo_hash, last_success_ns FROM watched r JOIN reconcile_state s ON s.repo_hash = r.repo_hash WHERE r.removal_requested_at_ns IS NULL AND desired = applied AND attempt IS NULL AND (last_success_ns IS NULL OR last_success_ns <= 700000000000)",
+    "reconcile_state",
+    "watched",
+)(_due)
 
 
-query("t11_periodic_due", "SELECT repo_hash, last_success_ns FROM reconcile_state WHERE desired = applied AND attempt IS NULL AND last_success_ns <= 700000000000", "reconcile_state")(_due)
+#: Paths and changes of events by their id.
+EVENT_PATH = """CASE event_id % 13 WHEN 0 THEN 'src/a.py' WHEN 1 THEN '.git/HEAD' WHEN 2 THEN '.git/packed-refs' WHEN 3 THEN '.git/refs/heads/x/y' WHEN 4 THEN '.git/worktrees/w/HEAD' WHEN 5 THEN '.git/worktrees/w/index'
+  WHEN 6 THEN '.git/info/exclude' WHEN 7 THEN 'a/.gitignore' WHEN 8 THEN 'a/.git' WHEN 9 THEN 'node_modules/x' WHEN 10 THEN '.git/objects/ab' WHEN 11 THEN '.gitmodules' ELSE 'docs' END"""
+EVENT_CHANGE = "CASE user_id % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' WHEN 2 THEN 'remove' WHEN 3 THEN 'rename' WHEN 4 THEN 'create_dir' WHEN 5 THEN 'remove_dir' ELSE 'overflow' END"
+
+
+def _classified(f: Facts) -> DataFrame:
+    from sparkloom.streaming.coalesce import classify, rescan_reason
+
+    rows = f.events.select("event_id", F.expr(EVENT_PATH).alias("path"), F.expr(EVENT_CHANGE).alias("change"))
+    return rows.select("event_id", classify(F.col("path"), F.col("change")).alias("kind"), rescan_reason(F.col("path"), F.col("change")).alias("reason"))
+
+
+query(
+    "t2_classified",
+    f"""WITH ev AS (SELECT event_id, {EVENT_PATH} AS path, {EVENT_CHANGE} AS change FROM events),
+r AS (SELECT *, CASE WHEN change = 'overflow' THEN 'backend_requested' WHEN path IN ('.git/info/exclude', 'a/.gitignore') THEN 'ignore_rules_changed'
+    WHEN path = 'a/.git' AND change <> 'modify' THEN 'directory_topology_changed'
+    WHEN NOT starts_with(path, '.git/') AND change IN ('rename', 'create_dir', 'remove_dir') THEN 'directory_topology_changed' END AS reason FROM ev)
+SELECT event_id, reason, CASE WHEN reason IS NOT NULL THEN 'rescan' WHEN path IN ('.git/HEAD', '.git/packed-refs', '.git/worktrees/w/HEAD') THEN CASE WHEN change IN ('create', 'modify', 'rename', 'create_dir') THEN 'git' END
+  WHEN path = '.git/refs/heads/x/y' THEN 'git' WHEN starts_with(path, '.git/') OR path IN ('a/.git', 'node_modules/x') THEN NULL
+  WHEN change IN ('create', 'modify') THEN 'file_touched' WHEN change = 'remove' THEN 'file_deleted' END AS kind FROM r""",
+)(_classified)
+
+#: Versions as programs and servers give them.
+VERSION = "CAST({0} % 2 AS STRING) || '.' || CAST({0} % 3 AS STRING) || CASE {0} % 11 WHEN 0 THEN '' WHEN 1 THEN '.x' WHEN 2 THEN '.1.0' WHEN 3 THEN '.01' ELSE '.' || CAST({0} % 5 AS STRING) END || CASE {0} % 7 WHEN 0 THEN '-rc.1' WHEN 1 THEN '+b-1' ELSE '' END"
+query(
+    "f17_version_classes",
+    f"""WITH v AS (SELECT event_id, {VERSION.format("event_id")} AS own, {VERSION.format("user_id")} AS other FROM events),
+p AS (SELECT event_id, string_split(split_part(split_part(own, '+', 1), '-', 1), '.') AS a, string_split(split_part(split_part(other, '+', 1), '-', 1), '.') AS b FROM v),
+n AS (SELECT event_id, list_transform(a, lambda x: try_cast(x AS UBIGINT)) AS a, list_transform(b, lambda x: try_cast(x AS UBIGINT)) AS b FROM p)
+SELECT event_id, CASE WHEN len(a) <> 3 OR len(b) <> 3 OR list_contains(list_transform(a, lambda x: x IS NULL), true) OR list_contains(list_transform(b, lambda x: x IS NULL), true) THEN 'unparseable'
+  WHEN a[1] <> b[1] THEN 'major_mismatch' WHEN a[2] <> b[2] THEN 'minor_mismatch' WHEN a[3] <> b[3] THEN 'patch_mismatch' ELSE 'same_patch' END AS class FROM n""",
+)(lambda f: f.events.select("event_id", text.version_class(F.expr(VERSION.format("event_id")), F.expr(VERSION.format("user_id"))).alias("class")))
 
 
 def _generations(f: Facts) -> DataFrame:

@@ -13,22 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.sources.ignore import PRUNED
+
 WINDOW_US = 500_000
-PRUNED = ("target", "node_modules", ".claude")
+# Changes of events. A rename is that of a file or a folder.
+TOUCH, REMOVE, TOPOLOGY = ("create", "modify", "rename", "create_dir"), ("remove", "remove_dir"), ("rename", "create_dir", "remove_dir")
+
+
+def rescan_reason(path: Column, change: Column) -> Column:
+    """Why a change at a path below a repository's root calls for a scan of all of it; null if it does not."""
+    git, name = path.rlike(r"^\.git(/|$)"), F.element_at(F.split(path, "/"), -1)
+    nested = (name == ".git") & change.isin("create", "remove", *TOPOLOGY)  # of a repository inside this one
+    # fixed values: the reasons
+    reason = F.when(change == "overflow", "backend_requested").when((path == ".git/info/exclude") | (~git & (name == ".gitignore")), "ignore_rules_changed")
+    return reason.when(~git & (nested | change.isin(*TOPOLOGY)), "directory_topology_changed")
 
 
 def classify(path: Column, change: Column) -> Column:
     """file_touched, file_deleted, git, rescan or null (nothing to do) of a change at a path below a repository's root."""
-    first = F.split(path, "/")[0]
-    git = first == ".git"
-    git_state = F.when(path.rlike(r"^\.git/(HEAD|packed-refs|refs/heads/.*|worktrees/.*)$"), "git").when(path == ".git/info/exclude", "rescan")
-    dropped = F.exists(F.split(path, "/"), lambda p: p.isin(*PRUNED))
-    file = F.when(path.rlike(r"(^|/)\.gitignore$"), "rescan").when(change.isin("create", "modify"), "file_touched").when(change == "remove", "file_deleted")
-    return F.when(change == "overflow", "rescan").when(git, git_state).when(dropped, F.lit(None).cast("string")).otherwise(file)
+    moved = path.rlike(r"^\.git/(HEAD|packed-refs|worktrees/[^/]+/HEAD)$") & change.isin(*TOUCH)
+    branch = path.rlike(r"^\.git/refs/heads/.") & change.isin(*TOUCH, *REMOVE)
+    dropped = F.exists(F.split(path, "/"), lambda p: p.isin(*sorted(PRUNED)))
+    file = F.when(change.isin("create", "modify"), "file_touched").when(change == "remove", "file_deleted")
+    kind = F.when(rescan_reason(path, change).isNotNull(), "rescan").when(moved | branch, "git")
+    return kind.when(path.rlike(r"^\.git(/|$)") | dropped, F.lit(None).cast("string")).otherwise(file)
 
 
 def collapse(events: DataFrame, by: list[str]) -> DataFrame:
-    """Events (kind, path) per window: a single rescan if there is one among them, else each path's last kind."""
+    """Events (kind, path) per window: a single rescan if there is one among them, else each path's last kind. With a column reason, a rescan has that of its first event."""
+    if "reason" in events.columns:
+        order = F.struct("at", "seq")
+        first = events.filter("kind = 'rescan'").groupBy(*by).agg(F.min_by("reason", order).alias("reason"))
+        return collapse(events.drop("reason"), by).join(first, by, "left")
     marked = events.withColumn("_rescan", F.bool_or(F.col("kind") == "rescan").over(W.partitionBy(*by)))
     scans = marked.filter("_rescan").select(*by, F.lit("rescan").alias("kind"), F.lit(None).cast("string").alias("path")).distinct()
     files = marked.filter("NOT _rescan").groupBy(*by, "path").agg(F.max_by("kind", F.struct("at", "seq")).alias("kind"))

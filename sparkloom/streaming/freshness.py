@@ -38,6 +38,8 @@ def revalidated(before: DataFrame, after: DataFrame, fingerprint: list[str]) ->
     return before.join(then, "repo_hash", "left").withColumn("reason", reason).drop("_then")
 
 
-def periodic_due(states: DataFrame, now_ns: int, age_ns: int = MAX_AGE_NS - MARGIN_NS) -> DataFrame:
-    """Clean, idle repositories whose last success is at least so old."""
-    return states.filter((F.col("desired") == F.col("applied")) & F.col("attempt").isNull() & (F.col("last_success_ns") <= now_ns - age_ns))
+def periodic_due(repositories: DataFrame, states: DataFrame, now_ns: int, age_ns: int = MAX_AGE_NS - MARGIN_NS) -> DataFrame:
+    """States of the repositories (repo_hash, removal_requested_at_ns) that are due: not to be removed, clean, idle, and without a success that is younger than so much."""
+    kept = repositories.filter("removal_requested_at_ns IS NULL").select("repo_hash")
+    old = F.col("last_success_ns").isNull() | (F.col("last_success_ns") <= now_ns - age_ns)
+    return states.filter((F.col("desired") == F.col("applied")) & F.col("attempt").isNull() & old).join(kept, "repo_hash", "left_semi")

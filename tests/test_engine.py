@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import queries
-from sparkloom.operators import admin, lookup
+from sparkloom.operators import admin, extract, lookup, repos
 from sparkloom.plans import snapshots
 from sparkloom.plans.bindings import RAW, Facts
 from sparkloom.streaming import coalesce, generations
@@ -125,7 +125,7 @@ def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*EqualTo\(p_size,3\)", scan) and "p_brand" not in scan
 
 
-SMALL = [n for n in queries.SQL if n not in ("q25_over_repos",)]
+SMALL = list(queries.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -169,6 +169,46 @@ def test_events(spark):
     assert sorted(tuple(r) for r in coalesce.windows_batch(ticks, 500).collect()) == [("q", 7, 1), ("r", 0, 3), ("r", 500, 1), ("r", 1200, 1)]
 
 
+def test_rescans_have_the_reason_of_their_first_event(spark):
+    rows = [("a", "rename"), ("a", "create_dir"), ("x/.git", "create"), (".git/HEAD", "remove"), (".git/packed-refs", "remove"), (".git/worktrees/w/index", "modify"), (".git/worktrees/w/HEAD", "modify"),
+            (".git/refs/heads/x", "remove"), (".git/refs/heads", "modify"), ("x/.gitignore", "remove"), (".git", "create_dir")]
+    frame = spark.createDataFrame([("r", 1, k, k, *x) for k, x in enumerate(rows)], "repo string, w int, at int, seq int, path string, change string")
+    frame = frame.select("*", coalesce.classify(F.col("path"), F.col("change")).alias("kind"), coalesce.rescan_reason(F.col("path"), F.col("change")).alias("reason"))
+    got = [(r.kind, r.reason) for r in frame.orderBy("at").collect()]
+    topology = ("rescan", "directory_topology_changed")
+    assert got == [topology, topology, topology, (None, None), (None, None), (None, None), ("git", None), ("git", None), (None, None), ("rescan", "ignore_rules_changed"), (None, None)]
+    late = frame.filter("at > 5").select("repo", "w", "path", "kind", "at", "seq", "reason")
+    assert [(r.kind, r.reason) for r in coalesce.collapse(late, ["repo", "w"]).collect()] == [("rescan", "ignore_rules_changed")]
+
+
+def test_states_of_snapshots_without_files_symbols_or_analyzers(spark):
+    class Small:
+        repo_anchors = spark.createDataFrame([("h", "HEAD", 1), ("h", "branch/a", 1), ("h", "tag/t", 2), ("g", "HEAD", 3), ("e", "HEAD", 4)], "repo_hash string, anchor_name string, manifest_id long")
+        manifest_entries = spark.createDataFrame([(1, "a", "b1"), (2, "a", "b2"), (3, "a", "b3")], "manifest_id long, path string, blob_sha string")
+        blobs = spark.createDataFrame([("b1", "p", None), ("b2", "p", None), ("b3", "q", None)], "blob_sha string, parser_id string, analyzer_id string")
+        symbols = spark.createDataFrame([("b1",)], "blob_sha string")
+        analyzers = spark.createDataFrame([("p", None)], "parser_id string, analyzer_id string")
+        runs = spark.createDataFrame([(2, 5, "running"), (3, 6, "failed")], "manifest_id long, job_id long, status string")
+
+    assert {(r.repo_hash, r.manifest_id): r.status for r in repos.snapshot_states(Small).collect()} == {("h", 1): "ready", ("h", 2): "stale", ("g", 3): "no_analyzer", ("e", 4): "empty"}
+    aliases = spark.createDataFrame([(x, x) for x in "hgez"], "alias string, repo_hash string")
+    repositories = spark.createDataFrame([(x, "/" + x, 0, m) for x, m in zip("hgez", (1, 3, 4, 9))], "repo_hash string, root_path string, registered_at_ns long, manifest_id long")
+    got = {r.alias: (r.snapshot_count, r.current_file_count, r.status) for r in repos.list_repos(aliases, repositories, Small).collect()}
+    assert got == {"h": (2, 1, "indexing"), "g": (1, 1, "partial"), "e": (1, 0, "ready"), "z": (0, 0, "error")}
+
+
+@pytest.mark.parametrize(
+    "text, language",
+    [
+        (b"@class Foo;", "objc"), (b"  @end", "objc"), (b"@endless x", "c"), (b"#import <a.h>", "objc"), (b"// #import <a.h>", "c"), (b"# import", "c"), (b"@implementation", "objc"),
+        (b"void f() noexcept;", "cpp"), (b"int *p = nullptr;", "cpp"), (b"#include <vector>", "cpp"), (b"#include <vectors.h>", "c"), (b"bool operator==(x)", "cpp"), (b"concept C = 1;", "cpp"), (b"f() requires x", "cpp"),
+        (b"protected :", "cpp"), (b"int public;", "c"), (b"a::b", "cpp"), (b'char *s = "a::b class";', "c"), (b"char c = ':';", "c"), (b"/* class x */ int y;", "c"), (b"int classy;", "c"), (b"virtual_x", "c"),
+    ],
+)
+def test_headers(text, language):
+    assert extract.header_language(text) == language
+
+
 def test_streams(spark, tmp_path):
     events = [("r", 1, 1, "dirty", None, None), ("r", 2, 2, "force", None, None), ("r", 3, 3, "start", None, None), ("r", 4, 4, "success", None, None)]
     schema = "repo string, at long, seq long, kind string, generation long, error string"

@@ -219,7 +219,6 @@ def test_names_and_versions():
     assert text.bare_name("a::b.c") == "c" and text.bare_name("A\\B") == "B" and text.bare_name("x:y") == "x:y"
     assert text.is_qualified("a.b") and not text.is_qualified("a:b")
     assert text.truncate_bytes("aé", 2) == "a…" and text.truncate_bytes("aé", 3) == "aé"
-    assert [text.compatible("1.2.0", v) for v in ("1.2.0", "1.2.9", "1.3.0", "1.1.0", "2.0.0")] == ["exact", "compatible", "newer_minor", "older_minor", "incompatible"]
     assert text.matches_pattern("a/Gemfile", ["*.rb", "Gemfile"]) and not text.matches_pattern("a/x.py", ["*.rb"])
     assert text.config_hash({"b": b"2", "a": b"1"}) == text.config_hash({"a": b"1", "b": b"2"})
 
