@@ -3,7 +3,7 @@
 A term is a longest run of ASCII letters and of characters beyond ASCII; only A-Z are lower-cased. A byte-level tokenizer finds them: a lookup table over the UTF-8 bytes of
 a batch of texts, one after the other, gives 0 between terms and the lower-cased byte inside of them; the places where that changes, and the ends of texts, are the boundaries. Slices are
 grouped by xxhash, and the bytes of each are compared with those of its group's first; what differs is grouped by its bytes. Counts and numbers of documents are added up
-per task, then shuffled by (language, source, term), then by (language, term), so no key holds more rows than there are tasks or sources.
+per batch and per task, then shuffled by (language, source, term), then by (language, term), so no key holds more rows than there are tasks or sources.
 
 Each language keeps the terms of at least ``LEAST_DOCUMENTS`` of its rows. They are dealt over blocks of some ``BLOCK`` counts; a
 block is a CSR matrix of sources by terms. For one source after the other, the divergence of all stored counts from that source's shares is taken at once and summed per row (``add.reduceat``);
@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, settled, slices
+from sparkloom.llm.common import cut, settled
 
 LEAST_DOCUMENTS, TOP = 10, 10
 SCALE_STEPS, STEP, SMOOTH = 3, 1000, 2  # shares are parts of STEP ** SCALE_STEPS
-#: Terms that a task adds up before it passes them on; counts of a block.
-HELD, BLOCK = 300_000, 200_000
+#: Bytes of text that are counted together; counts of a block.
+TOGETHER, BLOCK = 4 << 20, 200_000
 
 
 def lookup_table() -> np.ndarray:
@@ -69,68 +70,55 @@ def terms_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The group of each slice and the bytes of each group."""
-    data, digest = low.tobytes(), xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    data, found = low.tobytes(), np.empty(len(starts), object)
+    found[:] = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     _, first, group = np.unique(h, return_index=True, return_inverse=True)
-    lead = first[group]
-    size = ends - starts
-    same = size == size[lead]
-    at = np.flatnonzero(same)
-    n = size[at]
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    equal = low[np.repeat(starts[at], n) + k] == low[np.repeat(starts[lead[at]], n) + k]
-    if len(at):
-        same[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
-    terms = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    terms = found[first].tolist()
+    same = (found == found[first[group]]).astype(bool)  # byte by byte
     more: dict[bytes, int] = {}
     for i in np.flatnonzero(~same).tolist():  # another slice has this hash
-        term = data[starts[i] : ends[i]]
-        if term not in more:
-            more[term] = len(terms)
-            terms.append(term)
-        group[i] = more[term]
+        if found[i] not in more:
+            more[found[i]] = len(terms)
+            terms.append(found[i])
+        group[i] = more[found[i]]
     return group, terms
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents per task; a row without a term for each source that occurs."""
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``TOGETHER`` bytes of text, or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
 
-        def rows() -> pa.RecordBatch:
-            out = [(lang, source, None, 0, 0) for lang, source in held]
-            out += [(lang, source, term, *c) for (lang, source), terms in held.items() for term, c in terms.items()]
-            columns = [list(c) for c in zip(*out, strict=True)]
-            arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents per batch; a row without a term for each source that occurs."""
 
-        for b in slices(batches, 512):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches):
             names = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True))
             known = {name: k for k, name in enumerate(dict.fromkeys(names))}
-            source = np.array([known[n] for n in names], np.int64)
+            source = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
             low, starts, ends, row = terms_in(b.column("text"))
             group, terms = grouped(low, starts, ends)
-            per_doc, n = np.unique(row * len(terms) + group, return_counts=True)
-            key, at = np.unique(source[per_doc // max(len(terms), 1)] * len(terms) + per_doc % max(len(terms), 1), return_inverse=True)
-            total, in_docs = np.zeros(len(key), np.int64), np.bincount(at, minlength=len(key))
-            np.add.at(total, at, n)
-            places = [held.setdefault(name, {}) for name in known]
-            for k, t, d in zip(key.tolist(), total.tolist(), in_docs.tolist(), strict=True):
-                place, term = places[k // len(terms)], terms[k % len(terms)]
-                c = place.get(term)
-                if c is None:
-                    place[term] = [t, d]
-                    size += 1
-                else:
-                    c[0] += t
-                    c[1] += d
-            if size >= HELD:
-                yield rows()
-                held, size = {}, 0
-        if held:
-            yield rows()
+            width = max(len(terms), 1)
+            per_doc, n = np.unique(row * width + group, return_counts=True)
+            key = source[per_doc // width] * width + per_doc % width
+            by = np.argsort(key, kind="stable")
+            edge = np.flatnonzero(np.append(True, np.diff(key[by]) != 0)) if len(key) else by
+            total = np.add.reduceat(n[by], edge) if len(key) else n
+            in_docs, key = np.diff(np.append(edge, len(key))), key[by][edge]
+            # rows of all sources without a term come first
+            of = np.concatenate([np.arange(len(known)), key // width])
+            term = pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(np.concatenate([np.zeros(len(known), np.int64), key % width]), mask=np.arange(len(of)) < len(known)))
+            lang, name = (pa.array([x[k] for x in known], pa.string()).take(pa.array(of)) for k in (0, 1))
+            counts = [pa.array(np.concatenate([np.zeros(len(known), np.int64), x])) for x in (total, in_docs)]
+            yield pa.RecordBatch.from_arrays([lang, name, term, *counts], names=["lang", "source", "term", "n", "docs"])
 
     named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return named.mapInArrow(run, "lang string, source string, term string, n long, docs long")
