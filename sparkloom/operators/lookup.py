@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fts, text
 from sparkloom.functions.provenance import FACT, SITE, best_resolution, is_workspace_tier, source_rank
+from sparkloom.plans.layouts import at_keys, few_keys, second
 from sparkloom.plans.snapshots import entries_of
 
 SOURCE_CANDIDATES = 20
@@ -35,9 +37,14 @@ def _symbol_order(*after_line: str) -> list:
 
 def _symbols(facts, entries: DataFrame, query: str | None, fuzzy: bool, kind: str | None, container: str | None, path: str | None, *more: str) -> DataFrame:
     """Top-level symbols in the files ``entries``, with further columns of these."""
-    s = facts.symbols.filter("scope = 'top_level'")
-    if query is not None:
-        s = s.filter(fts.matches(query, [F.col("name"), F.col("qualified"), F.col("doc")]) if fuzzy else (F.col("name") == query) | (F.col("qualified") == query))
+    if query is None:
+        s = facts.symbols
+    elif fuzzy:
+        s = facts.symbols.join(fts.search(second(facts, "postings"), query), "id", "left_semi")
+    else:  # each of the two names is looked up in its own order
+        other = second(facts, "symbols_by_name").filter((F.col("name") == query) & (F.col("qualified").isNull() | (F.col("qualified") != query)))
+        s = facts.symbols.filter(F.col("qualified") == query).unionByName(other)
+    s = s.filter("scope = 'top_level'")
     if kind is not None:
         s = s.filter(F.col("kind") == kind)
     if container is not None:
@@ -126,7 +133,8 @@ def _workspace_lines(refs: DataFrame) -> DataFrame:
 
 #: Rows of a lookup that are kept at hand and broadcast at most, and how many lookups' rows are kept.
 FEW_ROWS, LOOKUPS = 50_000, 16
-_HELD: deque[DataFrame] = deque()
+#: Of each session: the rows that its latest lookups keep.
+_HELD: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _few(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -140,17 +148,31 @@ def _held(df: DataFrame) -> DataFrame:
     """Few rows, kept in the executors."""
     df = df.persist()
     df.count()
-    _HELD.append(df)
-    while len(_HELD) > 3 * LOOKUPS:
-        _HELD.popleft().unpersist()
+    held = _HELD.setdefault(df.sparkSession, deque())
+    held.append(df)
+    while len(held) > 3 * LOOKUPS:
+        held.popleft().unpersist()
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the rows that a session's lookups keep; their results can still be read, and are looked up again then."""
+    for df in _HELD.pop(spark, ()):
+        df.unpersist()
+
+
 def _without_noise(facts, r: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """One reference per range and kind, and none without a range that a workspace tier's reference on its line stands for."""
+    """One reference per range and kind, and none without a range that a workspace tier's reference on its line stands for.
+
+    Only references without a range can be shadowed: the lines of their contents alone are looked up."""
     empty = F.when(F.col("target_qualified").isNotNull() & (F.col("target_qualified") != ""), 0).otherwise(1)
     w = W.partitionBy(*keys, "blob_sha", "byte_start", "byte_end", "kind").orderBy("source_rank", empty, "source", "path", "id")
-    lines = _workspace_lines(facts.refs.join(F.broadcast(r.select("blob_sha").distinct()), "blob_sha", "left_semi") if few else facts.refs)
+    refs = facts.refs
+    if few:
+        bare = r.filter((F.col("byte_start") == 0) & (F.col("byte_end") == 0) & (F.col("source_rank") > 0)).select("blob_sha")
+        blobs = few_keys(bare, "blob_sha")
+        refs = facts.refs.join(F.broadcast(bare.distinct()), "blob_sha", "left_semi") if blobs is None else at_keys(second(facts, "refs_by_blob"), "blob_sha", blobs)
+    lines = _workspace_lines(refs)
     r = r.withColumn("_dup", F.row_number().over(w)).filter("_dup = 1").drop("_dup")
     same = (r["blob_sha"] == lines["_w_blob_sha"]) & (r["line"] == lines["_w_line"]) & (r["kind"] == lines["_w_kind"])
     same &= (r["target_name"] == lines["_w_target_name"]) & r["enclosing_id"].eqNullSafe(lines["_w_enclosing_id"])
@@ -164,13 +186,15 @@ def _resolved(facts, manifest_id: int, r: DataFrame, few: bool) -> DataFrame:
 
     few: there are few of them (their number is known), so that larger tables are filtered before anything is shuffled."""
     sites = _sites(r, "byte_start", "byte_end", "kind")
-    best = best_resolution(facts.resolutions, manifest_id, sites=F.broadcast(sites) if few else sites)
+    resolutions = at_keys(facts.resolutions, "site_blob_sha", few_keys(r, "blob_sha")) if few else facts.resolutions
+    best = best_resolution(resolutions, manifest_id, sites=F.broadcast(sites) if few else sites)
     best = best.select(*SITE, F.col("kind").alias("_rkind"), F.col("source").alias("_rsource"), "target_path", "target_symbol_id")
     names = facts.symbols.select("id", "qualified")
     if few:
         best = _held(best)
         ids = best.select(F.col("target_symbol_id").alias("id")).unionByName(r.select(F.col("enclosing_id").alias("id")))
-        names = names.join(F.broadcast(ids.filter("id IS NOT NULL").distinct()), "id", "left_semi")
+        keys = few_keys(ids, "id")
+        names = names.join(F.broadcast(ids.filter("id IS NOT NULL").distinct()), "id", "left_semi") if keys is None else at_keys(second(facts, "symbols_by_id"), "id", keys).select("id", "qualified")
     site = (r["blob_sha"] == best["site_blob_sha"]) & (r["parser_id"] == best["site_parser_id"])
     site &= (r["byte_start"] == best["site_byte_start"]) & (r["byte_end"] == best["site_byte_end"]) & (r["kind"] == best["_rkind"])
     r = r.join(best, site, "left").join(names.select(F.col("id").alias("target_symbol_id"), F.col("qualified").alias("_resolved")), "target_symbol_id", "left")
@@ -230,14 +254,18 @@ def references_by_name(facts, manifest_id: int, name: str, kind: str | None = No
 
 def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
     """References whose resolved (else syntactic) target is ``symbol``: two disjoint branches, each filtered at its scan."""
-    by_text = facts.refs.filter(F.col("target_qualified") == symbol)
+    by_text = second(facts, "refs_by_target").filter(F.col("target_qualified") == symbol)
     own = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("target_symbol_id"))
     # only sites that some resolution aims at the symbol are ranked
-    own, few = _few(own)
-    sites = facts.resolutions.join(F.broadcast(own) if few else own, "target_symbol_id", "left_semi").select(*SITE, "kind")
-    best = best_resolution(facts.resolutions, manifest_id, sites=sites).select(*SITE, F.col("kind").alias("_k"), "target_symbol_id")
+    keys = few_keys(own, "target_symbol_id")
+    sites = facts.resolutions.join(own, "target_symbol_id", "left_semi") if keys is None else at_keys(second(facts, "resolutions_by_target"), "target_symbol_id", keys)
+    sites, few = _few(sites.select(*SITE, "kind"))
+    blobs = few_keys(sites, "site_blob_sha") if few else None
+    resolutions = at_keys(facts.resolutions, "site_blob_sha", blobs)
+    best = best_resolution(resolutions, manifest_id, sites=F.broadcast(sites) if few else sites).select(*SITE, F.col("kind").alias("_k"), "target_symbol_id")
     aimed = best.join(own, "target_symbol_id")
-    others = facts.refs.filter(F.col("target_qualified").isNull() | (F.col("target_qualified") != symbol))
+    others = facts.refs if blobs is None else at_keys(second(facts, "refs_by_blob"), "blob_sha", blobs)
+    others = others.filter(F.col("target_qualified").isNull() | (F.col("target_qualified") != symbol))
     site = (others["blob_sha"] == aimed["site_blob_sha"]) & (others["parser_id"] == aimed["site_parser_id"])
     site &= (others["byte_start"] == aimed["site_byte_start"]) & (others["byte_end"] == aimed["site_byte_end"]) & (others["kind"] == aimed["_k"])
     refs = by_text.unionByName(others.join(aimed, site, "left_semi"))
@@ -249,7 +277,9 @@ def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = N
 def references_outgoing(facts, manifest_id: int, symbol: str, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
     """References made within the symbol ``symbol``."""
     enclosing = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing"))
-    refs = facts.refs.join(enclosing, "enclosing_id")
+    keys = few_keys(enclosing, "enclosing_id")
+    refs = facts.refs if keys is None else at_keys(second(facts, "refs_by_enclosing"), "enclosing_id", keys)
+    refs = refs.join(enclosing, "enclosing_id")
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
     return _ordered(_references(facts, manifest_id, refs, True, include_noise, []), limit)
 

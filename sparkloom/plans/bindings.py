@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from sparkloom.plans.layouts import SECOND, made
 from sparkloom.sources.shared import new_path
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
@@ -183,7 +184,7 @@ LAYOUT = {
     "resolutions": ("site_blob_sha", "site_byte_start", "id"),
     "manifest_entries": ("manifest_id", "path"),
     "runs": ("manifest_id", "job_id"),
-}
+} | {name: columns for name, (_, columns, _) in SECOND.items()}
 #: Bytes of a row group: a lookup reads few of them, a scan deals them to many tasks.
 ROW_GROUP = 4 << 20
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
@@ -200,7 +201,9 @@ class Facts:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self.made:
-            if name in BINDINGS:
+            if name in SECOND:
+                self.made[name] = self.stored(name, lambda: made(name, getattr(self, SECOND[name][0])))
+            elif name in BINDINGS:
                 used = dict.fromkeys(re.findall(r"\{(\w+)\}", BINDINGS[name]))
                 self.made[name] = self.stored(name, lambda: self.spark.sql(BINDINGS[name], **{x: getattr(self, x) for x in used}))
             else:

@@ -1,5 +1,6 @@
 """Query verbs against hand-made rows and their SQL twins, plans, and event state machines."""
 
+import re
 from types import SimpleNamespace
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import queries
+from sparkloom.functions import fts
 from sparkloom.operators import admin, extract, lookup, repos
 from sparkloom.plans import snapshots
 from sparkloom.plans.bindings import RAW, Facts
@@ -116,9 +118,43 @@ def test_no_growing_table_meets_in_one_task(spark, name):
     assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_filters_reach_the_scan(spark):
-    import re
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_filter_the_layout_of_their_key(spark):
+    f = Facts(spark, SF)
+    by_name = plan_of(lookup.find_symbols(f, 0, "red_widget"))
+    assert "EqualTo(name,red_widget)" in by_name and "EqualTo(qualified,red_widget)" in by_name and "symbols_by_name" in by_name
+    words = plan_of(lookup.find_symbols(f, 0, 'wid* "part small" red', fuzzy=True))
+    assert "StringStartsWith(token,wid)" in words and "EqualTo(token,red)" in words and "regexp" not in words.lower()
+    ids = [r.id for r in f.symbols.limit(3).collect()]
+    outgoing = lookup.at_keys(lookup.second(f, "refs_by_enclosing"), "enclosing_id", ids)
+    assert re.search(r"PushedFilters: \[.*In\(enclosing_id", plan_of(outgoing)) and all("refs_by_enclosing" in x for x in outgoing.inputFiles())
+
+
+def test_many_keys_are_joined_instead(spark, monkeypatch):
+    from sparkloom.plans import layouts
 
+    names = ("q7_references_strict", "q8_references_outgoing", "q6_references_bare", "q13_find_callees")
+    rows = lambda: [sorted(map(str, queries.queries()[n](spark, SF).collect())) for n in names]
+    few = rows()
+    monkeypatch.setattr(layouts, "FEW_KEYS", 0)
+    monkeypatch.setattr(lookup, "FEW_ROWS", 0)
+    assert rows() == few and any(few)
+    lookup.release(spark)
+
+
+def test_postings_answer_as_the_texts_do(spark):
+    rows = [(1, "red_red_widget", "a::red", "a red, red widget"), (2, "Widget", None, "Red? WIDGETS red"), (3, "x", "red.widget", None), (4, None, None, None), (5, "été_9", "9", "widget red red widget")]
+    s = spark.createDataFrame(rows, "id long, name string, qualified string, doc string")
+    words = fts.postings(s, ["name", "qualified", "doc"])
+    for q in ("red", "wid*", '"red widget"', '"red red"', '"red wid"*', "red widget", '"red red widget" x', '"widget red" 9', "ÉTÉ", "none", '"a red" wid*'):
+        want = [r.id for r in s.filter(fts.matches(q, [F.col(c) for c in ("name", "qualified", "doc")])).orderBy("id").collect()]
+        assert [r.id for r in fts.search(words, q).orderBy("id").collect()] == want, q
+
+
+def test_filters_reach_the_scan(spark):
     plan = queries.queries()["q14_outline_file"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan
     scan = Facts(spark, SF).part.filter("p_size = 3").select("p_name")._jdf.queryExecution().executedPlan().toString()
