@@ -6,16 +6,15 @@ class is embedded as ``WIDTH`` minimum hashes (its tokens are the first ``TOKENS
 a token with the probability of their similarity.
 
 A run starts from the root; each node of its tree samples one or two tokens (1 / similarity on average, by a hash of the node's
-path) and deals its sets by the values there. Buckets of up to ``SMALL`` sets are brute-forced; larger ones are split
-again, up to ``DEPTH`` levels; what is still large then is brute-forced in blocks. ``runs``
-follows from the target recall and the chance that a pair at the threshold stays together over all levels. Brute
-force compares sketches (a byte of each minimum hash) and accepts ``SLACK`` below the threshold, some 4.5
-standard deviations, and each bucket yields a forest, not its pairs.
+path) and deals its sets by the values there. Buckets of up to ``SMALL`` sets and ``BUCKET_HASHES`` hashes are brute-forced; larger ones are split
+again, up to ``DEPTH`` levels; what is still large then is brute-forced in pairs of blocks. ``runs``
+follows from the target recall and the chance that a pair at the threshold stays together over all levels.
 
-The components of those forests hold every candidate pair. Within each, all pairs are compared exactly on their
-whole sets, in blocks of bounded size, which yields for each class its number of
-links and a forest of true links; pairs are never emitted. The work for a group of different texts that are all near each other grows with its square, as
-its links do, but in tasks of bounded memory.
+Brute force is done twice, each time inside the buckets. Two sets that share several buckets belong to the one with the smallest number alone: every set carries the numbers of its
+buckets, so a task knows its own pairs. First sketches (a byte of each minimum hash) are compared, with ``SLACK`` below the threshold, some 4.5
+standard deviations; sets with a near partner of their own in a bucket go on. Then their whole sets meet in that bucket and all of its own pairs are compared exactly. A bucket yields the number of
+links of each set and a forest of them; pairs are never emitted, and pairs that share no bucket are never compared. Large buckets all of whose sets also share another one own nothing and are left out.
+The work for a group of different texts that are all near each other grows with its square, as its links do, but in tasks of bounded memory.
 
 Cases: rows with a null id take no part (class_id and text_class null, no links); a null text, or one
 without a word, has an empty set, is like no other and has its own id as class. Repeated rows (same id, same text) are copies of one another.
@@ -32,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ TOKENS = 64
 SMALL, DEPTH = 512, 5
 TARGET_RECALL = 0.995
 SLACK = 0.16
-#: Sets and hashes of a block of the exact check.
-BLOCK_SETS, BLOCK_HASHES = 256, 2_000_000
+#: Hashes of all sets of a bucket, and of two groups of sets that are compared at once.
+BUCKET_HASHES, AT_ONCE = 4_000_000, 2_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -148,38 +148,56 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-def near_forests(members: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of a forest over the near pairs of each bucket, from (bucket, node, n, sketch)."""
+class Owners:
+    """Tells which pairs of a bucket's members are its own, from the numbers of all buckets of each."""
+
+    def __init__(self, bucket: int, lists: pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+        of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        ids = lists.flatten().to_numpy()
+        of, ids = of[ids < bucket], ids[ids < bucket]
+        _, column, count = np.unique(ids, return_inverse=True, return_counts=True)
+        shared = count > 1
+        keep = shared[column]
+        of, column = of[keep], (np.cumsum(shared) - 1)[column[keep]]
+        self.bits = np.zeros((len(lists), max(1, (int(shared.sum()) + 63) // 64)), np.uint64)
+        np.bitwise_or.at(self.bits, (of, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+
+    def own(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Whether member i and each of the members j share no bucket with a smaller number."""
+        return ~(self.bits[i] & self.bits[j]).any(axis=1)
+
+
+def with_partners(members: DataFrame, similarity: float) -> DataFrame:
+    """(pair, bucket, block, other, node) of the members (and buckets, n, sketch) that have a near partner of their own in a bucket or pair of blocks."""
     least = math.floor(WIDTH * (similarity - SLACK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
-        for t in groups(batches, "bucket"):
-            if len(t) > 1:
-                nodes = t.column("node").to_pylist()
-                x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
-                n = t.column("n").to_numpy()
-                pairs_a, pairs_b = [], []
-                for i in range(len(x) - 1):
-                    fits = (x[i + 1 :] == x[i]).sum(axis=1) >= least
-                    fits &= np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])
-                    j = np.flatnonzero(fits) + i + 1
-                    pairs_a.append(np.full(len(j), i))
-                    pairs_b.append(j)
-                top = roots(len(x), np.concatenate(pairs_a), np.concatenate(pairs_b))
-                out += [(nodes[i], nodes[r]) for i, r in enumerate(top) if r != i]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+        for t in groups(batches, "pair"):
+            if len(t) < 2:
+                continue
+            x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
+            n, block = t.column("n").to_numpy(), t.column("block").to_numpy()
+            across = t.column("block")[0].as_py() != t.column("other")[0].as_py()
+            owners, partner = Owners(t.column("bucket")[0].as_py(), t.column("buckets")), np.zeros(len(x), bool)
+            for i in range(len(x) - 1):
+                fits = (x[i + 1 :] == x[i]).sum(axis=1) >= least
+                fits &= np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])
+                if across:
+                    fits &= block[i + 1 :] != block[i]
+                j = np.flatnonzero(fits) + i + 1
+                j = j[owners.own(i, j)]
+                partner[j] = True
+                partner[i] |= len(j) > 0
+            if partner.any():
+                yield from t.filter(pa.array(partner)).select(["pair", "bucket", "block", "other", "node"]).combine_chunks().to_batches()
 
-    dealt = members.select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    dealt = members.repartition("pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(run, "pair long, bucket long, block long, other long, node binary")
 
 
-def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Forest edges over the candidate pairs of classes (node, n, signature, sketch)."""
+def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, size, hashes) of the buckets of classes (node, n, signature) that are not split again, and those of them that are still large."""
     two = 1 / similarity - 1
     rng = np.random.default_rng(7)
     starts = [(run, int(i)) for run in range(runs_for(recall, similarity)) for i in rng.choice(TOKENS, 1 + (rng.random() < two), replace=False)]
@@ -189,38 +207,49 @@ def chosen_paths(classes: DataFrame, similarity: float, recall: float) -> DataFr
         return F.substring("signature", i * 4 + 1, 4)
 
     keys = F.array(*[F.xxhash64(F.lit(run), F.lit(i), token(i)) for run, i in starts])
-    level = classes.select("node", F.explode(keys).alias("bucket"))
-    sketches = classes.select("node", "n", "sketch")
+    level = classes.select("node", "n", F.explode(keys).alias("bucket"))
     signatures = classes.select("node", "signature")
-    edges: DataFrame | None = None
+    fits = (F.col("size") <= SMALL) & (F.col("hashes") <= BUCKET_HASHES)
+    small: DataFrame | None = None
     for depth in range(1, DEPTH + 1):
         every = cut(level, "every")
         # sizes are a table of their own, so that the join below can split a bucket that holds many of the rows
-        sizes = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-        level = cut(every.join(sizes.hint("merge"), "bucket"), "level")
+        sizes = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).filter("size > 1"), "sizes")
+        level = cut(every.join(sizes.hint("merge"), "bucket").select("bucket", "node", "n", "size", "hashes"), "level")
         discard(every, sizes)
-        small = level.filter(F.col("size") <= SMALL)
-        found = cut(near_forests(small.hint("merge").join(sketches, "node"), similarity), "forest")
-        edges = found if edges is None else edges.unionAll(found)
-        large = level.filter(F.col("size") > SMALL)
-        if large.isEmpty():
-            return edges
+        done = level.filter(fits).select("bucket", "node", "size", "hashes")
+        small = done if small is None else small.unionAll(done)
+        large = level.filter(~fits)
         if depth < DEPTH:
+            if large.isEmpty():
+                break
             # the node's own samples: one token always, a second with probability 1 / similarity - 1
             first = F.pmod(F.xxhash64("bucket", F.lit("first")), F.lit(TOKENS)).cast("int")
             second = F.pmod(first + 1 + F.pmod(F.xxhash64("bucket", F.lit("second")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
             more = F.pmod(F.xxhash64("bucket", F.lit("two")), F.lit(1 << 20)) < int(two * (1 << 20))
             key = lambda i: F.xxhash64("bucket", i, F.substring(F.col("signature"), i * 4 + 1, F.lit(4)))
             next_keys = F.when(more, F.array(key(first), key(second))).otherwise(F.array(key(first)))
-            level = large.join(signatures, "node").select("node", F.explode(next_keys).alias("bucket"))
-    # still large at the last level: blocks, every pair of blocks a bucket
-    n_blocks = F.ceil(F.col("size") / SMALL)
-    own = F.pmod(F.xxhash64("node", "bucket"), n_blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
-    blocks = large.withColumn("_own", own).select("node", "bucket", "_own", other.alias("_other"))
-    pair = F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    found = cut(near_forests(blocks.select("node", pair.alias("bucket")).join(sketches, "node"), similarity), "forest")
-    return edges.unionAll(found)
+            level = large.join(signatures, "node").select("node", "n", F.explode(next_keys).alias("bucket"))
+    return small, large.select("bucket", "node", "size", "hashes")
+
+
+def dealt_members(classes: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(pair, bucket, block, other, node) of each bucket, or pair of blocks of a large one, and its members; and (node, buckets), all that a member is in."""
+    small, large = chosen_paths(classes, similarity, recall)
+    final = small.unionAll(large)
+    lists = cut(final.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")), "lists")
+    # large buckets whose sets all share a bucket with a smaller number own no pair
+    shared = large.join(lists, "node").select("bucket", "size", F.explode(F.filter("buckets", lambda x: x < F.col("bucket"))).alias("less"))
+    covered = shared.groupBy("bucket", "less").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter("n = size").select("bucket").distinct()
+    large = large.join(covered, "bucket", "left_anti")
+    zero = F.lit(0).cast("long")
+    whole = small.select(F.col("bucket").alias("pair"), "bucket", zero.alias("block"), zero.alias("other"), "node")
+    n_blocks = F.greatest(F.ceil(F.col("size") / SMALL), F.ceil(F.col("hashes") / BUCKET_HASHES))
+    blocks = large.withColumn("_own", F.pmod(F.xxhash64("node", "bucket"), n_blocks)).withColumn("_j", F.explode(F.sequence(zero, n_blocks - 1)))
+    low, high = F.least("_own", "_j"), F.greatest("_own", "_j")
+    # of a pair of blocks, block is the member's own; a block beside itself has equal ones
+    halves = blocks.select(F.xxhash64("bucket", low, high).alias("pair"), "bucket", F.col("_own").alias("block"), F.col("_j").alias("other"), "node")
+    return whole.unionAll(halves), lists
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -244,8 +273,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def slices_of(sizes: np.ndarray, members: np.ndarray) -> Iterator[np.ndarray]:
+    """Members in groups of so many hashes, or one."""
+    at = np.cumsum(sizes[members]) // (AT_ONCE // 2)
+    return iter(np.split(members, np.flatnonzero(np.diff(at)) + 1))
+
+
 def true_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(node, links, texts, root) per block pair, from (pair, left, block, node, copies, hashes)."""
+    """(node, links, texts, root) per bucket or pair of blocks, from (pair, bucket, block, other, node, buckets, copies, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, int, bytes]] = []
@@ -259,23 +294,32 @@ def true_links(members: DataFrame, similarity: float) -> DataFrame:
             sizes = np.array([len(s) for s in sets])
             block, other = t.column("block").to_numpy(), t.column("other").to_numpy()
             one = block[0] == other[0]  # pairs within a block
-            a = np.arange(len(sets)) if one else np.flatnonzero(block == block.min())
-            b = a if one else np.flatnonzero(block != block.min())
-            if len(a) and len(b) and len(sets) > 1:
-                common = overlaps([sets[i] for i in a], [sets[i] for i in b])
-                both = sizes[a][:, None] + sizes[b][None, :] - common
-                link = common >= similarity * both
-                if one:
-                    np.fill_diagonal(link, False)
-                i, j = np.nonzero(link)
+            left = np.arange(len(sets)) if one else np.flatnonzero(block == block.min())
+            right = left if one else np.flatnonzero(block != block.min())
+            if len(left) and len(right) and len(sets) > 1:
+                owners = Owners(t.column("bucket")[0].as_py(), t.column("buckets"))
                 links, texts = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-                np.add.at(links, a[i], copies[b[j]])
-                np.add.at(texts, a[i], 1)
-                if not one:
-                    np.add.at(links, b[j], copies[a[i]])
-                    np.add.at(texts, b[j], 1)
-                top = roots(len(sets), a[i], b[j])
-                out += [(nodes[k], int(links[k]), int(texts[k]), nodes[top[k]]) for k in np.flatnonzero(texts).tolist()]
+                pairs_a, pairs_b = [], []
+                for a in slices_of(sizes, left):
+                    for b in slices_of(sizes, right):
+                        if one and a[0] > b[0]:
+                            continue
+                        common = overlaps([sets[i] for i in a], [sets[i] for i in b])
+                        link = common >= similarity * (sizes[a][:, None] + sizes[b][None, :] - common)
+                        for k in np.flatnonzero(link.any(axis=1)).tolist():
+                            j = b[link[k]]
+                            j = j[j > a[k]] if one else j
+                            j = j[owners.own(a[k], j)]
+                            links[a[k]] += copies[j].sum()
+                            texts[a[k]] += len(j)
+                            links[j] += copies[a[k]]
+                            texts[j] += 1
+                            if len(j):
+                                pairs_a.append(np.full(len(j), a[k]))
+                                pairs_b.append(j)
+                if pairs_a:
+                    top = roots(len(sets), np.concatenate(pairs_a), np.concatenate(pairs_b))
+                    out += [(nodes[k], int(links[k]), int(texts[k]), nodes[top[k]]) for k in np.flatnonzero(texts).tolist()]
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
@@ -330,19 +374,13 @@ def _join(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     classes = cut(classes, "classes")
     nodes = cut(embedded.select("doc_id", "node"), "nodes")
     discard(embedded)
-    small = cut(classes.select("node", "rep", "copies", "n"), "small")
-    candidates = components(chosen_paths(classes.select("node", "n", "signature", "sketch"), similarity, recall))
-
-    discard(classes)
-    # blocks of each candidate component, bounded in sets and in hashes
-    wanted = cut(candidates.withColumnRenamed("root", "_of").join(small, "node"), "wanted")
-    sums = wanted.groupBy("_of").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("_blocks"))
-    wanted = wanted.join(sums, "_of").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    with_sets = cut(sets_of(docs, wanted.select("rep", "node", "copies", "_of", "block", "_blocks")), "sets")
-    paired = with_sets.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    low, high = F.least("block", "_j"), F.greatest("block", "_j")
-    paired = paired.select(F.xxhash64("_of", low, high).alias("pair"), "block", F.col("_j").alias("other"), "node", "copies", "hashes")
-    linked = cut(true_links(paired, similarity), "links")
+    small = cut(classes.select("node", "rep", "copies"), "small")
+    members, lists = dealt_members(classes.select("node", "n", "signature"), similarity, recall)
+    about = cut(classes.select("node", "n", "sketch").join(lists, "node"), "about")
+    partners = cut(with_partners(members.join(about.hint("merge"), "node"), similarity), "partners")
+    wanted = cut(partners.join(small, "node").join(lists, "node"), "wanted")
+    discard(classes, about, partners)
+    linked = cut(true_links(sets_of(docs, wanted), similarity), "links")
     tops = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     totals = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     ids = small.join(tops, "node").join(totals, "node", "left")

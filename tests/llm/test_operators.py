@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,11 +234,12 @@ def true_links(docs, similarity=0.8):
     return sets, links
 
 
-def test_links_and_classes_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hashes", [4_000_000, 300])
+def test_links_and_classes_against_brute_force(spark, monkeypatch, hashes):
     docs = near_copies(14, 1)
     sets, links = true_links(docs)
     monkeypatch.setattr(jaccard_join, "SMALL", 6)  # so that splitting and blocks are used
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "BUCKET_HASHES", hashes)
     got = {r.doc_id: r for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want, found = sum(map(len, links.values())), sum(r.n_links for r in got.values())
     assert found <= want and found >= 0.99 * want
@@ -250,6 +252,35 @@ def test_links_and_classes_against_brute_force(spark, monkeypatch):
             assert all(got[j].class_id == r.class_id for j in links[i])
 
 
+def test_pairs_that_share_no_bucket_are_not_compared(spark):
+    """A chain of texts, each 0.72 like the next and none a link: near candidates, but no group grows along the chain."""
+    n, step = 600, 8
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in range(k * step, k * step + 48 + 4))) for k in range(n)], "doc_id long, text string")
+    classes = jaccard_join.embed(docs)
+    members, lists = jaccard_join.dealt_members(classes.select("node", "n", "signature"), 0.8, 0.995)
+    rows = members.join(classes.select("node", "n", "sketch"), "node").join(lists, "node")
+    sizes = [r["count"] for r in jaccard_join.with_partners(rows, 0.8).groupBy("pair").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 30
+    assert jaccard_join.join(docs).agg({"n_links": "sum"}).first()[0] == 0
+
+
+def test_each_pair_has_one_owner():
+    rng = np.random.default_rng(2)
+    lists = [sorted({int(b) for b in rng.integers(-5, 40, rng.integers(0, 12))} | {20}) for _ in range(60)]
+    for chunks in ([lists], [lists[:7], lists[7:]]):
+        column = pa.chunked_array([pa.array(c, pa.list_(pa.int64())) for c in chunks])
+        owners = jaccard_join.Owners(20, column)
+        for i in range(len(lists)):
+            want = [min(set(lists[i]) & set(lists[j])) == 20 for j in range(len(lists))]
+            assert owners.own(i, np.arange(len(lists))).tolist() == want
+
+
+def test_slices_hold_so_many_hashes(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 20)
+    got = [x.tolist() for x in jaccard_join.slices_of(np.array([4, 30, 3, 3, 5, 2, 9]), np.array([0, 1, 2, 3, 4, 5, 6]))]
+    assert sum(got, []) == list(range(7)) and len(got) > 2
+
+
 def test_runs_follow_from_recall_and_depth():
     assert jaccard_join.survival(0.8, 1) == pytest.approx(0.84)
     assert jaccard_join.runs_for(0.999) > jaccard_join.runs_for(0.9) >= 1
