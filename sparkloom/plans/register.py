@@ -3,6 +3,10 @@
 A store is a folder. Facts are addressed by content: a registration parses only units (blob, parser) that are new or have another
 parser revision, and writes them as a generation of their own; a unit's row in ``blobs`` names the generation that holds its facts.
 A pointer file, written last, names what readers see: they see all of a registration or nothing of it.
+
+``blobs`` and ``manifest_entries`` are logs: a registration adds what it changes. Of a unit the row of the latest generation counts, and one without a revision says that it is gone; entries
+of manifests that are gone are not seen. ``compact`` writes what is live anew, sorted by the names of lookups and in the layouts of ``layouts.SECOND``; a registration does so every ``COMPACT_AFTER`` generations. Facts
+that are newer than a layout are added to it as it is read. Whether a snapshot is the one before is told by fingerprints, kept with the manifests.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import json
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import language_of
 from sparkloom.operators import admin, extract, resolution
 from sparkloom.plans import snapshots
+from sparkloom.plans.layouts import SECOND, made
 from sparkloom.sources import worktree
 
 #: Of each parser; facts of another revision are made anew.
@@ -32,10 +38,18 @@ SCHEMAS = {
     "resolutions": "id long, site_blob_sha string, site_parser_id string, site_byte_start long, site_byte_end long, kind string, semantic_kind string, target_symbol_id long, source string, target_path string, manifest_id long, generation long",
     "errors": f"{UNIT}, name string, doc string, generation long",
     "blobs": f"{UNIT}, parser_revision int, parsed_at_ns long, analyzer_id string, analyzer_revision int, generation long",
-    "manifests": "manifest_id long, kind string, commit_sha string, built_at_ns long",
+    "manifests": "manifest_id long, kind string, commit_sha string, built_at_ns long, fingerprint string",
     "manifest_entries": "manifest_id long, path string, blob_sha string",
     "anchors": "anchor_name string, manifest_id long, last_updated_ns long, reconcile_generation long",
 }
+#: Tables that generations add to; the others are small and written whole.
+LOGS = ("blobs", "manifest_entries")
+#: Order of compacted tables.
+ORDER = {
+    "symbols": ("qualified", "id"), "refs": ("target_name", "id"), "implementations": ("interface_qualified", "id"), "imports": ("blob_sha", "id"),
+    "resolutions": ("site_blob_sha", "site_byte_start", "id"), "errors": ("blob_sha", "parser_id"), "blobs": ("blob_sha", "parser_id"), "manifest_entries": ("manifest_id", "path"),
+}
+COMPACT_AFTER = 16
 FACTS = ("symbols", "refs", "implementations", "imports", "resolutions", "errors")
 
 
@@ -93,27 +107,65 @@ class Store:
         latest = max(int(s.getPath().getName()) for s in fs.listStatus(at))
         return json.loads(self.spark.read.text(f"{self.root}/published/{latest}").first()[0])
 
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
     def __getattr__(self, name: str) -> DataFrame:
+        if name in SECOND:
+            return self._live(self._layout(name))
         if name not in SCHEMAS:
             raise AttributeError(name)
         paths = self.live["tables"].get(name, [])
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
-        if name not in FACTS:
+        df = self._read(name, paths)
+        if name in FACTS:
+            return self._live(df)
+        if name == "blobs" and len(paths) > 1:
+            rest = [c for c in df.columns if c not in ("blob_sha", "parser_id")]
+            last = df.groupBy("blob_sha", "parser_id").agg(F.max_by(F.struct(*rest), "generation").alias("_last"))
+            df = last.select("blob_sha", "parser_id", "_last.*").select(*df.columns)
+        if name == "blobs":
+            return df.filter("parser_revision IS NOT NULL")
+        if name == "manifest_entries" and self.live.get("removed"):
+            return df.join(self.manifests.select("manifest_id"), "manifest_id", "left_semi")
+        return df
+
+    def _live(self, df: DataFrame) -> DataFrame:
+        """Facts without those of units that were parsed again or pruned. As long as no unit ever was, these are all."""
+        if not self.live.get("dead"):
             return df
-        # facts of a unit that was parsed again, or pruned, are not seen
-        unit = [c.replace("blob_sha", "site_blob_sha").replace("parser_id", "site_parser_id") if name == "resolutions" else c for c in ("blob_sha", "parser_id")]
+        unit = ["site_blob_sha", "site_parser_id"] if "site_blob_sha" in df.columns else ["blob_sha", "parser_id"]
         live = self.blobs.select(F.col("blob_sha").alias(unit[0]), F.col("parser_id").alias(unit[1]), "generation")
         return df.join(live, [*unit, "generation"], "left_semi").select(*df.columns)
 
-    def publish(self, facts: dict[str, DataFrame], state: dict[str, DataFrame]) -> int:
-        """Write a generation: ``facts`` are added, ``state`` tables take the place of what they were. The pointer comes last."""
+    def _layout(self, name: str) -> DataFrame:
+        """A layout as it was compacted, and the facts that came later."""
+        table = SECOND[name][0]
+        done = self.live.get("layouts", {}).get(name)
+        paths = self.live["tables"].get(table, [])
+        if done is None:
+            return made(name, self._read(table, paths))
+        newer = made(name, self._read(table, [p for p in paths if p != done["of"]]))
+        old = self.spark.read.schema(newer.schema).parquet(done["path"])
+        return old if paths == [done["of"]] else old.unionByName(newer)
+
+    def _write(self, df: DataFrame, name: str, n: int, order: tuple[str, ...] = ()) -> str:
+        path = f"{self.root}/{name}/{n}"
+        df = df.hint("rebalance", order[0]).sortWithinPartitions(*order) if order else df
+        df.write.mode("overwrite").parquet(path)  # of a registration that failed before its pointer
+        return path
+
+    def publish(self, added: dict[str, DataFrame], state: dict[str, DataFrame], **more) -> int:
+        """Write a generation: ``added`` goes to facts and logs, ``state`` tables take the place of what they were. The pointer comes last, with what else it is to hold."""
         n = self.live["generation"] + 1
         tables = dict(self.live["tables"])
-        for name, df in {**facts, **state}.items():
-            path = f"{self.root}/{name}/{n}"
-            df.write.mode("overwrite").parquet(path)  # of a registration that failed before its pointer
-            tables[name] = [*tables.get(name, []), path] if name in facts else [path]
-        live = {"generation": n, "tables": tables}
+        for name, df in added.items():
+            tables[name] = [*tables.get(name, []), self._write(df, name, n, ORDER[name])]
+        for name, df in state.items():
+            tables[name] = [self._write(df, name, n)]
+        return self._point(n, tables, **more)
+
+    def _point(self, n: int, tables: dict[str, list[str]], **more) -> int:
+        live = {**self.live, **more, "generation": n, "tables": tables}
         fs, at = self._fs(f"{self.root}/published/{n}")
         if fs.exists(at):
             raise RuntimeError(f"generation {n} was published meanwhile")
@@ -123,6 +175,36 @@ class Store:
         self.live = live
         return n
 
+    def compact(self) -> int:
+        """Write what is live as one sorted table each, and the layouts. Readers of older pointers keep the files they name."""
+        n = self.live["generation"] + 1
+        tables = dict(self.live["tables"])
+        for name in (*FACTS, *LOGS):
+            tables[name] = [self._write(getattr(self, name), name, n, ORDER[name])]
+        layouts = {}
+        for name, (table, order, _) in SECOND.items():
+            rows = made(name, self._read(table, tables[table]))
+            layouts[name] = {"of": tables[table][0], "path": self._write(rows, name, n, order)}
+        return self._point(n, tables, layouts=layouts, removed=False, dead=False)
+
+    def vacuum(self) -> int:
+        """Delete files that the latest pointer does not name; readers of older pointers lose theirs. Returns how many generations of tables went."""
+        named = {p for paths in self.live["tables"].values() for p in paths} | {x["path"] for x in self.live.get("layouts", {}).values()}
+        gone = 0
+        for name in (*SCHEMAS, *SECOND):
+            fs, at = self._fs(f"{self.root}/{name}")
+            for s in fs.listStatus(at) if fs.exists(at) else ():
+                if f"{self.root}/{name}/{s.getPath().getName()}" not in named:
+                    fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone
+
+
+def fingerprint(entries: DataFrame) -> str:
+    """Of the files (path, blob_sha) of a snapshot, whatever their order: their number and sums of two hashes of each. Added up in parts, so nothing is shuffled but those."""
+    sums = [F.sum(F.xxhash64(*x).cast("decimal(38,0)")) for x in (("path", "blob_sha"), (F.lit(1), "blob_sha", "path"))]
+    return ":".join(str(x or 0) for x in entries.agg(F.count(F.lit(1)), *sums).first())
+
 
 def with_parsers(files: DataFrame) -> DataFrame:
     """Files (path, blob_sha, content) that some parser takes, with its id."""
@@ -149,9 +231,10 @@ def register_files(store: Store, files: DataFrame, anchor: str, now_ns: int, com
         n = store.live["generation"] + 1
         parsed = todo.count()
         facts = fact_tables(extract.extract_units(todo), n)
-        blobs = store.blobs.join(todo.select("blob_sha", "parser_id"), ["blob_sha", "parser_id"], "left_anti").select(*store.blobs.columns)
-        blobs = blobs.unionByName(shaped(todo.select("*", F.lit(now_ns).alias("parsed_at_ns"), F.lit(n).alias("generation")), "blobs"))
-        manifests, entries, anchors = store.manifests, store.manifest_entries, store.anchors
+        again = todo.join(store.blobs.select("blob_sha", "parser_id"), ["blob_sha", "parser_id"], "left_semi")
+        dead = bool(store.live.get("dead")) or not again.isEmpty()
+        blobs = shaped(todo.select("*", F.lit(now_ns).alias("parsed_at_ns"), F.lit(n).alias("generation")), "blobs")
+        manifests, anchors = store.manifests, store.anchors
         last = manifests.agg(F.max("manifest_id")).first()[0] or 0
         known = None if commit is None else manifests.filter(F.col("commit_sha") == commit).select("manifest_id").first()
         rows, more = [], []
@@ -159,27 +242,30 @@ def register_files(store: Store, files: DataFrame, anchor: str, now_ns: int, com
         if commit is not None and known is None:
             last += 1
             at_head = last
-            rows.append((at_head, "committed", commit, now_ns))
+            rows.append((at_head, "committed", commit, now_ns, fingerprint(own.select("path", "blob_sha"))))
             more.append(own.select(F.lit(at_head).cast("long").alias("manifest_id"), "path", "blob_sha"))
         prior = anchors.filter(F.col("anchor_name") == anchor).select("manifest_id").first()
         new = kept.select("path", "blob_sha")
-        reused = False
+        mark, reused = fingerprint(new), False
         if prior is not None and not force:
-            before = snapshots.entries_of(entries, prior[0])
-            reused = before.exceptAll(new).isEmpty() and new.exceptAll(before).isEmpty()
+            before = manifests.filter(F.col("manifest_id") == prior[0]).select("fingerprint").first()
+            reused = before is not None and before[0] == mark
         tentative = prior[0] if reused else last + 1
         if not reused:
-            rows.append((tentative, "tentative", None, now_ns))
+            rows.append((tentative, "tentative", None, now_ns, mark))
             more.append(new.select(F.lit(tentative).cast("long").alias("manifest_id"), "path", "blob_sha"))
-        for extra in more:
-            entries = entries.unionByName(extra)
         if rows:
             manifests = manifests.unionByName(store.spark.createDataFrame(rows, SCHEMAS["manifests"]))
         for name, manifest in (("HEAD", at_head), (f"branch/{branch}" if branch else None, at_head), (anchor, tentative)):
             if name is not None and manifest is not None:
                 anchors = snapshots.upsert_anchor(anchors, name, manifest, now_ns, generation if name == anchor else None)
-        state = {"blobs": blobs, "manifests": manifests, "manifest_entries": entries, "anchors": anchors}
-        return Outcome(at_head, tentative, parsed, reused, store.publish(facts, state))
+        added = {**facts, "blobs": blobs} if parsed else {}
+        if more:
+            added["manifest_entries"] = reduce(lambda a, b: a.unionByName(b), more)
+        done = store.publish(added, {"manifests": manifests, "anchors": anchors}, dead=dead)
+        if max(map(len, store.live["tables"].values())) > COMPACT_AFTER:
+            done = store.compact()
+        return Outcome(at_head, tentative, parsed, reused, done)
     finally:
         kept.unpersist()
         todo.unpersist()
@@ -222,5 +308,5 @@ def remove_anchors(store: Store, names: list[str]) -> int:
     anchors = store.anchors.filter(~F.col("anchor_name").isin(*names))
     live = anchors.select("manifest_id").distinct()
     entries = store.manifest_entries.join(live, "manifest_id", "left_semi")
-    blobs = store.blobs.join(entries.select("blob_sha").distinct(), "blob_sha", "left_semi").select(*store.blobs.columns)
-    return store.publish({}, {"anchors": anchors, "manifests": store.manifests.join(live, "manifest_id", "left_semi"), "manifest_entries": entries, "blobs": blobs})
+    gone = store.blobs.join(entries.select("blob_sha").distinct(), "blob_sha", "left_anti").withColumns({"parser_revision": F.lit(None), "generation": F.lit(store.live["generation"] + 1)})
+    return store.publish({"blobs": shaped(gone, "blobs")}, {"anchors": anchors, "manifests": store.manifests.join(live, "manifest_id", "left_semi")}, removed=True, dead=True)

@@ -1,6 +1,7 @@
 """Extractors, ignore rules, linearisation and text functions on small inputs."""
 
 import subprocess
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,58 @@ def test_a_worktree_is_registered_and_asked(spark, tmp_path):
     assert {r.anchor_name for r in store.anchors.collect()} == {"HEAD", "branch/main"} and store.symbols.filter("name = 'more'").count() == 0
 
 
+def test_a_store_grows_with_its_changes_and_is_compacted(spark, tmp_path, monkeypatch):
+    from sparkloom.functions.text import git_sha
+
+    def files(rows):
+        df = spark.createDataFrame([(p, bytearray(c.encode())) for p, c in rows], "path string, content binary")
+        return df.withColumn("blob_sha", git_sha(F.col("content")))
+
+    def size(path):
+        return sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+
+    root = f"file://{tmp_path}/store"
+    store = register.Store(spark, root)
+    rows = {f"d/f{k}.py": f"def widget_{k}(): return {k}\n" for k in range(200)}
+    register.register_files(store, files(rows.items()), "tentative/1", 1)
+    whole, sizes = size(tmp_path / "store" / "symbols" / "1") + size(tmp_path / "store" / "blobs" / "1"), []
+    for n in range(2, 5):
+        rows[f"d/f{n}.py"] = f"def widget_{n}(): return changed\n"
+        done = register.register_files(store, files(rows.items()), "tentative/1", n)
+        assert (done.blobs_parsed, done.reused) == (1, False)
+        sizes.append(size(tmp_path / "store" / "symbols" / str(n)) + size(tmp_path / "store" / "blobs" / str(n)))
+    assert max(sizes) < whole and not (tmp_path / "store" / "symbols" / "9").exists()
+    again = register.register_files(store, files(reversed(list(rows.items()))), "tentative/1", 9)
+    assert again.reused and again.blobs_parsed == 0
+    forced = register.register_files(store, files(list(rows.items())[:150]), "tentative/2", 10)
+
+    def seen(s):
+        manifest = snapshots.resolve(s.anchors, "tentative/1")
+        words = sorted((r.name, r.path) for r in lookup.find_symbols(s, manifest, "widget 3", fuzzy=True, limit=1000).collect())
+        return words, sorted(r.name for r in lookup.find_symbols(s, manifest, "widget_7").collect()), s.symbols.count(), s.blobs.count(), s.manifest_entries.count()
+
+    before = seen(store)
+    assert before[0] == [("widget_3", "d/f3.py")] and before[1] == ["widget_7"] and before[4] == 4 * 200 + 150
+    n = store.compact()
+    assert all(len(p) == 1 for p in store.live["tables"].values()) and n == forced.generation + 1
+    assert seen(store) == before and seen(register.Store(spark, root)) == before
+    assert store.vacuum() > 10 and seen(register.Store(spark, root)) == before
+    # facts that are newer than the layouts are seen; what is taken back is not
+    rows["d/new.py"] = "def widget_new(): pass\n"
+    register.register_files(store, files(rows.items()), "tentative/3", 11)
+    manifest = snapshots.resolve(store.anchors, "tentative/3")
+    assert [r.path for r in lookup.find_symbols(store, manifest, "widget new", fuzzy=True).collect()] == ["d/new.py"]
+    assert [r.path for r in lookup.find_symbols(store, manifest, "widget_new").collect()] == ["d/new.py"]
+    register.remove_anchors(store, ["tentative/3"])
+    assert store.symbols.filter("name = 'widget_new'").count() == 0 and store.blobs.count() == before[3] - 3  # and the contents of older manifests
+    again = register.register_files(store, files(rows.items()), "tentative/3", 12)
+    assert again.blobs_parsed >= 1 and store.symbols.filter("name = 'widget_new'").count() == 1
+    monkeypatch.setattr(register, "COMPACT_AFTER", 1)
+    rows["d/last.py"] = "def last(): pass\n"
+    register.register_files(store, files(rows.items()), "tentative/3", 13)
+    assert len(store.live["tables"]["symbols"]) == 1 and store.symbols.filter("name = 'widget_new'").count() == 1
+
+
 def test_bases_constructors_and_fields():
     facts = lambda language, source: extract.facts_of(language, source)
     cpp = facts("cpp", b"class A : public B, private C {\n};\nstruct D : E {\n};\n")
