@@ -1,38 +1,73 @@
 """Ancestor chains of types, by each language's own rule, with bounded walks; and their use to dispatch calls.
 
-Edges are grouped by workspace: the group, one snapshot's class edges, is what one task holds.
+The ancestors of all classes are found together, by doubling: who is reached in at most 1, 2, 4 ... steps. A class's own edges and those of its ancestors then meet, so what a task holds at
+a time is one class with its ancestors, whatever the size of its workspace.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import written
+
 MAX_DEPTH, MAX_DFS, MAX_BFS = 64, 256, 512
 Bases = dict[str, list[str]]
 
 
-def c3(name: str, bases: Bases, depth: int = 0) -> list[str] | None:
+def height(name: str, bases: Bases) -> float:
+    """The longest way up from a class; infinite in a loop."""
+    known: dict[str, float] = {}
+    todo = [(name, iter(bases.get(name, [])))]
+    open_ = {name}
+    while todo:
+        own, rest = todo[-1]
+        p = next((p for p in rest if p not in known), None)
+        if p is None:
+            known[own] = max((known[p] + 1 for p in bases.get(own, [])), default=0)
+            open_.discard(own)
+            todo.pop()
+        elif p in open_ or len(todo) > MAX_DEPTH:
+            return float("inf")
+        else:
+            open_.add(p)
+            todo.append((p, iter(bases.get(p, []))))
+    return known[name]
+
+
+def c3(name: str, bases: Bases) -> list[str] | None:
     """Python's order; None for an inconsistent or too deep hierarchy. Bases outside the workspace stay, without ancestors."""
-    if depth > MAX_DEPTH:
-        return None
-    parents = bases.get(name, [])
-    lists = []
-    for p in parents:
-        if (own := c3(p, bases, depth + 1)) is None:
-            return None
-        lists.append(own)
-    lists = [x for x in [*lists, list(parents)] if x]
-    out = [name]
-    while lists:
-        head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
+    return _c3(name, bases, {}) if height(name, bases) <= MAX_DEPTH else None
+
+
+def _c3(name: str, bases: Bases, known: dict[str, list[str] | None]) -> list[str] | None:
+    """The bases' orders and the list of bases, merged; each class once."""
+    if name not in known:
+        parents = bases.get(name, [])
+        lists = [_c3(p, bases, known) for p in parents]
+        known[name] = None if None in lists else merged(name, [x for x in [*lists, parents] if x])
+    return known[name]
+
+
+def merged(name: str, lists: list[list[str]]) -> list[str] | None:
+    """A class and lists of others in an order that keeps that of every list, always the first head that is in no other list's tail."""
+    out, at = [name], [0] * len(lists)
+    tails: Counter[str] = Counter(x for own in lists for x in own[1:])
+    while any(k < len(own) for k, own in zip(at, lists, strict=True)):
+        head = next((own[k] for k, own in zip(at, lists, strict=True) if k < len(own) and not tails[own[k]]), None)
         if head is None:
             return None
         out.append(head)
-        lists = [y for x in lists if (y := [z for z in x if z != head])]
+        for i, own in enumerate(lists):
+            if at[i] < len(own) and own[at[i]] == head:
+                at[i] += 1
+                if at[i] < len(own):
+                    tails[own[at[i]]] -= 1
     return out
 
 
@@ -88,32 +123,73 @@ def php_order(name: str, kinds: dict[str, dict[str, list[str]]]) -> list[str]:
     return out
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(workspace, class, ancestor) of classes up to ``MAX_BFS`` steps away, a class itself only if it is in a loop."""
+    reached = written(edges.select("workspace", "class", F.col("base").alias("ancestor")).distinct(), "reached")
+    n, steps = reached.count(), 1
+    while steps < MAX_BFS:
+        on = reached.select("workspace", F.col("class").alias("ancestor"), F.col("ancestor").alias("_next"))
+        further = reached.join(on, ["workspace", "ancestor"]).select("workspace", "class", F.col("_next").alias("ancestor"))
+        reached = written(reached.unionAll(further).distinct(), "reached")
+        before, n, steps = n, reached.count(), 2 * steps
+        if n == before:
+            break
+    return reached
+
+
 def linearized(edges: DataFrame, language: str = "python") -> DataFrame:
     """(workspace, class, position, ancestor) from edges (workspace, class, base, kind, ordinal)."""
+    edges = edges.select("workspace", "class", "base", "kind", "ordinal")
+    classes = edges.select("workspace", "class").distinct()
+    around = ancestors(edges).unionAll(classes.select("workspace", "class", F.col("class").alias("ancestor"))).distinct()
+    own = around.select("workspace", F.col("class").alias("root"), F.col("ancestor").alias("class")).join(edges, ["workspace", "class"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def order_of(root: str, rows: list[tuple]) -> list[str]:
         kinds: dict[str, dict[str, list[str]]] = {}
-        for r in pdf.sort_values(["class", "ordinal", "base"]).itertuples(index=False):
-            kinds.setdefault(r[1], {}).setdefault(r.kind, []).append(r.base)
+        for c, base, kind in rows:
+            kinds.setdefault(c, {}).setdefault(kind, []).append(base)
+        if language == "ruby":
+            return ruby_order(root, kinds)
+        if language == "php":
+            return php_order(root, kinds)
         bases = {c: [b for group in k.values() for b in group] for c, k in kinds.items()}
-        order = {
-            "python": lambda c: python_order(c, bases),
-            "ruby": lambda c: ruby_order(c, kinds),
-            "php": lambda c: php_order(c, kinds),
-        }.get(language, lambda c: breadth_first(c, bases))
-        names = sorted({*bases, *(b for bs in bases.values() for b in bs)})
-        rows = [(pdf["workspace"].iloc[0], c, k, a) for c in names for k, a in enumerate(order(c))]
-        return pd.DataFrame(rows, columns=["workspace", "class", "position", "ancestor"])
+        return python_order(root, bases) if language == "python" else breadth_first(root, bases)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((r[:2], r[2:]) for b in batches for r in zip(*(b[c] for c in ("workspace", "root", "class", "base", "kind")), strict=True))
+        out = []
+        for (workspace, root), group in groupby(rows, key=lambda r: r[0]):
+            out += [(workspace, root, k, a) for k, a in enumerate(order_of(root, [r for _, r in group]))]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["workspace", "class", "position", "ancestor"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["workspace", "class", "position", "ancestor"])
+
+    dealt = own.repartition("workspace", "root").sortWithinPartitions("workspace", "root", "class", "ordinal", "base")
+    chains = dealt.mapInPandas(run, "workspace string, class string, position int, ancestor string")
+    alone = edges.select("workspace", F.col("base").alias("class")).distinct().join(classes, ["workspace", "class"], "left_anti")
+    return chains.unionAll(alone.select("workspace", "class", F.lit(0).alias("position"), F.col("class").alias("ancestor")))
+
+
+def receiver_classes(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """``calls`` (id, workspace, receiver, enclosing_class, method) with the class to look in and the position of its chain after which to look.
 
-    columns = edges.select("workspace", "class", "base", "kind", "ordinal")
-    return columns.groupBy("workspace").applyInPandas(run, "workspace string, class string, position int, ancestor string")
+    ``self`` and ``cls`` are the class around the call, ``super()`` is what follows it in its own chain; another receiver is a class by the name that it has in the workspace (names: workspace, name, class), as written or
+    imported under an alias. Of several such classes there is none."""
+    one = names.groupBy("workspace", "name").agg(F.min("class").alias("_class"), F.count_distinct("class").alias("_n")).filter("_n = 1").select("workspace", F.col("name").alias("receiver"), "_class")
+    own = F.col("receiver").isin("self", "cls", "super()")
+    found = calls.join(one, ["workspace", "receiver"], "left")
+    after = F.when(F.col("receiver") == "super()", 0).otherwise(-1)
+    return found.select(*calls.columns, F.when(own, F.col("enclosing_class")).otherwise(F.col("_class")).alias("class"), after.alias("after"))
 
 
 def dispatched(calls: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
-    """``calls`` (id, workspace, class, method) with the first ancestor that has the method (owner), if any."""
-    hits = calls.join(chains, ["workspace", "class"]).join(methods.select("workspace", F.col("class").alias("ancestor"), "method"), ["workspace", "ancestor", "method"])
+    """``calls`` (id, workspace, class, method, and after: a position of the chain) with the first ancestor (beyond that position) that has the method (owner), if any."""
+    calls = calls if "after" in calls.columns else calls.withColumn("after", F.lit(-1))
+    hits = calls.join(chains, ["workspace", "class"]).join(methods.select("workspace", F.col("class").alias("ancestor"), "method"), ["workspace", "ancestor", "method"]).filter("position > after")
     best = hits.groupBy("id").agg(F.min_by("ancestor", "position").alias("owner"))
-    return calls.join(best, "id", "left")
+    return calls.drop("after").join(best, "id", "left")
 
 
 def python_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:

@@ -708,6 +708,43 @@ w(workspace, class, position, ancestor) AS (SELECT workspace, class, 0, class FR
 SELECT workspace, class, position, ancestor FROM w""",
 )(_chains)
 
+
+
+def _calls(f: Facts) -> DataFrame:
+    """Calls in methods of a class for each customer, by turns through self, super() and a class of the workspace by its name."""
+    from sparkloom.plans.linearize import dispatched, linearized, receiver_classes
+
+    edges = f.customer.filter("c_custkey > 0").select(
+        F.col("c_nationkey").cast("string").alias("workspace"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("class"),
+        F.concat(F.lit("C"), F.floor(F.col("c_custkey") / 3).cast("string")).alias("base"), F.lit("inherit").alias("kind"), F.lit(0).alias("ordinal"),
+    )
+    own = edges.select("workspace", "class")
+    methods = own.select("workspace", "class", F.concat(F.lit("m"), F.length("class").cast("string")).alias("method"))
+    key = F.col("c_custkey")
+    receiver = F.when(key % 3 == 0, "self").when(key % 3 == 1, "super()").otherwise(F.concat(F.lit("C"), (key - 25).cast("string")))
+    calls = f.customer.filter("c_custkey > 0").select(
+        key.alias("id"), F.col("c_nationkey").cast("string").alias("workspace"), receiver.alias("receiver"), F.concat(F.lit("C"), key.cast("string")).alias("enclosing_class"),
+        F.concat(F.lit("m"), (F.length(key.cast("string")) + 1 - key % 2).cast("string")).alias("method"),
+    )
+    names = own.select("workspace", F.col("class").alias("name"), "class")
+    return dispatched(receiver_classes(calls, names), linearized(edges, "python"), methods).select("id", "receiver", "method", "class", "owner")
+
+
+query(
+    "r4_dispatched_calls",
+    """WITH RECURSIVE e AS (SELECT CAST(c_nationkey AS VARCHAR) AS workspace, 'C' || CAST(c_custkey AS VARCHAR) AS class, 'C' || CAST(c_custkey // 3 AS VARCHAR) AS base FROM customer WHERE c_custkey > 0),
+w(workspace, class, position, ancestor) AS (SELECT workspace, class, 0, class FROM (SELECT workspace, class FROM e UNION SELECT workspace, base FROM e)
+  UNION ALL SELECT w.workspace, w.class, w.position + 1, e.base FROM w JOIN e ON e.workspace = w.workspace AND e.class = w.ancestor),
+c AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS workspace, CASE c_custkey % 3 WHEN 0 THEN 'self' WHEN 1 THEN 'super()' ELSE 'C' || CAST(c_custkey - 25 AS VARCHAR) END AS receiver,
+  'C' || CAST(c_custkey AS VARCHAR) AS enclosing, 'm' || CAST(length(CAST(c_custkey AS VARCHAR)) + 1 - c_custkey % 2 AS VARCHAR) AS method FROM customer WHERE c_custkey > 0),
+t AS (SELECT c.*, CASE WHEN receiver IN ('self', 'super()') THEN enclosing ELSE e.class END AS class, CASE WHEN receiver = 'super()' THEN 0 ELSE -1 END AS after
+  FROM c LEFT JOIN e ON e.workspace = c.workspace AND e.class = c.receiver)
+SELECT t.id, t.receiver, t.method, t.class, min_by(w.ancestor, w.position) AS owner
+FROM t LEFT JOIN (SELECT w.* FROM w JOIN e ON e.workspace = w.workspace AND e.class = w.ancestor) w
+  ON w.workspace = t.workspace AND w.class = t.class AND w.position > t.after AND 'm' || CAST(length(w.ancestor) AS VARCHAR) = t.method
+GROUP BY ALL""",
+)(_calls)
+
 # ---- scoring
 
 CASES = """x AS (SELECT 'case' || CAST(doc_id % 20 AS VARCHAR) AS "case", 'f' || CAST(doc_id % 7 AS VARCHAR) AS path, doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'A::b' WHEN 1 THEN 'A.b' ELSE '::A' || chr(92) || 'b' END AS target_qualified, quality, toxic FROM labels)"""

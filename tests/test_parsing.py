@@ -1,5 +1,6 @@
 """Extractors, ignore rules, linearisation and text functions on small inputs."""
 
+import random
 import subprocess
 from pathlib import Path
 
@@ -237,6 +238,53 @@ def test_linear_orders():
     assert lin.php_order("S", php) == ["S", "T", "B", "U", "I", "J"]
 
 
+def plain_c3(name, bases):
+    """Python itself makes the class."""
+    made = {}
+
+    def make(n):
+        if n not in made:
+            made[n] = type(n, tuple(make(b) for b in bases.get(n, [])) or (object,), {})
+        return made[n]
+
+    try:
+        return [c.__name__ for c in make(name).__mro__ if c is not object]
+    except TypeError:
+        return None
+
+
+def test_orders_of_random_hierarchies_are_those_of_python(spark):
+    rnd = random.Random(5)
+    edges, want = [], {}
+    for w in range(12):
+        names = [f"K{k}" for k in range(14)]
+        bases = {n: rnd.sample(names[:k], rnd.randint(0, min(3, k))) for k, n in enumerate(names)}
+        edges += [(str(w), n, b, "inherit", i) for n, bs in bases.items() for i, b in enumerate(bs)]
+        want |= {(str(w), n): plain_c3(n, bases) or lin.depth_first(n, bases) for n in names}
+    assert sum(lin.c3(n, {c: [b for x, c2, b, _, _ in edges if x == "0" and c2 == c] for c in names}) is None for n in names) < 14
+    got = {}
+    for r in lin.linearized(spark.createDataFrame(edges, "workspace string, class string, base string, kind string, ordinal int").repartition(5)).orderBy("position").collect():
+        got.setdefault((r.workspace, r["class"]), []).append(r.ancestor)
+    assert got == {k: v for k, v in want.items() if k in got} and len(got) > 100
+
+
+def test_long_chains_and_loops_end(spark):
+    assert lin.height("A", {"A": ["B"], "B": ["A"]}) == float("inf") and lin.height("A", {"A": ["B", "C"], "B": ["C"]}) == 2
+    wide = {f"L{k}": [f"L{k + 1}", f"M{k + 1}"] for k in range(40)} | {f"M{k}": [f"L{k + 1}", f"M{k + 1}"] for k in range(1, 40)}
+    assert len(lin.python_order("L0", wide)) == 81  # each class once, whatever the number of ways
+    edges = spark.createDataFrame([("w", f"c{k}", f"c{(k + 1) % 90}", "inherit", 0) for k in range(90)], "workspace string, class string, base string, kind string, ordinal int")
+    assert lin.linearized(edges).filter("class = 'c5'").count() == 90
+
+
+def test_receivers(spark):
+    calls = spark.createDataFrame([(1, "w", "self", "B", "m"), (2, "w", "super()", "B", "m"), (3, "w", "Alias", None, "m"), (4, "w", "Two", None, "m"), (5, "w", "x", "B", "m"), (6, "w", None, "B", "m")], "id int, workspace string, receiver string, enclosing_class string, method string")
+    names = spark.createDataFrame([("w", "Alias", "A"), ("w", "Two", "A"), ("w", "Two", "B"), ("v", "x", "A")], "workspace string, name string, class string")
+    edges = spark.createDataFrame([("w", "B", "A", "inherit", 0)], "workspace string, class string, base string, kind string, ordinal int")
+    methods = spark.createDataFrame([("w", "A", "m"), ("w", "B", "m")], "workspace string, class string, method string")
+    got = {r.id: r.owner for r in lin.dispatched(lin.receiver_classes(calls, names), lin.linearized(edges), methods).collect()}
+    assert got == {1: "B", 2: "A", 3: "A", 4: None, 5: None, 6: None}
+
+
 def test_chains_and_dispatch(spark):
     edges = spark.createDataFrame([("w", "Dog", "Animal", "inherit", 0), ("w", "Puppy", "Dog", "inherit", 0)], "workspace string, class string, base string, kind string, ordinal int")
     chains = lin.linearized(edges)
