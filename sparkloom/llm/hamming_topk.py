@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments; an index row holds segment number, segment value and code. By
+A code is one or more 64-bit words, each cut into segments; an index row holds segment number, segment value and code. By
 the pigeonhole principle, once all segments were searched up to radius r, and the first j of m up to r + 1,
 every code within distance m * (r + 1) + j - 1 of a query was found. Search radii grow, segment by segment from
 radius ``BY_SEGMENT`` on, until the distance of a query's last wanted neighbour lies within what is covered; only
@@ -13,12 +13,14 @@ that a third of all rows share costs one entry, and results stay exact.
 
 Neighbours are ordered by (distance, id); a query is not its own neighbour. Cases: rows with a null id or code
 (null or empty vector) have no code and are neither found nor answered; an id that stands in several rows has the smallest of its
-codes; tables with fewer than k other ids give as many neighbours as there are; an empty table gives an empty result. Vectors
-longer than 64 raise an error.
+codes; tables with fewer than k other ids give as many neighbours as there are; an empty table gives an empty result. Vectors may have any length: codes of fewer words than the longest count as
+if zeros followed. A null number in a vector counts like one that is not positive. Columns besides id and code are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -33,20 +35,32 @@ BY_SEGMENT = 3
 
 
 def sign_code(vector: Column) -> Column:
-    """The code of a vector of at most 64 numbers: a bit for each, set if it is positive."""
-    bits = F.aggregate(vector, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
-    fits = F.when(F.size(vector) <= BITS, bits).otherwise(F.raise_error(F.lit("a vector is longer than 64")).cast("long"))
-    return F.when(F.size(vector) > 0, fits)
+    """The code of a vector: words of 64 bits, a bit for each number, set if it is positive."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / BITS).cast("int"))
+    zero = F.lit(0).cast("long")
+    bit = lambda x: F.when(x > 0, 1).otherwise(0).cast("long")
+    word = lambda k: F.aggregate(F.slice(vector, k * BITS + 1, F.lit(BITS)), zero, lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x)))
+    return F.when(F.size(vector) > 0, F.transform(starts, word))
 
 
 def borders(segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment."""
+    """(first bit, width) of each segment of a word."""
     cuts = [BITS * k // segments for k in range(segments + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def values(code: Column, segments: int) -> list[Column]:
-    return [F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1)).cast("int") for a, w in borders(segments)]
+def values(code: Column, segments: int, words: int = 1) -> list[Column]:
+    """The segments of all words."""
+    return [F.shiftrightunsigned(code[k], a).bitwiseAND(F.lit((1 << w) - 1)).cast("int") for k in range(words) for a, w in borders(segments)]
+
+
+def distance_of(a: Column, b: Column, words: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)])
+
+
+def fitting_segments(codes: int) -> int:
+    """Segments of a word whose values are about as many as the codes: more would make longer lists for a value, fewer more values to try."""
+    return max(2, min(8, round(BITS / math.log2(max(codes, 2)))))
 
 
 def masks(width: int, radius: int) -> Column:
@@ -55,9 +69,10 @@ def masks(width: int, radius: int) -> Column:
     return F.split(F.lit(",".join(found)), ",").cast("array<int>")
 
 
-def steps(segments: int):
+def steps(segments: int, words: int = 1):
     """(radius, segments to search now, distance covered afterwards), in order."""
     widths = [w for _, w in borders(segments)]
+    segments *= words
     for r in range(max(widths) + 1):
         if r < BY_SEGMENT:
             yield r, range(segments), segments * (r + 1) - 1
@@ -71,35 +86,42 @@ def smallest(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
-    """(query_id, rank, neighbour_id, distance) of each query (id, code) among all rows (id, code)."""
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
+    """(query_id, rank, neighbour_id, distance) of each query (id, code) among all rows (id, code); a code is a number of 64 bits or an array of them.
+
+    segments: of each word; as their number of codes calls for, if it is not given."""
     return settled(lambda: _search(rows, queries, k, segments), "neighbours")
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int) -> DataFrame:
-    one = lambda df: df.filter("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("code"))
+def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int | None) -> DataFrame:
+    rows, queries = (df.select("id", F.array("code").alias("code") if dict(df.dtypes)["code"] == "bigint" else "code").filter("id IS NOT NULL AND size(code) > 0 AND code[0] IS NOT NULL") for df in (rows, queries))
+    words = max((df.agg(F.max(F.size("code"))).first()[0] or 1 for df in (rows, queries)), default=1)
+    zero = F.lit(0).cast("long")
+    padded = F.concat("code", F.array_repeat(zero, words - F.size("code"))) if words > 1 else F.col("code")
+    one = lambda df: df.withColumn("code", padded).groupBy("id").agg(F.min("code").alias("code"))
     wanted = cut(one(queries), "queries")
     # a query needs k neighbours besides itself
-    few = smallest(one(rows), ["code"], ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    parts = F.posexplode(F.array(*values(F.col("code"), segments)))
+    few = cut(smallest(one(rows), ["code"], ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
+    segments = segments or fitting_segments(few.count())
+    parts = F.posexplode(F.array(*values(F.col("code"), segments, words)))
     index = cut(few.select("code", "ids", parts.alias("segment", "value")), "segments")
 
     in_all = few.select(F.explode("ids")).limit(k + 1).count()  # ids, as far as it matters
-    active = cut(wanted.select(F.col("code").alias("query")).distinct().withColumn("most", F.lit(BITS)), "active")
+    active = cut(wanted.select(F.col("code").alias("query")).distinct().withColumn("most", F.lit(BITS * words)), "active")
     best: DataFrame | None = None
     finished: list[DataFrame] = []
-    widths = [w for _, w in borders(segments)]
-    for radius, now, covered in steps(segments):
+    widths = [w for _, w in borders(segments)] * words
+    for radius, now, covered in steps(segments, words):
         probes = None
         for j in now:
             if radius > widths[j]:
                 continue
             own = active.withColumn("_mask", F.explode(masks(widths[j], radius))).select(
-                "query", "most", F.lit(j).alias("segment"), values(F.col("query"), segments)[j].bitwiseXOR(F.col("_mask")).alias("value")
+                "query", "most", F.lit(j).alias("segment"), values(F.col("query"), segments, words)[j].bitwiseXOR(F.col("_mask")).alias("value")
             )
             probes = own if probes is None else probes.unionAll(own)
         if probes is not None:
-            distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+            distance = distance_of(F.col("query"), F.col("code"), words)
             # never broadcast: the planner takes exploded probes for as small as the queries they come from
             near = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= F.col("most"))
             near = near.select("query", distance.alias("distance"), F.explode("ids").alias("id"))

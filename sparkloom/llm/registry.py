@@ -31,7 +31,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_topk.sign_code(F.col("embedding")).alias("code"))
-    return hamming_topk.search(rows, rows.filter(F.col("id") % 50 == 0), k=10, segments=4)
+    return hamming_topk.search(rows, rows.filter(F.col("id") % 50 == 0), k=10)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

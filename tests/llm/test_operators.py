@@ -193,11 +193,35 @@ def test_topk_against_brute_force_with_copies_and_ties(spark):
         assert got[q] == [divmod(x, 10**6) for x in want]
 
 
+@pytest.mark.parametrize("width", [70, 130])
+def test_topk_of_long_vectors_against_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(6, width))
+    vectors = [base[k % 6] * rng.choice([1, 1, 1, 1, 1, 1, 1, -1], width) for k in range(120)] + [base[0]] * 15 + [rng.normal(size=width) for _ in range(20)]
+    vectors[7] = vectors[7][:40]  # a short one: zeros follow
+    rows = spark.createDataFrame([(k, v.tolist(), "x") for k, v in enumerate(vectors)], "id long, v array<double>, distance string").select("id", hamming_topk.sign_code(F.col("v")).alias("code"), "distance")
+    def bits(v):
+        words = [[bool(x > 0) for x in v[k : k + 64]] for k in range(0, len(v), 64)]
+        words = [[False] * (64 - len(w)) + w for w in words]
+        return sum(words, []) + [False] * (64 * (-(-width // 64) - len(words)))
+    codes = np.array([bits(v) for v in vectors])
+    got = defaultdict(list)
+    for r in hamming_topk.search(rows, rows.filter("id % 50 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.distance, r.neighbour_id))
+    for q in range(0, len(vectors), 50):
+        assert got[q] == sorted((int((codes[q] != c).sum()), k) for k, c in enumerate(codes) if k != q)[:5]
+
+
+def test_segments_follow_from_the_number_of_codes():
+    assert [hamming_topk.fitting_segments(n) for n in (0, 1, 300, 60_000, 10**6, 10**10)] == [8, 8, 8, 4, 3, 2]
+
+
 def test_segments_cover_what_they_say():
     for segments in (3, 4, 7):
         assert sum(w for _, w in hamming_topk.borders(segments)) == 64
-        covered = [c for _, _, c in hamming_topk.steps(segments)]
-        assert covered == sorted(covered) and covered[-1] >= 64
+        for words in (1, 3):
+            covered = [c for _, _, c in hamming_topk.steps(segments, words)]
+            assert covered == sorted(covered) and covered[-1] >= 64 * words
 
 
 # ---- Jaccard join
