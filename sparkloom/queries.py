@@ -745,6 +745,49 @@ FROM t LEFT JOIN (SELECT w.* FROM w JOIN e ON e.workspace = w.workspace AND e.cl
 GROUP BY ALL""",
 )(_calls)
 
+#: Imports of all forms, by the ids of the fact table; names are those of modules and symbols, and others.
+IMPORT_TARGET = "CASE id % 7 WHEN 0 THEN 'Shared.s' || CAST(id % 50 AS STRING) WHEN 1 THEN '.' WHEN 2 THEN 's' || CAST(id % 40 AS STRING) WHEN 3 THEN '..deep.s' || CAST(id % 30 AS STRING) WHEN 4 THEN 'nowhere' WHEN 5 THEN '.s' || CAST(id % 20 AS STRING) ELSE '....' END"
+IMPORT_NAME = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 's' || CAST(id % 60 AS STRING) WHEN id % 7 = 5 AND id % 2 = 0 THEN '*' WHEN id % 3 = 0 THEN 'none' ELSE name END"
+
+
+def _imports(f: Facts) -> DataFrame:
+    from sparkloom.plans.imports import resolve_imports
+
+    entries = snapshots.entries_of(f.manifest_entries, HEAD)
+    files = entries.select("path", text.module_of(F.col("path")).alias("module"), F.lit(False).alias("is_package"))
+    symbols = f.symbols.join(entries, "blob_sha").withColumn("module", text.module_of(F.col("path")))
+    symbols = symbols.select("path", F.concat("module", F.lit("."), "name").alias("qualified"), (F.col("kind") == "class").alias("is_class"), F.col("byte_start").alias("place"))
+    # one file for each import, and a name that some symbol of the workspace may have
+    first = entries.groupBy("blob_sha").agg(F.min("path").alias("path"))
+    names = f.symbols.groupBy("blob_sha").agg(F.min("name").alias("name"))
+    rows = f.imports.select("id", "blob_sha").join(first, "blob_sha").join(names, "blob_sha", "left")
+    rows = rows.select("id", "path", F.expr(IMPORT_TARGET).alias("target"), F.expr(IMPORT_NAME).alias("name"))
+    return resolve_imports(rows, files, symbols)
+
+
+SUFFIXES = "list_transform(range(1, len(string_split({0}, '.')) + 1), lambda k: array_to_string(list_slice(string_split({0}, '.'), k, len(string_split({0}, '.'))), '.'))"
+query(
+    "r2_python_imports",
+    f"""WITH {FILES}, fi AS (SELECT path, replace(left(path, length(path) - 3), '/', '.') AS module FROM e),
+mi AS (SELECT key, min(path) AS path FROM (SELECT path, unnest({SUFFIXES.format("module")}) AS key FROM fi) GROUP BY 1),
+sy AS (SELECT path, module || '.' || name AS qualified, kind = 'class' AS is_class, byte_start AS place FROM symbols JOIN e USING (blob_sha) JOIN fi USING (path)),
+si AS (SELECT key, path, qualified FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path, NOT is_class, place, qualified, length(qualified) - length(key)) AS k
+  FROM (SELECT *, unnest({SUFFIXES.format("qualified")}) AS key FROM sy)) WHERE k = 1),
+im AS (SELECT id, fi.path, module, {IMPORT_TARGET} AS target, {IMPORT_NAME} AS name
+  FROM imports i JOIN (SELECT blob_sha, min(path) AS path FROM e GROUP BY 1) USING (blob_sha) JOIN fi USING (path) LEFT JOIN (SELECT blob_sha, min(name) AS name FROM symbols GROUP BY 1) USING (blob_sha)),
+lv AS (SELECT *, length(regexp_extract(target, '^[.]*')) AS dots, regexp_replace(target, '^[.]+', '') AS rest, string_split(module, '.') AS parts FROM im),
+ab AS (SELECT *, CASE WHEN dots = 0 THEN target WHEN len(parts) >= dots THEN array_to_string(list_filter([nullif(array_to_string(parts[1:len(parts) - dots], '.'), ''), nullif(rest, '')], lambda x: x IS NOT NULL), '.') END AS base FROM lv),
+tr AS (SELECT id, 0 AS rank, target AS key, false AS sym, true AS mod, false AS any FROM ab WHERE name IS NULL
+  UNION ALL SELECT id, 0, base, false, false, true FROM ab WHERE name = '*'
+  UNION ALL SELECT id, 0, base || '.' || name, true, true, false FROM ab WHERE name <> '*' AND base IS NOT NULL
+  UNION ALL SELECT id, 1, name, true, false, false FROM ab WHERE name <> '*' AND base IS NOT NULL
+  UNION ALL SELECT id, 2, base, false, true, false FROM ab WHERE name <> '*' AND base IS NOT NULL),
+hit AS (SELECT tr.id, coalesce(si.path, mi.path) AS target_path, coalesce(si.qualified, tr.key) AS target_qualified, row_number() OVER (PARTITION BY tr.id ORDER BY rank) AS k
+  FROM tr LEFT JOIN mi USING (key) LEFT JOIN si USING (key) WHERE key IS NOT NULL AND (tr.any OR (sym AND si.path IS NOT NULL) OR (mod AND mi.path IS NOT NULL)))
+SELECT im.id, im.path, im.target, im.name, target_path, target_qualified FROM im LEFT JOIN hit ON hit.id = im.id AND k = 1""",
+    "imports", "symbols", "manifest_entries",
+)(_imports)
+
 # ---- scoring
 
 CASES = """x AS (SELECT 'case' || CAST(doc_id % 20 AS VARCHAR) AS "case", 'f' || CAST(doc_id % 7 AS VARCHAR) AS path, doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'A::b' WHEN 1 THEN 'A.b' ELSE '::A' || chr(92) || 'b' END AS target_qualified, quality, toxic FROM labels)"""

@@ -303,6 +303,28 @@ def test_imports(spark):
     assert {r.id: r.target_path for r in lin.relative_specifiers(specs, files).collect()} == {1: "src/a.ts", 2: "src/b/index.js", 3: "c.js", 4: None, 5: None}
 
 
+def test_imports_of_a_workspace(spark):
+    from sparkloom.plans.imports import resolve_imports
+
+    files = [("src/flask/__init__.py", "src.flask", True), ("src/flask/app.py", "src.flask.app", False), ("src/flask/sub/x.py", "src.flask.sub.x", False), ("zoo/app.py", "zoo.app", False), ("run.py", "run", False), ("__init__.py", None, True)]
+    symbols = [("src/flask/app.py", "src.flask.app.Flask", True, 9), ("src/flask/app.py", "src.flask.app.Flask.run", False, 12), ("zoo/app.py", "zoo.app.Flask", True, 1), ("zoo/app.py", "zoo.app.keep", False, 2)]
+    imports = [
+        (1, "run.py", "flask", None), (2, "run.py", "flask.app", "Flask"), (3, "run.py", "app", "Flask"), (4, "run.py", "zoo.app", "Flask"), (5, "src/flask/sub/x.py", "..app", "Flask"), (6, "src/flask/__init__.py", ".", "app"),
+        (7, "run.py", "os", None), (8, "run.py", "elsewhere", "keep"), (9, "run.py", "zoo.app", "gone"), (10, "run.py", "elsewhere", "gone"), (11, "run.py", "zoo.app", "*"), (12, "run.py", "elsewhere", "*"),
+        (13, "run.py", "...x", "y"), (14, "__init__.py", ".", "run"), (15, "src/flask/sub/x.py", ".", "x"), (16, "run.py", ".", "run"), (17, "none.py", ".a", "keep"),
+    ]
+    got = resolve_imports(
+        spark.createDataFrame(imports, "id int, path string, target string, name string"),
+        spark.createDataFrame(files, "path string, module string, is_package boolean"),
+        spark.createDataFrame(symbols, "path string, qualified string, is_class boolean, place int"),
+    )
+    assert {r.id: (r.target_path, r.target_qualified) for r in got.collect()} == {
+        1: ("src/flask/__init__.py", "flask"), 2: ("src/flask/app.py", "src.flask.app.Flask"), 3: ("src/flask/app.py", "src.flask.app.Flask"), 4: ("zoo/app.py", "zoo.app.Flask"),
+        5: ("src/flask/app.py", "src.flask.app.Flask"), 6: ("src/flask/app.py", "src.flask.app"), 7: (None, None), 8: ("zoo/app.py", "zoo.app.keep"), 9: ("zoo/app.py", "zoo.app"), 10: (None, None),
+        11: ("zoo/app.py", "zoo.app"), 12: (None, "elsewhere"), 13: (None, None), 14: (None, None), 15: ("src/flask/sub/x.py", "src.flask.sub.x"), 16: ("src/flask/app.py", "src.flask.app.Flask.run"), 17: (None, None),
+    }
+
+
 def test_full_text(spark):
     rows = spark.createDataFrame([(1, "render_widget", "app::ui", None), (2, "Widget", "x", "renders a Café"), (3, "wid", "render", "cafe")], "id int, name string, qualified string, doc string")
 
