@@ -6,10 +6,8 @@ import fnmatch
 import hashlib
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of qualified names.
@@ -54,11 +52,6 @@ def truncate_bytes(text: str, most: int) -> str:
     return text if len(data) <= most else data[:most].decode(errors="ignore") + "…"
 
 
-@F.pandas_udf(T.StringType())
-def truncate_text(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else truncate_bytes(t, int(n)) for t, n in zip(text, most, strict=True)], dtype=object)
-
-
 def normalize_qualified(name: Column) -> Column:
     """For comparisons: white space collapsed, without leading ``::``. Separators stay as they are."""
     return F.regexp_replace(collapse_space(name), "^(::)+", "")

@@ -73,30 +73,55 @@ def prune_stale_refs(anchors: DataFrame, live: DataFrame) -> DataFrame:
     return anchors.filter(~refs).unionByName(anchors.filter(refs).join(live, "anchor_name", "left_semi"))
 
 
+#: Checks of a store by the table that each reads: its name, the level of a finding, and what a finding is; a column with an underscore says whether a row has its partner.
+CHECKS: dict[str, list[tuple[str, str, str]]] = {
+    "anchors": [("anchors without manifest", "error", "NOT _manifest")],
+    "manifest_entries": [("entries without manifest", "error", "NOT _manifest"), ("entries without blob", "warn", "NOT _blob")],
+    "blobs": [("blobs in no manifest", "info", "NOT _entry"), ("analyzed blobs without revision", "warn", "analyzer_id IS NOT NULL AND analyzer_revision IS NULL")],
+    "symbols": [("symbols without blob", "error", "NOT _unit"), ("symbols without parent", "error", "parent_id IS NOT NULL AND NOT _parent"), ("symbols that end before they start", "error", "byte_end < byte_start OR line_end < line_start")],
+    "refs": [("references without enclosing symbol", "error", "enclosing_id IS NOT NULL AND NOT _enclosing"), ("references without blob", "error", "NOT _unit")],
+    "resolutions": [("resolutions without path", "error", "target_symbol_id IS NOT NULL AND target_path IS NULL"), ("resolutions without symbol", "warn", "target_symbol_id IS NOT NULL AND NOT _target")],
+    "wanted": [("parser drift", "warn", "stored IS NULL OR stored <> parser_revision")],
+    "runs": [
+        ("failed runs", "warn", "status IN ('failed', 'timed_out')"), ("runs without manifest", "info", "NOT _manifest"), ("active runs without job", "warn", "status IN ('queued', 'running') AND job_id IS NULL"),
+        ("runs that end before they start", "error", "finished_at_ns < started_at_ns"), ("ended runs without an end", "error", "status NOT IN ('queued', 'running') AND finished_at_ns IS NULL"),
+    ],
+    "reconcile_state": [
+        ("reconcile states ahead", "error", "applied > desired OR attempt > desired"), ("failed watchers", "warn", "watcher_state = 'failed' OR watcher_error IS NOT NULL"),
+        ("repeated failures", "warn", "consecutive_failures >= 3"), ("states that never succeeded", "info", "last_success_ns IS NULL"),
+    ],
+}
+
+
 def doctor(facts, wanted: DataFrame) -> DataFrame:
-    """(check, level, findings) over a store: one aggregate per check, none of which collects rows."""
-    live = facts.manifest_entries.select("blob_sha").distinct()
-
-    def row(check: str, level: str, df: DataFrame) -> DataFrame:
-        n = F.count(F.lit(1))
-        return df.agg(F.lit(check).alias("check"), F.when(n > 0, level).otherwise("ok").alias("level"), n.alias("findings"))
-
-    runs = facts.runs
-    checks = [
-        row("anchors without manifest", "error", facts.anchors.join(facts.manifests, "manifest_id", "left_anti")),
-        row("entries without manifest", "error", facts.manifest_entries.join(facts.manifests, "manifest_id", "left_anti")),
-        row("entries without blob", "warn", facts.manifest_entries.join(facts.blobs, "blob_sha", "left_anti")),
-        row("blobs in no manifest", "info", facts.blobs.join(live, "blob_sha", "left_anti")),
-        row("symbols without blob", "error", facts.symbols.join(facts.blobs, ["blob_sha", "parser_id"], "left_anti")),
-        row("symbols without parent", "error", facts.symbols.filter("parent_id IS NOT NULL").join(facts.symbols.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")),
-        row("references without enclosing symbol", "error", facts.refs.filter("enclosing_id IS NOT NULL").join(facts.symbols.select(F.col("id").alias("enclosing_id")), "enclosing_id", "left_anti")),
-        row("resolutions without path", "error", facts.resolutions.filter("target_symbol_id IS NOT NULL AND target_path IS NULL")),
-        row("parser drift", "warn", parser_drift(wanted, facts.blobs)),
-        row("failed runs", "warn", runs.filter(F.col("status").isin("failed", "timed_out"))),
-        row("runs without manifest", "info", runs.join(facts.manifests, "manifest_id", "left_anti")),
-        row("active runs without job", "warn", runs.filter(F.col("status").isin("queued", "running") & F.col("job_id").isNull())),
-        row("reconcile states ahead", "error", facts.reconcile_state.filter("applied > desired OR attempt > desired")),
-        row("failed watchers", "warn", facts.reconcile_state.filter("watcher_state = 'failed' OR watcher_error IS NOT NULL")),
-        row("repeated failures", "warn", facts.reconcile_state.filter("consecutive_failures >= 3")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), checks)
+    """(check, level, findings) over a store: all checks of a table in one pass over it, with a join for each table that it must agree with. No rows are collected."""
+
+    def known(table: DataFrame, mark: str, *columns: str) -> DataFrame:
+        return table.select(*[F.col(c.split(" AS ")[0]).alias(c.split(" AS ")[-1]) for c in columns]).distinct().withColumn(mark, F.lit(True))
+
+    def beside(df: DataFrame, *partners: DataFrame) -> DataFrame:
+        for p in partners:
+            mark = p.columns[-1]
+            df = df.join(p, p.columns[:-1], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+        return df
+
+    manifest, unit = known(facts.manifests, "_manifest", "manifest_id"), known(facts.blobs, "_unit", "blob_sha", "parser_id")
+    symbol = lambda mark, name: known(facts.symbols, mark, f"id AS {name}")
+    tables = {
+        "anchors": beside(facts.anchors, manifest),
+        "manifest_entries": beside(facts.manifest_entries, manifest, known(facts.blobs, "_blob", "blob_sha")),
+        "blobs": beside(facts.blobs, known(facts.manifest_entries, "_entry", "blob_sha")),
+        "symbols": beside(facts.symbols, unit, symbol("_parent", "parent_id")),
+        "refs": beside(facts.refs, unit, symbol("_enclosing", "enclosing_id")),
+        "resolutions": beside(facts.resolutions, symbol("_target", "target_symbol_id")),
+        "wanted": wanted.join(facts.blobs.select("blob_sha", "parser_id", F.col("parser_revision").alias("stored")), ["blob_sha", "parser_id"], "left"),
+        "runs": beside(facts.runs, manifest),
+        "reconcile_state": facts.reconcile_state,
+    }
+
+    def findings(name: str) -> DataFrame:
+        one = [F.struct(F.lit(check).alias("check"), F.lit(level).alias("bad"), F.count_if(F.expr(finding)).alias("findings")) for check, level, finding in CHECKS[name]]
+        rows = tables[name].agg(F.array(*one).alias("_rows")).select(F.inline("_rows"))
+        return rows.select("check", F.when(F.col("findings") > 0, F.col("bad")).otherwise("ok").alias("level"), "findings")
+
+    return reduce(lambda a, b: a.unionByName(b), map(findings, CHECKS))

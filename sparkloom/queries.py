@@ -485,7 +485,36 @@ query(
 query("s6_visible_symbols", "SELECT s.id, m.manifest_id FROM symbols s JOIN manifest_entries m USING (blob_sha) WHERE EXISTS (SELECT 1 FROM blobs b WHERE b.blob_sha = s.blob_sha AND b.parser_id = s.parser_id)", *S)(
     lambda f: snapshots.live_facts(f.symbols, f.blobs).join(f.manifest_entries, "blob_sha").select("id", "manifest_id")
 )
-query("m5_doctor", None)(lambda f: admin.doctor(f, _wanted(f)))
+#: Findings of each check, as subqueries.
+FINDINGS = [
+    ("anchors without manifest", "error", "anchors WHERE manifest_id NOT IN (SELECT manifest_id FROM manifests)"),
+    ("entries without manifest", "error", "manifest_entries WHERE manifest_id NOT IN (SELECT manifest_id FROM manifests)"),
+    ("entries without blob", "warn", "manifest_entries WHERE blob_sha NOT IN (SELECT blob_sha FROM blobs)"),
+    ("blobs in no manifest", "info", "blobs WHERE blob_sha NOT IN (SELECT blob_sha FROM manifest_entries)"),
+    ("analyzed blobs without revision", "warn", "blobs WHERE analyzer_id IS NOT NULL AND analyzer_revision IS NULL"),
+    ("symbols without blob", "error", "symbols s WHERE NOT EXISTS (SELECT 1 FROM blobs b WHERE b.blob_sha = s.blob_sha AND b.parser_id = s.parser_id)"),
+    ("symbols without parent", "error", "symbols WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM symbols)"),
+    ("symbols that end before they start", "error", "symbols WHERE byte_end < byte_start OR line_end < line_start"),
+    ("references without enclosing symbol", "error", "refs WHERE enclosing_id IS NOT NULL AND enclosing_id NOT IN (SELECT id FROM symbols)"),
+    ("references without blob", "error", "refs r WHERE NOT EXISTS (SELECT 1 FROM blobs b WHERE b.blob_sha = r.blob_sha AND b.parser_id = r.parser_id)"),
+    ("resolutions without path", "error", "resolutions WHERE target_symbol_id IS NOT NULL AND target_path IS NULL"),
+    ("resolutions without symbol", "warn", "resolutions WHERE target_symbol_id IS NOT NULL AND target_symbol_id NOT IN (SELECT id FROM symbols)"),
+    ("parser drift", "warn", "w LEFT JOIN blobs b USING (blob_sha, parser_id) WHERE b.parser_revision IS NULL OR b.parser_revision <> w.parser_revision"),
+    ("failed runs", "warn", "runs WHERE status IN ('failed', 'timed_out')"),
+    ("runs without manifest", "info", "runs WHERE manifest_id NOT IN (SELECT manifest_id FROM manifests)"),
+    ("active runs without job", "warn", "runs WHERE status IN ('queued', 'running') AND job_id IS NULL"),
+    ("runs that end before they start", "error", "runs WHERE finished_at_ns < started_at_ns"),
+    ("ended runs without an end", "error", "runs WHERE status NOT IN ('queued', 'running') AND finished_at_ns IS NULL"),
+    ("reconcile states ahead", "error", "reconcile_state WHERE applied > desired OR attempt > desired"),
+    ("failed watchers", "warn", "reconcile_state WHERE watcher_state = 'failed' OR watcher_error IS NOT NULL"),
+    ("repeated failures", "warn", "reconcile_state WHERE consecutive_failures >= 3"),
+    ("states that never succeeded", "info", "reconcile_state WHERE last_success_ns IS NULL"),
+]
+query(
+    "m5_doctor",
+    f"WITH {WANTED}, n AS (" + " UNION ALL ".join(f"SELECT '{check}' AS \"check\", '{level}' AS bad, (SELECT count(*) FROM {rows}) AS findings" for check, level, rows in FINDINGS) + ') SELECT "check", CASE WHEN findings > 0 THEN bad ELSE \'ok\' END AS level, findings FROM n',
+    "anchors", "manifests", "manifest_entries", "blobs", "symbols", "refs", "resolutions", "runs", "reconcile_state",
+)(lambda f: admin.doctor(f, _wanted(f)))
 
 # ---- registration
 
@@ -623,6 +652,26 @@ SELECT event_id, CASE WHEN len(a) <> 3 OR len(b) <> 3 OR list_contains(list_tran
 )(lambda f: f.events.select("event_id", text.version_class(F.expr(VERSION.format("event_id")), F.expr(VERSION.format("user_id"))).alias("class")))
 
 
+def _revalidated(f: Facts) -> DataFrame:
+    """The states of a query's begin and end: meanwhile a part of the repositories was scanned again, or is gone."""
+    from sparkloom.streaming.freshness import revalidated, stale_reason
+
+    before = f.reconcile_state.withColumn("reason", stale_reason(F.lit(1_500_000_000_000), 1_000_000_000_000))
+    n = F.substring("repo_hash", 2, 20).cast("long")
+    after = f.reconcile_state.filter(n % 14 != 0).withColumn("applied", F.when(n % 5 == 1, F.col("applied") + 1).otherwise(F.col("applied")))
+    return revalidated(before, after, ["anchor_name", "applied", "reconcile_generation"]).select("repo_hash", "reason")
+
+
+query(
+    "t14_revalidated",
+    f"""WITH b AS (SELECT *, {STALE} AS reason FROM reconcile_state), a AS (SELECT repo_hash, anchor_name, reconcile_generation, CASE WHEN CAST(substr(repo_hash, 2) AS BIGINT) % 5 = 1 THEN applied + 1 ELSE applied END AS applied
+  FROM reconcile_state WHERE CAST(substr(repo_hash, 2) AS BIGINT) % 14 <> 0)
+SELECT b.repo_hash, CASE WHEN b.reason IS NULL AND (a.repo_hash IS NULL OR b.anchor_name IS DISTINCT FROM a.anchor_name OR b.applied IS DISTINCT FROM a.applied OR b.reconcile_generation IS DISTINCT FROM a.reconcile_generation)
+  THEN 'snapshot_changed_during_query' ELSE b.reason END AS reason FROM b LEFT JOIN a ON a.repo_hash = b.repo_hash""",
+    "reconcile_state",
+)(_revalidated)
+
+
 def _generations(f: Facts) -> DataFrame:
     from sparkloom.streaming.generations import fold_batch
 

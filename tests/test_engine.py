@@ -107,6 +107,16 @@ def test_anchors(spark):
         admin.prune_blobs(f.blobs, [])
 
 
+def test_hints_and_docs(spark):
+    f = store(spark, symbols=[symbol(1, "Card"), symbol(2, "lower")], manifest_entries=[(1, "ui/card.tsx", "b"), (2, "card.py", "b")])
+    assert "instantiate" in lookup.caller_hint(f, 1, "Card") and lookup.caller_hint(f, 2, "Card") is None and lookup.caller_hint(f, 1, "lower") is None
+    said = repos.diagnostics({"reason": "capped", "states": ["running", "failed"], "rows": [], "kind": "class"})
+    assert len(said) == 4 and repos.diagnostics({"rows": [1]}) == []
+    docs = spark.createDataFrame([("b", "p", "Card", "class", "new"), ("b", "p", "Card", "impl", "other")], "blob_sha string, parser_id string, qualified string, kind string, doc string")
+    rows = spark.createDataFrame([("b", "p", "Card", "class", "old"), ("b", "p", "Card", "method", "kept")], "blob_sha string, parser_id string, qualified string, kind string, doc string")
+    assert {r.kind: r.doc for r in extract.with_doc_overrides(rows, docs).collect()} == {"class": "new", "method": "kept"}
+
+
 def test_limits_and_completeness(spark):
     assert lookup.probe(spark.range(5), 5)[1] is False and lookup.probe(spark.range(6), 5)[1] is True
     assert lookup.completeness(True, True, False) == ("partial", "stale") and lookup.completeness(False, False, False) == ("complete", None)
