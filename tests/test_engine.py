@@ -1,5 +1,6 @@
 """Query verbs against hand-made rows and their SQL twins, plans, and event state machines."""
 
+import random
 import re
 from types import SimpleNamespace
 
@@ -107,6 +108,24 @@ def test_anchors(spark):
         admin.prune_blobs(f.blobs, [])
 
 
+@pytest.mark.parametrize("long", [500_000, 0, 20])
+def test_windows_of_many_repositories_against_a_loop(spark, monkeypatch, long):
+    monkeypatch.setattr(coalesce, "LONG_STRETCH", long)
+    rnd = random.Random(3)
+    ticks = [(f"r{r}", at + rnd.choice([0, 0, 0, 5000])) for r in range(6) for at in rnd.choices(range(-400, 4000 * (r + 1)), k=120 * (r % 3 + 1))] + [("one", -7)]
+    ticks += [("even", 100 * k) for k in range(300)]
+    want = []
+    for repo in sorted({r for r, _ in ticks}):
+        start = None
+        for at in sorted(a for r, a in ticks if r == repo):
+            if start is None or at >= start + 100:
+                start = at
+                want.append([repo, start, 0])
+            want[-1][2] += 1
+    frame = spark.createDataFrame(ticks, "repo string, at long").repartition(5)
+    assert sorted(map(list, coalesce.windows_batch(frame, 100).collect())) == sorted(want)
+
+
 def test_hints_and_docs(spark):
     f = store(spark, symbols=[symbol(1, "Card"), symbol(2, "lower")], manifest_entries=[(1, "ui/card.tsx", "b"), (2, "card.py", "b")])
     assert "instantiate" in lookup.caller_hint(f, 1, "Card") and lookup.caller_hint(f, 2, "Card") is None and lookup.caller_hint(f, 1, "lower") is None
