@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 from sparkloom.llm import arc, bpe, hamming_topk, html_text, jaccard_join, language_id, mixing, quality_rules, secret_scan, stages, url_filter
 from sparkloom.llm.registry import tokenizer_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string, lang_pred string, ids string, kept string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string, lang_pred string, ids string, kept string, host string, path string, rule string, verdict string, source_size long, target double, copies int, n_words long, class_id long, n_tokens string, score string"
+OTHERS = ("h", "p", "r", "v", 3, 0.5, 9, 1, 2, "n", "s")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
 
 def rows():
     long_text = " ".join(WORDS[(k * 7 + k // 11) % 10] + str(k % 97) for k in range(30_000))
     texts = [None, "", "   \n\t", "one", "same text of a few words here", "same text of a few words here", long_text, "a\x00b ü ß 😀 \u2028 x", "x" * 50_000]
-    out = [(k, t, "en" if k % 2 else None, None if k == 3 else f"s{k % 2}", None, 7, "s", "l", "i", "k") for k, t in enumerate(texts)]
-    out += [out[4], (None, "null id", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    out = [(k, t, "en" if k % 2 else None, None if k == 3 else f"s{k % 2}", None, 7, "s", "l", "i", "k", *OTHERS) for k, t in enumerate(texts)]
+    out += [out[4], (None, "null id", *[None] * 19), (None,) * 21]
     return out
 
 
@@ -65,6 +66,31 @@ def test_each_row_is_answered_once_and_empty_tables_give_none(spark, docs, none,
     assert f(none).columns == got.columns
 
 
+def test_digests_and_thresholds_of_nothing(spark, docs, none):
+    got = secret_scan.digests(docs)
+    assert got.count() == docs.count() and secret_scan.digests(none).count() == 0
+    assert [tuple(r) for r in got.filter("doc_id = 1").collect()] == [tuple(r) for r in secret_scan.digests(docs.filter("doc_id = 1")).collect()]
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    for d in (docs, none):
+        d = d.select("doc_id", "text")
+        for lab in (labels, labels.limit(0)):
+            ratios = quality_rules.log_ratios(d, lab)
+            assert quality_rules.judge(d, ratios, quality_rules.fitted_threshold(d, lab, ratios)).count() == d.count()
+
+
+def test_vectors_with_nulls_inside(spark):
+    rows = spark.createDataFrame([(0, [1.0, None, 1.0], "x"), (50, [1.0, -1.0, 1.0], "y"), (2, [None, None, None], "z")], "id long, v array<double>, query_id string")
+    rows = rows.select("id", hamming_topk.sign_code(F.col("v")).alias("code"), "query_id")
+    assert sorted(tuple(r) for r in hamming_topk.search(rows, rows.filter("id % 50 = 0"), k=2).collect()) == [(0, 1, 50, 0), (0, 2, 2, 2), (50, 1, 0, 0), (50, 2, 2, 2)]
+
+
+def test_the_pipeline_runs_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_copies_are_answered_alike(spark, docs):
     for name in ("quality", "language", "secrets", "digests", "jaccard"):
         got = [r.asDict() for r in each(spark)[name](docs).filter("doc_id IN (4, 5)").collect()]
