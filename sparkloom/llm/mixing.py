@@ -11,7 +11,7 @@ weight; those whose ratio is at most the final level are capped. Weights repeat
 the sources in code-point order, with the null source last.
 
 Cases: a null text has size 0; a null source is a source of its own; a source of size 0 has target 0
-and rate 0; a null doc_id hashes as the empty string; rows that repeat a doc_id are drawn alike.
+and rate 0; a row without a doc_id is drawn by its text; rows that repeat a doc_id, or without one a text, are drawn alike.
 An empty table gives an empty result. Columns that clash with the result's are replaced.
 Only per-source totals are gathered; texts are never shuffled.
 """
@@ -53,9 +53,10 @@ def source_rates(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SH
     return sizes.withColumn("target", target).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def draw(doc_id, seed: str = SEED) -> F.Column:
-    """A number in [0, 1) from 52 bits of the hash of seed and id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id, text, seed: str = SEED) -> F.Column:
+    """A number in [0, 1) from 52 bits of the hash of seed and id, or of the text where there is no id."""
+    own = F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit(""))))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), own))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
@@ -69,7 +70,7 @@ def with_copies(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
         rates = F.broadcast(rates)
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]), "left").drop("_source")
     whole = F.floor("rate")
-    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(draw(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - whole, 1).otherwise(0)
     return joined.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("rate")
 
 

@@ -124,7 +124,7 @@ FROM u LEFT JOIN (SELECT DISTINCT * FROM hits WHERE k = 1) h
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, ''))) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (
   SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w FROM s0),
@@ -145,7 +145,7 @@ s5 AS (
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM s5),
 c AS (
   SELECT d.doc_id, d.size, s6.source_size, s6.target,
-    (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+    (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || d.key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
                         < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies
   FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c

@@ -517,6 +517,16 @@ def test_targets_against_repeated_resharing(spark):
     assert got == pytest.approx(want)
 
 
+def test_documents_without_ids_are_drawn_one_by_one(spark):
+    rows = [(None, f"text {k}", "a") for k in range(2000)] + [(k, "one two", "b") for k in range(2000)] + [(None, "text 5", "a")] * 2
+    got = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = {r.source: r for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.countDistinct("copies").alias("k")).collect()}
+    for r in by.values():
+        assert abs(r.taken - r.target) < 0.06 * r.target
+    assert by["a"].k == 2 or by["a"].target in (0.0, 2.0 * 4004)
+    assert got.filter("text = 'text 5'").select("copies").distinct().count() == 1
+
+
 def test_mixture_is_near_its_target_and_repeats(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"))
     rows = mixing.with_copies(docs).collect()
