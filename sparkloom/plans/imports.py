@@ -1,8 +1,12 @@
-"""Resolution of Python imports against a workspace: an index of its modules and symbols, and ranked candidates for each import.
+"""Resolution of imports against a workspace.
+
+Python: an index of its modules and symbols, and ranked candidates for each import.
 
 The index knows every module and symbol by its dotted name and by each suffix of it, so that ``flask.app`` finds ``src/flask/app.py`` without a packaging file. Where several files
 give a name, the first in order of paths has it; within a file classes come before functions, in order of place. Both indexes are one aggregation, added up before the shuffle, so a suffix that
 many files share is no hot group.
+
+JavaScript: names that a file passes on (``export { a } from './b'``) are followed to the file that defines them by pointer jumping, all chains at once.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import written
+
 
 def dotted_suffixes(name: Column) -> Column:
     """``a.b.c``, ``b.c`` and ``c`` of ``a.b.c``."""
@@ -60,3 +66,38 @@ def resolve_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame) ->
     hit = F.struct(F.coalesce("_path", "_module").alias("target_path"), F.coalesce("_qualified", "key").alias("target_qualified"))
     best = found.groupBy("id").agg(F.min_by(hit, "rank").alias("_hit"))
     return imports.join(best, "id", "left").select(*imports.columns, "_hit.target_path", "_hit.target_qualified")
+
+
+#: Fixed value: so many times a name may be passed on. Chains that are longer, or lead in a circle, are dropped.
+MAX_HOPS = 8
+
+
+def flattened_exports(reexports: DataFrame) -> DataFrame:
+    """``reexports`` (path, name, to_path, to_name), one row for each name that a file passes on, with the end of each chain (origin_path, origin_name; null where it is dropped) and dropped."""
+    keys = reexports.select("path", "name").distinct()
+    at = reexports.groupBy("path", "name").agg(F.min(F.struct("to_path", "to_name")).alias("_to")).select("path", "name", "_to.*")
+    hops = 1
+    while hops < MAX_HOPS:  # each round doubles the length of all pointers that are not at their end
+        on = at.select(F.col("path").alias("to_path"), F.col("name").alias("to_name"), F.col("to_path").alias("_path"), F.col("to_name").alias("_name"))
+        jumped = at.join(on, ["to_path", "to_name"], "left").select("path", "name", F.coalesce("_path", "to_path").alias("to_path"), F.coalesce("_name", "to_name").alias("to_name"))
+        at, hops = written(jumped, "exports"), 2 * hops
+    more = keys.select(F.col("path").alias("to_path"), F.col("name").alias("to_name"), F.lit(True).alias("_more"))
+    out = at.join(more, ["to_path", "to_name"], "left").withColumn("dropped", F.coalesce("_more", F.lit(False)))
+    return out.select("path", "name", *[F.when(~F.col("dropped"), F.col(c)).alias(o) for c, o in (("to_path", "origin_path"), ("to_name", "origin_name"))], "dropped")
+
+
+def resolve_exports(imports: DataFrame, exports: DataFrame, symbols: DataFrame, reexports: DataFrame) -> DataFrame:
+    """``imports`` (id, specifier, target_path, name) with what they mean: target_path, target_qualified, and dropped where a chain ends nowhere.
+
+    exports (path, name, local): names under which a file gives its own symbols; symbols (path, qualified). A file's own export counts first, then the end of a chain, as a symbol or by its
+    name, then the name in the target itself; an import of a whole file means the file; one from outside of the workspace keeps its specifier."""
+    defined = exports.join(symbols.select("path", F.col("qualified").alias("local")).distinct(), ["path", "local"]).groupBy("path", "name").agg(F.min("local").alias("_symbol"))
+    chains = flattened_exports(reexports).select(F.col("path").alias("target_path"), "name", "origin_path", "origin_name", "dropped")
+    own = defined.select(F.col("path").alias("target_path"), "name", F.col("_symbol").alias("_own"))
+    ends = defined.select(F.col("path").alias("origin_path"), F.col("name").alias("origin_name"), F.col("_symbol").alias("_end"))
+    rows = imports.join(own, ["target_path", "name"], "left").join(chains, ["target_path", "name"], "left").join(ends, ["origin_path", "origin_name"], "left")
+    here, gone = F.col("target_path").isNotNull(), F.coalesce("dropped", F.lit(False)) & F.col("_own").isNull()
+    path = F.when(F.col("_own").isNotNull(), F.col("target_path")).when(~gone, F.coalesce("origin_path", "target_path"))
+    outside = F.concat_ws(".", "specifier", "name")
+    name = F.when(~here, outside).when(F.col("name").isNull(), F.col("target_path")).when(~gone, F.coalesce("_own", "_end", "origin_name", "name"))
+    return rows.select("id", path.alias("target_path"), name.alias("target_qualified"), gone.alias("dropped"))

@@ -837,6 +837,42 @@ SELECT im.id, im.path, im.target, im.name, target_path, target_qualified FROM im
     "imports", "symbols", "manifest_entries",
 )(_imports)
 
+
+
+def _exports(f: Facts) -> DataFrame:
+    """A file for each supplier: every seventh defines x, others pass it on from the file of half their number, some in a circle; an import for each order."""
+    from sparkloom.plans.imports import resolve_exports
+    from sparkloom.plans.linearize import relative_specifiers
+
+    k = F.col("s_suppkey")
+    file = lambda n: F.concat(F.lit("lib/f"), n.cast("string"), F.lit(".js"))
+    to = F.when(k % 11 == 5, k + 1).when(k % 11 == 6, k - 1).otherwise(F.floor(k / 2))
+    passed = f.supplier.filter((k % 7 != 0) & (k > 1)).select(file(k).alias("path"), F.lit("x").alias("name"), file(to).alias("to_path"), F.lit("x").alias("to_name"))
+    own = f.supplier.filter(k % 7 == 0).select(file(k).alias("path"), F.lit("x").alias("name"), F.lit("X").alias("local"))
+    symbols = f.supplier.filter(k % 14 == 0).select(file(k).alias("path"), F.lit("X").alias("qualified"))
+    o = F.col("o_orderkey")
+    specifier = F.when(o % 9 == 0, "react").otherwise(F.concat(F.lit("./f"), (F.col("o_custkey") % F.lit(f.supplier.count())).cast("string")))
+    rows = f.orders.select(o.alias("id"), F.lit("lib/main.js").alias("path"), specifier.alias("specifier"), F.when(o % 5 == 0, None).when(o % 7 == 0, "y").otherwise("x").alias("name"))
+    found = relative_specifiers(rows, f.supplier.select(file(k).alias("path")))
+    return resolve_exports(found, own, symbols, passed)
+
+
+query(
+    "r10_javascript_exports",
+    """WITH RECURSIVE r AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 = 5 THEN s_suppkey + 1 WHEN s_suppkey % 11 = 6 THEN s_suppkey - 1 ELSE s_suppkey // 2 END AS too FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey > 1),
+w(k, ep, hops) AS (SELECT k, too, 1 FROM r UNION ALL SELECT w.k, r.too, hops + 1 FROM w JOIN r ON r.k = w.ep WHERE hops < 8),
+e AS (SELECT w.k, max_by(w.ep, hops) AS ep FROM w GROUP BY w.k),
+c AS (SELECT e.k, e.ep, r.k IS NOT NULL AS dropped FROM e LEFT JOIN r ON r.k = e.ep),
+i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'react' ELSE './f' || CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) END AS specifier,
+  CASE WHEN o_orderkey % 9 <> 0 AND o_custkey % (SELECT count(*) FROM supplier) IN (SELECT s_suppkey FROM supplier) THEN o_custkey % (SELECT count(*) FROM supplier) END AS k,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'y' ELSE 'x' END AS name FROM orders),
+m AS (SELECT i.*, i.k % 14 = 0 AND name = 'x' AS own, c.ep, coalesce(c.dropped, false) AS gone FROM i LEFT JOIN c ON c.k = i.k AND i.name = 'x')
+SELECT id, coalesce(gone, false) AS dropped,
+  CASE WHEN k IS NOT NULL AND NOT gone THEN 'lib/f' || CAST(CASE WHEN own THEN k ELSE coalesce(ep, k) END AS VARCHAR) || '.js' END AS target_path,
+  CASE WHEN k IS NULL THEN concat_ws('.', specifier, name) WHEN name IS NULL THEN 'lib/f' || CAST(k AS VARCHAR) || '.js' WHEN own THEN 'X' WHEN gone THEN NULL WHEN ep IS NOT NULL AND ep % 14 = 0 THEN 'X' ELSE name END AS target_qualified
+FROM m""",
+)(_exports)
+
 # ---- scoring
 
 CASES = """x AS (SELECT 'case' || CAST(doc_id % 20 AS VARCHAR) AS "case", 'f' || CAST(doc_id % 7 AS VARCHAR) AS path, doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'A::b' WHEN 1 THEN 'A.b' ELSE '::A' || chr(92) || 'b' END AS target_qualified, quality, toxic FROM labels)"""

@@ -325,6 +325,24 @@ def test_imports_of_a_workspace(spark):
     }
 
 
+def test_exports_are_followed_to_their_origin(spark):
+    from sparkloom.plans.imports import flattened_exports, resolve_exports
+
+    passed = [(f"c{k}.js", "a", f"c{k + 1}.js", "a") for k in range(12)] + [("p.js", "a", "q.js", "b"), ("q.js", "b", "p.js", "a"), ("s.js", "a", "s.js", "a"), ("m.js", "M", "n.js", "N"), ("n.js", "N", "o.js", "default")]
+    frame = spark.createDataFrame(passed, "path string, name string, to_path string, to_name string")
+    got = {(r.path, r.name): (r.origin_path, r.origin_name, r.dropped) for r in flattened_exports(frame).collect()}
+    ends = {(f"c{k}.js", "a"): ("c12.js", "a", False) if 12 - k <= 8 else (None, None, True) for k in range(12)}
+    assert got == ends | {("p.js", "a"): (None, None, True), ("q.js", "b"): (None, None, True), ("s.js", "a"): (None, None, True), ("m.js", "M"): ("o.js", "default", False), ("n.js", "N"): ("o.js", "default", False)}
+    imports = [(1, "./m", "m.js", "M"), (2, "./c5", "c5.js", "a"), (3, "./c0", "c0.js", "a"), (4, "./m", "m.js", None), (5, "react", None, "useX"), (6, "react", None, None), (7, "./m", "m.js", "other"), (8, "./o", "o.js", "default"), (9, "./s", "s.js", "a")]
+    exports = spark.createDataFrame([("o.js", "default", "Origin"), ("m.js", "other", "unknown"), ("s.js", "a", "Own")], "path string, name string, local string")
+    symbols = spark.createDataFrame([("o.js", "Origin"), ("s.js", "Own")], "path string, qualified string")
+    found = resolve_exports(spark.createDataFrame(imports, "id int, specifier string, target_path string, name string"), exports, symbols, frame)
+    assert {r.id: (r.target_path, r.target_qualified, r.dropped) for r in found.collect()} == {
+        1: ("o.js", "Origin", False), 2: ("c12.js", "a", False), 3: (None, None, True), 4: ("m.js", "m.js", False), 5: (None, "react.useX", False), 6: (None, "react", False), 7: ("m.js", "other", False), 8: ("o.js", "Origin", False),
+        9: ("s.js", "Own", False),
+    }
+
+
 def test_full_text(spark):
     rows = spark.createDataFrame([(1, "render_widget", "app::ui", None), (2, "Widget", "x", "renders a Café"), (3, "wid", "render", "cafe")], "id int, name string, qualified string, doc string")
 
