@@ -19,7 +19,6 @@ if zeros followed. A null number in a vector counts like one that is not positiv
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from itertools import combinations
 
@@ -58,11 +57,6 @@ def distance_of(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)])
 
 
-def fitting_segments(codes: int) -> int:
-    """Segments of a word whose values are about as many as the codes: more would make longer lists for a value, fewer more values to try."""
-    return max(2, min(8, round(BITS / math.log2(max(codes, 2)))))
-
-
 def masks(width: int, radius: int) -> Column:
     """All values of so many bits with ``radius`` ones, as a literal array."""
     found = [str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius)]
@@ -86,14 +80,14 @@ def smallest(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
     """(query_id, rank, neighbour_id, distance) of each query (id, code) among all rows (id, code); a code is a number of 64 bits or an array of them.
 
-    segments: of each word; as their number of codes calls for, if it is not given."""
+    segments: of each word. Few wide ones suit many codes, as fewer codes share a value, but take more values to try for the same distance."""
     return settled(lambda: _search(rows, queries, k, segments), "neighbours")
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int | None) -> DataFrame:
+def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int) -> DataFrame:
     rows, queries = (df.select("id", F.array("code").alias("code") if dict(df.dtypes)["code"] == "bigint" else "code").filter("id IS NOT NULL AND size(code) > 0 AND code[0] IS NOT NULL") for df in (rows, queries))
     words = max((df.agg(F.max(F.size("code"))).first()[0] or 1 for df in (rows, queries)), default=1)
     zero = F.lit(0).cast("long")
@@ -101,8 +95,7 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int | None) -
     one = lambda df: df.withColumn("code", padded).groupBy("id").agg(F.min("code").alias("code"))
     wanted = cut(one(queries), "queries")
     # a query needs k neighbours besides itself
-    few = cut(smallest(one(rows), ["code"], ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    segments = segments or fitting_segments(few.count())
+    few = smallest(one(rows), ["code"], ["id"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     parts = F.posexplode(F.array(*values(F.col("code"), segments, words)))
     index = cut(few.select("code", "ids", parts.alias("segment", "value")), "segments")
 

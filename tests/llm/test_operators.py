@@ -212,10 +212,6 @@ def test_topk_of_long_vectors_against_brute_force(spark, width):
         assert got[q] == sorted((int((codes[q] != c).sum()), k) for k, c in enumerate(codes) if k != q)[:5]
 
 
-def test_segments_follow_from_the_number_of_codes():
-    assert [hamming_topk.fitting_segments(n) for n in (0, 1, 300, 60_000, 10**6, 10**10)] == [8, 8, 8, 4, 3, 2]
-
-
 def test_segments_cover_what_they_say():
     for segments in (3, 4, 7):
         assert sum(w for _, w in hamming_topk.borders(segments)) == 64
