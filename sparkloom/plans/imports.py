@@ -2,7 +2,7 @@
 
 Python: an index of its modules and symbols, and ranked candidates for each import.
 
-The index knows every module and symbol by its dotted name and by each suffix of it, so that ``flask.app`` finds ``src/flask/app.py`` without a packaging file. Where several files
+The index knows every module and symbol by its dotted name and by each suffix of it, so that ``shop.app`` finds ``src/shop/app.py`` without a packaging file. Where several files
 give a name, the first in order of paths has it; within a file classes come before functions, in order of place. Both indexes are one aggregation, added up before the shuffle, so a suffix that
 many files share is no hot group.
 

@@ -306,12 +306,12 @@ def test_imports(spark):
 def test_imports_of_a_workspace(spark):
     from sparkloom.plans.imports import resolve_imports
 
-    files = [("src/flask/__init__.py", "src.flask", True), ("src/flask/app.py", "src.flask.app", False), ("src/flask/sub/x.py", "src.flask.sub.x", False), ("zoo/app.py", "zoo.app", False), ("run.py", "run", False), ("__init__.py", None, True)]
-    symbols = [("src/flask/app.py", "src.flask.app.Flask", True, 9), ("src/flask/app.py", "src.flask.app.Flask.run", False, 12), ("zoo/app.py", "zoo.app.Flask", True, 1), ("zoo/app.py", "zoo.app.keep", False, 2)]
+    files = [("src/shop/__init__.py", "src.shop", True), ("src/shop/app.py", "src.shop.app", False), ("src/shop/sub/x.py", "src.shop.sub.x", False), ("zoo/app.py", "zoo.app", False), ("run.py", "run", False), ("__init__.py", None, True)]
+    symbols = [("src/shop/app.py", "src.shop.app.Shop", True, 9), ("src/shop/app.py", "src.shop.app.Shop.run", False, 12), ("zoo/app.py", "zoo.app.Shop", True, 1), ("zoo/app.py", "zoo.app.keep", False, 2)]
     imports = [
-        (1, "run.py", "flask", None), (2, "run.py", "flask.app", "Flask"), (3, "run.py", "app", "Flask"), (4, "run.py", "zoo.app", "Flask"), (5, "src/flask/sub/x.py", "..app", "Flask"), (6, "src/flask/__init__.py", ".", "app"),
+        (1, "run.py", "shop", None), (2, "run.py", "shop.app", "Shop"), (3, "run.py", "app", "Shop"), (4, "run.py", "zoo.app", "Shop"), (5, "src/shop/sub/x.py", "..app", "Shop"), (6, "src/shop/__init__.py", ".", "app"),
         (7, "run.py", "os", None), (8, "run.py", "elsewhere", "keep"), (9, "run.py", "zoo.app", "gone"), (10, "run.py", "elsewhere", "gone"), (11, "run.py", "zoo.app", "*"), (12, "run.py", "elsewhere", "*"),
-        (13, "run.py", "...x", "y"), (14, "__init__.py", ".", "run"), (15, "src/flask/sub/x.py", ".", "x"), (16, "run.py", ".", "run"), (17, "none.py", ".a", "keep"),
+        (13, "run.py", "...x", "y"), (14, "__init__.py", ".", "run"), (15, "src/shop/sub/x.py", ".", "x"), (16, "run.py", ".", "run"), (17, "none.py", ".a", "keep"),
     ]
     got = resolve_imports(
         spark.createDataFrame(imports, "id int, path string, target string, name string"),
@@ -319,9 +319,9 @@ def test_imports_of_a_workspace(spark):
         spark.createDataFrame(symbols, "path string, qualified string, is_class boolean, place int"),
     )
     assert {r.id: (r.target_path, r.target_qualified) for r in got.collect()} == {
-        1: ("src/flask/__init__.py", "flask"), 2: ("src/flask/app.py", "src.flask.app.Flask"), 3: ("src/flask/app.py", "src.flask.app.Flask"), 4: ("zoo/app.py", "zoo.app.Flask"),
-        5: ("src/flask/app.py", "src.flask.app.Flask"), 6: ("src/flask/app.py", "src.flask.app"), 7: (None, None), 8: ("zoo/app.py", "zoo.app.keep"), 9: ("zoo/app.py", "zoo.app"), 10: (None, None),
-        11: ("zoo/app.py", "zoo.app"), 12: (None, "elsewhere"), 13: (None, None), 14: (None, None), 15: ("src/flask/sub/x.py", "src.flask.sub.x"), 16: ("src/flask/app.py", "src.flask.app.Flask.run"), 17: (None, None),
+        1: ("src/shop/__init__.py", "shop"), 2: ("src/shop/app.py", "src.shop.app.Shop"), 3: ("src/shop/app.py", "src.shop.app.Shop"), 4: ("zoo/app.py", "zoo.app.Shop"),
+        5: ("src/shop/app.py", "src.shop.app.Shop"), 6: ("src/shop/app.py", "src.shop.app"), 7: (None, None), 8: ("zoo/app.py", "zoo.app.keep"), 9: ("zoo/app.py", "zoo.app"), 10: (None, None),
+        11: ("zoo/app.py", "zoo.app"), 12: (None, "elsewhere"), 13: (None, None), 14: (None, None), 15: ("src/shop/sub/x.py", "src.shop.sub.x"), 16: ("src/shop/app.py", "src.shop.app.Shop.run"), 17: (None, None),
     }
 
 
@@ -375,9 +375,9 @@ def test_server_references(spark):
 def test_names_and_modules_of_columns(spark):
     names = spark.createDataFrame([("  ::a::b \t c ",), ("A.b",), ("::A\\b",), ("a　 b",), (None,)], "n string").select(text.normalize_qualified(F.col("n")).alias("n"))
     assert [r.n for r in names.collect()] == ["a::b c", "A.b", "A\\b", "a b", None]
-    paths = ["src/flask/app.py", "flask/__init__.py", "top.py", "__init__.py", "a/b.pyi", "README.md", "a__init__.py"]
+    paths = ["src/shop/app.py", "shop/__init__.py", "top.py", "__init__.py", "a/b.pyi", "README.md", "a__init__.py"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(text.module_of(F.col("p")).alias("m"))
-    assert [r.m for r in got.collect()] == ["src.flask.app", "flask", "top", None, None, None, "a__init__"]
+    assert [r.m for r in got.collect()] == ["src.shop.app", "shop", "top", None, None, None, "a__init__"]
     ids = spark.createDataFrame([("tree-sitter-rust@1.2.3",), ("custom-parser",), ("x@1",)], "p string").select(text.language_of(F.col("p")).alias("l"))
     assert [r.l for r in ids.collect()] == ["rust", "custom-parser", "x@1"]
 
