@@ -80,8 +80,9 @@ def _sites(facts: DataFrame, start: str, end: str, *more: str) -> DataFrame:
 def _implementations(facts, manifest_id: int, column: str, value: str, limit: int) -> DataFrame:
     i = facts.implementations.filter(F.col(column) == value).join(entries_of(facts.manifest_entries, manifest_id), "blob_sha")
     # resolutions neither add nor drop rows: only what is within the limit is resolved
-    i = i.orderBy("path", "line", "id").limit(max(1, limit))
-    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False, sites=_sites(i, "interface_byte_start", "interface_byte_end"))
+    i, few = _first(i.orderBy("path", "line", "id"), limit)
+    sites = _sites(i, "interface_byte_start", "interface_byte_end")
+    best = best_resolution(facts.resolutions, manifest_id, ("type",), by_kind=False, sites=F.broadcast(sites) if few else sites)
     best = best.select(*SITE, "semantic_kind", F.col("source").alias("_source"), "target_path")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
     site &= (i["interface_byte_start"] == best["site_byte_start"]) & (i["interface_byte_end"] == best["site_byte_end"])
@@ -114,8 +115,9 @@ def find_imports(facts, manifest_id: int, file: str | None = None, limit: int |
     entries = entries_of(facts.manifest_entries, manifest_id)
     if file is not None:
         entries = entries.filter(F.col("path") == file)
-    i = facts.imports.join(entries, "blob_sha").orderBy("path", "line", "id").limit(max(1, limit if limit is not None else 200))
-    best = best_resolution(facts.resolutions, manifest_id, ("import",), by_kind=False, sites=_sites(i, "byte_start", "byte_end"))
+    i, few = _first(facts.imports.join(entries, "blob_sha").orderBy("path", "line", "id"), limit if limit is not None else 200)
+    sites = _sites(i, "byte_start", "byte_end")
+    best = best_resolution(facts.resolutions, manifest_id, ("import",), by_kind=False, sites=F.broadcast(sites) if few else sites)
     best = best.select(*SITE, F.col("source").alias("_source"), "target_path")
     site = (i["blob_sha"] == best["site_blob_sha"]) & (i["parser_id"] == best["site_parser_id"])
     site &= (i["byte_start"] == best["site_byte_start"]) & (i["byte_end"] == best["site_byte_end"])
@@ -144,6 +146,12 @@ def _few(df: DataFrame) -> tuple[DataFrame, bool]:
     return (_held(df), True) if few else (df, False)
 
 
+def _first(ordered: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """The rows within a limit, and whether that makes them few: those are looked up once and kept."""
+    df = ordered.limit(max(1, limit))
+    return (_held(df), True) if limit <= FEW_ROWS else (df, False)
+
+
 def _held(df: DataFrame) -> DataFrame:
     """Few rows, kept in the executors."""
     df = df.persist()
@@ -176,9 +184,10 @@ def _without_noise(facts, r: DataFrame, keys: list[str], few: bool) -> DataFrame
     r = r.withColumn("_dup", F.row_number().over(w)).filter("_dup = 1").drop("_dup")
     same = (r["blob_sha"] == lines["_w_blob_sha"]) & (r["line"] == lines["_w_line"]) & (r["kind"] == lines["_w_kind"])
     same &= (r["target_name"] == lines["_w_target_name"]) & r["enclosing_id"].eqNullSafe(lines["_w_enclosing_id"])
-    # only rows without a range can be shadowed; the others do not take part in the join's match
-    same &= (r["byte_start"] == 0) & (r["byte_end"] == 0) & (r["source_rank"] > 0)
-    return r.join(lines, same, "left_anti")
+    same &= r["source_rank"] > 0
+    # only rows without a range can be shadowed; the others are not shuffled for the join
+    bare = F.coalesce((F.col("byte_start") == 0) & (F.col("byte_end") == 0), F.lit(False))
+    return r.filter(~bare).unionByName(r.filter(bare).join(lines, same, "left_anti"))
 
 
 def _resolved(facts, manifest_id: int, r: DataFrame, few: bool) -> DataFrame:
@@ -207,7 +216,7 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     """The join chain that all reference queries share; ``refs`` are already filtered where the filter needs no join.
 
     keys: extra columns (of batched lookups) within which duplicates are looked for; within: the limit, if it does not depend on what
-    references resolve to, so that only rows within it are resolved."""
+    references resolve to, so that only rows within it are resolved; without ``keys`` it leaves ``FEW_ROWS`` at most."""
     r = refs.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha").withColumn("source_rank", source_rank(F.col("source")))
     if outgoing and not include_noise:
         r, few = _few(r.filter(F.col("kind") == "call"))
@@ -217,8 +226,13 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     else:
         r, few = (r, False) if keys else _few(r)
         r = r if include_noise else _without_noise(facts, r, keys, few)
-        r = r if within is None else within(r)
-        r = _resolved(facts, manifest_id, _held(r) if few else r, few)
+        if within is not None and keys:
+            r = within(r)
+        elif within is not None:
+            r, few = _held(within(r)), True
+        elif few:
+            r = _held(r)
+        r = _resolved(facts, manifest_id, r, few)
     return r.select(
         *keys,
         "target_name",
@@ -268,7 +282,7 @@ def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = N
     others = others.filter(F.col("target_qualified").isNull() | (F.col("target_qualified") != symbol))
     site = (others["blob_sha"] == aimed["site_blob_sha"]) & (others["parser_id"] == aimed["site_parser_id"])
     site &= (others["byte_start"] == aimed["site_byte_start"]) & (others["byte_end"] == aimed["site_byte_end"]) & (others["kind"] == aimed["_k"])
-    refs = by_text.unionByName(others.join(aimed, site, "left_semi"))
+    refs = by_text.unionByName(others.join(F.broadcast(aimed) if few else aimed, site, "left_semi"))
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
     found = _references(facts, manifest_id, refs, False, include_noise, [])
     return _ordered(found.filter(F.col("target_qualified") == symbol), limit)
@@ -279,7 +293,8 @@ def references_outgoing(facts, manifest_id: int, symbol: str, kind: str | None =
     enclosing = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing"))
     keys = few_keys(enclosing, "enclosing_id")
     refs = facts.refs if keys is None else at_keys(second(facts, "refs_by_enclosing"), "enclosing_id", keys)
-    refs = refs.join(enclosing, "enclosing_id")
+    enclosing, few = _few(enclosing)
+    refs = refs.join(F.broadcast(enclosing) if few else enclosing, "enclosing_id")
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
     return _ordered(_references(facts, manifest_id, refs, True, include_noise, []), limit)
 

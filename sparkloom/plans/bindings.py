@@ -7,6 +7,7 @@ DuckDB read alike. ``bind`` gives DataFrames; ``with_clause`` the same text as c
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -187,39 +188,69 @@ LAYOUT = {
 } | {name: columns for name, (_, columns, _) in SECOND.items()}
 #: Bytes of a row group: a lookup reads few of them, a scan deals them to many tasks.
 ROW_GROUP = 4 << 20
-_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_WRITTEN: dict[tuple[str, str, str, bool], tuple[str, StructType]] = {}
+
+
+#: Not written where they are asked for once or in a few passes: each row comes from one row of a table that is at hand.
+VIEWS = ("implementations", "imports", "resolutions")
+#: Tables whose second layouts are as large as the input.
+LARGE = ("refs", "resolutions")
+
+
+def for_spark(text: str, count: Callable[[str], int]) -> str:
+    """A binding as Spark reads it best: numbers of rows as literals and small fixed lists as arrays, not as joins."""
+    for table, alias in re.findall(r"CROSS JOIN \(SELECT count\(\*\) AS n FROM \{(\w+)\}\) (\w+)", text):
+        text = text.replace(f"CROSS JOIN (SELECT count(*) AS n FROM {{{table}}}) {alias}", "")
+        text = re.sub(rf"\b{alias}\.n\b", f"{count(table)}L", text)
+    return text.replace("CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t", "LATERAL VIEW explode(array(0, 1, 2)) t AS k")
 
 
 class Facts:
-    """Fact tables of a data folder, each made when it is first asked for."""
+    """Fact tables of a data folder, each made when it is first asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    indexed: large tables are written in the order of their lookups, with their second layouts, which many lookups repay. A single query doesn't:
+    without an index, ``refs`` is written once as it comes, what derives from a table row by row is derived as it is read, and lookups scan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, indexed: bool = True):
+        self.spark, self.sf_dir, self.indexed = spark, sf_dir, indexed
         self.made: dict[str, DataFrame] = {}
+        self.counts: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name.startswith("_") or (name in SECOND and not self.indexed and SECOND[name][0] in LARGE):
             raise AttributeError(name)
         if name not in self.made:
             if name in SECOND:
                 self.made[name] = self.stored(name, lambda: made(name, getattr(self, SECOND[name][0])))
             elif name in BINDINGS:
-                used = dict.fromkeys(re.findall(r"\{(\w+)\}", BINDINGS[name]))
-                self.made[name] = self.stored(name, lambda: self.spark.sql(BINDINGS[name], **{x: getattr(self, x) for x in used}))
+                self.made[name] = self.stored(name, lambda: self.derived(name))
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    def derived(self, name: str) -> DataFrame:
+        """A fact table, not written: for queries that read it once, and few of its columns."""
+        text = for_spark(BINDINGS[name], self.count)
+        used = dict.fromkeys(re.findall(r"\{(\w+)\}", text))
+        return self.spark.sql(text, **{x: getattr(self, x) for x in used})
+
+    def count(self, name: str) -> int:
+        if name not in self.counts:
+            self.counts[name] = getattr(self, name).count()
+        return self.counts[name]
+
     def stored(self, name: str, make) -> DataFrame:
         """A fact table, read from where this session wrote it."""
-        if name not in LAYOUT:
+        if name not in LAYOUT or (name in VIEWS and not self.indexed):
             return make()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        in_order = self.indexed or name not in LARGE
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, in_order)
         if key not in _WRITTEN:
             path = new_path(self.spark, f"facts-{name}")
             df = make()
             # a name that many rows share is split over several files
-            df.hint("rebalance", LAYOUT[name][0]).sortWithinPartitions(*LAYOUT[name]).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+            rows = df.hint("rebalance", LAYOUT[name][0]).sortWithinPartitions(*LAYOUT[name]) if in_order else df
+            rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
             _WRITTEN[key] = (path, df.schema)
         path, schema = _WRITTEN[key]
         return self.spark.read.schema(schema).parquet(path)

@@ -901,4 +901,4 @@ UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels WHERE toxic = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Facts(spark, sf_dir))) for name, f in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Facts(spark, sf_dir, indexed=False))) for name, f in QUERIES.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom import queries
 from sparkloom.functions import fts
 from sparkloom.operators import admin, extract, lookup, repos
-from sparkloom.plans import snapshots
+from sparkloom.plans import bindings, snapshots
 from sparkloom.plans.bindings import RAW, Facts
 from sparkloom.streaming import coalesce, generations
 
@@ -162,6 +162,26 @@ def test_lookups_filter_the_layout_of_their_key(spark):
     assert re.search(r"PushedFilters: \[.*In\(enclosing_id", plan_of(outgoing)) and all("refs_by_enclosing" in x for x in outgoing.inputFiles())
 
 
+LOOKUPS = ["q12_find_callers", "q3_find_supertypes", "q7_references_fallback", "q8_references_outgoing_type", "q6_references_many", "q8_references_outgoing_noise"]
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_a_single_lookup_writes_no_index_of_large_tables(spark, monkeypatch, name):
+    monkeypatch.setattr(bindings, "_WRITTEN", {})
+    got = sorted(map(str, queries.queries()[name](spark, SF).collect()))
+    assert {k[2] for k in bindings._WRITTEN} <= {"refs", "symbols", "symbols_by_id", "symbols_by_name", "manifest_entries"}
+    assert got == sorted(map(str, queries.QUERIES[name](Facts(spark, SF)).collect()))
+
+
+def test_bindings_read_alike_with_numbers_as_literals(spark):
+    f = Facts(spark, SF, indexed=False)
+    for name in ("refs", "resolutions", "implementations", "imports"):
+        plain = spark.sql(bindings.BINDINGS[name], **{x: getattr(f, x) for x in dict.fromkeys(re.findall(r"\{(\w+)\}", bindings.BINDINGS[name]))})
+        here = f.derived(name)
+        assert here.schema.simpleString() == plain.schema.simpleString() and here.exceptAll(plain).isEmpty() and here.count() == plain.count()
+        assert "NestedLoop" not in plan_of(here) and "Cartesian" not in plan_of(here)
+
+
 def test_many_keys_are_joined_instead(spark, monkeypatch):
     from sparkloom.plans import layouts
 
