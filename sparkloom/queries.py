@@ -62,7 +62,7 @@ query(
     "p11_source_rank",
     f"SELECT source, {RANK.format('source')} AS rank, (starts_with(source, 'tier3-') OR starts_with(source, 'tier25-')) AS workspace, count(*) AS n FROM refs GROUP BY source",
     "refs",
-)(lambda f: f.refs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", source_rank(F.col("source")).alias("rank"), is_workspace_tier(F.col("source")).alias("workspace"), "n"))
+)(lambda f: f.derived("refs").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", source_rank(F.col("source")).alias("rank"), is_workspace_tier(F.col("source")).alias("workspace"), "n"))
 
 # ---- symbols
 

@@ -173,6 +173,12 @@ def test_a_single_lookup_writes_no_index_of_large_tables(spark, monkeypatch, nam
     assert got == sorted(map(str, queries.QUERIES[name](Facts(spark, SF)).collect()))
 
 
+@pytest.mark.parametrize("name", ["p11_source_rank"])
+def test_what_reads_references_once_writes_none(spark, monkeypatch, name):
+    monkeypatch.setattr(bindings, "_WRITTEN", {})
+    assert queries.queries()[name](spark, SF).count() and not bindings._WRITTEN
+
+
 def test_bindings_read_alike_with_numbers_as_literals(spark):
     f = Facts(spark, SF, indexed=False)
     for name in ("refs", "resolutions", "implementations", "imports"):
