@@ -18,6 +18,7 @@ from sparkloom.functions import fts, text
 from sparkloom.functions.provenance import FACT, SITE, best_resolution, is_workspace_tier, source_rank
 from sparkloom.plans.layouts import at_keys, few_keys, second
 from sparkloom.plans.snapshots import entries_of
+from sparkloom.sources.shared import written
 
 SOURCE_CANDIDATES = 20
 
@@ -226,8 +227,8 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     else:
         r, few = (r, False) if keys else _few(r)
         r = r if include_noise else _without_noise(facts, r, keys, few)
-        if within is not None and keys:
-            r = within(r)
+        if within is not None and keys:  # steps that follow read what is left, instead of finding it again
+            r, few = _few(written(within(r), "within"))
         elif within is not None:
             r, few = _held(within(r)), True
         elif few:
@@ -332,7 +333,8 @@ def find_callees(facts, manifest_id: int, name: str, limit: int = 100) -> DataFr
 def find_references_many(facts, manifest_id: int, names: DataFrame, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
     """Bare-name references of many names (name) in one job: the lookup as a join, the limit per name."""
     wanted = names.select(F.col("name").alias("wanted")).distinct()
-    refs = facts.refs.join(wanted, F.col("target_name") == F.col("wanted"))
+    # many rows may share a name, so few names are broadcast
+    refs = facts.refs.join(wanted if few_keys(wanted, "wanted") is None else F.broadcast(wanted), F.col("target_name") == F.col("wanted"))
     refs = refs if kind is None else refs.filter(F.col("kind") == kind)
     ranked = lambda r, order: r.withColumn("rank", F.row_number().over(W.partitionBy("wanted").orderBy(*order))).filter(F.col("rank") <= limit)
     found = _references(facts, manifest_id, refs, False, include_noise, ["wanted"], lambda r: ranked(r, ORDER).drop("rank"))
