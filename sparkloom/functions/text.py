@@ -165,6 +165,6 @@ def location(repo: Column, anchor: Column, path: Column, line: Column) -> Column
     return F.concat_ws(":", repo, anchor, path, line.cast("string"))
 
 
-def line_of(content: Column, line: Column) -> Column:
-    """A 1-based line of text content, without its line end; null where there is none."""
-    return F.regexp_replace(F.get(F.split(content, "\n"), (line - 1).cast("int")), r"\r+$", "")
+def without_return(line: Column) -> Column:
+    """A line without the carriage returns at its end."""
+    return F.regexp_replace(line, r"\r+$", "")

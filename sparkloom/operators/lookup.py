@@ -414,8 +414,11 @@ def dedup_sources(rows: DataFrame) -> DataFrame:
 def with_snippets(hits: DataFrame, contents: DataFrame) -> DataFrame:
     """The line of each hit (blob_sha, line), from text contents (blob_sha, content); null without content.
 
-    Blobs are joined once each, whatever the number of hits in them."""
-    return hits.join(contents.dropDuplicates(["blob_sha"]), "blob_sha", "left").withColumn("snippet", text.line_of(F.col("content"), F.col("line"))).drop("content")
+    Contents are cut into lines once each, and hits meet lines, whatever the number of hits in a blob."""
+    lines = contents.dropDuplicates(["blob_sha"]).select("blob_sha", F.posexplode(F.split("content", "\n")).alias("_at", "snippet"))
+    lines = lines.select(F.col("blob_sha").alias("_blob"), (F.col("_at") + 1).cast("long").alias("_line"), text.without_return(F.col("snippet")).alias("snippet"))
+    found = hits.drop("snippet").join(lines, (F.col("blob_sha") == F.col("_blob")) & (F.col("line").cast("long") == F.col("_line")), "left")
+    return found.drop("_blob", "_line")
 
 
 def probe(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:

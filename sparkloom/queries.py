@@ -212,7 +212,7 @@ query(
     "q23_snippets",
     f"WITH {CONTENTS} SELECT r.id, r.line, regexp_replace(list_extract(string_split(content, chr(10)), r.line), '\\r+$', '') AS snippet FROM refs r LEFT JOIN contents c ON c.blob_sha = r.blob_sha",
     "refs",
-)(lambda f: lookup.with_snippets(f.refs.select("id", "blob_sha", "line"), contents(f)).select("id", "line", "snippet"))
+)(lambda f: lookup.with_snippets(f.derived("refs").select("id", "blob_sha", "line"), contents(f)).select("id", "line", "snippet"))
 query(
     "q24_locations",
     f"WITH {FILES} SELECT s.id, 'demo:HEAD:' || path || ':' || CAST(line_start AS VARCHAR) AS location FROM symbols s JOIN e USING (blob_sha)",

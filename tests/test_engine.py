@@ -173,7 +173,7 @@ def test_a_single_lookup_writes_no_index_of_large_tables(spark, monkeypatch, nam
     assert got == sorted(map(str, queries.QUERIES[name](Facts(spark, SF)).collect()))
 
 
-@pytest.mark.parametrize("name", ["p11_source_rank"])
+@pytest.mark.parametrize("name", ["p11_source_rank", "q23_snippets"])
 def test_what_reads_references_once_writes_none(spark, monkeypatch, name):
     monkeypatch.setattr(bindings, "_WRITTEN", {})
     assert queries.queries()[name](spark, SF).count() and not bindings._WRITTEN
@@ -188,6 +188,16 @@ def test_bindings_read_alike_with_numbers_as_literals(spark):
         assert "NestedLoop" not in plan_of(here) and "Cartesian" not in plan_of(here)
 
 
+def test_snippets_meet_lines_not_contents(spark):
+    hits = spark.createDataFrame([(i, b, n) for i, (b, n) in enumerate([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 0), ("a", -1), ("a", None), ("b", 1), ("c", 1), (None, 1), ("a", 2)])], "id long, blob_sha string, line long")
+    contents = spark.createDataFrame([("a", "x\r\r\n\ny\n"), ("b", None), ("d", "z")], "blob_sha string, content string")
+    got = lookup.with_snippets(hits, contents)
+    assert got.columns == ["id", "blob_sha", "line", "snippet"]
+    assert {r.id: r.snippet for r in got.collect()} == {0: "x", 1: "", 2: "y", 3: "", 4: None, 5: None, 6: None, 7: None, 8: None, 9: None, 10: ""}
+    join = next(x for x in plan_of(got).splitlines() if "Join" in x)
+    assert "_line" in join and "content" not in join
+
+
 def test_many_keys_are_joined_instead(spark, monkeypatch):
     from sparkloom.plans import layouts
 
