@@ -22,11 +22,14 @@ def enclosing_by_bytes(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def enclosing_by_line(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``sites`` (id, blob_sha, line) with the symbol around each line: smallest span, then latest start, then id."""
+    """``sites`` (id, blob_sha, line) with the symbol around each line: smallest span, then latest start, then id.
+
+    Each line of a blob is looked up once, whatever the number of sites on it."""
     s = symbols.select("blob_sha", F.col("id").alias("enclosing"), F.col("line_start").alias("_a"), F.col("line_end").alias("_b"))
-    around = sites.join(s, "blob_sha").filter((F.col("_a") <= F.col("line")) & (F.col("_b") >= F.col("line")))
-    best = around.groupBy("id").agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("span"), (-F.col("_a")).alias("late"), F.col("enclosing"))).alias("_m"))
-    return sites.join(best, "id", "left").select(*sites.columns, "_m.enclosing")
+    lines = sites.select("blob_sha", "line").distinct()
+    around = lines.join(s, "blob_sha").filter((F.col("_a") <= F.col("line")) & (F.col("_b") >= F.col("line")))
+    best = around.groupBy("blob_sha", "line").agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("span"), (-F.col("_a")).alias("late"), F.col("enclosing"))).alias("_m"))
+    return sites.join(best, ["blob_sha", "line"], "left").select(*sites.columns, "_m.enclosing")
 
 
 def path_of_symbol(symbols: DataFrame, entries: DataFrame, manifest_id: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import queries
 from sparkloom.functions import fts
-from sparkloom.operators import admin, extract, lookup, repos
+from sparkloom.operators import admin, enclosing, extract, lookup, repos
 from sparkloom.plans import bindings, snapshots
 from sparkloom.plans.bindings import RAW, Facts
 from sparkloom.streaming import coalesce, generations
@@ -198,6 +198,14 @@ def test_snippets_meet_lines_not_contents(spark):
     assert "_line" in join and "content" not in join
 
 
+def test_lines_are_enclosed_once_each(spark):
+    sites = spark.createDataFrame([(i, "b", i % 3 + 1) for i in range(30)] + [(30, "b", None), (31, "x", 1)], "id long, blob_sha string, line long")
+    symbols = spark.createDataFrame([(1, "b", 1, 9), (2, "b", 2, 3), (3, "b", 3, 4), (4, "b", 3, 4)], "id long, blob_sha string, line_start long, line_end long")
+    found = enclosing.enclosing_by_line(sites, symbols)
+    assert {r.id: r.enclosing for r in found.collect()} == {i: {0: 1, 1: 2, 2: 3}[i % 3] for i in range(30)} | {30: None, 31: None}
+    assert not re.search(r"keys=\[id#\d+L?\]", plan_of(found))  # nothing is grouped by site
+
+
 def test_many_keys_are_joined_instead(spark, monkeypatch):
     from sparkloom.plans import layouts
 
