@@ -172,6 +172,24 @@ def test_cut_between_good_and_bad_scores():
     assert quality_rules.cut([], [0.1]) == quality_rules.cut([0.1], []) == quality_rules.THRESHOLD
 
 
+def test_cut_of_a_table_is_the_cut_of_its_lists(spark):
+    rng = np.random.default_rng(5)
+    for n, step in ((3, 1.0), (400, 0.0004), (9000, 1e-9)):  # more bad ones than an earlier limit of 4,000
+        rows = [(float(round(s / step) * step), bool(g)) for s, g in zip(rng.normal(0, 0.01, n), rng.random(n) < 0.4, strict=True)] + [(None, True)]
+        frame = spark.createDataFrame(rows, "score double, good boolean")
+        of = lambda kind: [s for s, g in rows if s is not None and g is kind]  # noqa: B023, E731
+        assert quality_rules.best_cut(frame) == quality_rules.cut(of(True), of(False))
+    assert quality_rules.best_cut(frame.filter("good")) == quality_rules.THRESHOLD
+
+
+def test_every_label_counts(spark):
+    n = 21_000  # more than an earlier limit of 20,000 trusted rows
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"))
+    ratios = quality_rules.log_ratios(docs, docs.filter(F.col("doc_id") < n).select("doc_id", F.lit(1).alias("quality")))
+    p = (2 * n + 1) / (2 * n + quality_rules.BUCKETS)
+    assert max(ratios) == round(np.log((n + quality_rules.PRIOR * p) / ((n + quality_rules.PRIOR) * p)), 4)
+
+
 def test_quality_plan_is_native(spark):
     plan = registry.op2_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
