@@ -8,7 +8,7 @@ from all labelled rows that are not trusted (all bad ones, and the tenth of the
 where the share of bad rows kept and that of good rows lost have the smallest sum. Without such rows of both kinds it is ``THRESHOLD``.
 
 The raw counts cover all documents, the target's all trusted ones. Both come from one pass that aggregates before
-its shuffle; texts are shuffled only where there are too many trusted ids for Spark to broadcast. The counts of the ``BUCKETS`` buckets go to the driver, and their ratios
+its shuffle; trusted ids are broadcast as bits, and texts are shuffled only where ids are no whole numbers or lie too far apart for that (``with_trust``). The counts of the ``BUCKETS`` buckets go to the driver, and their ratios
 enter the second pass as a literal. That one judges each document once; the threshold is found over its scores, in ranges of ``SPAN``, of which the numbers go to the driver. Only DataFrame functions are used.
 
 Cases: a null or empty text, or one of white space alone, has no words: all counts are 0, base_failed is true
@@ -33,6 +33,8 @@ from sparkloom.llm.common import barrier
 from sparkloom.sources.shared import written
 
 BUCKETS = 1 << 13
+#: Words of 64 ids that are broadcast (24 MB of rows).
+MOST_WORDS = 1 << 20
 PRIOR = 4096.0
 #: Width of the ranges of scores within which places of a threshold are compared.
 SPAN = 1e-3
@@ -117,10 +119,24 @@ def counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_w", "_sorted")
 
 
+def with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``docs`` with ``_t``, 1 if the id is among ``trusted`` (doc_id), else 0.
+
+    Whole numbers are sent to all tasks as words of 64 bits, so texts stay where they are; other ids, and more than ``MOST_WORDS`` words of them, are joined as they are."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if {docs.schema["doc_id"].dataType.simpleString(), trusted.schema["doc_id"].dataType.simpleString()} <= whole:
+        word, bit = F.expr("shiftright(CAST(doc_id AS BIGINT), 6)"), "CAST(doc_id & 63 AS INT)"
+        words = trusted.filter("doc_id IS NOT NULL").groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+        if words.count() <= MOST_WORDS:
+            beside = docs.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+            return beside.withColumn("_t", F.coalesce(F.expr(f"shiftright(_bits, {bit}) & 1L"), F.lit(0))).drop("_word", "_bits")
+    ids = trusted.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left").withColumn("_t", F.col("_id").isNotNull().cast("long")).drop("_id")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log ratio of each bucket."""
-    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
-    flagged = docs.join(trusted, docs["doc_id"] == trusted["_trusted"], "left").select(F.col("_trusted").isNotNull().cast("long").alias("_t"), word_hashes(F.col("text")).alias("_h"))
+    flagged = with_trust(docs, labels.filter("quality = 1").select("doc_id")).select("_t", word_hashes(F.col("text")).alias("_h"))
     grams = flagged.select("_t", F.explode(buckets(F.col("_h"))).alias("bucket"))
     seen = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good")).collect()  # BUCKETS rows at most
     raw, good = [0] * BUCKETS, [0] * BUCKETS

@@ -190,6 +190,24 @@ def test_every_label_counts(spark):
     assert max(ratios) == round(np.log((n + quality_rules.PRIOR * p) / ((n + quality_rules.PRIOR) * p)), 4)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 2])
+def test_trust_moves_no_texts(spark, monkeypatch, most):
+    ids = [-(2**63), -65, -64, -1, 0, 1, 63, 64, 10**6, 2**63 - 1]
+    docs = spark.createDataFrame([(i, "w") for i in [*ids, 5, 62, -2, None]], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "doc_id long")
+    monkeypatch.setattr(quality_rules, "MOST_WORDS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more ids than Spark broadcasts by itself
+    try:
+        for a, b in (("long", "long"), ("string", "string"), ("long", "string")):
+            got = quality_rules.with_trust(docs.withColumn("doc_id", F.col("doc_id").cast(a)), trusted.select(F.col("doc_id").cast(b)))
+            assert {r.doc_id and int(r.doc_id): r._t for r in got.collect()} == {**dict.fromkeys(ids, 1), 5: 0, 62: 0, -2: 0, None: 0}
+            assert got.count() == len(ids) + 4
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan) == (most == 2 or b == "string")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quality_plan_is_native(spark):
     plan = registry.op2_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
