@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, settled, slices, small_batches
+from sparkloom.llm.common import among, bitmap, cut, discard, marked, place, settled, slices
+from sparkloom.sources.shared import small_batches
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8

@@ -26,6 +26,7 @@ from sparkloom.operators import admin, extract, resolution
 from sparkloom.plans import snapshots
 from sparkloom.plans.layouts import SECOND, made
 from sparkloom.sources import worktree
+from sparkloom.sources.shared import small_batches
 
 #: Of each parser; facts of another revision are made anew.
 REVISION = 1
@@ -50,6 +51,8 @@ ORDER = {
     "resolutions": ("site_blob_sha", "site_byte_start", "id"), "errors": ("blob_sha", "parser_id"), "blobs": ("blob_sha", "parser_id"), "manifest_entries": ("manifest_id", "path"),
 }
 COMPACT_AFTER = 16
+#: Contents that are sent to Python at once.
+BATCH_BYTES = 4 << 20
 FACTS = ("symbols", "refs", "implementations", "imports", "resolutions", "errors")
 
 
@@ -62,10 +65,14 @@ class Outcome:
     generation: int
 
 
-def fact_tables(rows: DataFrame, generation: int) -> dict[str, DataFrame]:
-    """Fact tables of an extractor's rows. Ids are hashes of unit, fact and place, so that equal content has equal ids in every registration."""
+def identified(rows: DataFrame, generation: int) -> DataFrame:
+    """An extractor's rows with their ids. Those are hashes of unit, fact and place, so that equal content has equal ids in every registration."""
     place = ["fact", "kind", "qualified", "name", "target", "target_qualified", "byte_start", "byte_end", "line_start"]
-    rows = rows.withColumn("id", F.xxhash64("blob_sha", "parser_id", *place)).withColumn("generation", F.lit(generation).cast("long")).dropDuplicates(["blob_sha", "parser_id", "id"])
+    return rows.withColumn("id", F.xxhash64("blob_sha", "parser_id", *place)).withColumn("generation", F.lit(generation).cast("long")).dropDuplicates(["blob_sha", "parser_id", "id"])
+
+
+def fact_tables(rows: DataFrame, generation: int) -> dict[str, DataFrame]:
+    """Fact tables of rows with ids. Each reads the rows, which are therefore to be kept."""
     of = lambda fact: rows.filter(F.col("fact") == fact)
     symbols = of("symbol")
     parents = symbols.groupBy("blob_sha", "parser_id", F.col("qualified").alias("parent")).agg(F.min_by("id", F.struct("byte_start", "id")).alias("parent_id"))
@@ -208,8 +215,7 @@ def fingerprint(entries: DataFrame) -> str:
 
 def with_parsers(files: DataFrame) -> DataFrame:
     """Files (path, blob_sha, content) that some parser takes, with its id."""
-    language = extract.dispatched(F.col("path"), F.substring("content", 1, 64 * 1024))
-    return files.withColumn("language", language).filter("language IS NOT NULL").withColumn("parser_id", extract.parser_id(F.col("language"))).drop("language")
+    return files.withColumn("language", extract.dispatched(F.col("path"), F.col("content"))).filter("language IS NOT NULL").withColumn("parser_id", extract.parser_id(F.col("language"))).drop("language")
 
 
 def left_to_parse(files: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -224,13 +230,20 @@ def register_files(store: Store, files: DataFrame, anchor: str, now_ns: int, com
     """Register captured files (path, blob_sha, content) under a tentative anchor, and those of a commit under HEAD and its branch.
 
     An unchanged tentative snapshot keeps its manifest unless ``force`` asks for a new one; a commit that is known keeps its own. All of it is published at once."""
+    with small_batches(store.spark, maxBytesPerBatch=BATCH_BYTES):
+        return _registered(store, files, anchor, now_ns, commit, committed, branch, generation, force)
+
+
+def _registered(store: Store, files: DataFrame, anchor: str, now_ns: int, commit: str | None, committed: DataFrame | None, branch: str | None, generation: int | None, force: bool) -> Outcome:
     kept = with_parsers(files).persist()
     own = None if committed is None else with_parsers(committed)
     todo = left_to_parse(kept if own is None else kept.unionByName(own), store.blobs).persist()
+    found: list[DataFrame] = []
     try:
         n = store.live["generation"] + 1
         parsed = todo.count()
-        facts = fact_tables(extract.extract_units(todo), n)
+        found.append(identified(extract.extract_units(todo), n).persist())  # contents are parsed once, not for each table
+        facts = fact_tables(found[-1], n)
         again = todo.join(store.blobs.select("blob_sha", "parser_id"), ["blob_sha", "parser_id"], "left_semi")
         dead = bool(store.live.get("dead")) or not again.isEmpty()
         blobs = shaped(todo.select("*", F.lit(now_ns).alias("parsed_at_ns"), F.lit(n).alias("generation")), "blobs")
@@ -267,8 +280,8 @@ def register_files(store: Store, files: DataFrame, anchor: str, now_ns: int, com
             done = store.compact()
         return Outcome(at_head, tentative, parsed, reused, done)
     finally:
-        kept.unpersist()
-        todo.unpersist()
+        for df in (kept, todo, *found):
+            df.unpersist()
 
 
 def git(root: str, *arguments: str) -> str | None:

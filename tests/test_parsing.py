@@ -2,6 +2,7 @@
 
 import random
 import subprocess
+import uuid
 from pathlib import Path
 
 import pytest
@@ -212,6 +213,43 @@ def test_a_store_grows_with_its_changes_and_is_compacted(spark, tmp_path, monkey
     assert len(store.live["tables"]["symbols"]) == 1 and store.symbols.filter("name = 'widget_new'").count() == 1
 
 
+def test_a_registration_parses_contents_once_and_in_small_batches(spark, tmp_path, monkeypatch):
+    from sparkloom.functions.text import git_sha
+
+    inner, schema = extract.extract_units, "blob_sha string, parser_id string, content binary"
+    (tmp_path / "seen").mkdir()
+
+    def counted(units):
+        def tally(batches):
+            for b in batches:
+                (tmp_path / "seen" / f"{uuid.uuid4().hex}").write_text(f"{len(b)} {b['content'].str.len().sum()}")
+                yield b
+
+        return inner(units.select("blob_sha", "parser_id", "content").mapInPandas(tally, schema))
+
+    monkeypatch.setattr(extract, "extract_units", counted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    content = F.when(F.col("id") < 6000, F.concat(F.lit("def f"), F.col("id"), F.lit("(): pass\n"))).otherwise(F.concat(F.lit("# "), F.col("id"), F.repeat(F.lit("\nword"), 100_000)))
+    files = spark.range(0, 6040, 1, 1).select(F.concat(F.col("id"), F.when(F.col("id") < 6000, ".py").otherwise(".md")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    store = register.Store(spark, f"file://{tmp_path}/store")
+    assert register.register_files(store, files.withColumn("blob_sha", git_sha(F.col("content"))), "tentative/1", 1).blobs_parsed == 6040
+    seen = [tuple(map(int, f.read_text().split())) for f in (tmp_path / "seen").iterdir()]
+    assert sum(n for n, _ in seen) == 6040 and max(n for n, _ in seen) <= 1000 and max(size for _, size in seen) < 8 << 20
+    assert store.symbols.count() == 6040 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_dispatch_sends_python_what_it_needs(spark):
+    files = [
+        ("a/b.py", b"#!/usr/bin/ruby\n"), ("dir.py/run", b"#!/usr/bin/env python\nx"), ("x.h", b"@interface A\n"), ("x.h", b"int a;\n" * 9000 + b"class A"), ("x.h", b"int a;"), (".py", b"x"),
+        ("a.", b"#!/bin/node"), ("a.txt", b"plain"), ("a.txt", b"#!/usr/bin/php"), ("b.PY", b""), ("h", b"class A"), ("c.tar.md", b""), ("x.py\n", b""),
+    ]
+    df = spark.createDataFrame([(k, p, bytearray(c)) for k, (p, c) in enumerate(files)], "k int, path string, content binary")
+    known, head = extract.head_of(F.col("path"), F.col("content"))
+    got = {r.k: r for r in df.select("k", extract.dispatched(F.col("path"), F.col("content")).alias("language"), known.alias("known"), F.octet_length(head).alias("sent")).collect()}
+    assert [got[k].language for k in range(len(files))] == [extract.dispatch(p, c) for p, c in files]
+    assert all(r.sent is None if r.known else r.sent <= (65536 if files[k][0].endswith(".h") else 256) for k, r in got.items())
+
+
 def test_bases_constructors_and_fields():
     facts = lambda language, source: extract.facts_of(language, source)
     cpp = facts("cpp", b"class A : public B, private C {\n};\nstruct D : E {\n};\n")
