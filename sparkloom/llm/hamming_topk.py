@@ -7,6 +7,10 @@ radius ``BY_SEGMENT`` on, until the distance of a query's last wanted neighbour
 queries that are not yet covered go on. A probe's partners are compared with the whole code in the join's condition and
 kept only within the query's best distance so far.
 
+A round takes as many of these steps as are expected to meet ``AT_ONCE`` codes together, or one if it meets more. So few queries
+among few codes, whose neighbours are far away, take few rounds, and the driver plans few jobs. Values to flip are a small table, not
+literals, which the driver would keep in every plan's text.
+
 Equal codes are one index entry with the smallest ids it can ever need (k + 1), found by a
 window whose limit applies before the shuffle; queries with equal codes are searched once. So a code
 that a third of all rows share costs one entry, and results stay exact.
@@ -21,8 +25,10 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +37,10 @@ from sparkloom.llm.common import cut, settled
 BITS = 64
 #: From this radius on, segments are searched one after the other, to stop as early as possible.
 BY_SEGMENT = 3
+#: Values to try, or codes that they are expected to meet if these are more, up to which a round takes further steps.
+AT_ONCE = 1 << 21
+#: Values a query up to which a round takes further steps: what is broadcast, 8 bytes each.
+MASKS = 1 << 16
 
 
 def sign_code(vector: Column) -> Column:
@@ -57,10 +67,11 @@ def distance_of(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)])
 
 
-def masks(width: int, radius: int) -> Column:
-    """All values of so many bits with ``radius`` ones, as a literal array."""
-    found = [str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius)]
-    return F.split(F.lit(",".join(found)), ",").cast("array<int>")
+def masks(spark: SparkSession, widths: list[int], chosen: list[tuple[int, int]]) -> DataFrame:
+    """(segment, mask): for each chosen (segment, radius) all values of the segment's width with ``radius`` ones."""
+    found = [(j, sum(1 << b for b in bits)) for j, radius in chosen for bits in combinations(range(widths[j]), radius)]
+    segment, mask = zip(*found)
+    return spark.createDataFrame(pa.table({"segment": pa.array(segment, pa.int32()), "mask": pa.array(mask, pa.int32())}))
 
 
 def steps(segments: int, words: int = 1):
@@ -75,6 +86,21 @@ def steps(segments: int, words: int = 1):
                 yield r, range(j, j + 1), segments * r + j
 
 
+def next_round(todo: list, widths: list[int], cost: float) -> tuple[list[tuple[int, int]], int]:
+    """(segment, radius) of the next round, whose steps leave ``todo``, and the distance covered afterwards; cost: of one value."""
+    chosen: list[tuple[int, int]] = []
+    tried = covered = 0
+    while todo:
+        radius, now, reached = todo[0]
+        more = sum(comb(widths[j], radius) for j in now)
+        if tried and more and (tried + more > MASKS or (tried + more) * cost > AT_ONCE):
+            break
+        tried, covered = tried + more, reached
+        chosen += [(j, radius) for j in now if radius <= widths[j]]
+        del todo[0]
+    return chosen, covered
+
+
 def smallest(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     w = W.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
@@ -99,45 +125,38 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int) -> DataF
     parts = F.posexplode(F.array(*values(F.col("code"), segments, words)))
     index = cut(few.select("code", "ids", parts.alias("segment", "value")), "segments")
 
-    in_all = few.select(F.explode("ids")).limit(k + 1).count()  # ids, as far as it matters
-    active = cut(wanted.select(F.col("code").alias("query")).distinct().withColumn("most", F.lit(BITS * words)), "active")
-    best: DataFrame | None = None
-    finished: list[DataFrame] = []
+    spark = index.sparkSession
+    codes, in_all = index.filter("segment = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()  # ids, as far as it matters
     widths = [w for _, w in borders(segments)] * words
-    for radius, now, covered in steps(segments, words):
-        probes = None
-        for j in now:
-            if radius > widths[j]:
-                continue
-            own = active.withColumn("_mask", F.explode(masks(widths[j], radius))).select(
-                "query", "most", F.lit(j).alias("segment"), values(F.col("query"), segments, words)[j].bitwiseXOR(F.col("_mask")).alias("value")
-            )
-            probes = own if probes is None else probes.unionAll(own)
-        if probes is not None:
-            distance = distance_of(F.col("query"), F.col("code"), words)
-            # never broadcast: the planner takes exploded probes for as small as the queries they come from
-            near = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= F.col("most"))
-            near = near.select("query", distance.alias("distance"), F.explode("ids").alias("id"))
-            if best is not None:
-                near = near.unionAll(best)
-            best = cut(smallest(near.distinct(), ["query"], ["distance", "id"], k + 1), "best")
-            n = F.count(F.lit(1))
-            all_found = F.lit(in_all <= k) & (n >= in_all)
-            reach = best.groupBy("query").agg(F.when(all_found, 0).when(n > k, F.max("distance")).alias("last"))
-            state = active.join(reach, "query", "left").select("query", F.coalesce("last", "most").alias("most"), F.coalesce(F.col("last") <= covered, F.lit(False)).alias("done"))
-            state = cut(state, "state")
-            done = state.filter("done")
-            finished.append(best.join(done, "query", "left_semi"))
-            best = best.join(done, "query", "left_anti")
-            active = state.filter("NOT done").select("query", "most")
-            if active.isEmpty():
-                break
-    else:
-        if best is not None:
-            finished.append(best)  # all there is was found
-    found = finished[0]
-    for more in finished[1:]:
-        found = found.unionAll(more)
+    to_meet = max(1.0, codes / 2 ** min(widths))
+    active = cut(wanted.select(F.col("code").alias("query")).distinct().withColumn("most", F.lit(BITS * words)), "active")
+    best = index.select(F.col("code").alias("query"), F.lit(0).alias("distance"), F.explode("ids").alias("id")).limit(0)
+    rounds: list[DataFrame] = []
+    todo = list(steps(segments, words))
+    left = active.count() if in_all else 0
+    while todo and left:
+        chosen, covered = next_round(todo, widths, left * to_meet)
+        own = active.withColumn("own", F.array(*values(F.col("query"), segments, words)))
+        probes = own.crossJoin(F.broadcast(masks(spark, widths, chosen))).select("query", "most", "segment", F.col("own")[F.col("segment")].bitwiseXOR(F.col("mask")).alias("value"))
+        distance = distance_of(F.col("query"), F.col("code"), words)
+        # never broadcast: the planner takes exploded probes for as small as the queries they come from
+        near = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= F.col("most"))
+        near = near.select("query", distance.alias("distance"), F.explode("ids").alias("id")).unionAll(best)
+        near = smallest(near.distinct(), ["query"], ["distance", "id"], k + 1)
+        all_of = W.partitionBy("query")
+        n = F.count(F.lit(1)).over(all_of)
+        last = F.when(F.lit(in_all <= k) & (n >= in_all), 0).when(n > k, F.max("distance").over(all_of))
+        near = near.withColumn("last", last).withColumn("done", F.coalesce(F.col("last") <= covered, F.lit(False)))
+        rounds.append(cut(near, "best"))
+        best = rounds[-1].filter("NOT done").select("query", "distance", "id")
+        reach = rounds[-1].select("query", "last", "done").distinct()
+        active = active.join(reach, "query", "left").filter("done IS NULL OR NOT done").select("query", F.coalesce("last", "most").alias("most"))
+        active = cut(active, "active")
+        left = active.count()
+    found = best
+    if rounds:
+        # one scan, however many rounds there were
+        found = spark.read.schema(rounds[0].schema).parquet(*(df._cut_path for df in rounds)).filter("done").select("query", "distance", "id")
     others = wanted.withColumnRenamed("id", "query_id").join(found, F.col("code") == F.col("query")).filter(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     others = others.select("query_id", rank.cast("int").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("int").alias("distance"))

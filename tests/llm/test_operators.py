@@ -248,6 +248,33 @@ def test_topk_of_long_vectors_against_brute_force(spark, width):
         assert got[q] == sorted((int((codes[q] != c).sum()), k) for k, c in enumerate(codes) if k != q)[:5]
 
 
+def test_topk_of_far_neighbours_takes_few_small_plans(spark, monkeypatch):
+    rng = random.Random(5)
+    codes = [rng.getrandbits(64) for _ in range(500)]
+    plans, cut = [], hamming_topk.cut
+
+    def noted(df, name):
+        plans.append(len(df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(hamming_topk, "cut", noted)
+    rows = spark.createDataFrame([(k, c - (c >> 63 << 64)) for k, c in enumerate(codes)], "id long, code long")
+    got = sorted(tuple(r) for r in hamming_topk.search(rows, rows.filter("id % 50 = 0")).collect())
+    near = {q: sorted(((c ^ codes[q]).bit_count(), k) for k, c in enumerate(codes) if k != q)[:10] for q in range(0, 500, 50)}
+    assert got == [(q, rank, k, d) for q, found in near.items() for rank, (d, k) in enumerate(found, 1)]
+    assert len(plans) <= 9 and max(plans) < 20_000
+
+
+def test_a_round_takes_more_steps_only_while_they_are_cheap():
+    widths = [16] * 4
+    todo = list(hamming_topk.steps(4))
+    assert [hamming_topk.next_round(todo, widths, 1e7) for _ in range(4)] == [([(j, r) for j in range(4)], 4 * r + 3) for r in range(3)] + [([(0, 3)], 12)]
+    todo, found = list(hamming_topk.steps(4)), []
+    while todo:
+        found.append(hamming_topk.next_round(todo, widths, 10))
+    assert sorted(x for chosen, _ in found for x in chosen) == [(j, r) for j in range(4) for r in range(17)] and found[-1][1] >= 64 and len(found) < 10
+
+
 def test_segments_cover_what_they_say():
     for segments in (3, 4, 7):
         assert sum(w for _, w in hamming_topk.borders(segments)) == 64
