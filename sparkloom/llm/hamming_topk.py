@@ -5,7 +5,7 @@ the pigeonhole principle, once all segments were searched up to radius r, and th
 every code within distance m * (r + 1) + j - 1 of a query was found. Search radii grow, segment by segment from
 radius ``BY_SEGMENT`` on, until the distance of a query's last wanted neighbour lies within what is covered; only
 queries that are not yet covered go on. A probe's partners are compared with the whole code in the join's condition and
-kept only within the query's best distance so far.
+kept only within the query's best distance so far, and only in the segment in which the steps meet the two codes first: no pair comes twice.
 
 A round takes as many of these steps as are expected to meet ``AT_ONCE`` codes together, or one if it meets more. So few queries
 among few codes, whose neighbours are far away, take few rounds, and the driver plans few jobs. Values to flip are a small table, not
@@ -39,6 +39,8 @@ BITS = 64
 BY_SEGMENT = 3
 #: Values to try, or codes that they are expected to meet if these are more, up to which a round takes further steps.
 AT_ONCE = 1 << 21
+#: The same for the first round, in which no query has a best distance yet that its partners must be within.
+AT_FIRST = AT_ONCE // 8
 #: Values a query up to which a round takes further steps: what is broadcast, 8 bytes each.
 MASKS = 1 << 16
 
@@ -67,6 +69,13 @@ def distance_of(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)])
 
 
+def first_met(a: Column, b: Column, segments: int, words: int) -> Column:
+    """The segment in which the steps, which go by radius and then by segment, meet a pair of codes first."""
+    n = segments * words
+    differ = [F.bit_count(x.bitwiseXOR(y)) * n + k for k, (x, y) in enumerate(zip(values(a, segments, words), values(b, segments, words)))]
+    return (F.least(*differ) if n > 1 else differ[0]) % n
+
+
 def masks(spark: SparkSession, widths: list[int], chosen: list[tuple[int, int]]) -> DataFrame:
     """(segment, mask): for each chosen (segment, radius) all values of the segment's width with ``radius`` ones."""
     found = [(j, sum(1 << b for b in bits)) for j, radius in chosen for bits in combinations(range(widths[j]), radius)]
@@ -86,14 +95,14 @@ def steps(segments: int, words: int = 1):
                 yield r, range(j, j + 1), segments * r + j
 
 
-def next_round(todo: list, widths: list[int], cost: float) -> tuple[list[tuple[int, int]], int]:
-    """(segment, radius) of the next round, whose steps leave ``todo``, and the distance covered afterwards; cost: of one value."""
+def next_round(todo: list, widths: list[int], cost: float, most: int = AT_ONCE) -> tuple[list[tuple[int, int]], int]:
+    """(segment, radius) of the next round, whose steps leave ``todo``, and the distance covered afterwards; cost: of one value; most: of all."""
     chosen: list[tuple[int, int]] = []
     tried = covered = 0
     while todo:
         radius, now, reached = todo[0]
         more = sum(comb(widths[j], radius) for j in now)
-        if tried and more and (tried + more > MASKS or (tried + more) * cost > AT_ONCE):
+        if tried and more and (tried + more > MASKS or (tried + more) * cost > most):
             break
         tried, covered = tried + more, reached
         chosen += [(j, radius) for j in now if radius <= widths[j]]
@@ -135,14 +144,14 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, segments: int) -> DataF
     todo = list(steps(segments, words))
     left = active.count() if in_all else 0
     while todo and left:
-        chosen, covered = next_round(todo, widths, left * to_meet)
+        chosen, covered = next_round(todo, widths, left * to_meet, AT_ONCE if rounds else AT_FIRST)
         own = active.withColumn("own", F.array(*values(F.col("query"), segments, words)))
         probes = own.crossJoin(F.broadcast(masks(spark, widths, chosen))).select("query", "most", "segment", F.col("own")[F.col("segment")].bitwiseXOR(F.col("mask")).alias("value"))
         distance = distance_of(F.col("query"), F.col("code"), words)
         # never broadcast: the planner takes exploded probes for as small as the queries they come from
-        near = probes.hint("merge").join(index, ["segment", "value"]).filter(distance <= F.col("most"))
+        near = probes.hint("merge").join(index, ["segment", "value"]).filter((distance <= F.col("most")) & (first_met(F.col("query"), F.col("code"), segments, words) == F.col("segment")))
         near = near.select("query", distance.alias("distance"), F.explode("ids").alias("id")).unionAll(best)
-        near = smallest(near.distinct(), ["query"], ["distance", "id"], k + 1)
+        near = smallest(near, ["query"], ["distance", "id"], k + 1)
         all_of = W.partitionBy("query")
         n = F.count(F.lit(1)).over(all_of)
         last = F.when(F.lit(in_all <= k) & (n >= in_all), 0).when(n > k, F.max("distance").over(all_of))
