@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import barrier
+from sparkloom.llm.common import WORD, barrier
 from sparkloom.sources.shared import written
 
 BUCKETS = 1 << 13
@@ -46,20 +46,27 @@ SYMBOLS = "#*$%&|<>"
 
 
 def words(text: Column) -> Column:
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def pair(x: Column, y: Column) -> Column:
+    """Hash of a 2-gram, from the hashes of its words."""
+    return F.shiftleft(x, 7).bitwiseXOR(y)
 
 
-def buckets(h: Column) -> Column:
-    """Buckets of a text's 1-grams and 2-grams, from its word hashes."""
-    mask = F.lit(BUCKETS - 1)
-    ones = F.transform(h, lambda x: x.bitwiseAND(mask).cast("int"))
-    twos = F.transform(h, lambda x, i: F.shiftrightunsigned(F.shiftleft(x, 7).bitwiseXOR(F.get(h, i + 1)), 17).bitwiseAND(mask).cast("int"))
-    return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(h) - 1, F.lit(0))))
+def bucket(x: Column) -> Column:
+    """Bucket of a 1-gram, from the hash of its word."""
+    return x.bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def pair_bucket(g: Column) -> Column:
+    """Bucket of a 2-gram, from its hash."""
+    return bucket(F.shiftrightunsigned(g, 17))
+
+
+def part(array: Column, first: int, but: int) -> Column:
+    """An array's elements from the ``first`` on (1 is the first of all), ``but`` fewer than it has."""
+    return F.slice(array, first, F.greatest(F.size(array) - but, F.lit(0)))
 
 
 def windows(h: Column) -> Column:
@@ -89,16 +96,18 @@ def count_repeated(w: Column) -> tuple[Column, Callable[[Column], Column]]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the base counts, base_failed, and the buckets of the n-grams."""
+    """``docs`` (doc_id, text) with the base counts, base_failed, the hashes of the words and 2-grams, and the buckets of the n-grams.
+
+    Lambda functions are interpreted, element by element, so each does little, and slices, distinct values and sizes stand in
+    selects of their own, which are compiled. The 5-word windows are hashed and sorted only for texts that hold one twice, its middle word left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    with_word = F.filter(lines, lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.select(
+    out = docs.select("doc_id", text.alias("_text"), words(F.col("text")).alias("_words"))
+    out = out.select(
         "doc_id",
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        with_word.alias("_lines"),
-        word_hashes(F.col("text")).alias("_h"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_lines"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
     )
     out = barrier(out, "_lines", "_h").select(
         "doc_id",
@@ -106,17 +115,21 @@ def counts(docs: DataFrame) -> DataFrame:
         "word_chars",
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        buckets(F.col("_h")).alias("_buckets"),
-        windows(F.col("_h")).alias("_w"),
+        "_h",
+        part(F.col("_h"), 1, 1).alias("_x"),
+        part(F.col("_h"), 2, 1).alias("_y"),
     )
-    # the sort is only done for texts that repeat a window
-    out = barrier(out, "_buckets", "_w")
+    out = barrier(out.withColumn("_g", F.zip_with("_x", "_y", pair)).drop("_x", "_y"), "_g")
+    out = out.withColumns({"_x": part(F.col("_g"), 1, WINDOW - 2), "_y": part(F.col("_g"), WINDOW - 1, WINDOW - 2)})
+    out = barrier(out.withColumn("_ends", F.zip_with("_x", "_y", lambda x, y: F.shiftleft(x, 13).bitwiseXOR(y))).drop("_x", "_y"), "_ends")
+    out = out.withColumn("_repeats", F.size(F.array_distinct("_ends")) < F.size("_ends")).drop("_ends")
+    out = barrier(out.withColumn("_w", F.when(F.col("_repeats"), windows(F.col("_h")))), "_w")
     sorted_windows, covered = count_repeated(F.col("_w"))
-    repeats = F.size(F.array_distinct("_w")) < F.size("_w")
-    out = barrier(out.withColumn("_sorted", F.when(repeats, sorted_windows)), "_sorted")
-    out = out.withColumn("n_repeat_words", F.when(F.col("_sorted").isNotNull(), covered(F.col("_sorted"))).otherwise(0).cast("long"))
+    out = barrier(out.withColumn("_sorted", F.when(F.col("_repeats"), sorted_windows)), "_sorted")
+    out = out.withColumn("n_repeat_words", F.when(F.col("_repeats"), covered(F.col("_sorted"))).otherwise(0).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_sorted")
+    all_buckets = F.concat(F.transform("_h", lambda x: bucket(x).cast("int")), F.transform("_g", lambda g: pair_bucket(g).cast("int")))
+    return out.withColumns({"base_failed": failed, "_buckets": all_buckets}).drop("_w", "_sorted", "_repeats")
 
 
 def with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -134,11 +147,20 @@ def with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["_id"], "left").withColumn("_t", F.col("_id").isNotNull().cast("long")).drop("_id")
 
 
+def grams(flagged: DataFrame) -> DataFrame:
+    """(_t, bucket) of each n-gram of the texts of ``flagged`` (_t, text).
+
+    A row is made for each word, with the one after it: there is no lambda function, so all is compiled."""
+    pairs = flagged.select("_t", words(F.col("text")).alias("_words"))
+    pairs = pairs.select("_t", "_words", F.slice("_words", 2, F.size("_words")).alias("_next")).select("_t", F.inline(F.arrays_zip("_words", "_next")))
+    pairs = pairs.select("_t", F.xxhash64("_words").alias("_x"), F.when(F.col("_next").isNotNull(), F.xxhash64("_next")).alias("_y"))
+    return pairs.select("_t", F.explode(F.array(bucket(F.col("_x")), pair_bucket(pair(F.col("_x"), F.col("_y"))))).alias("bucket")).filter("bucket IS NOT NULL")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log ratio of each bucket."""
-    flagged = with_trust(docs, labels.filter("quality = 1").select("doc_id")).select("_t", word_hashes(F.col("text")).alias("_h"))
-    grams = flagged.select("_t", F.explode(buckets(F.col("_h"))).alias("bucket"))
-    seen = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good")).collect()  # BUCKETS rows at most
+    flagged = with_trust(docs, labels.filter("quality = 1").select("doc_id")).select("_t", "text")
+    seen = grams(flagged).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_t").alias("good")).collect()  # BUCKETS rows at most
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in seen:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
@@ -219,6 +241,7 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     """(doc_id, counts, base_failed, score, kept) of each document (doc_id, text)."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded into a literal
     found = counts(docs)
-    score = F.aggregate("_buckets", F.lit(0.0), lambda a, k: a + F.get(table, k)) / F.size("_buckets")
-    found = found.withColumn("score", F.when(F.size("_buckets") > 0, score)).drop("_buckets")
+    ones = F.aggregate("_h", F.lit(0.0), lambda a, x: a + F.get(table, bucket(x)))
+    both = F.aggregate("_g", ones, lambda a, g: a + F.get(table, pair_bucket(g)))
+    found = found.withColumn("score", F.when(F.size("_h") > 0, both / (F.size("_h") + F.size("_g")))).drop("_buckets", "_h", "_g")
     return kept(found, threshold)

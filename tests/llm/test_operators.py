@@ -150,6 +150,36 @@ def test_score_is_the_mean_log_ratio(spark):
     assert set(quality_rules.log_ratios(frame, labels.filter("quality = 7"))) == {0.0}
 
 
+def test_ngrams_of_rows_are_those_of_arrays(spark):
+    texts = [None, "", " \t ", "one", "one two", "a a a", "x y\nx\ty", "é\u00a0z 𝔘 q"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality_rules.grams(frame.select(F.col("doc_id").alias("_t"), "text"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "lambda" not in plan  # lambda functions are interpreted, for each word and pair
+    want = sorted((r.doc_id, k) for r in quality_rules.counts(frame).collect() for k in r._buckets)
+    assert sorted((r._t, r.bucket) for r in rows.collect()) == want and len(want) == 1 + 3 + 5 + 7 + 5
+
+
+def test_windows_are_made_only_where_one_may_repeat(spark):
+    texts = {
+        "a b c d e f g h i j": 0,
+        "a b c d e x a b c d e": 10,
+        "a b MID d e x a b mid d e": 0,  # but for the middle word the windows agree
+        "a b c d e x a b c d": 0,
+        "a a a a a": 0,
+        "a a a a a a": 6,
+        "a b a b a b a": 7,
+        "a b c d": 0,
+        "": 0,
+    }
+    frame = spark.createDataFrame([(text, text) for text in texts], "doc_id string, text string")
+    found = quality_rules.counts(frame)
+    assert {r.doc_id: r.n_repeat_words for r in found.collect()} == texts
+    plan = found.select("n_repeat_words")._jdf.queryExecution().executedPlan().toString()
+    made = re.search(r"(CASE WHEN \S+ THEN )?transform\([^\n]*?xxhash64\(lambda x\S*, _h", plan)
+    assert made and made.group(1)  # before, the windows of every text were hashed
+
+
 def test_good_documents_are_kept_and_junk_is_not(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
