@@ -220,7 +220,7 @@ def _references(facts, manifest_id: int, refs: DataFrame, outgoing: bool, includ
     references resolve to, so that only rows within it are resolved; without ``keys`` it leaves ``FEW_ROWS`` at most."""
     r = refs.join(entries_of(facts.manifest_entries, manifest_id), "blob_sha").withColumn("source_rank", source_rank(F.col("source")))
     if outgoing and not include_noise:
-        r, few = _few(r.filter(F.col("kind") == "call"))
+        r, few = _few(r)
         r = _resolved(facts, manifest_id, r, few)
         own = F.col("target_qualified").isNotNull() & (F.col("target_qualified") != "")
         r = _without_noise(facts, r.filter(own | F.col("_resolved").isNotNull()), keys, few)
@@ -290,7 +290,9 @@ def references_strict(facts, manifest_id: int, symbol: str, kind: str | None = N
 
 
 def references_outgoing(facts, manifest_id: int, symbol: str, kind: str | None = None, include_noise: bool = False, limit: int = 100) -> DataFrame:
-    """References made within the symbol ``symbol``."""
+    """References made within the symbol ``symbol``. Without noise these are the resolved ones, and only calls unless a kind is asked for."""
+    if kind is None and not include_noise:
+        kind = "call"
     enclosing = facts.symbols.filter(F.col("qualified") == symbol).select(F.col("id").alias("enclosing_id"), F.col("qualified").alias("enclosing"))
     keys = few_keys(enclosing, "enclosing_id")
     refs = facts.refs if keys is None else at_keys(second(facts, "refs_by_enclosing"), "enclosing_id", keys)

@@ -116,10 +116,12 @@ query("q5_find_imports_file", f"WITH {best_of('import')}, {FILES} {IMPORTS.forma
 R = ("refs", "symbols", "resolutions", "manifest_entries")
 
 
-def references_sql(source: str, where: str, outgoing: bool = False, noise: bool = False, last: str = "", limit: int = 100) -> str:
+def references_sql(source: str, where: str, outgoing: bool = False, noise: bool = False, last: str = "", limit: int = 100, calls: bool = True) -> str:
+    """calls: whether outgoing references without noise are calls only, as they are unless a kind is asked for."""
     noise_where = "" if noise else "WHERE dup = 1 AND NOT (source_rank > 0 AND byte_start = 0 AND byte_end = 0 AND shadowed)"
     final = (noise_where + (f" AND {last}" if noise_where else f"WHERE {last}")) if last else noise_where
-    own = "AND r.kind = 'call' AND ((r.target_qualified IS NOT NULL AND r.target_qualified <> '') OR sym.qualified IS NOT NULL)" if outgoing and not noise else ""
+    only = "AND r.kind = 'call' " if calls else ""
+    own = f"{only}AND ((r.target_qualified IS NOT NULL AND r.target_qualified <> '') OR sym.qualified IS NOT NULL)" if outgoing and not noise else ""
     return f"""
 SELECT target_name, target_qualified, kind, enclosing, path, line, blob_sha, parser_id, kind_source, target_path FROM (
   SELECT r.target_name, coalesce(sym.qualified, r.target_qualified) AS target_qualified, r.kind, enc.qualified AS enclosing, e.path, r.line, r.blob_sha, r.parser_id,
@@ -150,7 +152,7 @@ query("q7_references_strict", STRICT_REFS + references_sql("strict", "true", las
 query("q7_references_fallback", HEADER + references_sql("refs", "r.target_name = 'blue_bolt'"), *R)(lambda f: lookup.find_references(f, HEAD, "nowhere::blue_bolt"))
 query("q8_references_outgoing", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}'", outgoing=True, limit=1000), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, limit=1000))
 query("q8_references_outgoing_noise", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}'", outgoing=True, noise=True, limit=1000), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, include_noise=True, limit=1000))
-query("q8_references_outgoing_type", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}' AND r.kind = 'type'", outgoing=True), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, kind="type"))
+query("q8_references_outgoing_type", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}' AND r.kind = 'type'", outgoing=True, calls=False), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, kind="type"))
 query("q8_references_outgoing_type_noise", HEADER + references_sql("refs", f"enc.qualified = '{STRICT}' AND r.kind = 'type'", outgoing=True, noise=True), *R)(lambda f: lookup.references_outgoing(f, HEAD, STRICT, kind="type", include_noise=True))
 query("q12_find_callers", HEADER + references_sql("refs", "r.target_name = 'small_ring' AND r.kind = 'call'"), *R)(lambda f: lookup.find_callers(f, HEAD, "small_ring"))
 query("q13_find_callees", HEADER + references_sql("refs", "enc.qualified = 'Brand25::cold_bolt' AND r.kind = 'call'", outgoing=True), *R)(lambda f: lookup.find_callees(f, HEAD, "Brand25::cold_bolt"))

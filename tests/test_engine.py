@@ -97,6 +97,38 @@ def test_references(spark):
         lookup.find_references(f, 1, " ")
 
 
+def test_outgoing_references_of_a_kind(spark):
+    symbols = [symbol(1, "Gear", qualified="app.Gear"), symbol(2, "main", qualified="app.main"), symbol(3, "other", qualified="app.other")]
+    refs = [
+        (1, "b", "p", 2, "Gear", None, "type", 10, 14, 3, "tier2"),
+        (2, "b", "p", 2, "Gear", "app.Gear", "type", 10, 14, 3, "tier2"),
+        (3, "b", "p", 2, "Gear", None, "type", 30, 34, 4, "tier2"),
+        (4, "b", "p", 2, "Gear", "", "type", 50, 54, 5, "tier2"),
+        (5, "b", "p", 2, "Gear", "app.Gear", "type", 0, 0, 6, "tier2"),
+        (6, "b", "p", 2, "Gear", "app.Gear", "type", 60, 64, 6, "tier3-x"),
+        (7, "b", "p", 2, "go", "app.go", "call", 80, 82, 7, "tier2"),
+        (8, "b", "p", 2, "Gear", "app.Gear", "instantiate", 90, 94, 8, "tier2"),
+        (9, "b", "p", 3, "Gear", "app.Gear", "type", 100, 104, 9, "tier2"),
+    ]
+    f = store(spark, symbols=symbols, refs=refs, resolutions=[(1, "b", "p", 30, 34, "type", None, 1, "tier3-x", "a.py", 1)], manifest_entries=[(1, "a.py", "b")])
+    of = lambda *a, **b: [(r.line, r.target_qualified, r.kind_source) for r in lookup.find_references(f, 1, "app.main", "outgoing", *a, **b).collect()]
+    # neither one that leads nowhere, nor one without a range that another stands for, nor one of two on a range
+    assert of("type") == [(3, "app.Gear", "tier2-fact"), (4, "app.Gear", "tier3-x"), (6, "app.Gear", "tier2-fact")]
+    assert of("type", limit=2) == of("type")[:2] and [x[0] for x in of("type", include_noise=True)] == [3, 3, 4, 5, 6, 6]
+    assert [x[0] for x in of("instantiate")] == [8] and of("import") == []
+    assert [x[0] for x in of()] == [x[0] for x in of("call")] == [7]  # only calls unless a kind is asked for
+
+
+def test_outgoing_types_equal_their_sql_and_are_some(spark):
+    c = duckdb.connect()
+    for t in RAW:
+        c.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    want = c.execute(queries.SQL["q8_references_outgoing_type"])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()["q8_references_outgoing_type"](spark, "/root/testdata/sf0.01").select(columns).collect()
+    assert [tuple(r) for r in got] == want.fetchall() and {r.kind for r in got} == {"type"}
+
+
 def test_anchors(spark):
     f = store(spark, anchors=[("HEAD", 1, 0, None), ("tentative/2", 3, 0, None), ("tentative/10", 2, 0, None)])
     assert snapshots.default_anchor(f.anchors) == "tentative/10" and snapshots.default_anchor(f.anchors, branch="x") == "branch/x"
